@@ -76,3 +76,42 @@ def groups_for(rows: int, per_group: int) -> int:
 def bucket_of(*cols: str, n: int):
     """Stable bucket 0..n-1 of the given columns (nulls hash like any other value)."""
     return F.pmod(F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in cols]), F.lit(n)).cast("int")
+
+
+#: A label table up to this many rows is broadcast (about 16 bytes a row); a larger one is shuffled.
+BROADCAST_ROWS = 2_000_000
+
+
+def held_out(doc_id) -> "F.Column":
+    """True for the fifth of the keys whose labels are never learnt from."""
+    return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(5)) == 0, F.lit(False))
+
+
+def fold(doc_id) -> "F.Column":
+    return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(5))
+
+
+def labelled(docs: DataFrame, labels: DataFrame, label: str) -> DataFrame:
+    """``text``, ``label`` and ``fold`` of the documents that may be learnt from."""
+    known = labels.select("doc_id", F.col(label).cast("int").alias("label")).filter(F.col("label").isNotNull() & (fold(F.col("doc_id")) != 0))
+    known = known.groupBy("doc_id").agg(F.max("label").alias("label"))
+    if labels.count() <= BROADCAST_ROWS:
+        known = F.broadcast(known)
+    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(known, "doc_id").select("text", "label", fold(F.col("doc_id")).cast("int").alias("fold"))
+
+
+def logistic(x, y, weight=None, rounds: int = 50, ridge: float = 1e-3):
+    """Newton fit of a logistic regression; the last coefficient is the intercept."""
+    import numpy as np
+
+    x = np.column_stack([x, np.ones(len(x))])
+    w = np.ones(len(x)) if weight is None else weight
+    beta = np.zeros(x.shape[1])
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
+        grad = x.T @ (w * (y - p)) - ridge * beta
+        step = np.linalg.solve((x * (w * p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(beta)), grad)
+        beta += np.clip(step, -5, 5)
+        if np.abs(step).max() < 1e-6:
+            break
+    return beta

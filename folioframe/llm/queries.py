@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, packing, sharding
+from . import chat, packing, sharding, toxicity
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_best_fit_packing": packing.op1_best_fit_packing,
         "op4_rendezvous_sharding": sharding.op4_rendezvous_sharding,
         "op7_chat_formatting": chat.op7_chat_formatting,
+        "op9_toxicity": toxicity.op9_toxicity,
     }
 
 
