@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import chat, packing, sharding, toxicity
+from . import chat, packing, sharding, simhash, toxicity, vptree
 
 
 def queries() -> dict:
     return {
         "op1_best_fit_packing": packing.op1_best_fit_packing,
         "op4_rendezvous_sharding": sharding.op4_rendezvous_sharding,
+        "op5_vp_tree_neighbours": vptree.op5_vp_tree_neighbours,
+        "op6_simhash": simhash.op6_simhash,
         "op7_chat_formatting": chat.op7_chat_formatting,
         "op9_toxicity": toxicity.op9_toxicity,
     }
