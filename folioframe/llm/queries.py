@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, packing, sharding, simhash, toxicity, vptree
+from . import chat, decontaminate, packing, quality, sharding, simhash, toxicity, vptree
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op6_simhash": simhash.op6_simhash,
         "op7_chat_formatting": chat.op7_chat_formatting,
         "op9_toxicity": toxicity.op9_toxicity,
+        "op10_quality": quality.op10_quality,
     }
 
 
