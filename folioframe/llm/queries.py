@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, packing, quality, sharding, simhash, toxicity, vptree
+from . import chat, decontaminate, packing, quality, sharding, simhash, suffixes, toxicity, vptree
 
 
 def queries() -> dict:
     return {
         "op1_best_fit_packing": packing.op1_best_fit_packing,
+        "op2_suffix_dedup": suffixes.op2_suffix_dedup,
         "op3_qgram_decontamination": decontaminate.op3_qgram_decontamination,
         "op4_rendezvous_sharding": sharding.op4_rendezvous_sharding,
         "op5_vp_tree_neighbours": vptree.op5_vp_tree_neighbours,
