@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, packing, quality, sharding, simhash, suffixes, toxicity, vptree
+from . import chat, decontaminate, licenses, packing, quality, sharding, simhash, suffixes, toxicity, vptree
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op5_vp_tree_neighbours": vptree.op5_vp_tree_neighbours,
         "op6_simhash": simhash.op6_simhash,
         "op7_chat_formatting": chat.op7_chat_formatting,
+        "op8_license_scan": licenses.op8_license_scan,
         "op9_toxicity": toxicity.op9_toxicity,
         "op10_quality": quality.op10_quality,
     }
