@@ -241,7 +241,7 @@ def color_roundtrip(spark, sf):
     return views.table(spark, sf, "events").select("event_id", scalar.rgb_to_hex(*scalar.hex_to_rgb(color)).alias("color"))
 
 
-@query("cmyk_rgb", "SELECT event_id, round((1 - c) * 0.75, 6) AS r, round(0.9 * 0.75, 6) AS g, round(0.8 * 0.75, 6) AS b FROM (SELECT event_id, (event_id % 101) / 100.0::DOUBLE AS c FROM events)", view=False)
+@query("cmyk_rgb", "SELECT event_id, round((1 - c) * 0.75::DOUBLE, 6) AS r, round((0.9 * 0.75)::DOUBLE, 6) AS g, round((0.8 * 0.75)::DOUBLE, 6) AS b FROM (SELECT event_id, (event_id % 101) / 100.0::DOUBLE AS c FROM events)", view=False)
 def cmyk_rgb(spark, sf):
     c = (F.col("event_id") % 101) / F.lit(100.0)
     r, g, b = scalar.cmyk_to_rgb(c, F.lit(0.1), F.lit(0.2), F.lit(0.25))

@@ -67,6 +67,6 @@ def page_ranges(spec: Column, last: int) -> Column:
         low, high = F.greatest(F.try_to_number(a, F.lit("999999999")).cast("int"), F.lit(1)), F.least(F.try_to_number(b, F.lit("999999999")).cast("int"), F.lit(last))
         single = F.when(part.rlike(r"^\s*\d+\s*$"), F.trim(part).cast("int"))
         none = F.array().cast("array<int>")
-        return F.when(low <= high, F.sequence(low, F.greatest(high, low))).when(single.between(1, last), F.array(single)).otherwise(none)
+        return F.when((a != "") & (low <= high), F.sequence(low, F.greatest(high, low))).when(single.between(1, last), F.array(single)).otherwise(none)
 
     return F.array_sort(F.array_distinct(F.flatten(F.transform(F.split(spec, ","), one))))
