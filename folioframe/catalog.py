@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import scalar
-from .operators import ocr, pages, search, stores, streams
+from .operators import draw, locate, ocr, pages, search, stores, streams
 from .plans import views
 from .streaming import events
 
@@ -276,3 +276,52 @@ def auth_fail_window(spark, sf):
 def auth_lockout(spark, sf):
     fails = views.table(spark, sf, "events").filter("event_type = 'error'").withColumnRenamed("event_id", "id")
     return events.lockout(fails, "user_id", "ts", 86_400, 3, 43_200)
+
+
+# ---- locating, drawing, labels -----------------------------------------------------------------
+
+
+@query("locate_exact", 'SELECT doc_id, page_number, id, "row" AS ord, 1.0::DOUBLE AS confidence FROM E')
+def locate_exact(spark, sf):
+    wanted = views.edits(spark, sf).select("doc_id", "page_number", "id", F.col("original_text").alias("text"), F.lit(72.0).alias("x"), "y")
+    return locate.locate(wanted, streams.runs(_streams(spark, sf)))
+
+
+_NORM = r"trim(regexp_replace({c}, '\s+', ' ', 'g'))"
+
+
+@query("locate_fuzzy", """WITH T AS (SELECT doc_id, page_number, id, "row", n.t AS t, levenshtein(n.t, n.r) AS d FROM (SELECT *, {'t': %s, 'r': %s} AS n FROM E WHERE regexp_full_match(original_text, '[ -~]+')) WHERE length(n.t) >= 10)
+ SELECT doc_id, page_number, id, "row" AS ord, round(CASE WHEN d = 0 THEN 1.0 ELSE greatest(0.5, 1 - d / length(t)) END, 6)::DOUBLE AS confidence FROM T""" % (_NORM.format(c="substr(original_text, 2)"), _NORM.format(c="original_text")))
+def locate_fuzzy(spark, sf):
+    wanted = views.edits(spark, sf).filter(F.col("original_text").rlike("^[ -~]+$")).select("doc_id", "page_number", "id", F.expr("substr(original_text, 2)").alias("text"), F.lit(72.0).alias("x"), "y")
+    wanted = wanted.filter(F.length(scalar.normalize(F.col("text"))) >= 10)
+    return locate.locate(wanted, streams.runs(_streams(spark, sf))).withColumn("confidence", F.round("confidence", 6))
+
+
+_DRAW = "CASE type WHEN 'click' THEN 'highlight' WHEN 'view' THEN 'underline' WHEN 'purchase' THEN 'circle' WHEN 'error' THEN 'stamp' ELSE 'comment' END"
+
+
+@query("annotation_draw_ops", f"""WITH T AS (SELECT *, {_DRAW} AS kind FROM A)
+ SELECT doc_id, page_number, id, CASE kind WHEN 'highlight' THEN 'fill' WHEN 'underline' THEN 'line' WHEN 'circle' THEN 'ellipse' ELSE 'text' END AS op, x,
+ 792 - y - h + CASE WHEN kind IN ('circle', 'stamp') THEN h / 2 ELSE 0 END AS y, w, CASE kind WHEN 'highlight' THEN 0.3 ELSE 1.0 END::DOUBLE AS opacity FROM T WHERE kind <> 'comment'""")
+def annotation_draw_ops(spark, sf):
+    return draw.draw_ops(views.annotations(spark, sf).withColumn("type", F.expr(_DRAW)))
+
+
+@query("missing_chars", "WITH C AS (SELECT doc_id, line_idx, unnest(string_split(line, '')) AS c FROM L) SELECT doc_id, count(DISTINCT c) AS n FROM C WHERE ascii(c) > 127 GROUP BY doc_id")
+def missing_chars(spark, sf):
+    chars = views.lines(spark, sf).select("doc_id", F.explode(F.array_distinct(F.filter(F.split("line", ""), lambda c: F.ascii(c) > 127))).alias("c"))
+    return chars.groupBy("doc_id").agg(F.count_distinct("c").alias("n"))
+
+
+@query("file_size_label", """SELECT doc_id, CASE WHEN n < 1024 THEN n || ' Bytes' WHEN n < 1048576 THEN regexp_replace(regexp_replace(printf('%.2f', round(n / 1024.0::DOUBLE, 2)), '0+$', ''), '\\.$', '') || ' KB' ELSE 'big' END AS label FROM (SELECT doc_id, strlen(text) AS n FROM documents)""", view=False)
+def file_size_label(spark, sf):
+    docs = views.table(spark, sf, "documents")
+    return docs.select("doc_id", scalar.file_size(F.octet_length("text").cast("long")).alias("label"))
+
+
+@query("session_stats", "SELECT doc_id, count(*) FILTER (WHERE doc_id % 2 = 0) AS surgery, count(*) FILTER (WHERE doc_id % 2 = 1) AS legacy, 0 AS refused FROM E GROUP BY doc_id")
+def session_stats(spark, sf):
+    e = views.edits(spark, sf).withColumn("path", F.when(F.col("doc_id") % 2 == 0, "tj-surgery").otherwise("legacy"))
+    total = lambda p: F.sum((F.col("path") == p).cast("long"))
+    return e.groupBy("doc_id").agg(total("tj-surgery").alias("surgery"), total("legacy").alias("legacy"), total("refused").alias("refused"))
