@@ -56,16 +56,22 @@ class Shard:
         rank = self.text.astype(np.int64) + len(strings)
         rank[ends] = np.arange(len(strings))
         n, step = len(rank), 1
-        order = np.argsort(rank, kind="stable")
+        symbols = int(rank.max()) + 2
+        while step < 4 and symbols ** (2 * step) < 2**62 and step < n:  # pack symbols before the first sort
+            key = rank * symbols**step
+            key[: n - step] += rank[step:] + (1 if step == 1 else 0)
+            rank, step = key, 2 * step
+        key = rank
         while True:
-            key = rank * (rank.max() + 2)
-            key[: n - step] += rank[step:] + 1
-            order = np.argsort(key, kind="stable")
+            order = np.argsort(key)  # equal keys get equal ranks, so the sort need not be stable
             new = np.empty(n, dtype=np.int64)
             new[order] = np.cumsum(np.r_[0, (key[order][1:] != key[order][:-1]).astype(np.int64)])
-            rank, step = new, step * 2
+            rank = new
             if rank[order[-1]] == n - 1:
                 break
+            key = rank * (n + 1)
+            key[: max(0, n - step)] += rank[step:] + 1
+            step *= 2
         self.order = order  # suffix array
         before = np.where(order == 0, n - 1, order - 1)
         self.bwt = self.text[before]
@@ -88,21 +94,26 @@ def repeats(strings: list[bytes], length: int, shard_bytes: int = SHARD_BYTES) -
     bwt = np.concatenate([s.bwt for s in shards])
     stop = np.concatenate([s.begins for s in shards])
     lf = np.concatenate([s.lf + b for s, b in zip(shards, base)])
+    # one byte a step, and two at once for all but an odd last one
+    single = (bwt.astype(np.uint16), stop, lf)
+    double = ((bwt[lf].astype(np.uint16) << 8) | bwt, stop | stop[lf], lf[lf])
     rows = np.arange(base[-1])  # shard by shard: the interleave before any refinement
-    block = np.zeros(len(rows), dtype=np.int64)
-    for _ in range(length):
-        alive = ~stop[rows]
+    block = np.zeros(len(rows), dtype=np.int32)
+    done = 0
+    while done < length and len(rows):
+        before, ends_here, back = double if length - done >= 2 else single
+        done += 2 if length - done >= 2 else 1
+        alive = ~ends_here[rows]
         rows, block = rows[alive], block[alive]
-        before = bwt[rows]
+        before = before[rows]
         order = np.argsort(before, kind="stable")
         block, before = block[order], before[order]
-        new = np.r_[True, (block[1:] != block[:-1]) | (before[1:] != before[:-1])] if len(rows) else np.zeros(0, dtype=bool)
-        rows = lf[rows[order]]
-        block = np.cumsum(new)
-        alone = np.bincount(block)[block] < 2 if len(block) else np.zeros(0, dtype=bool)
-        rows, block = rows[~alone], block[~alone]
-        if not len(rows):
-            break
+        new = np.ones(len(rows) + 1, dtype=bool)
+        np.not_equal(block[1:], block[:-1], out=new[1:-1])
+        new[1:-1] |= before[1:] != before[:-1]
+        shared = ~(new[:-1] & new[1:])
+        rows = back[rows[order[shared]]]
+        block = np.cumsum(new[:-1], dtype=np.int32)[shared]
     place = np.concatenate([s.order + b for s, b in zip(shards, base)])[rows]
     ends = np.concatenate([np.flatnonzero(s.is_end) + b for s, b in zip(shards, base)])
     string = np.searchsorted(ends, place)
