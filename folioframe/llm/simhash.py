@@ -44,29 +44,46 @@ def shingles(text: str | None, size: int) -> list[str]:
     return list(map(" ".join, zip(*(words[k:] for k in range(size)))))
 
 
-def fingerprint(text: str | None, size: int = 3) -> int:
+def shingle_hashes(text: str | None, size: int) -> np.ndarray:
     import xxhash
 
     each = shingles(text, size)
-    if not each:
-        return 0
-    h = np.fromiter((xxhash.xxh64_intdigest(s.encode("utf-8", "replace"), 42) for s in each), dtype="<u8", count=len(each))
+    return np.fromiter((xxhash.xxh64_intdigest(s.encode("utf-8", "replace"), 42) for s in each), dtype="<u8", count=len(each))
+
+
+def majority(h: np.ndarray) -> int:
+    """Bits that are set in over half of the hashes; zero for none."""
     ones = np.zeros(64, dtype=np.int64)
     for at in range(0, len(h), 1 << 16):
         ones += np.unpackbits(h[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    bits = np.packbits(ones * 2 > len(h), bitorder="little")
-    return int(bits.view("<u8")[0])
+    return int(np.packbits(ones * 2 > len(h), bitorder="little").view("<u8")[0])
+
+
+def fingerprint(text: str | None, size: int = 3) -> int:
+    return majority(shingle_hashes(text, size))
+
 
+def fingerprints(docs: DataFrame, size: int = 3, keys: int = 0) -> DataFrame:
+    """doc_id, fingerprint (as a signed long) and ``keys`` least shingle hashes of as many orders."""
+    rng = np.random.default_rng(12)
+    factors = rng.integers(0, 2**63, keys, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
-def fingerprints(docs: DataFrame, size: int = 3) -> DataFrame:
-    """doc_id and fingerprint (as a signed long) of every document."""
+    def least(h: np.ndarray) -> np.ndarray:
+        if not len(h):
+            return np.zeros(keys, dtype=np.int64)
+        mixed = h ^ (h >> np.uint64(31))
+        return np.array([(mixed * f).min() for f in factors], dtype=np.uint64).view(np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints = np.array([fingerprint(t.as_py(), size) for t in batch.column(1)], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.int64())], ["doc_id", "fp"])
+            prints, sketches = np.zeros(batch.num_rows, dtype=np.uint64), []
+            for i, text in enumerate(batch.column(1)):
+                h = shingle_hashes(text.as_py(), size)
+                prints[i] = majority(h)
+                sketches.append(least(h))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64)), pa.array(sketches, pa.list_(pa.int64()))], ["doc_id", "fp", "keys"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long, keys array<long>")
 
 
 def planes(values: np.ndarray) -> np.ndarray:
@@ -118,12 +135,21 @@ def _spanning(n: int, pairs: Iterator[tuple[int, np.ndarray]]) -> np.ndarray:
     return np.array([find(i) for i in range(n)])
 
 
-def links(prints: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
-    """Spanning links a, b (longs) between distinct fingerprints ``fp`` within ``radius`` bits."""
+def by_fields(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """fp, field, value: the radius + 1 bit fields of distinct fingerprints; this misses no pair."""
     fields = radius + 1
     width = 64 // fields
     field = F.explode(F.array(*[F.struct(F.lit(k).alias("field"), F.expr(f"shiftrightunsigned(fp, {k * width}) & {(1 << (width if k < fields - 1 else 64 - k * width)) - 1}L").alias("value")) for k in range(fields)]))
-    keyed = prints.select("fp", field.alias("x")).select("fp", "x.field", "x.value")
+    return prints.select("fp").distinct().select("fp", field.alias("x")).select("fp", "x.field", "x.value")
+
+
+def by_keys(prints: DataFrame) -> DataFrame:
+    """fp, field, value: one bucket per least shingle hash; a pair of similarity s shares each with chance s."""
+    return prints.select("fp", F.posexplode("keys").alias("field", "value")).distinct()
+
+
+def links(keyed: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
+    """Spanning links a, b (longs) between fingerprints ``fp`` of a bucket (field, value) within ``radius`` bits."""
     sizes = keyed.groupBy("field", "value").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
     keyed = keyed.join(sizes, ["field", "value"]).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
     # block i meets every block j >= i: a record goes to each pair that its own block is in
@@ -190,11 +216,16 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("label")) if labels is None else labels
 
 
-def near_duplicates(docs: DataFrame, size: int = 3, radius: int = RADIUS) -> DataFrame:
-    """doc_id, fp and component_id, the smallest doc_id that a document reaches, itself included."""
-    prints = scratch(fingerprints(docs, size), "fingerprints")
+def near_duplicates(docs: DataFrame, size: int = 3, radius: int = RADIUS, keys: int = 0) -> DataFrame:
+    """doc_id, fp and component_id, the smallest doc_id that a document reaches, itself included.
+
+    Without ``keys`` every pair within the radius is found, which needs a small radius. With
+    them, buckets of equal least shingle hashes allow a wide radius: a pair of similarity s meets
+    with chance 1 - (1 - s) ** keys.
+    """
+    prints = scratch(fingerprints(docs, size, keys), "fingerprints")
     classes = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    labels = components(links(classes.select("fp"), radius)).select(F.col("node").alias("fp"), "label")
+    labels = components(links(by_keys(prints) if keys else by_fields(prints, radius), radius)).select(F.col("node").alias("fp"), "label")
     grouped = classes.join(labels, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
     least = grouped.groupBy("label").agg(F.min("first").alias("component_id"))
     ids = grouped.select("fp", "label").join(least, "label").select("fp", "component_id")
