@@ -29,7 +29,7 @@ from ._common import held_out, labelled, table
 WORD_SLOTS, STEPS, RANK = 1 << 15, 12, 8
 STATISTICS = 12
 SLOTS = WORD_SLOTS + STATISTICS * STEPS + STATISTICS
-SAMPLE = 20_000  # bound on labelled rows that the machine is fitted on
+SAMPLE = 8_000  # bound on labelled rows that the machine is fitted on
 
 
 def statistics(text: str, words: list[str], counts: Counter) -> list[float]:
@@ -95,7 +95,7 @@ class Machine:
         squares = np.add.reduceat((v**2).sum(axis=1), starts)
         return self.bias + np.add.reduceat(self.linear[slots] * values, starts) + 0.5 * ((total**2).sum(axis=1) - squares), total
 
-    def fit(self, rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, epochs: int = 8, batch: int = 64, rate: float = 0.05, decay: float = 1e-4) -> None:
+    def fit(self, rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, epochs: int = 6, batch: int = 64, rate: float = 0.05, decay: float = 1e-4) -> None:
         rng = np.random.default_rng(11)
         seen_linear, seen_factor, seen_bias = np.full(SLOTS, 1e-6), np.full((SLOTS, RANK), 1e-6), 1e-6
         self.bias = float(np.log((y.mean() + 1e-3) / (1 - y.mean() + 1e-3)))
