@@ -31,6 +31,8 @@ from ._common import scratch, table
 
 RADIUS = 3
 BLOCK = 2048
+SKETCH_BITS = 7  # 2**7 slots of a byte: the estimate's deviation is 0.035 at a similarity of 0.8
+MARGIN = 0.12  # estimates this far above the threshold pass, this far below fail, others are computed
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -63,8 +65,25 @@ def fingerprint(text: str | None, size: int = 3) -> int:
     return majority(shingle_hashes(text, size))
 
 
+def sketch(h: np.ndarray) -> bytes:
+    """One byte of the least hash in each of ``2**SKETCH_BITS`` equal ranges of hashes; 0 where a range has none."""
+    out = np.zeros(1 << SKETCH_BITS, dtype=np.uint8)
+    h = np.sort(h)
+    slot = (h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+    first = np.flatnonzero(np.r_[True, slot[1:] != slot[:-1]]) if len(h) else slot
+    out[slot[first]] = h[first] % np.uint64(255) + np.uint64(1)
+    return out.tobytes()
+
+
+def estimate(one: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """Estimated Jaccard similarities of one sketch to others; two empty ones are equal."""
+    both = ((one == many) & (many > 0)).sum(axis=1)
+    either = ((one > 0) | (many > 0)).sum(axis=1)
+    return np.where(either > 0, both / np.maximum(either, 1), 1.0)
+
+
 def fingerprints(docs: DataFrame, size: int = 3, keys: int = 0) -> DataFrame:
-    """doc_id, fingerprint (as a signed long) and ``keys`` least shingle hashes of as many orders."""
+    """doc_id, fingerprint (as a signed long), ``keys`` least shingle hashes of as many orders and, with keys, a sketch."""
     rng = np.random.default_rng(12)
     factors = rng.integers(0, 2**63, keys, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -76,14 +95,15 @@ def fingerprints(docs: DataFrame, size: int = 3, keys: int = 0) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints, sketches = np.zeros(batch.num_rows, dtype=np.uint64), []
+            prints, least_of, sketches = np.zeros(batch.num_rows, dtype=np.uint64), [], []
             for i, text in enumerate(batch.column(1)):
                 h = shingle_hashes(text.as_py(), size)
                 prints[i] = majority(h)
-                sketches.append(least(h))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64)), pa.array(sketches, pa.list_(pa.int64()))], ["doc_id", "fp", "keys"])
+                least_of.append(least(h))
+                sketches.append(sketch(h) if keys else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64)), pa.array(least_of, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], ["doc_id", "fp", "keys", "sketch"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long, keys array<long>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long, keys array<long>, sketch binary")
 
 
 def planes(values: np.ndarray) -> np.ndarray:
@@ -117,22 +137,18 @@ def within(query: int, vertical: np.ndarray, n: int, radius: int = RADIUS) -> np
     return np.flatnonzero(alive & (distance <= radius))
 
 
-def _spanning(n: int, pairs: Iterator[tuple[int, np.ndarray]]) -> np.ndarray:
-    """Least member that each of n nodes reaches over the pairs."""
-    parent = np.arange(n)
+class _Groups:
+    """Groups of n nodes, each named by its least member."""
 
-    def find(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
+    def __init__(self, n: int) -> None:
+        self.name = np.arange(n)
 
-    for a, others in pairs:
-        for b in others:
-            ra, rb = find(a), find(int(b))
-            if ra != rb:
-                parent[max(ra, rb)] = min(ra, rb)
-    return np.array([find(i) for i in range(n)])
+    def join(self, a: int, others: np.ndarray) -> bool:
+        """Put a and the others into one group; False if they are in one already."""
+        names = np.unique(np.r_[self.name[a], self.name[others]])
+        if len(names) > 1:
+            self.name[np.isin(self.name, names)] = names[0]
+        return len(names) > 1
 
 
 def by_fields(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -144,32 +160,68 @@ def by_fields(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 def by_keys(prints: DataFrame) -> DataFrame:
-    """fp, field, value: one bucket per least shingle hash; a pair of similarity s shares each with chance s."""
-    return prints.select("fp", F.posexplode("keys").alias("field", "value")).distinct()
+    """fp, sketch, field, value: one bucket per least shingle hash; a pair of similarity s shares each with chance s."""
+    return prints.select("fp", "sketch", "keys").distinct().select("fp", "sketch", F.posexplode("keys").alias("field", "value"))
+
 
+def _near(values: np.ndarray, radius: int) -> Iterator[np.ndarray]:
+    """For each value, the positions of those within the radius."""
+    if len(values) < 24:
+        near = np.bitwise_count(values[:, None] ^ values[None, :]) <= radius
+        yield from (np.flatnonzero(row) for row in near)
+        return
+    vertical = planes(values)
+    for v in values:
+        yield within(int(v), vertical, len(values), radius)
 
-def links(keyed: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
-    """Spanning links a, b (longs) between fingerprints ``fp`` of a bucket (field, value) within ``radius`` bits."""
+
+def _compare(values: np.ndarray, sketches: np.ndarray | None, radius: int, similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Links (a, b, sure) that span the groups of one cell.
+
+    With sketches, pairs of a clear estimate join groups first; what lies within the margin then
+    gives a spanning forest of those groups by falling estimate, whose links are not sure.
+    """
+    groups = _Groups(len(values))
+    doubtful: list[np.ndarray] = []
+    for i, hits in enumerate(_near(values, radius)):
+        hits = hits[hits < i]
+        if not len(hits):
+            continue
+        if sketches is None:
+            groups.join(i, hits)
+            continue
+        about = estimate(sketches[i], sketches[hits])
+        about[values[hits] == values[i]] = 1.0
+        groups.join(i, hits[about >= similarity + MARGIN])
+        some = (about >= similarity - MARGIN) & (about < similarity + MARGIN)
+        some[some] = groups.name[hits[some]] != groups.name[i]
+        if some.any():
+            doubtful.append(np.stack([np.full(some.sum(), i), hits[some], np.round(about[some] * -1000)]).astype(np.int32))
+    child = np.flatnonzero(groups.name != np.arange(len(values)))
+    a, b, sure = [values[child]], [values[groups.name[child]]], [np.ones(len(child), dtype=bool)]
+    if doubtful:
+        pairs = np.concatenate(doubtful, axis=1)
+        pairs = pairs[:, groups.name[pairs[0]] != groups.name[pairs[1]]]
+        kept = [(i, j) for i, j, _ in pairs[:, np.argsort(pairs[2], kind="stable")].T if groups.name[i] != groups.name[j] and groups.join(i, np.array([j]))]
+        if kept:
+            i, j = np.array(kept).T
+            a, b, sure = [*a, values[i]], [*b, values[j]], [*sure, np.zeros(len(i), dtype=bool)]
+    return np.concatenate(a), np.concatenate(b), np.concatenate(sure)
+
+
+def links(keyed: DataFrame, radius: int = RADIUS, block: int = BLOCK, similarity: float = 0.8) -> DataFrame:
+    """Spanning links a, b (longs) and ``sure`` between fingerprints ``fp`` of a bucket (field, value) within ``radius`` bits."""
+    if "sketch" not in keyed.columns:
+        keyed = keyed.withColumn("sketch", F.lit(None).cast("binary"))
     sizes = keyed.groupBy("field", "value").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
     keyed = keyed.join(sizes, ["field", "value"]).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
     # block i meets every block j >= i: a record goes to each pair that its own block is in
     pair = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(F.col("own"), o).alias("i"), F.greatest(F.col("own"), o).alias("j"))))
-    keyed = keyed.select("fp", "field", "value", pair.alias("p")).select("fp", F.xxhash64("field", "value", "p.i", "p.j").alias("cell"), "field", "value", "p.i", "p.j")
-
-    def compare(values: np.ndarray) -> np.ndarray:
-        values = np.unique(values)
-        if len(values) < 24:
-            near = np.bitwise_count(values[:, None] ^ values[None, :]) <= radius
-            root = _spanning(len(values), ((i, np.flatnonzero(near[i, :i])) for i in range(len(values))))
-        else:
-            vertical = planes(values)
-            root = _spanning(len(values), ((i, within(int(values[i]), vertical, len(values), radius)) for i in range(len(values))))
-        child = np.flatnonzero(root != np.arange(len(values)))
-        return np.stack([values[child], values[root[child]]])
+    keyed = keyed.select("fp", "sketch", "field", "value", pair.alias("p")).select("fp", "sketch", "field", "value", "p.i", "p.j")
+    names = ["field", "value", "i", "j"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         kept = pd.DataFrame()
-        names = ["field", "value", "i", "j"]
         for frame in batches:
             frame = pd.concat([kept, frame], ignore_index=True) if len(kept) else frame
             new = np.r_[True, (frame[names].to_numpy()[1:] != frame[names].to_numpy()[:-1]).any(axis=1)]
@@ -180,13 +232,45 @@ def links(keyed: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFra
             yield out(kept.reset_index(drop=True), np.array([0, len(kept)]))
 
     def out(frame: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
-        values = frame["fp"].to_numpy().view(np.uint64)
-        found = [compare(values[s:e]) for s, e in zip(starts[:-1], starts[1:]) if e - s > 1]
-        both = np.concatenate(found, axis=1) if found else np.zeros((2, 0), dtype=np.uint64)
-        return pd.DataFrame({"a": both[0].view(np.int64), "b": both[1].view(np.int64)})
+        values, held = frame["fp"].to_numpy().view(np.uint64), frame["sketch"].tolist()
+        found = []
+        for s, e in zip(starts[:-1], starts[1:]):
+            if e - s > 1:
+                sketches = None if held[s] is None else np.frombuffer(b"".join(held[s:e]), dtype=np.uint8).reshape(e - s, -1)
+                found.append(_compare(values[s:e], sketches, radius, similarity))
+        a, b, sure = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=bool))
+        differ = a != b
+        return pd.DataFrame({"a": a[differ].view(np.int64), "b": b[differ].view(np.int64), "sure": sure[differ]})
+
+    return keyed.repartition(*names).sortWithinPartitions(*names, "fp").mapInPandas(run, "a long, b long, sure boolean").distinct()
 
-    order = ["field", "value", "i", "j"]
-    return keyed.drop("cell").repartition(*order).sortWithinPartitions(*order, "fp").mapInPandas(run, "a long, b long").distinct()
+
+def verified(found: DataFrame, docs: DataFrame, classes: DataFrame, size: int, similarity: float) -> DataFrame:
+    """The links that are sure, and the others whose texts' shingle sets have the similarity.
+
+    Only texts of links in doubt are read again, one for each fingerprint; a fingerprint whose
+    rows have no id has none, and its links in doubt are left out.
+    """
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps, sets = [], []
+            for fp, text in zip(batch.column(0), batch.column(1)):
+                h = shingle_hashes(text.as_py(), size)
+                if int(np.uint64(majority(h)).view(np.int64)) == fp.as_py():
+                    fps.append(fp.as_py())
+                    sets.append(np.unique(h).view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(fps, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["fp", "h"])
+
+    found = scratch(found, "found")
+    sure = found.filter("sure").select("a", "b")
+    doubt = found.filter("not sure").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    asked = doubt.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(classes, "fp").select("fp", F.col("first").alias("doc_id"))
+    texts = docs.select(F.col("doc_id").cast("long"), "text").join(asked, "doc_id").select("fp", "text").mapInArrow(hashed, "fp long, h array<long>")
+    sets = scratch(texts.dropDuplicates(["fp"]), "shingles")
+    both = doubt.join(sets.select(F.col("fp").alias("a"), F.col("h").alias("x")), "a").join(sets.select(F.col("fp").alias("b"), F.col("h").alias("y")), "b")
+    shared = F.size(F.array_intersect("x", "y"))
+    return sure.unionByName(both.filter(shared >= similarity * (F.size("x") + F.size("y") - shared)).select("a", "b"))
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -216,16 +300,21 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("label")) if labels is None else labels
 
 
-def near_duplicates(docs: DataFrame, size: int = 3, radius: int = RADIUS, keys: int = 0) -> DataFrame:
+def near_duplicates(docs: DataFrame, size: int = 3, radius: int = RADIUS, keys: int = 0, similarity: float = 0.8) -> DataFrame:
     """doc_id, fp and component_id, the smallest doc_id that a document reaches, itself included.
 
     Without ``keys`` every pair within the radius is found, which needs a small radius. With
     them, buckets of equal least shingle hashes allow a wide radius: a pair of similarity s meets
-    with chance 1 - (1 - s) ** keys.
+    with chance 1 - (1 - s) ** keys, and links below ``similarity`` are taken out again by an
+    estimate and, where that is not clear, by the texts themselves.
     """
     prints = scratch(fingerprints(docs, size, keys), "fingerprints")
     classes = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    labels = components(links(by_keys(prints) if keys else by_fields(prints, radius), radius)).select(F.col("node").alias("fp"), "label")
+    if keys:
+        found = verified(links(by_keys(prints), radius, similarity=similarity), docs, classes, size, similarity)
+    else:
+        found = links(by_fields(prints, radius), radius)
+    labels = components(found).select(F.col("node").alias("fp"), "label")
     grouped = classes.join(labels, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
     least = grouped.groupBy("label").agg(F.min("first").alias("component_id"))
     ids = grouped.select("fp", "label").join(least, "label").select("fp", "component_id")

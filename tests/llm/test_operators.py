@@ -115,6 +115,29 @@ def test_simhash(spark):
     assert got == {d: (p, root(d)) for d, p in prints.items()}
 
 
+def test_near_duplicates_by_similarity(spark):
+    rng, rows = random.Random(8), []
+    for _ in range(40):
+        words = [f"w{rng.randrange(4000)}" for _ in range(rng.randrange(60, 400))]
+        for edits in (0, 1, 2, 4, 6, 9):
+            copy = list(words)
+            for at in rng.sample(range(len(copy)), edits):
+                copy[at] = "edited"
+            rows.append((len(rows), " ".join(copy), "clash"))
+    rows += [(len(rows), None, ""), (len(rows) + 1, "", ""), (0, rows[0][1], ""), (len(rows) + 2, "one two", ""), (len(rows) + 3, "One  two", "")]
+    sets = [(i, set(simhash.shingles(t, 5))) for i, t, _ in rows]
+    least = {i: i for i, _ in sets}
+    for _ in range(8):  # more rounds than any chain of copies is long
+        for i, x in sets:
+            for j, y in sets:
+                if len(x & y) >= 0.8 * len(x | y):
+                    least[i] = least[j] = min(least[i], least[j])
+    docs = spark.createDataFrame(rows, "doc_id long, text string, fp string")
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs, size=5, radius=20, keys=8).collect()}
+    assert got == least
+    assert len(set(least.values())) > 45
+
+
 def test_bit_sliced_distances():
     rng = np.random.default_rng(2)
     base = rng.integers(0, 2**63, 5, dtype=np.uint64)
