@@ -68,6 +68,18 @@ def _clean_at_exit(spark: SparkSession, root: str) -> None:
     atexit.register(remove)
 
 
+#: Bytes of one batch between an executor and its Python worker, each of which holds a few at once.
+BATCH_BYTES = 4 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches of this session by bytes, since 10,000 long texts could be any size."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = (spark.conf.get(name, None) or "").removesuffix("b")
+    if not now.isdigit() or int(now) > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def groups_for(rows: int, per_group: int) -> int:
     """Number of hash groups so that each holds about ``per_group`` rows."""
     return max(1, -(-rows // per_group))

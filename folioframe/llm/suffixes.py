@@ -32,10 +32,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import groups_for, scratch, table
+from ._common import bounded_batches, groups_for, scratch, table
 
 LENGTH, Q = 100, 24
-SHARD_BYTES, CELL_BYTES = 1 << 18, 2 << 20
+SHARD_BYTES, CELL_BYTES = 1 << 18, 1 << 20
 BUFFER = 1 << 19
 NO_ID = -(2**63)
 SEGMENT = np.dtype([("m", "<u8"), ("h", "<u8"), ("doc", "<i8"), ("start", "<u4"), ("size", "<u2")])
@@ -258,6 +258,7 @@ def _merged(docs: DataFrame, need: DataFrame, length: int) -> DataFrame:
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id and ``spans``, the array of (start, end) byte ranges that repeat earlier bytes (they may overlap)."""
+    bounded_batches(docs.sparkSession)
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     total = int(docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0])
     prints = _fingerprints(docs, length, groups_for(total, 8 << 20))
