@@ -27,12 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import scratch, table
+from ._common import bounded_batches, scratch, table
 
 RADIUS = 3
 BLOCK = 2048
-SKETCH_BITS = 7  # 2**7 slots of a byte: the estimate's deviation is 0.035 at a similarity of 0.8
-MARGIN = 0.12  # estimates this far above the threshold pass, this far below fail, others are computed
+COUNT_BITS = 7  # 2**7 counts of a byte
+CELL_BYTES = 16 << 20  # shingle sets of one block
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -65,25 +65,30 @@ def fingerprint(text: str | None, size: int = 3) -> int:
     return majority(shingle_hashes(text, size))
 
 
-def sketch(h: np.ndarray) -> bytes:
-    """One byte of the least hash in each of ``2**SKETCH_BITS`` equal ranges of hashes; 0 where a range has none."""
-    out = np.zeros(1 << SKETCH_BITS, dtype=np.uint8)
-    h = np.sort(h)
-    slot = (h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
-    first = np.flatnonzero(np.r_[True, slot[1:] != slot[:-1]]) if len(h) else slot
-    out[slot[first]] = h[first] % np.uint64(255) + np.uint64(1)
-    return out.tobytes()
+def node_of(fp: int, h: np.ndarray) -> int:
+    """Class of a text, of its fingerprint and distinct shingle hashes; a signed long."""
+    return int(np.uint64(fp).view(np.int64))
 
 
-def estimate(one: np.ndarray, many: np.ndarray) -> np.ndarray:
-    """Estimated Jaccard similarities of one sketch to others; two empty ones are equal."""
-    both = ((one == many) & (many > 0)).sum(axis=1)
-    either = ((one > 0) | (many > 0)).sum(axis=1)
-    return np.where(either > 0, both / np.maximum(either, 1), 1.0)
+def counts(h: np.ndarray) -> bytes:
+    """How many of the distinct hashes lie in each of ``2**COUNT_BITS`` equal ranges, a byte each; 255 stands for more."""
+    return np.minimum(np.bincount((h >> np.uint64(64 - COUNT_BITS)).astype(np.int64), minlength=1 << COUNT_BITS), 255).astype(np.uint8).tobytes()
+
+
+def may_reach(one: np.ndarray, many: np.ndarray, n_one: int, n_many: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether sets could have the similarity by a bound of what they share; never False for sets that have it."""
+    shared = np.minimum(one, many).sum(axis=1, dtype=np.int64)
+    open_ = ((one == 255) & (many == 255)).any(axis=1)
+    shared = np.where(open_, np.minimum(n_one, n_many), shared)
+    return shared >= similarity * (n_one + n_many - shared)
 
 
 def fingerprints(docs: DataFrame, size: int = 3, keys: int = 0) -> DataFrame:
-    """doc_id, fingerprint (as a signed long), ``keys`` least shingle hashes of as many orders and, with keys, a sketch."""
+    """doc_id and fingerprint (as a signed long); with ``keys``, also what :func:`links_by_text` takes.
+
+    That is the class ``node``, as many least shingle hashes (each of another order), the number
+    ``n`` of distinct shingles, their :func:`counts`, and a hash of the text that finds it again.
+    """
     rng = np.random.default_rng(12)
     factors = rng.integers(0, 2**63, keys, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -95,15 +100,24 @@ def fingerprints(docs: DataFrame, size: int = 3, keys: int = 0) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints, least_of, sketches = np.zeros(batch.num_rows, dtype=np.uint64), [], []
+            prints, nodes, least_of, sizes, held = np.zeros(batch.num_rows, dtype=np.uint64), [], [], [], []
             for i, text in enumerate(batch.column(1)):
                 h = shingle_hashes(text.as_py(), size)
                 prints[i] = majority(h)
-                least_of.append(least(h))
-                sketches.append(sketch(h) if keys else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64)), pa.array(least_of, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], ["doc_id", "fp", "keys", "sketch"])
-
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long, keys array<long>, sketch binary")
+                if keys:
+                    own = np.unique(h)
+                    nodes.append(node_of(prints[i], own))
+                    least_of.append(least(own))
+                    sizes.append(len(own))
+                    held.append(counts(own))
+            fps = pa.array(prints.view(np.int64))
+            if keys:
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), fps, pa.array(nodes, pa.int64()), pa.array(least_of, pa.list_(pa.int64())), pa.array(sizes, pa.int64()), pa.array(held, pa.binary())], ["doc_id", "text_hash", "fp", "node", "keys", "n", "counts"])
+            else:
+                yield pa.RecordBatch.from_arrays([batch.column(0), fps], ["doc_id", "fp"])
+
+    made = docs.select(F.col("doc_id").cast("long"), "text", *([F.xxhash64("text").alias("text_hash")] if keys else []))
+    return made.mapInArrow(run, "doc_id long, text_hash long, fp long, node long, keys array<long>, n long, counts binary" if keys else "doc_id long, fp long")
 
 
 def planes(values: np.ndarray) -> np.ndarray:
@@ -159,11 +173,6 @@ def by_fields(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     return prints.select("fp").distinct().select("fp", field.alias("x")).select("fp", "x.field", "x.value")
 
 
-def by_keys(prints: DataFrame) -> DataFrame:
-    """fp, sketch, field, value: one bucket per least shingle hash; a pair of similarity s shares each with chance s."""
-    return prints.select("fp", "sketch", "keys").distinct().select("fp", "sketch", F.posexplode("keys").alias("field", "value"))
-
-
 def _near(values: np.ndarray, radius: int) -> Iterator[np.ndarray]:
     """For each value, the positions of those within the radius."""
     if len(values) < 24:
@@ -175,102 +184,156 @@ def _near(values: np.ndarray, radius: int) -> Iterator[np.ndarray]:
         yield within(int(v), vertical, len(values), radius)
 
 
-def _compare(values: np.ndarray, sketches: np.ndarray | None, radius: int, similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Links (a, b, sure) that span the groups of one cell.
-
-    With sketches, pairs of a clear estimate join groups first; what lies within the margin then
-    gives a spanning forest of those groups by falling estimate, whose links are not sure.
-    """
-    groups = _Groups(len(values))
-    doubtful: list[np.ndarray] = []
-    for i, hits in enumerate(_near(values, radius)):
-        hits = hits[hits < i]
-        if not len(hits):
-            continue
-        if sketches is None:
-            groups.join(i, hits)
+def _by_cell(frames: Iterator[pd.DataFrame], names: list[str]) -> Iterator[pd.DataFrame]:
+    """The frames, which come sorted by the names, cut into one frame for each value of the names."""
+    kept: list[pd.DataFrame] = []
+    for frame in frames:
+        if not len(frame):
             continue
-        about = estimate(sketches[i], sketches[hits])
-        about[values[hits] == values[i]] = 1.0
-        groups.join(i, hits[about >= similarity + MARGIN])
-        some = (about >= similarity - MARGIN) & (about < similarity + MARGIN)
-        some[some] = groups.name[hits[some]] != groups.name[i]
-        if some.any():
-            doubtful.append(np.stack([np.full(some.sum(), i), hits[some], np.round(about[some] * -1000)]).astype(np.int32))
-    child = np.flatnonzero(groups.name != np.arange(len(values)))
-    a, b, sure = [values[child]], [values[groups.name[child]]], [np.ones(len(child), dtype=bool)]
-    if doubtful:
-        pairs = np.concatenate(doubtful, axis=1)
-        pairs = pairs[:, groups.name[pairs[0]] != groups.name[pairs[1]]]
-        kept = [(i, j) for i, j, _ in pairs[:, np.argsort(pairs[2], kind="stable")].T if groups.name[i] != groups.name[j] and groups.join(i, np.array([j]))]
-        if kept:
-            i, j = np.array(kept).T
-            a, b, sure = [*a, values[i]], [*b, values[j]], [*sure, np.zeros(len(i), dtype=bool)]
-    return np.concatenate(a), np.concatenate(b), np.concatenate(sure)
-
-
-def links(keyed: DataFrame, radius: int = RADIUS, block: int = BLOCK, similarity: float = 0.8) -> DataFrame:
-    """Spanning links a, b (longs) and ``sure`` between fingerprints ``fp`` of a bucket (field, value) within ``radius`` bits."""
-    if "sketch" not in keyed.columns:
-        keyed = keyed.withColumn("sketch", F.lit(None).cast("binary"))
-    sizes = keyed.groupBy("field", "value").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
+        cell = frame[names].to_numpy()
+        starts = np.flatnonzero(np.r_[True, (cell[1:] != cell[:-1]).any(axis=1)])
+        if kept and (kept[-1][names].to_numpy()[-1] != cell[0]).any():
+            yield pd.concat(kept, ignore_index=True)
+            kept = []
+        for s, e in zip(starts[:-1], starts[1:]):
+            yield pd.concat([*kept, frame.iloc[s:e]], ignore_index=True)
+            kept = []
+        kept.append(frame.iloc[starts[-1] :])
+    if kept:
+        yield pd.concat(kept, ignore_index=True)
+
+
+CELL = ["field", "value", "i", "j"]
+
+
+def _cells(keyed: DataFrame, blocks) -> DataFrame:
+    """Records of buckets (field, value) that hold several, one for each cell (i, j) of two blocks that their own is in."""
+    sizes = keyed.groupBy("field", "value").agg(F.count(F.lit(1)).alias("n_records"), blocks.cast("int").alias("blocks")).filter("n_records > 1").drop("n_records")
     keyed = keyed.join(sizes, ["field", "value"]).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
     # block i meets every block j >= i: a record goes to each pair that its own block is in
     pair = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(F.col("own"), o).alias("i"), F.greatest(F.col("own"), o).alias("j"))))
-    keyed = keyed.select("fp", "sketch", "field", "value", pair.alias("p")).select("fp", "sketch", "field", "value", "p.i", "p.j")
-    names = ["field", "value", "i", "j"]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        kept = pd.DataFrame()
-        for frame in batches:
-            frame = pd.concat([kept, frame], ignore_index=True) if len(kept) else frame
-            new = np.r_[True, (frame[names].to_numpy()[1:] != frame[names].to_numpy()[:-1]).any(axis=1)]
-            starts = np.flatnonzero(new)
-            kept = frame.iloc[starts[-1] :]
-            yield out(frame.iloc[: starts[-1]], starts)
-        if len(kept):
-            yield out(kept.reset_index(drop=True), np.array([0, len(kept)]))
-
-    def out(frame: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
-        values, held = frame["fp"].to_numpy().view(np.uint64), frame["sketch"].tolist()
-        found = []
-        for s, e in zip(starts[:-1], starts[1:]):
-            if e - s > 1:
-                sketches = None if held[s] is None else np.frombuffer(b"".join(held[s:e]), dtype=np.uint8).reshape(e - s, -1)
-                found.append(_compare(values[s:e], sketches, radius, similarity))
-        a, b, sure = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=bool))
-        differ = a != b
-        return pd.DataFrame({"a": a[differ].view(np.int64), "b": b[differ].view(np.int64), "sure": sure[differ]})
+    return keyed.withColumn("p", pair).select("*", "p.i", "p.j").drop("p", "blocks")
+
+
+def links(keyed: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
+    """Spanning links a, b (longs) between fingerprints ``fp`` of a bucket (field, value) within ``radius`` bits."""
 
-    return keyed.repartition(*names).sortWithinPartitions(*names, "fp").mapInPandas(run, "a long, b long, sure boolean").distinct()
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for cell in _by_cell(frames, CELL):
+            values = cell["fp"].to_numpy().view(np.uint64)
+            groups = _Groups(len(values))
+            for i, hits in enumerate(_near(values, radius)):
+                if len(hits := hits[hits < i]):
+                    groups.join(i, hits)
+            child = np.flatnonzero(groups.name != np.arange(len(values)))
+            if len(child):
+                yield pd.DataFrame({"a": values[child].view(np.int64), "b": values[groups.name[child]].view(np.int64)})
 
+    cells = _cells(keyed, F.ceil(F.count(F.lit(1)) / block)).select("fp", *CELL)
+    return cells.repartition(*CELL).sortWithinPartitions(*CELL, "fp").mapInPandas(run, "a long, b long").distinct()
 
-def verified(found: DataFrame, docs: DataFrame, classes: DataFrame, size: int, similarity: float) -> DataFrame:
-    """The links that are sure, and the others whose texts' shingle sets have the similarity.
 
-    Only texts of links in doubt are read again, one for each fingerprint; a fingerprint whose
-    rows have no id has none, and its links in doubt are left out.
+def _met(cell: pd.DataFrame, radius: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Each record and the earlier ones within the radius, except those that meet in another cell too.
+
+    A pair counts in the first field whose keys agree, and there in the cell of its two blocks.
+    """
+    values, keys, own = cell["fp"].to_numpy().view(np.uint64), np.array(cell["keys"].tolist(), dtype=np.int64), cell["own"].to_numpy()
+    field, two_blocks = int(cell["field"].iloc[0]), cell["i"].iloc[0] != cell["j"].iloc[0]
+    for i, hits in enumerate(_near(values, radius)):
+        hits = hits[hits < i]
+        if len(hits):
+            hits = hits[(keys[hits, :field] != keys[i, :field]).all(axis=1)]
+            if two_blocks:
+                hits = hits[own[hits] != own[i]]
+        if len(hits):
+            yield i, hits
+
+
+def _candidates(cell: pd.DataFrame, radius: int, similarity: float) -> np.ndarray:
+    """Positions of the records that have a pair in the cell which could reach the similarity."""
+    held, n = np.frombuffer(b"".join(cell["counts"]), dtype=np.uint8).reshape(len(cell), -1), cell["n"].to_numpy()
+    asked = np.zeros(len(cell), dtype=bool)
+    for i, hits in _met(cell, radius):
+        hits = hits[may_reach(held[i], held[hits], n[i], n[hits], similarity)]
+        asked[hits] = True
+        asked[i] |= len(hits) > 0
+    return np.flatnonzero(asked)
+
+
+def _verified(cell: pd.DataFrame, radius: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Positions (a, b) of links of the similarity that span the groups which all such pairs of the cell make.
+
+    Only pairs of one group are spared the comparison of their sets: one pair of every two groups
+    is tried first, then all pairs of the groups that are still apart.
+    """
+    groups, sets = _Groups(len(cell)), cell["h"].tolist()
+    size = np.array([len(x) for x in sets], dtype=np.int64)
+    start = np.cumsum(size) - size
+    flat = np.unique(np.concatenate(sets).astype(np.int64), return_inverse=True)[1]
+    mark = np.zeros(len(flat) + 1, dtype=bool)
+    found = []
+    for i, hits in _met(cell, radius):
+        hits = hits[np.minimum(size[hits], size[i]) >= similarity * np.maximum(size[hits], size[i])]
+        mark[flat[start[i] : start[i] + size[i]]] = True
+        for first in (True, False):
+            hits = hits[groups.name[hits] != groups.name[i]]
+            if not len(hits):
+                break
+            some = np.unique(groups.name[hits], return_index=True)[1] if first else np.arange(len(hits))
+            tried, hits = hits[some], np.delete(hits, some)
+            ends = np.cumsum(size[tried])
+            total = np.r_[0, np.cumsum(mark[flat[np.repeat(start[tried] - ends + size[tried], size[tried]) + np.arange(ends[-1])]])]
+            shared = total[ends] - total[ends - size[tried]]
+            for j in tried[shared >= similarity * (size[tried] + size[i] - shared)]:
+                if groups.join(i, np.array([j])):
+                    found.append((i, j))
+        mark[flat[start[i] : start[i] + size[i]]] = False
+    a, b = np.array(found, dtype=np.int64).reshape(-1, 2).T
+    return a, b
+
+
+def links_by_text(prints: DataFrame, docs: DataFrame, size: int, radius: int, similarity: float, block: int = BLOCK) -> DataFrame:
+    """Links a, b of classes of :func:`fingerprints` that share a key, lie within the radius and have the similarity.
+
+    Cells are gone through twice. The first time, a bound drops pairs that cannot have the
+    similarity; only texts of the others are read again, one a class, and the second time the
+    sets of their shingles decide. Every pair is decided so unless its texts are in one group already.
     """
+    bounded_batches(docs.sparkSession)
+    no_id = lambda c: F.coalesce(c, F.lit(-(2**63)))
+
+    def first(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for cell in _by_cell(frames, CELL):
+            asked = _candidates(cell, radius, similarity)
+            if len(asked):
+                yield cell.iloc[asked][["node", "fp", "keys", "own", *CELL]]
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps, sets = [], []
-            for fp, text in zip(batch.column(0), batch.column(1)):
+            nodes, sets = [], []
+            for node, text in zip(batch.column(0), batch.column(1)):
                 h = shingle_hashes(text.as_py(), size)
-                if int(np.uint64(majority(h)).view(np.int64)) == fp.as_py():
-                    fps.append(fp.as_py())
-                    sets.append(np.unique(h).view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(fps, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["fp", "h"])
-
-    found = scratch(found, "found")
-    sure = found.filter("sure").select("a", "b")
-    doubt = found.filter("not sure").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    asked = doubt.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(classes, "fp").select("fp", F.col("first").alias("doc_id"))
-    texts = docs.select(F.col("doc_id").cast("long"), "text").join(asked, "doc_id").select("fp", "text").mapInArrow(hashed, "fp long, h array<long>")
-    sets = scratch(texts.dropDuplicates(["fp"]), "shingles")
-    both = doubt.join(sets.select(F.col("fp").alias("a"), F.col("h").alias("x")), "a").join(sets.select(F.col("fp").alias("b"), F.col("h").alias("y")), "b")
-    shared = F.size(F.array_intersect("x", "y"))
-    return sure.unionByName(both.filter(shared >= similarity * (F.size("x") + F.size("y") - shared)).select("a", "b"))
+                own = np.unique(h)
+                if node_of(majority(h), own) == node.as_py():
+                    nodes.append(node.as_py())
+                    sets.append(own.view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["node", "h"])
+
+    def second(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for cell in _by_cell(frames, CELL):
+            a, b = _verified(cell, radius, similarity)
+            nodes = cell["node"].to_numpy()
+            if len(a):
+                yield pd.DataFrame({"a": nodes[a], "b": nodes[b]})
+
+    records = prints.select("node", "fp", "keys", "n", "counts").dropDuplicates(["node"])
+    cells = _cells(records.select("*", F.posexplode("keys").alias("field", "value")), F.ceil(F.greatest(F.count(F.lit(1)) / block, F.sum("n") * 8 / CELL_BYTES)))
+    asked = scratch(cells.repartition(*CELL).sortWithinPartitions(*CELL, "node").mapInPandas(first, "node long, fp long, keys array<long>, own int, field int, value long, i int, j int"), "asked")
+    at = prints.groupBy("node").agg(F.min(F.struct(no_id(F.col("doc_id")).alias("id"), "text_hash")).alias("at")).join(asked.select("node").distinct(), "node").select("node", "at.id", "at.text_hash")
+    texts = docs.select(no_id(F.col("doc_id").cast("long")).alias("id"), F.xxhash64("text").alias("text_hash"), "text").join(at, ["id", "text_hash"])
+    sets = texts.select("node", "text").mapInArrow(hashed, "node long, h array<long>").dropDuplicates(["node"])
+    return asked.join(sets, "node").repartition(*CELL).sortWithinPartitions(*CELL, "node").mapInPandas(second, "a long, b long").distinct()
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -305,20 +368,20 @@ def near_duplicates(docs: DataFrame, size: int = 3, radius: int = RADIUS, keys:
 
     Without ``keys`` every pair within the radius is found, which needs a small radius. With
     them, buckets of equal least shingle hashes allow a wide radius: a pair of similarity s meets
-    with chance 1 - (1 - s) ** keys, and links below ``similarity`` are taken out again by an
-    estimate and, where that is not clear, by the texts themselves.
+    with chance 1 - (1 - s) ** keys, and only pairs whose texts' shingle sets have the
+    ``similarity`` link.
     """
     prints = scratch(fingerprints(docs, size, keys), "fingerprints")
-    classes = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
     if keys:
-        found = verified(links(by_keys(prints), radius, similarity=similarity), docs, classes, size, similarity)
+        found = links_by_text(prints, docs, size, radius, similarity)
     else:
         found = links(by_fields(prints, radius), radius)
-    labels = components(found).select(F.col("node").alias("fp"), "label")
-    grouped = classes.join(labels, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
+        prints = prints.withColumn("node", F.col("fp"))
+    classes = prints.groupBy("node").agg(F.min("doc_id").alias("first"))
+    grouped = classes.join(components(found), "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = grouped.groupBy("label").agg(F.min("first").alias("component_id"))
-    ids = grouped.select("fp", "label").join(least, "label").select("fp", "component_id")
-    return prints.join(ids, "fp").select("doc_id", "fp", "component_id")
+    ids = grouped.select("node", "label").join(least, "label").select("node", "component_id")
+    return prints.join(ids, "node").select("doc_id", "fp", "component_id")
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -138,6 +138,29 @@ def test_near_duplicates_by_similarity(spark):
     assert len(set(least.values())) > 45
 
 
+def test_groups_of_edited_copies_around_the_similarity(spark):
+    """The groups are those of all pairs, whichever pair of two groups looks best."""
+    rng, texts = random.Random(4), []
+    for _ in range(3):
+        base = [f"w{rng.randrange(4000)}" for _ in range(300)]
+        for _ in range(150):
+            copy = list(base)
+            for at in rng.sample(range(len(copy)), rng.choice([3, 4, 5])):
+                copy[at] = f"e{rng.randrange(4000)}"
+            texts.append(" ".join(copy))
+    sets = [np.unique(simhash.shingle_hashes(t, 5)) for t in texts]
+    groups = simhash._Groups(len(sets))
+    for i, x in enumerate(sets):
+        for j in range(i):
+            shared = len(np.intersect1d(x, sets[j], assume_unique=True))
+            if shared >= 0.8 * (len(x) + len(sets[j]) - shared):
+                groups.join(i, np.array([j]))
+    assert 3 < len(set(groups.name)) < len(sets) // 2
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs, size=5, radius=20, keys=8).collect()}
+    assert got == dict(enumerate(groups.name.tolist()))
+
+
 def test_bit_sliced_distances():
     rng = np.random.default_rng(2)
     base = rng.integers(0, 2**63, 5, dtype=np.uint64)
