@@ -66,8 +66,13 @@ def fingerprint(text: str | None, size: int = 3) -> int:
 
 
 def node_of(fp: int, h: np.ndarray) -> int:
-    """Class of a text, of its fingerprint and distinct shingle hashes; a signed long."""
-    return int(np.uint64(fp).view(np.int64))
+    """Class of a text, of its fingerprint and distinct shingle hashes; a signed long.
+
+    The fingerprint alone would not do: shingles that repeat often decide every bit of it.
+    """
+    import xxhash
+
+    return int(np.uint64(xxhash.xxh64_intdigest(h.tobytes(), int(fp))).view(np.int64))
 
 
 def counts(h: np.ndarray) -> bytes:

@@ -161,6 +161,17 @@ def test_groups_of_edited_copies_around_the_similarity(spark):
     assert got == dict(enumerate(groups.name.tolist()))
 
 
+def test_equal_fingerprints_of_unlike_texts_do_not_link(spark):
+    rng = random.Random(6)
+    line = " ".join(f"b{k}" for k in range(7)) + " "
+    texts = [line * 100 + " ".join(f"w{rng.randrange(10**6)}" for _ in range(40)) for _ in range(6)]
+    texts += [texts[0], line + texts[1]]  # an equal text, and one of the same shingle set
+    assert len({simhash.fingerprint(t, 5) for t in texts}) == 1
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs, size=5, radius=20, keys=8).collect()}
+    assert got == {**{i: i for i in range(6)}, 6: 0, 7: 1}
+
+
 def test_bit_sliced_distances():
     rng = np.random.default_rng(2)
     base = rng.integers(0, 2**63, 5, dtype=np.uint64)
