@@ -144,11 +144,12 @@ def _matches(docs: DataFrame, items: DataFrame) -> DataFrame:
         b = bench.value
         for frame in frames:
             out: dict[tuple, list] = {}
-            for ids, starts, raw in _buffers(frame):
+            for ids, starts, sizes, raw in _buffers(frame):
                 for window, s, e, d in b.find(raw):
-                    k = int(np.searchsorted(starts, s, "right") - 1)
+                    # an end lies in its document or in the gap after it, a start may lie in the gap before
+                    k = int(np.searchsorted(starts, e - 1, "right") - 1)
                     key = (ids[k], b.item[window])
-                    s, e = s - int(starts[k]), e - int(starts[k])
+                    s, e = max(s - int(starts[k]), 0), min(e - int(starts[k]), int(sizes[k]))
                     seen = out.get(key)
                     if seen is None:
                         out[key] = [s, e, d, {window}]
@@ -164,20 +165,21 @@ def _matches(docs: DataFrame, items: DataFrame) -> DataFrame:
 def _buffers(frame: pd.DataFrame):
     """Documents joined to about BLOCK bytes, far enough apart that no window spans two."""
     gap = b"\0" * (WINDOW + 16)
-    ids, parts, starts, size = [], [], [], 0
+    ids, parts, starts, sizes, size = [], [], [], [], 0
     for i, text in zip(frame["doc_id"], frame["text"]):
         raw = normal(text)
         if len(raw) < 2 * Q - 2:
             continue
         ids.append(i)
         starts.append(size)
+        sizes.append(len(raw))
         parts += [raw, gap]
         size += len(raw) + len(gap)
         if size >= BLOCK:
-            yield ids, np.array(starts), np.frombuffer(b"".join(parts), dtype=np.uint8)
-            ids, parts, starts, size = [], [], [], 0
+            yield ids, np.array(starts), np.array(sizes), np.frombuffer(b"".join(parts), dtype=np.uint8)
+            ids, parts, starts, sizes, size = [], [], [], [], 0
     if parts:
-        yield ids, np.array(starts), np.frombuffer(b"".join(parts), dtype=np.uint8)
+        yield ids, np.array(starts), np.array(sizes), np.frombuffer(b"".join(parts), dtype=np.uint8)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

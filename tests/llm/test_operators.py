@@ -198,6 +198,17 @@ def test_contamination(spark):
     assert got == {(2, 7), (3, 7), (None, 7), (6, 7)}
 
 
+def test_contamination_is_charged_to_its_own_document(spark):
+    rng = random.Random(10)
+    item = " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(13))
+    texts = {0: "clean words " * 9, 1: item[1:], 2: "other words " * 9, 3: item[3:] + " and more of the text", 4: "words again " * 9, 5: item[:-1], 6: item[:-1] + "Z"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").coalesce(1)
+    bench = spark.createDataFrame([(7, item)], "item_id long, text string")
+    got = {r.doc_id: (r.start, r.end) for r in decontaminate.contaminated(docs, bench).collect()}
+    assert set(got) == {1, 3, 5, 6}
+    assert all(0 <= s < e <= len(texts[i]) for i, (s, e) in got.items())
+
+
 def test_rendezvous(spark):
     rows = spark.range(2000).withColumnRenamed("id", "doc_id")
     got = sharding.with_slots(sharding.rendezvous(rows, "doc_id", [1.0] * 9 + [3.0], [1.0] * 9 + [3.0, 1.0]), ["doc_id"], 3).toPandas()
