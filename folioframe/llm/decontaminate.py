@@ -1,17 +1,19 @@
 """Operator 3: benchmark decontamination by q-gram lemma filtering.
 
-Benchmark texts are cut into overlapping windows (a short text is one window). A window of n
-bytes that occurs in a document with at most e edits shares at least n - q + 1 - q * e q-grams
-with it, on diagonals no further apart than e. Shared q-grams are counted in overlapping bands
-of diagonals; bands that reach the bound are verified by banded alignment.
+A document is contaminated by a benchmark text of which it holds any ``REGION`` bytes, or the
+whole if that has at most ``WHOLE`` bytes, with edits of up to ``RATE`` of their number. Such a
+window of n bytes with at most e edits shares at least n - q + 1 - q * e q-grams with its place,
+on diagonals no further apart than e. Shared q-grams are counted in overlapping bands of
+diagonals, for every window of a text: the count slides over the hits of a band. Windows that
+reach the bound are verified by banded alignment.
 
 Scale: documents are only mapped. The benchmark is taken in chunks of a bounded number of bytes,
 each of which is collected and broadcast; a benchmark of many chunks scans the documents once a
 chunk, so what is broadcast never grows.
 
-Edge cases: null and empty texts hold nothing; a benchmark text shorter than two q-grams is
-ignored; case and runs of white space do not count; repeated rows are reported each; null ids
-are kept; empty tables give no rows; extra columns are ignored.
+Edge cases: null and empty texts hold nothing; a benchmark text of under ``LEAST``
+bytes is ignored, since so short a phrase stands in clean texts too; case and runs of white space
+do not count; repeated rows are reported each; null ids are kept; empty tables give no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,7 +27,8 @@ from pyspark.sql import functions as F
 
 from ._common import groups_for, table
 
-Q, WINDOW, STRIDE, RATE = 10, 96, 32, 0.07
+LEAST, REGION, WHOLE, RATE = 20, 48, 96, 0.07
+Q, SHORT_Q = 10, 5  # texts shorter than REGION are found by shorter q-grams, for which the lemma leaves a bound
 CHUNK_BYTES = 8 << 20
 BLOCK = 1 << 20
 BITS = 22
@@ -36,53 +39,52 @@ def normal(text: str | None) -> bytes:
     return " ".join((text or "").lower().split()).encode("utf-8", "replace")
 
 
-def _hashes(raw: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the Q bytes from each position."""
-    n = len(raw) - Q + 1
+def _hashes(raw: np.ndarray, q: int) -> np.ndarray:
+    """A 64-bit hash of the q bytes from each position."""
+    n = len(raw) - q + 1
     if n <= 0:
         return np.zeros(0, dtype=np.uint64)
     h = np.zeros(n, dtype=np.uint64)
-    for k in range(Q):
+    for k in range(q):
         h *= np.uint64(0x9E3779B97F4A7C15)
         h += raw[k : k + n]
     h ^= h >> np.uint64(29)
     return h * np.uint64(0xBF58476D1CE4E5B9)
 
 
-class Benchmark:
-    """Windows of the benchmark texts and an index of their q-grams."""
-
-    def __init__(self, items: list[tuple[int, str]]) -> None:
-        self.item, self.text, grams = [], [], []
-        for item, text in items:
-            raw = normal(text)
-            last = max(0, len(raw) - WINDOW)
-            for at in sorted({*range(0, last, STRIDE), last}):
-                part = np.frombuffer(raw[at : at + WINDOW], dtype=np.uint8)
-                if len(part) >= 2 * Q:
-                    h = _hashes(part)
-                    grams.append(np.stack([h, np.full(len(h), len(self.item), dtype=np.uint64), np.arange(len(h), dtype=np.uint64)]))
-                    self.item.append(item)
-                    self.text.append(part)
-        every = np.concatenate(grams, axis=1) if grams else np.zeros((3, 0), dtype=np.uint64)
-        order = np.argsort(every[0], kind="stable")
-        self.gram, self.window, self.at = every[0][order], every[1][order].astype(np.int64), every[2][order].astype(np.int64)
-        self.size = np.array([len(t) for t in self.text], dtype=np.int64)
+class Index:
+    """The q-grams of some texts, of which every window of at most ``window`` bytes is looked for."""
+
+    def __init__(self, texts: list[tuple[int, bytes]], q: int, window: int) -> None:
+        self.q = q
+        self.item = [item for item, _ in texts]
+        parts = [np.frombuffer(raw, dtype=np.uint8) for _, raw in texts]
+        self.length = np.array([len(x) for x in parts], dtype=np.int64)
+        self.begin = np.cumsum(self.length) - self.length
+        self.flat = np.concatenate(parts) if parts else np.zeros(0, dtype=np.uint8)
+        hashes = [_hashes(x, q) for x in parts]
+        gram = np.concatenate(hashes) if parts else np.zeros(0, dtype=np.uint64)
+        text = np.repeat(np.arange(len(parts)), [len(h) for h in hashes])
+        at = np.concatenate([np.arange(len(h)) for h in hashes]) if parts else np.zeros(0, dtype=np.int64)
+        order = np.argsort(gram, kind="stable")
+        self.gram, self.text, self.at = gram[order], text[order], at[order]
+        self.size = np.minimum(self.length, window)
         self.edits = np.floor(self.size * RATE).astype(np.int64)
-        self.bound = np.maximum(self.size - Q + 1 - Q * self.edits, 2)
+        self.bound = self.size - q + 1 - q * self.edits
+        assert (self.bound > 0).all()
         self.seen = np.zeros(1 << BITS, dtype=bool)
         self.seen[(self.gram >> np.uint64(64 - BITS)).astype(np.int64)] = True
 
-    def find(self, raw: np.ndarray) -> list[tuple[int, int, int, int]]:
-        """(window, start, end, distance) of every verified occurrence in one buffer."""
+    def find(self, raw: np.ndarray) -> list[tuple[int, int, int, int, int]]:
+        """(text, offset in it, start, end, distance) of every verified window in one buffer."""
         if not len(self.gram):
             return []
-        h = _hashes(raw)
+        h = _hashes(raw, self.q)
         hit = self.seen[(h >> np.uint64(64 - BITS)).astype(np.int64)]
         if not hit.any():
             return []
         # the lemma without windows first: enough known q-grams within one window's reach
-        reach = WINDOW + int(self.edits.max())
+        reach = int(self.size.max() + self.edits.max())
         run = np.concatenate([[0], np.cumsum(hit)])
         spots = np.flatnonzero(hit)
         ahead = run[np.minimum(spots + reach, len(h))] - run[np.maximum(spots - reach, 0)]
@@ -93,50 +95,80 @@ class Benchmark:
         if not len(spots):
             return []
         entry = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
-        position, window = np.repeat(spots, n), self.window[entry]
-        diagonal = position - self.at[entry]
-        width = int(self.edits.max()) + 1
-        band = (diagonal + WINDOW) // width
+        text, at = self.text[entry], self.at[entry]
+        width, longest = int(self.edits.max()) + 1, int(self.length.max())
+        band = (np.repeat(spots, n) - at + longest) // width + 1
         # overlapping bands: a hit counts in its own band and in the one below
-        keys = np.concatenate([window * (1 << 40) + band, window * (1 << 40) + band - 1])
-        uniq, count = np.unique(keys, return_counts=True)
-        w, b = uniq >> 40, uniq & ((1 << 40) - 1)
-        keep = count >= self.bound[w]
-        return self.verify(raw, w[keep], b[keep] * width - WINDOW, width)
-
-    def verify(self, raw: np.ndarray, windows: np.ndarray, lowest: np.ndarray, width: int) -> list[tuple[int, int, int, int]]:
+        keys = np.concatenate([text * (1 << 40) + band, text * (1 << 40) + band - 1])
+        at = np.concatenate([at, at])
+        order = np.lexsort((at, keys))
+        keys, at = keys[order], at[order]
+        text = keys >> 40
+        # as many hits as the bound from the k-th on, all within one window: the windows from low to high
+        size, last = self.size[text], np.arange(len(keys)) + self.bound[text] - 1
+        inside = np.minimum(last, len(keys) - 1)
+        k = np.flatnonzero((last < len(keys)) & (keys[inside] == keys) & (at[inside] - at <= size - self.q))
+        if not len(k):
+            return []
+        low = np.maximum(at[inside[k]] - size[k] + self.q, 0)
+        high = np.minimum(at[k], self.length[text[k]] - size[k])
+        same = np.r_[False, keys[k[1:]] == keys[k[:-1]]]
+        low = np.where(same, np.maximum(low, np.r_[0, high[:-1] + 1]), low)
+        n = np.maximum(high - low + 1, 0)
+        offset = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
+        keys = np.repeat(keys[k], n)
+        text = keys >> 40
+        lowest = ((keys & ((1 << 40) - 1)) - 1) * width - longest + offset
+        return self.verify(raw, text, offset, lowest, width)
+
+    def verify(self, raw: np.ndarray, texts: np.ndarray, offsets: np.ndarray, lowest: np.ndarray, width: int) -> list[tuple[int, int, int, int, int]]:
         """Banded alignment of each window around its band of diagonals, all bands at once."""
         slack = width
         cols = 2 * width + 2 * slack
         out = []
-        for at in range(0, len(windows), 4096):
-            w, base = windows[at : at + 4096], lowest[at : at + 4096] - slack
-            text = np.zeros((len(w), WINDOW), dtype=np.int64) - 1
-            for k, x in enumerate(w):
-                text[k, : self.size[x]] = self.text[x]
-            far = 1 << 20
-            offset = np.arange(cols)
-            cost = np.zeros((len(w), cols), dtype=np.int64)
-            best, end = np.full(len(w), far), np.zeros(len(w), dtype=np.int64)
-            for i in range(WINDOW):
-                place = base[:, None] + i + offset[None, :]
+        for at in range(0, len(texts), 4096):
+            x, o, base = texts[at : at + 4096], offsets[at : at + 4096], lowest[at : at + 4096] - slack
+            size, first = self.size[x], self.begin[x] + o
+            column = np.arange(cols)
+            # cost * 256 + the column of the start: the least has the least cost, then the earliest start
+            cost = np.tile(column, (len(x), 1))
+            best, end = np.zeros(len(x), dtype=np.int64), np.zeros(len(x), dtype=np.int64)
+            for i in range(int(size.max())):
+                place = base[:, None] + i + column[None, :]
                 real = (place >= 0) & (place < len(raw))
                 seen = np.where(real, raw[np.clip(place, 0, len(raw) - 1)], -2)
-                step = cost + (seen != text[:, [i]])
-                step[:, :-1] = np.minimum(step[:, :-1], cost[:, 1:] + 1)  # a byte of the window is missing
-                step = np.minimum.accumulate(step - offset, axis=1) + offset  # bytes inserted
+                mine = self.flat[np.minimum(first + i, len(self.flat) - 1)]
+                step = cost + ((seen != mine[:, None]) << 8)
+                step[:, :-1] = np.minimum(step[:, :-1], cost[:, 1:] + 256)  # a byte of the window is missing
+                step = np.minimum.accumulate(step - (column << 8), axis=1) + (column << 8)  # bytes inserted
                 cost = step
-                done = self.size[w] == i + 1
+                done = size == i + 1
                 if done.any():
-                    j = cost[done].argmin(axis=1)
                     best[done] = cost[done].min(axis=1)
-                    end[done] = base[done] + i + j + 1
-            for x, d, e in zip(w, best, end):
-                if d <= self.edits[x]:
-                    out.append((int(x), int(max(0, e - self.size[x])), int(min(e, len(raw))), int(d)))
+                    end[done] = base[done] + i + cost[done].argmin(axis=1) + 1
+            for k in np.flatnonzero(best >> 8 <= self.edits[x]):
+                out.append((int(x[k]), int(o[k]), int(base[k] + (best[k] & 255)), int(end[k]), int(best[k] >> 8)))
         return out
 
 
+class Benchmark:
+    """Indexes of the benchmark texts: short ones, middling ones as wholes, and all regions of the longer."""
+
+    def __init__(self, items: list[tuple[int, str]]) -> None:
+        texts = [(item, normal(text)) for item, text in items]
+        self.indexes = [
+            Index([(i, t) for i, t in texts if LEAST <= len(t) < REGION], SHORT_Q, REGION),
+            Index([(i, t) for i, t in texts if REGION <= len(t) <= WHOLE], Q, WHOLE),
+            Index([(i, t) for i, t in texts if len(t) > REGION], Q, REGION),
+        ]
+
+    def find(self, raw: np.ndarray) -> Iterator[tuple[int, tuple[int, int], int, int, int]]:
+        """(item, window, start, end, distance) of every verified occurrence in one buffer."""
+        for index in self.indexes:
+            for text, offset, s, e, d in index.find(raw):
+                yield index.item[text], (int(index.size[text]), offset), s, e, d
+
+
 def _matches(docs: DataFrame, items: DataFrame) -> DataFrame:
     bench = docs.sparkSession.sparkContext.broadcast(Benchmark([(r[0], r[1]) for r in items.collect()]))
 
@@ -145,10 +177,10 @@ def _matches(docs: DataFrame, items: DataFrame) -> DataFrame:
         for frame in frames:
             out: dict[tuple, list] = {}
             for ids, starts, sizes, raw in _buffers(frame):
-                for window, s, e, d in b.find(raw):
+                for item, window, s, e, d in b.find(raw):
                     # an end lies in its document or in the gap after it, a start may lie in the gap before
                     k = int(np.searchsorted(starts, e - 1, "right") - 1)
-                    key = (ids[k], b.item[window])
+                    key = (ids[k], item)
                     s, e = max(s - int(starts[k]), 0), min(e - int(starts[k]), int(sizes[k]))
                     seen = out.get(key)
                     if seen is None:
@@ -164,11 +196,11 @@ def _matches(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 def _buffers(frame: pd.DataFrame):
     """Documents joined to about BLOCK bytes, far enough apart that no window spans two."""
-    gap = b"\0" * (WINDOW + 16)
+    gap = b"\0" * (WHOLE + 16)
     ids, parts, starts, sizes, size = [], [], [], [], 0
     for i, text in zip(frame["doc_id"], frame["text"]):
         raw = normal(text)
-        if len(raw) < 2 * Q - 2:
+        if len(raw) < LEAST - int(LEAST * RATE):
             continue
         ids.append(i)
         starts.append(size)

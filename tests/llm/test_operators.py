@@ -209,6 +209,47 @@ def test_contamination_is_charged_to_its_own_document(spark):
     assert all(0 <= s < e <= len(texts[i]) for i, (s, e) in got.items())
 
 
+def test_contamination_by_any_region_of_an_item(spark):
+    rng = random.Random(12)
+    word = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    item = " ".join(word(6) for _ in range(40))
+    short = word(29)
+    texts = {k: "before it " + item[k : k + 48] + " after" for k in range(0, len(item) - 47, 7) if item[k : k + 48].strip() == item[k : k + 48]}
+    texts |= {1000: item[39:153], 1001: item[60:75] + "XY" + item[77:108], 1002: short[:9] + "X" + short[10:19] + "Y" + short[20:], 1003: item[20:50], 1004: word(300), 1005: short[:9] + "X" + short[10:14] + "Z" + short[15:19] + "Y" + short[20:]}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    bench = spark.createDataFrame([(7, item), (8, short)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, bench).collect()}
+    assert got == {(k, 7) for k in texts if k < 1002} | {(1002, 8)}
+
+
+def test_windows_against_plain_alignment():
+    rng = random.Random(13)
+    item = "".join(rng.choice("abcdefghijkl ") for _ in range(130))
+    raw = decontaminate.normal(item)
+
+    def distance(window, text):  # least edits between the window and any part of the text
+        row = [0] * (len(text) + 1)
+        for i, w in enumerate(window, 1):
+            above, row = row, [i]
+            for j, c in enumerate(text, 1):
+                row.append(min(above[j] + 1, row[-1] + 1, above[j - 1] + (w != c)))
+        return min(row)
+
+    bench = decontaminate.Benchmark([(1, item)])
+    found = 0
+    for _ in range(30):
+        at = rng.randrange(0, len(raw) - 60)
+        text = bytearray(raw[at : at + rng.randrange(46, 60)])
+        for _ in range(rng.randrange(0, 6)):
+            p = rng.randrange(len(text))
+            text[p : p + rng.choice([0, 1])] = bytes(rng.choice([b"", b"Q", b"a"]))
+        text = b"z" * 70 + bytes(text) + b"z" * 70
+        got = {w[1] for _, w, *_ in bench.find(np.frombuffer(text, dtype=np.uint8))}
+        assert got == {o for o in range(len(raw) - 47) if distance(raw[o : o + 48], text) <= 3}
+        found += len(got) > 0
+    assert 5 < found < 30
+
+
 def test_rendezvous(spark):
     rows = spark.range(2000).withColumnRenamed("id", "doc_id")
     got = sharding.with_slots(sharding.rendezvous(rows, "doc_id", [1.0] * 9 + [3.0], [1.0] * 9 + [3.0, 1.0]), ["doc_id"], 3).toPandas()
