@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from folioframe.llm import decontaminate, packing, simhash, suffixes, toxicity
 from folioframe.llm._common import scratch, table
@@ -18,6 +19,11 @@ from folioframe.llm._common import scratch, table
 DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """The documents with a number ``_row`` of each row, written once so that it stays the same: doc_id may be null or shared."""
+    return scratch(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity models do not reject."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
@@ -33,9 +39,15 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     Texts of fewer than five words have one shingle, so only equal word sequences of theirs meet;
     word-less texts form one group.
+
+    Rows are told apart by their number, not by doc_id. The first of a group has the least doc_id
+    (null is last), then the least hash of the text.
     """
-    found = simhash.near_duplicates(docs, size=5, radius=20, keys=8).filter("doc_id = component_id").select("doc_id").distinct()
-    return docs.dropDuplicates(["doc_id"]).join(found, "doc_id", "left_semi").select(docs.columns)
+    rows = numbered(docs)
+    found = simhash.near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text"), size=5, radius=20, keys=8).select(F.col("doc_id").alias("_row"), "component_id")
+    order = rows.select("_row", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64("text").alias("h"), "_row").alias("first"))
+    kept = order.join(found, "_row").groupBy("component_id").agg(F.min("first").alias("first")).select("first._row")
+    return rows.join(scratch(kept, "kept"), "_row", "left_semi").select(docs.columns)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -70,9 +82,11 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no benchmark text was found."""
-    found = scratch(decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct(), "contaminated")
-    return docs.join(found, "doc_id", "left_anti").select(docs.columns)
+    """Documents in which no benchmark text was found; rows are told apart by their number, not by doc_id."""
+    rows = numbered(docs)
+    hits = decontaminate.contaminated(rows.select(F.col("_row").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
+    found = scratch(hits.select(F.col("doc_id").alias("_row")).distinct(), "contaminated")
+    return rows.join(found, "_row", "left_anti").select(docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

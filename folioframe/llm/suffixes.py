@@ -17,8 +17,9 @@ of a batch collapsed before the shuffle, so a hot passage sends one entry a batc
 Only texts that take part are read again. A cell grows with the number of different surroundings
 of its passages, not with their copies.
 
-Edge cases: null text is empty and null doc_id is a document that comes first; rows with the
-same doc_id and text count as one document and both lose the same bytes; texts shorter than
+Edge cases: null text is empty and null doc_id comes first; rows with the same doc_id and text
+count as one document and both lose the same bytes, those of one doc_id (or none) and different
+texts are documents of their own, in the order of a hash; texts shorter than
 ``length`` lose nothing; empty tables give no rows; extra columns are ignored.
 """
 
@@ -284,10 +285,25 @@ def kept_parts(raw: bytes, spans) -> tuple[list[tuple[int, int]], int, int]:
     return kept, removed, runs
 
 
+def identified(docs: DataFrame) -> DataFrame:
+    """The documents with ``_id``, which no two different texts share, in the order of doc_id (null first).
+
+    It is doc_id itself unless rows of one doc_id differ in their texts; then (doc_id, text) are
+    ranked by doc_id and hashes of the text.
+    """
+    key = [F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_doc"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_h"), F.hash(F.coalesce("text", F.lit(""))).alias("_g")]
+    texts = docs.select(*key).distinct()
+    if texts.groupBy("_doc").count().filter("count > 1").isEmpty():
+        return docs.withColumn("_id", key[0])
+    ranked = scratch(texts.orderBy("_doc", "_h", "_g").withColumn("_id", F.monotonically_increasing_id()), "ranks")
+    return docs.select("*", *key).join(ranked, ["_doc", "_h", "_g"]).drop("_doc", "_h", "_g")
+
+
 def with_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """The documents, every column kept, with their repeated ``spans`` (null where there are none)."""
-    keyed = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)))
-    return keyed.join(repeated_spans(docs, length).withColumnRenamed("doc_id", "_id"), "_id", "left").drop("_id")
+    keyed = identified(docs)
+    spans = repeated_spans(keyed.select(F.col("_id").alias("doc_id"), "text"), length)
+    return keyed.join(spans.withColumnRenamed("doc_id", "_id"), "_id", "left").drop("_id")
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

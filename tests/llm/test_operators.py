@@ -82,6 +82,29 @@ def test_suffix_dedup(spark):
         assert hashlib.sha256(mine).digest() == hashlib.sha256(bytes(c for c, x in zip((row.text or "").encode(), covered) if not x)).digest()
 
 
+def test_rows_are_told_apart_by_content_not_by_key(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(14)
+    text = lambda n=80: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    passage, item = text(30), text(20)
+    rows = [(None, text()), (None, text()), (1, text()), (1, text()), (1, text() + passage), (2, passage + text()), (3, text())]
+    rows += [(None, rows[2][1]), (4, rows[0][1]), (5, None)]
+    docs = spark.createDataFrame([(i, t, "en", "web", 0) for i, t in rows], corpus_pipeline.DOCUMENTS)
+    content = lambda df: sorted(((r.doc_id, r.text) for r in df.collect()), key=repr)
+    # copies of one text: the row with a doc_id stays
+    assert content(corpus_pipeline.drop_near_duplicates(spark, docs, "")) == sorted(rows[1:7] + rows[8:], key=repr)
+    # only the later copy of the passage goes, and other rows of the same key keep every byte
+    cut = content(corpus_pipeline.cut_repeats(spark, docs.filter("doc_id in (1, 2, 3)"), ""))
+    assert cut == sorted([(i, t.removeprefix(passage) if i == 2 else t) for i, t in rows[2:7]], key=repr)
+    twice = spark.createDataFrame([(1, passage + text()), (1, text()), (None, passage), (None, text())], "doc_id long, text string")
+    left = {r.text: suffixes.kept_parts(r.text.encode(), r.spans)[1] for r in suffixes.with_spans(twice).collect()}
+    assert sorted(left.values()) == [0, 0, 0, len(passage)]
+    spark.createDataFrame([(9, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    bad = [(None, text() + item, "en", "web", 0), (1, item, "en", "web", 0)]
+    assert content(corpus_pipeline.drop_contaminated(spark, docs.unionByName(spark.createDataFrame(bad, docs.schema)), str(tmp_path))) == sorted(rows, key=repr)
+
+
 def test_merge_of_shards_equals_brute_force():
     rng = random.Random(5)
     strings = ["".join(rng.choice("ab") for _ in range(rng.randrange(0, 40))).encode() for _ in range(40)]
