@@ -1,4 +1,4 @@
-"""Registry of the document queries and of the SQL that gives the same rows."""
+"""Queries of search, pages, recognised text, annotations, events and scalars, with their SQL."""
 
 from __future__ import annotations
 
@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import scalar
-from .operators import draw, locate, ocr, pages, search, stores, streams
+from .operators import ocr, pages, search, stores
 from .plans import views
+from .registry import Q, SQL, query
 from .streaming import events
 
 PATTERN = "tion"
@@ -15,22 +16,6 @@ SPLIT = [[0, 2], [1]]
 ORDER = [2, 1, 3]
 HIT = ["doc_id", "page_number", "line_idx", "match_index", "start", "text", "snippet"]
 
-Q: dict = {}
-SQL: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None, view: bool = True):
-    """Register a query and its SQL, which may use the views of :data:`views.SQL_LINES`."""
-
-    def keep(f):
-        Q[name] = f
-        if sql:
-            SQL[name] = (views.SQL_LINES + (", " + sql[5:] if sql.startswith("WITH ") else sql)) if view else sql
-        return f
-
-    return keep
-
-
 # ---- search ------------------------------------------------------------------------------------
 
 _HITS = """WITH X{k} AS (SELECT *, string_split(lower(line), 'tion') AS p FROM {t}),
@@ -46,9 +31,11 @@ def search_hits(spark: SparkSession, sf: str) -> DataFrame:
     return search.find(views.lines(spark, sf), PATTERN).select(HIT).orderBy("doc_id", "page_number", "match_index")
 
 
-@query("search_hits_ocr_union", _TEXT + ", " + _HITS.format(k=2, t="O")[5:] + ", T AS (SELECT * FROM H1 WHERE doc_id % 2 = 0) SELECT *, 'text' AS source FROM T UNION ALL SELECT *, 'ocr' AS source FROM H2 WHERE NOT EXISTS (SELECT 1 FROM T WHERE T.doc_id = H2.doc_id AND T.page_number = H2.page_number)")
+@query("search_hits_ocr_union", _TEXT + ", " + _HITS.format(k=2, t="OCR_ROWS")[5:].replace("OCR_ROWS", "(SELECT * REPLACE (line || ' recognition' AS line) FROM O)") + " SELECT *, 'text' AS source FROM H1 UNION ALL SELECT *, 'ocr' AS source FROM H2 WHERE NOT EXISTS (SELECT 1 FROM H1 WHERE H1.doc_id = H2.doc_id AND H1.page_number = H2.page_number)")
 def search_hits_ocr_union(spark, sf):
-    return search.find_with_ocr(views.lines(spark, sf).filter("doc_id % 2 = 0"), views.ocr_lines(spark, sf), PATTERN).select(*HIT, "source")
+    """The recognised lines end in a word that the text layer lacks, so pages without a text hit have recognised ones."""
+    read = views.ocr_lines(spark, sf).withColumn("line", F.concat("line", F.lit(" recognition")))
+    return search.find_with_ocr(views.lines(spark, sf), read, PATTERN).select(*HIT, "source")
 
 
 @query("search_page_filter", _TEXT + " SELECT * FROM H1 WHERE page_number = 2")
@@ -99,16 +86,20 @@ def page_rotate(spark, sf):
     return pages.rotate(views.pages(spark, sf), 1, 90).select("doc_id", "page_number", "n_lines", "rotation")
 
 
-@query("page_ranges", "SELECT spec, pages FROM (VALUES ('1-3, 5, 7-9,2', '1,2,3,5,7,8'), ('3-1', ''), ('x, 4', '4'), ('9', ''), ('0-2', '1,2')) AS t(spec, pages)", view=False)
+_SPEC = "a || '-' || b || ', ' || c || ',x, ' || a || ' , 99999999999, ' || b || '-' || a"
+
+
+@query("page_ranges", f"""WITH V AS (SELECT DISTINCT n_nationkey % 13 AS a, n_regionkey * 3 AS b, n_nationkey % 7 AS c FROM nation),
+ X AS (SELECT *, {_SPEC} AS spec FROM V)
+ SELECT spec, coalesce((SELECT string_agg(p, ',' ORDER BY p) FROM range(1, 9) t(p) WHERE p BETWEEN least(a, b) AND greatest(a, b) OR p IN (a, c)), '') AS pages FROM X""")
 def page_ranges(spark, sf):
-    specs = spark.createDataFrame([("1-3, 5, 7-9,2",), ("3-1",), ("x, 4",), ("9",), ("0-2",)], "spec string")
-    return specs.select("spec", F.array_join(scalar.page_ranges(F.col("spec"), 8), ",").alias("pages"))
+    v = views.table(spark, sf, "nation").selectExpr("n_nationkey % 13 AS a", "n_regionkey * 3 AS b", "n_nationkey % 7 AS c").distinct()
+    return v.selectExpr(f"{_SPEC} AS spec").select("spec", F.array_join(scalar.page_ranges(F.col("spec"), 8), ",").alias("pages"))
 
 
 @query("partial_save_remap", "SELECT E.doc_id, id, V.n AS page_number, new_text FROM E JOIN (VALUES (1, 2), (2, 1)) AS V(n, p) ON E.page_number = V.p")
 def partial_save_remap(spark, sf):
-    kept = views.edits(spark, sf).withColumn("n", F.array_position(F.array(F.lit(2), F.lit(1)), F.col("page_number").cast("int"))).filter("n > 0")
-    return kept.select("doc_id", "id", F.col("n").alias("page_number"), "new_text")
+    return pages.remap(views.edits(spark, sf), [2, 1]).select("doc_id", "id", "page_number", "new_text")
 
 
 @query("library_listing", "SELECT doc_id, source || '/' || doc_id || '.pdf' AS path, strlen(text) AS size, row_number() OVER (PARTITION BY source ORDER BY strlen(text) DESC, doc_id) AS position FROM documents", view=False)
@@ -133,10 +124,10 @@ def ocr_page_result(spark, sf):
     return ocr.page_results(views.ocr_lines(spark, sf)).withColumn("confidence", F.round("confidence", 6))
 
 
-_PAGE = "WITH T AS (SELECT doc_id, page_number, string_agg(line, chr(10) ORDER BY line_idx) AS text FROM O GROUP BY ALL) "
+_PAGE = "WITH TP AS (SELECT doc_id, page_number, string_agg(line, chr(10) ORDER BY line_idx) AS text FROM O GROUP BY ALL) "
 
 
-@query("ocr_transcript_md", _PAGE + "SELECT doc_id, string_agg(chr(10) || chr(10) || '## Page ' || page_number || chr(10) || chr(10) || CASE WHEN text = '' THEN '[no text]' ELSE text END || chr(10), '' ORDER BY page_number) AS markdown FROM T GROUP BY doc_id")
+@query("ocr_transcript_md", _PAGE + "SELECT doc_id, string_agg(chr(10) || chr(10) || '## Page ' || page_number || chr(10) || chr(10) || CASE WHEN text = '' THEN '[no text]' ELSE text END || chr(10), '' ORDER BY page_number) AS markdown FROM TP GROUP BY doc_id")
 def ocr_transcript_md(spark, sf):
     found = ocr.transcript(ocr.page_results(views.ocr_lines(spark, sf)))
     return found.select("doc_id", ocr.markdown(F.col("transcript")).alias("markdown"))
@@ -192,46 +183,6 @@ def edit_signature(spark, sf):
     return stores.signature(views.edits(spark, sf))
 
 
-# ---- content streams ---------------------------------------------------------------------------
-
-
-def _streams(spark, sf):
-    return streams.page_streams(views.lines(spark, sf))
-
-
-@query("stream_token_kinds", "SELECT kind, CAST(per * (SELECT count(*) FROM L) AS BIGINT) AS n FROM (VALUES ('operator', 5), ('number', 3), ('name', 1), ('string', 1)) AS t(kind, per)")
-def stream_token_kinds(spark, sf):
-    return streams.token_kinds(_streams(spark, sf))
-
-
-@query("stream_text_roundtrip", "SELECT doc_id, page_number, line FROM L")
-def stream_text_roundtrip(spark, sf):
-    return streams.runs(_streams(spark, sf)).select("doc_id", "page_number", F.col("text").alias("line"))
-
-
-@query("stream_run_origin", 'SELECT doc_id, page_number, "row" AS ord, x, y FROM L')
-def stream_run_origin(spark, sf):
-    return streams.runs(_streams(spark, sf)).select("doc_id", "page_number", "ord", "x", "y")
-
-
-@query("edit_outcomes", "SELECT doc_id, id, 'tj-surgery' AS path FROM E")
-def edit_outcomes(spark, sf):
-    done = streams.apply_edits(_streams(spark, sf), stores.changed(views.edits(spark, sf))).select("doc_id", F.inline("outcomes"))
-    return done.select("doc_id", "id", F.when(F.col("status") == "applied", "tj-surgery").when(F.col("status") == "not-found", "legacy").otherwise("refused").alias("path"))
-
-
-@query("outcome_counts", "SELECT 'applied' AS status, count(*) AS n FROM E")
-def outcome_counts(spark, sf):
-    done = streams.apply_edits(_streams(spark, sf), stores.changed(views.edits(spark, sf))).select(F.inline("outcomes"))
-    return done.groupBy("status").agg(F.count(F.lit(1)).alias("n"))
-
-
-@query("edit_splice_text", "SELECT doc_id, page_number, replace(line, 'the', 'THE') AS line FROM L WHERE (doc_id, page_number) IN (SELECT (doc_id, page_number) FROM E)")
-def edit_splice_text(spark, sf):
-    done = streams.apply_edits(_streams(spark, sf), stores.changed(views.edits(spark, sf)))
-    return streams.runs(done.select("doc_id", "page_number", "contents")).select("doc_id", "page_number", F.col("text").alias("line"))
-
-
 # ---- scalars -----------------------------------------------------------------------------------
 
 
@@ -272,46 +223,17 @@ def auth_fail_window(spark, sf):
     return fails.select("event_id", "user_id", F.count(F.lit(1)).over(day).alias("n"))
 
 
-@query("auth_lockout")
+@query("auth_lockout", """WITH RECURSIVE F AS (SELECT user_id AS "key", event_id AS id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events WHERE event_type = 'error'),
+ S AS (SELECT "key", 0::BIGINT AS k, NULL::BIGINT AS id, []::BIGINT[] AS recent, -9e15::DOUBLE AS until, false AS recorded, false AS locked FROM (SELECT DISTINCT "key" FROM F)
+  UNION ALL SELECT "key", k, id, new, CASE WHEN recorded AND len(new) >= 3 THEN t + 43200e6 ELSE until END, recorded, recorded AND len(new) >= 3
+  FROM (SELECT F."key", F.k, F.id, F.t, S.until, F.t >= S.until AS recorded, CASE WHEN F.t >= S.until THEN list_append(list_filter(S.recent, lambda x: F.t - x < 86400e6), F.t) ELSE S.recent END AS new FROM S JOIN F ON F."key" IS NOT DISTINCT FROM S."key" AND F.k = S.k + 1))
+ SELECT "key", id, recorded, locked FROM S WHERE k > 0""", view=False)
 def auth_lockout(spark, sf):
     fails = views.table(spark, sf, "events").filter("event_type = 'error'").withColumnRenamed("event_id", "id")
-    return events.lockout(fails, "user_id", "ts", 86_400, 3, 43_200)
-
-
-# ---- locating, drawing, labels -----------------------------------------------------------------
-
-
-@query("locate_exact", 'SELECT doc_id, page_number, id, "row" AS ord, 1.0::DOUBLE AS confidence FROM E')
-def locate_exact(spark, sf):
-    wanted = views.edits(spark, sf).select("doc_id", "page_number", "id", F.col("original_text").alias("text"), F.lit(72.0).alias("x"), "y")
-    return locate.locate(wanted, streams.runs(_streams(spark, sf)))
-
-
-_NORM = r"trim(regexp_replace({c}, '\s+', ' ', 'g'))"
-
-
-@query("locate_fuzzy", """WITH T AS (SELECT doc_id, page_number, id, "row", n.t AS t, levenshtein(n.t, n.r) AS d FROM (SELECT *, {'t': %s, 'r': %s} AS n FROM E WHERE regexp_full_match(original_text, '[ -~]+')) WHERE length(n.t) >= 10)
- SELECT doc_id, page_number, id, "row" AS ord, round(CASE WHEN d = 0 THEN 1.0 ELSE greatest(0.5, 1 - d / length(t)) END, 6)::DOUBLE AS confidence FROM T""" % (_NORM.format(c="substr(original_text, 2)"), _NORM.format(c="original_text")))
-def locate_fuzzy(spark, sf):
-    wanted = views.edits(spark, sf).filter(F.col("original_text").rlike("^[ -~]+$")).select("doc_id", "page_number", "id", F.expr("substr(original_text, 2)").alias("text"), F.lit(72.0).alias("x"), "y")
-    wanted = wanted.filter(F.length(scalar.normalize(F.col("text"))) >= 10)
-    return locate.locate(wanted, streams.runs(_streams(spark, sf))).withColumn("confidence", F.round("confidence", 6))
-
-
-_DRAW = "CASE type WHEN 'click' THEN 'highlight' WHEN 'view' THEN 'underline' WHEN 'purchase' THEN 'circle' WHEN 'error' THEN 'stamp' ELSE 'comment' END"
-
-
-@query("annotation_draw_ops", f"""WITH T AS (SELECT *, {_DRAW} AS kind FROM A)
- SELECT doc_id, page_number, id, CASE kind WHEN 'highlight' THEN 'fill' WHEN 'underline' THEN 'line' WHEN 'circle' THEN 'ellipse' ELSE 'text' END AS op, x,
- 792 - y - h + CASE WHEN kind IN ('circle', 'stamp') THEN h / 2 ELSE 0 END AS y, w, CASE kind WHEN 'highlight' THEN 0.3 ELSE 1.0 END::DOUBLE AS opacity FROM T WHERE kind <> 'comment'""")
-def annotation_draw_ops(spark, sf):
-    return draw.draw_ops(views.annotations(spark, sf).withColumn("type", F.expr(_DRAW)))
+    return events.lockout(fails, "user_id", "ts", 86_400, 3, 43_200).select("key", "id", "recorded", "locked")
 
 
-@query("missing_chars", "WITH C AS (SELECT doc_id, line_idx, unnest(string_split(line, '')) AS c FROM L) SELECT doc_id, count(DISTINCT c) AS n FROM C WHERE ascii(c) > 127 GROUP BY doc_id")
-def missing_chars(spark, sf):
-    chars = views.lines(spark, sf).select("doc_id", F.explode(F.array_distinct(F.filter(F.split("line", ""), lambda c: F.ascii(c) > 127))).alias("c"))
-    return chars.groupBy("doc_id").agg(F.count_distinct("c").alias("n"))
+# ---- labels -------------------------------------------------------------------------------------
 
 
 @query("file_size_label", """SELECT doc_id, CASE WHEN n < 1024 THEN n || ' Bytes' WHEN n < 1048576 THEN regexp_replace(regexp_replace(printf('%.2f', round(n / 1024.0::DOUBLE, 2)), '0+$', ''), '\\.$', '') || ' KB' ELSE 'big' END AS label FROM (SELECT doc_id, strlen(text) AS n FROM documents)""", view=False)
@@ -320,8 +242,4 @@ def file_size_label(spark, sf):
     return docs.select("doc_id", scalar.file_size(F.octet_length("text").cast("long")).alias("label"))
 
 
-@query("session_stats", "SELECT doc_id, count(*) FILTER (WHERE doc_id % 2 = 0) AS surgery, count(*) FILTER (WHERE doc_id % 2 = 1) AS legacy, 0 AS refused FROM E GROUP BY doc_id")
-def session_stats(spark, sf):
-    e = views.edits(spark, sf).withColumn("path", F.when(F.col("doc_id") % 2 == 0, "tj-surgery").otherwise("legacy"))
-    total = lambda p: F.sum((F.col("path") == p).cast("long"))
-    return e.groupBy("doc_id").agg(total("tj-surgery").alias("surgery"), total("legacy").alias("legacy"), total("refused").alias("refused"))
+from . import catalog_content, catalog_more  # noqa: E402, F401  they register their queries

@@ -1,16 +1,22 @@
-"""Content streams of pages: lexing, text runs and byte-exact replacement, one pass per page.
+"""Content streams of pages: lexing, replaying and byte-exact splicing.
 
-A stream is read once by a regular expression whose alternatives are the token kinds, strings
-excepted, whose nesting needs a counter. Nothing raises on bad input: a stray closer becomes a
+A stream is read once by a regular expression whose alternatives are the token kinds; strings,
+whose nesting needs a counter, and inline images are read apart. Nothing raises on bad input: what
+had to be skipped or mended is noted as a problem (offset, code), and a stray closer becomes a
 one-byte operator, so reading always advances.
+
+The interpreter looks each operator up in a table of handlers. It reports text runs, referenced
+XObjects and operators without a handler as events in order of the stream.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field, replace
 
+Problem = tuple[int, str]
+
 _TOKEN = re.compile(
     rb"(?P<space>[\0\t\n\f\r ]+)|(?P<comment>%[^\r\n]*)|(?P<dict_open><<)|(?P<dict_close>>>)|(?P<hex><[^>]*>?)|(?P<array_open>\[)|(?P<array_close>\])"
     rb"|(?P<name>/[^\0\t\n\f\r ()<>\[\]{}/%]*)|(?P<number>[+-]?(?:\d+\.?\d*|\.\d+)(?=[\0\t\n\f\r ()<>\[\]{}/%]|$))|(?P<operator>[^\0\t\n\f\r ()<>\[\]{}/%]+)|(?P<stray>[)>{}])"
@@ -18,7 +24,10 @@ _TOKEN = re.compile(
 _PAREN = re.compile(rb"\\.|[()]", re.DOTALL)
 _ESCAPE = re.compile(rb"\\(?:([0-7]{1,3})|(\r\n|\r|\n)|(.))|(\r\n|\r)", re.DOTALL)
 _PLAIN = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f"}
-_INLINE_END = re.compile(rb"(?<=[\0\t\n\f\r ])EI(?=[\0\t\n\f\r ]|$)")
+_IMAGE_DATA = re.compile(rb"[\0\t\n\f\r ]ID[\0\t\n\f\r ]")
+_IMAGE_END = re.compile(rb"[\0\t\n\f\r ]EI(?=[\0\t\n\f\r ()<>\[\]{}/%]|$)")
+_NAME_ESCAPE = re.compile(rb"#([0-9A-Fa-f]{2})?")
+_NOT_HEX = re.compile(rb"[^0-9A-Fa-f\0\t\n\f\r ]")
 
 
 @dataclass(frozen=True)
@@ -46,8 +55,19 @@ def hex_bytes(body: bytes) -> bytes:
     return bytes.fromhex(digits + "0" * (len(digits) % 2))
 
 
-def tokens(data: bytes) -> Iterator[Token]:
-    """Tokens with half-open byte ranges; white space and comments lie between them."""
+def _name(body: bytes, at: int, problems: list[Problem]) -> str:
+    def one(m: re.Match) -> bytes:
+        if m[1]:
+            return bytes([int(m[1], 16)])
+        problems.append((at + m.start(), "invalid-name-escape"))
+        return b"#"
+
+    return _NAME_ESCAPE.sub(one, body).decode("latin-1")
+
+
+def tokens(data: bytes, problems: list[Problem] | None = None) -> Iterator[Token]:
+    """Tokens with half-open byte ranges; only white space lies between them. Problems are appended to the list."""
+    problems = [] if problems is None else problems
     at, n = 0, len(data)
     while at < n:
         if data[at] == 0x28:
@@ -57,30 +77,51 @@ def tokens(data: bytes) -> Iterator[Token]:
                 if not depth:
                     end = m.end()
                     break
-            closed = depth == 0
-            yield Token("string", at, end, literal_bytes(data[at + 1 : end - closed]))
+            if depth:
+                problems.append((at, "unterminated-string"))
+            yield Token("string", at, end, literal_bytes(data[at + 1 : end - (not depth)]))
             at = end
             continue
         m = _TOKEN.match(data, at)
-        kind, text, at = m.lastgroup, m[0], m.end()
-        if kind in ("space", "comment"):
+        kind, text, begin, at = m.lastgroup, m[0], at, m.end()
+        if kind == "space":
             continue
-        if kind == "operator" and text == b"BI":
-            stop = _INLINE_END.search(data, at)
+        if kind == "comment":
+            yield Token("comment", begin, at, text[1:].decode("latin-1"))
+        elif kind == "operator" and text == b"BI":
+            inside = _IMAGE_DATA.search(data, at)
+            stop = _IMAGE_END.search(data, inside.end() - 1 if inside else n)
             at = stop.end() if stop else n
-            yield Token("inline-image", m.start(), at)
+            if not stop:
+                problems.append((begin, "unterminated-inline-image"))
+            yield Token("inline-image", begin, at)
         elif kind == "hex":
-            yield Token("hex-string", m.start(), at, hex_bytes(text))
+            problems += [(begin + x.start(), "invalid-hex-pair") for x in _NOT_HEX.finditer(text, 1, len(text) - text.endswith(b">"))]
+            if not text.endswith(b">"):
+                problems.append((begin, "unterminated-hexstring"))
+            yield Token("hexstring", begin, at, hex_bytes(text))
         elif kind == "name":
-            yield Token("name", m.start(), at, re.sub(rb"#([0-9A-Fa-f]{2})", lambda x: bytes([int(x[1], 16)]), text[1:]).decode("latin-1"))
+            yield Token("name", begin, at, _name(text[1:], begin + 1, problems))
         elif kind == "number":
-            yield Token("number", m.start(), at, float(text))
+            yield Token("number", begin, at, float(text))
         else:
-            yield Token("operator" if kind == "stray" else kind.replace("_", "-"), m.start(), at, text.decode("latin-1"))
+            if kind == "stray":
+                problems.append((begin, "unbalanced-paren"))
+            yield Token("operator" if kind == "stray" else kind.replace("_", "-"), begin, at, text.decode("latin-1"))
+
+
+def uncovered(data: bytes) -> int:
+    """Bytes other than white space that no token holds, plus bytes that two tokens hold; always 0."""
+    at = wrong = 0
+    for t in tokens(data):
+        wrong += len(data[at : t.start].strip(b"\0\t\n\f\r ")) + max(0, at - t.start)
+        at = t.end
+    return wrong + len(data[at:].strip(b"\0\t\n\f\r "))
 
 
 Matrix = tuple[float, float, float, float, float, float]
 UNIT: Matrix = (1.0, 0.0, 0.0, 1.0, 0.0, 0.0)
+Colour = tuple[float, float, float]
 
 
 def multiply(a: Matrix, b: Matrix) -> Matrix:
@@ -88,135 +129,241 @@ def multiply(a: Matrix, b: Matrix) -> Matrix:
     return (a[0] * b[0] + a[1] * b[2], a[0] * b[1] + a[1] * b[3], a[2] * b[0] + a[3] * b[2], a[2] * b[1] + a[3] * b[3], a[4] * b[0] + a[5] * b[2] + b[4], a[4] * b[1] + a[5] * b[3] + b[5])
 
 
+def translation(x: float, y: float) -> Matrix:
+    return (1.0, 0.0, 0.0, 1.0, x, y)
+
+
+def transformed(m: Matrix, x: float, y: float) -> tuple[float, float]:
+    return m[0] * x + m[2] * y + m[4], m[1] * x + m[3] * y + m[5]
+
+
+def nearly_equal(a: Matrix, b: Matrix, within: float = 1e-6) -> bool:
+    return all(abs(x - y) <= within for x, y in zip(a, b))
+
+
 @dataclass(frozen=True)
 class Graphics:
     ctm: Matrix = UNIT
-    fill: tuple[float, float, float] = (0.0, 0.0, 0.0)
+    fill: Colour = (0.0, 0.0, 0.0)
+    stroke: Colour = (0.0, 0.0, 0.0)
+
+
+@dataclass(frozen=True)
+class TextState:
+    font: str = ""
+    size: float = 0.0
+    char_spacing: float = 0.0
+    word_spacing: float = 0.0
+    scale: float = 100.0
+    leading: float = 0.0
+    rise: float = 0.0
+    mode: float = 0.0
+    matrix: Matrix = UNIT
+    line: Matrix = UNIT
 
 
 @dataclass
 class Run:
-    """A text-showing operation: its text, place and the byte ranges of its strings."""
+    """A text-showing operation: its text, place, state and the byte ranges of its strings."""
 
     text: str
     operator: str
     x: float
     y: float
-    font: str | None
+    font: str
     size: float
     operands: list[tuple[int, int, bool]]
     kerns: list[float]
-    fill: tuple[float, float, float]
+    fill: Colour
+    stroke: Colour = (0.0, 0.0, 0.0)
+    state: TextState = TextState()
+    start: int = 0
+    end: int = 0
+    in_xobject: bool = False
+
+
+@dataclass
+class Event:
+    """``text-run``, ``do-xobject`` (``value`` names it) or ``unsupported-op`` (``value`` is the operator)."""
+
+    kind: str
+    start: int
+    end: int
+    value: str
+    run: Run | None = None
 
 
 @dataclass
 class Page:
-    runs: list[Run] = field(default_factory=list)
-    problems: list[tuple[int, str]] = field(default_factory=list)
+    events: list[Event] = field(default_factory=list)
+    problems: list[Problem] = field(default_factory=list)
 
+    @property
+    def runs(self) -> list[Run]:
+        return [e.run for e in self.events if e.run is not None]
 
-class Interpreter:
-    """Replays one page. Handlers are found by operator; operands go after each operator."""
 
-    def __init__(self, decode=lambda font, raw: raw.decode("latin-1")) -> None:
-        self.decode, self.page = decode, Page()
-        self.graphics, self.stack, self.inside = Graphics(), [], False
-        self._begin_text()
+def latin1(font: str, raw: bytes) -> str:
+    return raw.decode("latin-1")
 
-    def _begin_text(self) -> None:
-        self.font, self.size, self.leading = None, 0.0, 0.0
-        self.matrix = self.line = UNIT
+
+class Interpreter:
+    """Replays one page. Operands go after each operator; a dictionary is one opaque operand."""
+
+    def __init__(self, decode: Callable[[str, bytes], str] = latin1, in_xobject: bool = False) -> None:
+        self.decode, self.page, self.in_xobject = decode, Page(), in_xobject
+        self.graphics, self.stack, self.inside, self.text = Graphics(), [], False, TextState()
 
     def run(self, data: bytes) -> Page:
         operands: list = []
-        arrays: list[list] = []
-        for t in tokens(data):
-            if t.kind == "array-open":
-                arrays.append([])
-            elif t.kind == "array-close":
-                if arrays:
-                    done = arrays.pop()
-                    (arrays[-1] if arrays else operands).append(done)
+        nested: list[tuple[str, list]] = []
+        for t in tokens(data, self.page.problems):
+            if t.kind in ("array-open", "dict-open"):
+                nested.append((t.kind[:-5], []))
+            elif t.kind in ("array-close", "dict-close"):
+                if nested and nested[-1][0] == t.kind[:-6]:
+                    kind, done = nested.pop()
+                    (nested[-1][1] if nested else operands).append(done if kind == "array" else {"dict": done})
                 else:
-                    self.page.problems.append((t.start, "stray-array-close"))
-            elif t.kind == "operator":
+                    self.page.problems.append((t.start, "unknown-operator"))
+            elif t.kind == "operator" and not nested:
                 self._apply(t, operands)
                 operands = []
-            elif t.kind not in ("dict-open", "dict-close", "inline-image"):
-                (arrays[-1] if arrays else operands).append(t)
-        if arrays:
-            self.page.problems.append((len(data), "unterminated-array"))
+            elif t.kind not in ("comment", "inline-image"):
+                (nested[-1][1] if nested else operands).append(t)
+        self.page.problems += [(len(data), "unknown-operator")] * len(nested)
         return self.page
 
-    _TEXT_ONLY = {"Td", "TD", "Tm", "T*", "Tj", "TJ", "'", '"'}
-    _FILL = {"g": 1, "rg": 3, "k": 4}
-
     def _apply(self, t: Token, operands: list) -> None:
-        op = t.value
-        n = [x.value for x in operands if isinstance(x, Token) and x.kind == "number"]
-        if op in self._TEXT_ONLY and not self.inside:
+        op = str(t.value)
+        numbers = [x.value for x in operands if isinstance(x, Token) and x.kind == "number"]
+        if op in _IN_TEXT and not self.inside:
             self.page.problems.append((t.start, "text-op-outside-bt-et"))
-        elif op == "q":
-            self.stack.append(self.graphics)
-        elif op == "Q":
-            if self.stack:
-                self.graphics = self.stack.pop()
-            else:
-                self.page.problems.append((t.start, "graphics-state-underflow"))
-        elif op == "cm" and len(n) >= 6:
-            self.graphics = replace(self.graphics, ctm=multiply(tuple(n[-6:]), self.graphics.ctm))
-        elif op in self._FILL:
-            if len(n) < self._FILL[op]:
+            return
+        needed, handler = _HANDLERS.get(op, (0, None))
+        if handler is None:
+            self.page.events.append(Event("unsupported-op", t.start, t.end, op))
+        elif len(numbers) < needed:
+            if op not in _QUIET:
                 self.page.problems.append((t.start, "missing-operand"))
-            else:
-                v = n[-self._FILL[op] :]
-                self.graphics = replace(self.graphics, fill=tuple(v) if op == "rg" else (v[0],) * 3 if op == "g" else tuple((1 - c) * (1 - v[3]) for c in v[:3]))
-        elif op in ("BT", "ET"):
-            self.inside = op == "BT"
-            if self.inside:
-                self._begin_text()
-        elif op == "Tf":
-            self.font = next((x.value for x in operands if isinstance(x, Token) and x.kind == "name"), None)
-            self.size = n[-1] if n else 0.0
-        elif op == "TL":
-            self.leading = n[-1] if n else 0.0
-        elif op in ("Td", "TD") and len(n) >= 2:
-            if op == "TD":
-                self.leading = -n[-1]
-            self._move(n[-2], n[-1])
-        elif op == "Tm" and len(n) >= 6:
-            self.matrix = self.line = tuple(n[-6:])
-        elif op == "T*":
-            self._move(0.0, -self.leading)
-        elif op in ("Tj", "'", '"', "TJ"):
-            if op in ("'", '"'):
-                self._move(0.0, -self.leading)
-            self._show(op, operands)
+        else:
+            handler(self, t, numbers, operands)
+
+    # ---- handlers: (token, its numbers, all operands) ----
+
+    def _save(self, t, n, operands) -> None:
+        self.stack.append(self.graphics)
+
+    def _restore(self, t, n, operands) -> None:
+        if self.stack:
+            self.graphics = self.stack.pop()
+        else:
+            self.page.problems.append((t.start, "graphics-state-underflow"))
+
+    def _concat(self, t, n, operands) -> None:
+        self.graphics = replace(self.graphics, ctm=multiply(tuple(n[-6:]), self.graphics.ctm))
+
+    def _colour(self, t, n, operands) -> None:
+        where = "fill" if str(t.value).islower() else "stroke"
+        self.graphics = replace(self.graphics, **{where: _rgb(n[-_HANDLERS[t.value][0] :])})
+
+    def _begin(self, t, n, operands) -> None:
+        self.inside, self.text = True, TextState()
+
+    def _finish(self, t, n, operands) -> None:
+        self.inside = False
+
+    def _set(self, t, n, operands) -> None:
+        name, default = _STATE[t.value]
+        self.text = replace(self.text, **{name: n[-1] if n else default})
+
+    def _font(self, t, n, operands) -> None:
+        names = [x.value for x in operands if isinstance(x, Token) and x.kind == "name"]
+        if names:
+            self.text = replace(self.text, font=names[-1], size=n[-1])
+        else:
+            self.page.problems.append((t.start, "missing-operand"))
 
     def _move(self, x: float, y: float) -> None:
-        self.matrix = self.line = multiply((1.0, 0.0, 0.0, 1.0, x, y), self.line)
+        at = multiply(translation(x, y), self.text.line)
+        self.text = replace(self.text, matrix=at, line=at)
+
+    def _next(self, t, n, operands) -> None:
+        if t.value == "TD":
+            self.text = replace(self.text, leading=-n[-1])
+        self._move(*(n[-2:] if t.value in ("Td", "TD") else (0.0, -self.text.leading)))
 
-    def _show(self, op: str, operands: list) -> None:
+    def _place(self, t, n, operands) -> None:
+        self.text = replace(self.text, matrix=tuple(n[-6:]), line=tuple(n[-6:]))
+
+    def _show(self, t, n, operands) -> None:
+        op = t.value
         items = next((x for x in operands if isinstance(x, list)), []) if op == "TJ" else operands
-        strings = [x for x in items if isinstance(x, Token) and x.kind in ("string", "hex-string")]
+        strings = [x for x in items if isinstance(x, Token) and x.kind in ("string", "hexstring")]
         if op != "TJ":
             strings = strings[-1:]
-        at = multiply(self.matrix, self.graphics.ctm)
+            if op == '"' and len(n) >= 2:
+                self.text = replace(self.text, word_spacing=n[-2], char_spacing=n[-1])
+            if op != "Tj":
+                self._next(t, n, operands)
+        if not strings and op != "TJ":
+            self.page.problems.append((t.start, "missing-operand"))
+            return
+        at, s, g = multiply(self.text.matrix, self.graphics.ctm), self.text, self.graphics
         kerns = [x.value for x in items if isinstance(x, Token) and x.kind == "number"] if op == "TJ" else []
-        text = "".join(self.decode(self.font, s.value) for s in strings)
-        self.page.runs.append(Run(text, op, at[4], at[5], self.font, self.size, [(s.start, s.end, s.kind == "hex-string") for s in strings], kerns, self.graphics.fill))
+        text = "".join(self.decode(s.font, x.value) for x in strings)
+        start = strings[0].start if strings else t.start
+        run = Run(text, op, at[4], at[5], s.font, s.size, [(x.start, x.end, x.kind == "hexstring") for x in strings], kerns, g.fill, g.stroke, s, start, t.end, self.in_xobject)
+        self.page.events.append(Event("text-run", start, t.end, op, run))
+
+    def _xobject(self, t, n, operands) -> None:
+        names = [x.value for x in operands if isinstance(x, Token) and x.kind == "name"]
+        if names:
+            self.page.events.append(Event("do-xobject", t.start, t.end, names[-1]))
+        else:
+            self.page.problems.append((t.start, "missing-operand"))
+
+
+def _rgb(v: list[float]) -> Colour:
+    if len(v) == 4:
+        return tuple((1 - c) * (1 - v[3]) for c in v[:3])
+    return tuple(v) if len(v) == 3 else (v[0],) * 3
+
+
+_IN_TEXT = {"Td", "TD", "Tm", "T*", "Tj", "TJ", "'", '"'}
+_QUIET = {"G", "RG", "K"}
+_STATE = {"Tc": ("char_spacing", 0.0), "Tw": ("word_spacing", 0.0), "Tz": ("scale", 100.0), "TL": ("leading", 0.0), "Tr": ("mode", 0.0), "Ts": ("rise", 0.0)}
+#: Operator -> (numbers it needs, handler); any other operator is reported as unsupported.
+_HANDLERS = (
+    {"q": (0, Interpreter._save), "Q": (0, Interpreter._restore), "cm": (6, Interpreter._concat), "BT": (0, Interpreter._begin), "ET": (0, Interpreter._finish), "Tf": (1, Interpreter._font), "Do": (0, Interpreter._xobject)}
+    | {op: (k, Interpreter._colour) for op, k in (("g", 1), ("rg", 3), ("k", 4), ("G", 1), ("RG", 3), ("K", 4))}
+    | {op: (0, Interpreter._set) for op in _STATE}
+    | {"Td": (2, Interpreter._next), "TD": (2, Interpreter._next), "T*": (0, Interpreter._next), "Tm": (6, Interpreter._place)}
+    | {op: (0, Interpreter._show) for op in ("Tj", "TJ", "'", '"')}
+)
+
+_SPECIAL = re.compile(rb"[\\()]")
+_UNPRINTABLE = re.compile(rb"[^\x20-\x7e]")
+_NAMED = {10: b"\\n", 13: b"\\r", 9: b"\\t", 8: b"\\b", 12: b"\\f"}
 
 
 def literal(raw: bytes) -> bytes:
-    """A literal string: backslash and parentheses escaped, bytes beyond printable ASCII in octal."""
-    return b"(" + b"".join(b"\\" + bytes([c]) if c in b"\\()" else bytes([c]) if 32 <= c < 127 else b"\\%03o" % c for c in raw) + b")"
+    """A literal string: backslash and parentheses escaped, other bytes by name or in octal where not printable."""
+    body = _SPECIAL.sub(rb"\\\g<0>", raw)
+    return b"(" + _UNPRINTABLE.sub(lambda m: _NAMED.get(m[0][0]) or b"\\%03o" % m[0][0], body) + b")"
 
 
-def serialize(raw: bytes, as_hex: bool = False) -> bytes:
+def serialize(raw: bytes, as_hex: bool | None = False) -> bytes:
+    """A string in hex or literal form; None takes the shorter, literal if they are equal."""
+    if as_hex is None:
+        return min(literal(raw), serialize(raw, True), key=len)
     return b"<" + raw.hex().upper().encode() + b">" if as_hex else literal(raw)
 
 
-def splice(data: bytes, changes: list[tuple[int, int, bool, bytes]]) -> bytes:
+Change = tuple[int, int, bool, bytes]
+
+
+def splice(data: bytes, changes: list[Change]) -> bytes:
     """Replace operand ranges (start, end, hex form, new bytes); ranges must not overlap."""
     out, at = [], 0
     for start, end, as_hex, raw in sorted(changes):
@@ -227,22 +374,11 @@ def splice(data: bytes, changes: list[tuple[int, int, bool, bytes]]) -> bytes:
     return b"".join([*out, data[at:]])
 
 
-def replace_runs(data: bytes, wanted: list[tuple[float, str, str]], tolerance: float = 4.0) -> tuple[bytes, list[str]]:
-    """Apply (y, old text, new text) edits by exact text at a place; (new bytes, status of each edit)."""
-    page, changes, states, taken = Interpreter().run(data), [], [], set()
-    for y, old, new in wanted:
-        same = [r for r in page.runs if " ".join(r.text.split()) == " ".join(old.split()) and abs(r.y - y) <= tolerance]
-        if not same:
-            states.append("not-found")
-        elif not new.strip():
-            states.append("refused")
-        elif any(ord(c) > 255 for c in new):
-            states.append("encoding-missing")
-        elif same[0].operands[0] in taken:
-            states.append("overlap")
-        else:
-            for k, (s, e, as_hex) in enumerate(same[0].operands):
-                changes.append((s, e, as_hex, new.encode("latin-1") if k == 0 else b""))
-            taken.add(same[0].operands[0])
-            states.append("applied")
-    return splice(data, changes), states
+def spliced_length(data: bytes, changes: list[Change]) -> int:
+    """Length of the spliced stream, from the ranges alone."""
+    return len(data) + sum(len(serialize(raw, as_hex)) - (end - start) for start, end, as_hex, raw in changes)
+
+
+def joined(parts: list[bytes]) -> bytes | None:
+    """A page's content of several streams, a space between them; none give None."""
+    return b" ".join(parts) if parts else None

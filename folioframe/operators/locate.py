@@ -1,31 +1,75 @@
-"""Finding the runs that show a line: exact text first, then the nearest by edit distance."""
+"""Finding the runs that show a line: exact text first, then groups, then the nearest by edit distance."""
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
+from ..content import engine, surgery
 from ..functions.scalar import normalize
+from ._arrow import map_rows
+from .streams import by_font
 
-GATE = 0.9  # confidence below which a match must not be applied
+
+LONG = 200  # characters
+
+
+@F.pandas_udf(IntegerType())
+def _distances(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([None if x is None or y is None else surgery.distance(x, y) for x, y in zip(a, b)], dtype="Int32")
 
 
 def locate(targets: DataFrame, runs: DataFrame, font_size: float = 12.0) -> DataFrame:
-    """Targets (doc_id, page_number, id, text, x, y) -> best run and confidence (0 and null if none).
+    """Targets (doc_id, page_number, id, text, bx, by, bw, bh) -> best single run near the box, and confidence (0 and null if none).
 
-    Runs must lie within max(0.6 size, 4) vertically and max(1.5 size, 8) horizontally. The join
-    is by page; edit distances are taken only of targets without an exact match and of runs whose
-    length alone does not rule them out.
+    A relational form for lines of one run: the join is by page, the box with its tolerances is
+    the residual condition; edit distances are taken only of targets without an exact match and
+    of runs whose length alone does not rule them out. Runs inside forms are left out.
     """
-    tall, wide = max(0.6 * font_size, 4.0), max(1.5 * font_size, 8.0)
-    t = targets.select("doc_id", "page_number", "id", normalize(F.col("text")).alias("t"), F.col("x").alias("tx"), F.col("y").alias("ty"))
-    near = (F.abs(F.col("x") - F.col("tx")) <= wide) & (F.abs(F.col("y") - F.col("ty")) <= tall)
-    pairs = t.join(runs.select("doc_id", "page_number", "ord", normalize(F.col("text")).alias("r"), "x", "y"), ["doc_id", "page_number"]).filter(near & (F.col("t") != ""))
+    wide, tall = surgery.tolerances(font_size)
+    top, bottom = F.lit(792.0) - F.col("by"), F.lit(792.0) - F.col("by") - F.col("bh")
+    t = targets.select("doc_id", "page_number", "id", normalize(F.col("text")).alias("t"), "bx", "by", "bw", "bh")
+    near = F.col("y").between(bottom - tall, top + tall) & F.col("x").between(F.col("bx") - wide, F.col("bx") + F.col("bw") + wide)
+    own = runs.filter("not in_xobject").select("doc_id", "page_number", "ord", "start", normalize(F.col("text")).alias("r"), "x", "y")
+    pairs = t.join(own, ["doc_id", "page_number"]).filter(near & (F.col("t") != ""))
     n = F.length("t")
-    allowed = F.greatest(F.lit(2), F.floor(0.15 * n).cast("int"))
-    distance = F.when(F.col("t") == F.col("r"), 0).when(F.abs(n - F.length("r")) <= allowed, F.levenshtein("t", "r"))
-    scored = pairs.withColumn("d", distance).filter(F.col("d") <= allowed)
-    best = scored.withColumn("k", F.row_number().over(Window.partitionBy("doc_id", "page_number", "id").orderBy("d", "ord"))).filter("k = 1")
-    confidence = F.when(F.col("d") == 0, 1.0).otherwise(F.greatest(F.lit(0.5), 1 - F.col("d") / n))
+    allowed = F.greatest(F.lit(surgery.LEAST_EDITS), F.floor(surgery.SHARE * n).cast("int"))
+    pairs = pairs.withColumn("allowed", allowed)
+    open_ = (F.col("t") != F.col("r")) & (F.abs(n - F.length("r")) <= F.col("allowed"))
+    # the built-in function is quadratic in the length; long texts go to bit vectors in Arrow batches
+    long_ = open_ & (n > LONG)
+    far = _distances(F.when(long_, F.col("t")), F.when(long_, F.col("r")))
+    distance = F.when(F.col("t") == F.col("r"), 0).when(long_, far).when(open_, F.levenshtein("t", "r"))
+    scored = pairs.withColumn("d", F.explode(F.array(distance))).filter("d <= allowed")  # explode: taken once, not again in the filter
+    order = ["d", -F.round(F.col("y") * 2), F.round(F.col("x") * 2), "start"]
+    best = scored.withColumn("k", F.row_number().over(Window.partitionBy("doc_id", "page_number", "id").orderBy(*order))).filter("k = 1")
+    confidence = F.when(F.col("d") == 0, 1.0).otherwise(F.greatest(F.lit(surgery.FLOOR), 1 - F.col("d") / n))
     found = best.select("doc_id", "page_number", "id", "ord", confidence.alias("confidence"))
     return targets.select("doc_id", "page_number", "id").join(found, ["doc_id", "page_number", "id"], "left").withColumn("confidence", F.coalesce("confidence", F.lit(0.0)))
+
+
+FOUND = "doc_id long, page_number long, id string, runs array<long>, confidence double, reason string, stream_size long"
+
+
+def locate_on_pages(targets: DataFrame, streams: DataFrame, decode=by_font, page_height: float = 792.0) -> DataFrame:
+    """The whole cascade, for lines of several runs and targets without a place: run numbers, confidence, reason.
+
+    One pass a page; a page's targets come together, its stream is replayed once and never edited.
+    """
+    wanted = targets.groupBy("doc_id", "page_number").agg(F.collect_list(F.struct("id", "text", "bx", "by", "bw", "bh")).alias("targets"))
+
+    def each(doc, page, targets, data):
+        runs = engine.Interpreter(decode).run(data or b"").runs
+        for t in targets:
+            box = None if t["bx"] is None else surgery.Box(t["bx"], t["by"], t["bw"], t["bh"], page_height)
+            f = surgery.locate(runs, t["text"] or "", box)
+            yield doc, page, t["id"], f.runs, f.confidence, f.reason, len(data or b"")
+
+    return map_rows(wanted.join(streams.select("doc_id", "page_number", "contents"), ["doc_id", "page_number"], "left"), each, FOUND)
+
+
+def gated(found: DataFrame, gate: float = surgery.GATE) -> DataFrame:
+    """Located targets that are sure enough to be edited."""
+    return found.filter(F.col("confidence") >= gate)

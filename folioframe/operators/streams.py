@@ -1,65 +1,131 @@
-"""Content streams as DataFrames: building, lexing, replaying and editing pages in Arrow batches."""
+"""Content streams as DataFrames: building, lexing, replaying and joining of parts, one pass a page."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..content import engine
+from ._arrow import map_rows
 
+PAGE = ("doc_id", "page_number", "contents")
+KEY = "doc_id long, page_number long"
+RUNS = f"{KEY}, ord long, text string, operator string, x double, y double, font string, size double, start long, end long, in_xobject boolean, fill struct<r:double,g:double,b:double>, kerns array<double>, n_strings int"
 
-def page_streams(lines: DataFrame) -> DataFrame:
-    """One stream per page: ``BT /F1 12 Tf 72 y Td (line) Tj ET`` per line, text in Latin-1."""
+
+def by_font(font: str, raw: bytes) -> str:
+    """Texts of the streams that :func:`page_streams` builds."""
+    return raw.decode("utf-16-be", "replace") if font == "F2" else raw.decode("latin-1")
+
+
+def show(line: str, apart: bool = False) -> bytes:
+    """Operators that show a line: in F1 byte for byte where Latin-1 has all its characters, else in F2 by two-byte codes.
+
+    ``apart`` shows each word, with the white space after it, by an operator of its own.
+    """
+    parts = re.findall(r"\S+\s*|\s+", line) if apart else [line]
+    try:
+        return b"/F1 12 Tf %s" + b" ".join(engine.literal(p.encode("latin-1")) + b" Tj" for p in parts).replace(b"%", b"%%")
+    except UnicodeEncodeError:
+        return b"/F2 12 Tf %s" + b" ".join(engine.serialize(p.encode("utf-16-be", "surrogatepass"), True) + b" Tj" for p in parts)
+
+
+def page_streams(lines: DataFrame, apart: bool = False) -> DataFrame:
+    """One stream per page: ``BT /F1 12 Tf 72 y Td (line) Tj ET`` per line."""
     ordered = F.array_sort(F.collect_list(F.struct("row", "line", "y")))
     rows = lines.groupBy("doc_id", "page_number").agg(ordered.alias("rows"))
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            made = [b"\n".join(b"BT /F1 12 Tf 72 %d Td " % int(r["y"]) + engine.literal(r["line"].encode("latin-1", "replace")) + b" Tj ET" for r in rows) for rows in frame["rows"]]
-            yield frame[["doc_id", "page_number"]].assign(contents=made)
+    def each(doc, page, rows):
+        yield doc, page, b"\n".join(b"BT " + show(r["line"], apart) % (b"72 %d Td " % int(r["y"])) + b" ET" for r in rows)
+
+    return map_rows(rows, each, f"{KEY}, contents binary")
 
-    return rows.mapInPandas(run, "doc_id long, page_number long, contents binary")
+
+def tokens(streams: DataFrame) -> DataFrame:
+    """Every token with its byte range and decoded value."""
+
+    def each(doc, page, data):
+        for k, t in enumerate(engine.tokens(data or b"")):
+            v = t.value
+            yield doc, page, k, t.kind, t.start, t.end, v if isinstance(v, str) else None, v if isinstance(v, float) else None, v if isinstance(v, bytes) else None
+
+    return map_rows(streams.select(*PAGE), each, f"{KEY}, seq long, kind string, start long, end long, str_value string, num_value double, bytes_value binary")
 
 
 def token_kinds(streams: DataFrame) -> DataFrame:
-    """Counts of token kinds, counted per batch before the shuffle."""
+    """Counts of token kinds, counted per page before the shuffle."""
+
+    def each(data):
+        n: dict[str, int] = {}
+        for t in engine.tokens(data or b""):
+            n[t.kind] = n.get(t.kind, 0) + 1
+        yield from n.items()
+
+    return map_rows(streams.select("contents"), each, "kind string, n long").groupBy("kind").agg(F.sum("n").alias("n"))
+
+
+def coverage(streams: DataFrame) -> DataFrame:
+    """Bytes of each page that no token holds though they are no white space, or that two tokens hold."""
+    return map_rows(streams.select(*PAGE), lambda doc, page, data: [(doc, page, engine.uncovered(data or b""))], f"{KEY}, violations long")
+
+
+def runs(streams: DataFrame, decode: Callable[[str, bytes], str] = by_font) -> DataFrame:
+    """Text runs of every page in order of appearance; the stream's bytes go no further.
+
+    ``decode`` gives the text of a string in a font.
+    """
+
+    def each(doc, page, data):
+        for k, r in enumerate(engine.Interpreter(decode).run(data or b"").runs):
+            yield doc, page, k, r.text, r.operator, r.x, r.y, r.font, r.size, r.start, r.end, r.in_xobject, dict(zip("rgb", r.fill)), r.kerns, len(r.operands)
+
+    return map_rows(streams.select(*PAGE), each, RUNS)
+
+
+def eligible(found: DataFrame) -> DataFrame:
+    """Runs that may be edited: those outside of forms."""
+    return found.filter(~F.col("in_xobject"))
+
+
+def events(streams: DataFrame) -> DataFrame:
+    """What a page's operators gave: text runs, XObjects, operators that are not replayed."""
+
+    def each(doc, page, data):
+        for k, e in enumerate(engine.Interpreter(by_font).run(data or b"").events):
+            yield doc, page, k, e.kind, e.value, e.start, e.end
+
+    return map_rows(streams.select(*PAGE), each, f"{KEY}, ord long, kind string, value string, start long, end long")
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            n: dict[str, int] = {}
-            for data in frame["contents"]:
-                for t in engine.tokens(data):
-                    n[t.kind] = n.get(t.kind, 0) + 1
-            yield pd.DataFrame({"kind": list(n), "n": list(n.values())}).astype({"kind": "object", "n": "int64"})
 
-    return streams.select("contents").mapInPandas(run, "kind string, n long").groupBy("kind").agg(F.sum("n").alias("n"))
+def problems(streams: DataFrame) -> DataFrame:
+    """What had to be skipped or mended, by byte offset."""
 
+    def each(doc, page, data):
+        yield from ((doc, page, at, code) for at, code in engine.Interpreter(by_font).run(data or b"").problems)
 
-def runs(streams: DataFrame) -> DataFrame:
-    """Text runs of every page in order of appearance; the stream's bytes go no further."""
+    return map_rows(streams.select(*PAGE), each, f"{KEY}, at long, code string")
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = ["doc_id", "page_number", "ord", "text", "operator", "x", "y", "font", "size"]
-        for frame in frames:
-            out = [(d, p, k, r.text, r.operator, r.x, r.y, r.font, r.size) for d, p, data in zip(frame["doc_id"], frame["page_number"], frame["contents"]) for k, r in enumerate(engine.Interpreter().run(data).runs)]
-            yield pd.DataFrame(out, columns=columns)
 
-    return streams.mapInPandas(run, "doc_id long, page_number long, ord long, text string, operator string, x double, y double, font string, size double")
+def join_parts(parts: DataFrame) -> DataFrame:
+    """Pages whose content is several streams (part, contents), a space between them; a page without parts has none."""
+    ordered = F.array_sort(F.collect_list(F.struct("part", "contents")))
+    rest = "aggregate(slice(p, 2, greatest(size(p) - 1, 0)), p[0].contents, (a, x) -> concat(a, X'20', x.contents))"
+    return parts.filter("contents is not null").groupBy("doc_id", "page_number").agg(ordered.alias("p")).select("doc_id", "page_number", F.expr(rest).alias("contents"))
 
 
-def apply_edits(streams: DataFrame, edits: DataFrame) -> DataFrame:
-    """Edited pages: new contents and the outcome of each edit, one pass over each page that has edits."""
-    wanted = edits.groupBy("doc_id", "page_number").agg(F.array_sort(F.collect_list(F.struct("line_idx", "id", "y", "original_text", "new_text"))).alias("edits"))
+def write_back(parts: DataFrame, edited: DataFrame) -> DataFrame:
+    """Parts of edited pages: all content in the first, the others empty, so that nothing shows twice."""
+    first = F.row_number().over(Window.partitionBy("doc_id", "page_number").orderBy("part")) == 1
+    new = edited.select("doc_id", "page_number", F.col("contents").alias("_new"))
+    at = parts.withColumn("_first", first).join(new, ["doc_id", "page_number"], "left")
+    content = F.when(F.col("_new").isNull(), F.col("contents")).when(F.col("_first"), F.col("_new")).otherwise(F.lit(b""))
+    return at.withColumn("contents", content).drop("_new", "_first")
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = []
-            for d, p, data, each in zip(frame["doc_id"], frame["page_number"], frame["contents"], frame["edits"]):
-                new, states = engine.replace_runs(data, [(e["y"], e["original_text"], e["new_text"]) for e in each])
-                out.append((d, p, new, [{"id": e["id"], "status": s} for e, s in zip(each, states)]))
-            yield pd.DataFrame(out, columns=["doc_id", "page_number", "contents", "outcomes"])
 
-    return streams.join(wanted, ["doc_id", "page_number"]).mapInPandas(run, "doc_id long, page_number long, contents binary, outcomes array<struct<id:string,status:string>>")
+def overlaps(changes: DataFrame) -> DataFrame:
+    """Operand ranges (doc_id, page_number, start, end) that begin before an earlier one of the page ends."""
+    page = Window.partitionBy("doc_id", "page_number").orderBy("start", "end")
+    return changes.withColumn("_before", F.max("end").over(page.rowsBetween(Window.unboundedPreceding, -1))).filter("start < _before").drop("_before")

@@ -35,24 +35,82 @@ def annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def boxed(lines: DataFrame) -> DataFrame:
+    """Lines with the box (bx, by from the top, bw, bh) in which a reader sees them, and the size of their text."""
+    return lines.withColumns({"bx": F.lit(72.0), "by": 783 - F.col("y"), "bw": F.lit(100.0), "bh": F.lit(13.2), "size": F.lit(12.0)})
+
+
 def edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edits of every line that holds ``the``: the word in capitals."""
-    found = lines(spark, sf_dir).filter(F.col("line").contains("the"))
-    return found.select("doc_id", "page_number", F.concat(F.lit("p"), "page_number", F.lit("-l"), "row").alias("id"), "line_idx", "row", "y", F.col("line").alias("original_text"), F.replace("line", F.lit("the"), F.lit("THE")).alias("new_text"))
+    found = boxed(lines(spark, sf_dir).filter(F.col("line").contains("the")))
+    return found.select("doc_id", "page_number", F.concat(F.lit("p"), "page_number", F.lit("-l"), "row").alias("id"), "line_idx", "row", "y", "bx", "by", "bw", "bh", "size", F.col("line").alias("original_text"), F.replace("line", F.lit("the"), F.lit("THE")).alias("new_text"))
+
+
+def edit_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edits of the same lines that take every path, by ``k``, a number from 0 to 7 of document and line.
+
+    1: a character no font has; 2: to nothing; 3: the line's text backwards; 4: a place where
+    nothing stands; 5: the line without its last character; 6: two edits of the line, the second
+    with an id of its own; 7: a longer text; 0: no more than the word in capitals.
+    """
+    k = (F.col("doc_id") + F.col("line_idx")) % 8
+    e = edits(spark, sf_dir).withColumn("k", k)
+    text = F.col("original_text")
+    e = e.withColumns({
+        "original_text": F.when(k == 3, F.reverse(text)).when(k == 5, F.expr("left(original_text, length(original_text) - 1)")).otherwise(text),
+        "new_text": F.when(k == 1, F.concat(text, F.lit("Ω"))).when(k == 2, "").when(k == 7, F.concat(text, F.lit(" and more"))).otherwise(F.col("new_text")),
+        "bx": F.when(k == 4, 5000.0).otherwise(F.col("bx")),
+    })
+    twice = F.explode(F.when(k == 6, F.array(F.lit(""), F.lit("b"))).otherwise(F.array(F.lit(""))))
+    return e.withColumn("copy", twice).withColumn("id", F.concat("id", "copy"))
+
+
+def page_fonts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fonts of every page: a plain F1, which the pages of every eleventh document lack."""
+    name = F.when(F.col("doc_id") % 11 == 0, "G1").otherwise("F1")
+    entries = F.array().cast("array<struct<code:int,glyph:string>>")
+    return pages(spark, sf_dir).select("doc_id", "page_number", name.alias("name"), F.lit("Helvetica").alias("base_font"), F.lit("Type1").alias("subtype"), F.lit("WinAnsiEncoding").alias("encoding"), entries.alias("entries"), F.lit(None).cast("string").alias("to_unicode"))
+
+
+def fonts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A font a nation: its subtype, encoding and differences go by the key; the differences spell its name."""
+    k, name = F.col("n_nationkey"), F.col("n_name")
+    words = {" ": "space", "_": "underscore"} | dict(zip("0123456789", "zero one two three four five six seven eight nine".split()))
+    signs = F.create_map(*[F.lit(x) for kv in words.items() for x in kv])
+    spelt = F.transform(F.filter(F.split(name, ""), lambda c: c != ""), lambda c: F.struct(F.lit(None).cast("int").alias("code"), F.coalesce(F.try_element_at(signs, c), c).alias("glyph")))
+    ends = F.array(*[F.struct(F.lit(None).cast("int").alias("code"), F.lit(g).alias("glyph")) for g in ("uni0416", "nosuchglyph", "Euro")])
+    start = F.array(F.struct((k + 100).alias("code"), F.lit(None).cast("string").alias("glyph")))
+    none = F.array().cast("array<struct<code:int,glyph:string>>")
+    prefix = F.when(k % 5 == 0, "ABCDEF+").otherwise("")
+    line = F.format_string("<%04X> <%04X> <%04X>", k * 16, k * 16 + 9, k + 65)
+    listed = F.format_string("<%04X> <%04X> [<0061> <00620063>]", k * 16 + 10, k * 16 + 13)
+    one = F.format_string("<%04X> <D83DDE00>", k * 16 + 14)
+    cmap = F.concat(F.lit("/CIDInit (a \\) b) begincmap 1 begincodespacerange <0000> <FFFF> endcodespacerange % note\n2 beginbfrange "), line, F.lit(" "), listed, F.lit(" endbfrange 1 beginbfchar "), one, F.lit(" endbfchar endcmap"))
+    return table(spark, sf_dir, "nation").select(
+        k.cast("long").alias("font_key"), F.concat(prefix, name).alias("base_font"),
+        F.element_at(F.array(*map(F.lit, ("TrueType", "Type1", "Type3", "MMType1"))), (k % 4 + 1).cast("int")).alias("subtype"),
+        F.when(k % 3 == 1, "WinAnsiEncoding").when(k % 3 == 2, "MacRomanEncoding").alias("encoding"),
+        F.when(k % 2 == 0, F.concat(start, spelt, ends)).otherwise(none).alias("entries"), cmap.alias("to_unicode"),
+    )
 
 
 def ocr_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Recognised lines of every third document, each with a mean confidence."""
+    """Recognised lines, each with a mean confidence. The stand-in for a recogniser's output: every third document is taken as scanned."""
     return lines(spark, sf_dir).filter("doc_id % 3 = 0").withColumn("mean", ((F.col("doc_id") * 31 + F.col("line_idx") * 7) % 100) / 100.0)
 
 
 #: The same views for DuckDB, to put before a query.
-SQL_LINES = """WITH S AS (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents),
+SQL_LINES = r"""WITH S AS (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents),
 R AS (SELECT doc_id, unnest(parts) AS line, unnest(range(0, len(parts))) AS line_idx FROM S),
 L AS (SELECT doc_id, line_idx, line, line_idx // 40 + 1 AS page_number, line_idx % 40 AS "row", 72.0::DOUBLE AS x, (752 - 18 * (line_idx % 40))::DOUBLE AS y FROM R),
 P AS (SELECT doc_id, page_number, count(*) AS n_lines FROM L GROUP BY ALL),
 A AS (SELECT event_id AS id, user_id AS doc_id, k % 5 + 1 AS page_number, event_type AS type, ts AS updated_at, k::DOUBLE AS x, (k * 2)::DOUBLE AS y, (k + 10)::DOUBLE AS w, (k % 7 + 3)::DOUBLE AS h
   FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events)),
-E AS (SELECT doc_id, page_number, 'p' || page_number || '-l' || "row" AS id, line_idx, "row", y, line AS original_text, replace(line, 'the', 'THE') AS new_text FROM L WHERE contains(line, 'the')),
+E AS (SELECT doc_id, page_number, 'p' || page_number || '-l' || "row" AS id, line_idx, "row", y, 72.0::DOUBLE AS bx, 783 - y AS by, line AS original_text, replace(line, 'the', 'THE') AS new_text FROM L WHERE contains(line, 'the')),
+C AS (SELECT *, unnest(CASE WHEN k = 6 THEN ['', 'b'] ELSE [''] END) AS copy FROM (SELECT *, (doc_id + line_idx) % 8 AS k, trim(regexp_replace(original_text, '\s+', ' ', 'g')) AS whole, trim(regexp_replace(left(original_text, length(original_text) - 1), '\s+', ' ', 'g')) AS part FROM E)),
+T AS (SELECT doc_id, page_number, id || copy AS id, line_idx, k, copy, original_text AS line, CASE k WHEN 1 THEN original_text || 'Ω' WHEN 2 THEN '' WHEN 7 THEN original_text || ' and more' ELSE new_text END AS new_text,
+  CASE WHEN k = 5 THEN greatest(0.5, 1 - (length(whole) - length(part)) / length(part)) END AS near,
+  CASE WHEN (doc_id + page_number) % 10 = 0 THEN 'refused-no-content-stream' WHEN k IN (3, 4) OR (k = 5 AND 1 - (length(whole) - length(part)) / length(part) < 0.9) THEN 'refused-locator-low-confidence'
+   WHEN doc_id % 11 = 0 THEN 'refused-not-simple-font' WHEN k = 1 THEN 'refused-encoding-missing' WHEN copy = 'b' THEN 'fallback-needed' ELSE 'tj-surgery' END AS status FROM C),
 O AS (SELECT *, ((doc_id * 31 + line_idx * 7) % 100) / 100.0::DOUBLE AS mean FROM L WHERE doc_id % 3 = 0)
 """

@@ -1,11 +1,14 @@
-"""Event-time behaviours: trailing debounce, lockout after failures, chunked text."""
+"""Event-time behaviours: debounce, throttle, latest wins, lockout after failures, chunked text.
+
+Each works on batches; debounce, lockout and throttle also on streams.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -18,40 +21,112 @@ def debounce(events: DataFrame, key: str, ts: str, gap: str, value: str) -> Data
     return burst.agg(F.count(F.lit(1)).alias("n"), F.max(F.struct(F.col(ts), F.col(value))).alias("last")).select(key, F.col("w.start").alias("first_ts"), F.col(f"last.{ts}").alias("last_ts"), "n", F.col(f"last.{value}").alias("value"))
 
 
+def throttle(events: DataFrame, key: str, ts: str, period: str, value: str) -> DataFrame:
+    """The first value of each period of a key. Works on streams too: give the input a watermark."""
+    each = events.groupBy(key, F.window(ts, period).alias("w"))
+    return each.agg(F.min(F.struct(F.col(ts), F.col(value))).alias("f")).select(key, F.col("w.start").alias("period"), F.col(f"f.{value}").alias("value"))
+
+
+def latest(events: DataFrame, key: str, ts: str, value: str) -> DataFrame:
+    """A key's last request; those before it are cancelled. Equal moments go by the greatest value."""
+    at = Window.partitionBy(key).orderBy(F.desc(ts), F.desc(value))
+    return events.withColumn("state", F.when(F.row_number().over(at) == 1, "current").otherwise("cancelled"))
+
+
+class _Lock:
+    """Recent failures of one key, and until when it is locked."""
+
+    def __init__(self, recent=(), until: float = float("-inf")) -> None:
+        self.recent, self.until = list(recent), until
+
+    def fail(self, t: float, window_s: float, limit: int, lock_s: float) -> tuple[bool, bool]:
+        """(recorded, locked by this one); failures while locked are not recorded."""
+        if t < self.until:
+            return False, False
+        self.recent = [x for x in self.recent if t - x < window_s] + [t]
+        full = len(self.recent) >= limit
+        if full:
+            self.until = t + lock_s
+        return True, full
+
+
+LOCK = "key long, id long, t double, recorded boolean, locked boolean"
+
+
+def _times(failures: DataFrame, key: str, ts: str) -> DataFrame:
+    return failures.select(F.col(key).cast("long").alias("key"), F.col("id").cast("long").alias("id"), F.col(ts).cast("timestamp").cast("double").alias("t"))
+
+
 def lockout(failures: DataFrame, key: str, ts: str, window_s: float, limit: int, lock_s: float) -> DataFrame:
     """Each failure with ``recorded`` and ``locked``; failures while locked are not recorded.
 
     Rows are dealt by key, sorted and streamed: the state is a few times, whatever the key's size.
+    A null key is a key of its own.
     """
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, recent, until = None, [], float("-inf")
-        for frame in frames:
-            recorded, locked = [], []
-            for k, t in zip(frame["key"], frame["t"]):
+    def run(batches) -> Iterator:
+        import pyarrow as pa
+
+        at, lock = object(), _Lock()
+        for batch in batches:
+            states = []
+            for k, t in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
                 if k != at:
-                    at, recent, until = k, [], float("-inf")
-                if t < until:
-                    recorded.append(False)
-                    locked.append(False)
-                    continue
-                recent = [x for x in recent if t - x < window_s] + [t]
-                full = len(recent) >= limit
-                if full:
-                    until = t + lock_s
-                recorded.append(True)
-                locked.append(full)
-            yield frame.assign(recorded=recorded, locked=locked)
-
-    rows = failures.select(F.col(key).alias("key"), "id", F.col(ts).cast("timestamp").cast("double").alias("t"))
-    return rows.repartition("key").sortWithinPartitions("key", "t", "id").mapInPandas(run, "key long, id long, t double, recorded boolean, locked boolean")
+                    at, lock = k, _Lock()
+                states.append(lock.fail(t, window_s, limit, lock_s))
+            recorded, locked = zip(*states) if states else ((), ())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(recorded, pa.bool_()), pa.array(locked, pa.bool_())], ["key", "id", "t", "recorded", "locked"])
+
+    return _times(failures, key, ts).repartition("key").sortWithinPartitions("key", "t", "id").mapInArrow(run, LOCK)
+
+
+def lockout_stream(failures: DataFrame, key: str, ts: str, window_s: float, limit: int, lock_s: float) -> DataFrame:
+    """The same over a stream: a key's state is its recent failures and its lock, kept across micro-batches.
+
+    A micro-batch's failures of a key are taken in order of time; a null key is -1.
+    """
+    from pyspark.sql.streaming.state import GroupStateTimeout
+
+    def run(key_of: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        recent, until = state.get if state.exists else ([], float("-inf"))
+        lock = _Lock(recent, until)
+        every = pd.concat(list(frames)).sort_values(["t", "id"], kind="stable")
+        states = [lock.fail(t, window_s, limit, lock_s) for t in every["t"]]
+        state.update((lock.recent, lock.until))
+        yield every.assign(recorded=[r for r, _ in states], locked=[x for _, x in states])
+
+    rows = _times(failures, key, ts).withColumn("key", F.coalesce("key", F.lit(-1).cast("long")))
+    return rows.groupBy("key").applyInPandasWithState(run, LOCK, "recent array<double>, until double", "append", GroupStateTimeout.NoTimeout)
 
 
 def chunks(texts: DataFrame, text: str) -> DataFrame:
-    """Chunks of a word and the white space after it, numbered."""
-    return texts.select("*", F.posexplode(F.regexp_extract_all(text, F.lit(r"\S+\s*|\s+"), 0)).alias("seq", "chunk")).drop(text)
+    """Chunks of a word and the white space after it, numbered; an empty text is one empty chunk, a null one a null."""
+    parts = F.regexp_extract_all(F.col(text), F.lit(r"(?U)\S+\s*|\s+"), F.lit(0))
+    kept = F.when(F.size(parts) > 0, parts).otherwise(F.array(F.col(text)))
+    return texts.select("*", F.posexplode(kept).alias("seq", "chunk")).drop(text)
 
 
 def reassembled(parts: DataFrame, keys: list[str]) -> DataFrame:
+    """Chunks of a key put together; a key of null chunks only is null."""
     ordered = F.array_sort(F.collect_list(F.struct("seq", "chunk")))
-    return parts.groupBy(*keys).agg(F.array_join(F.transform(ordered, lambda x: x["chunk"]), "").alias("text"))
+    whole = F.array_join(F.transform(ordered, lambda x: x["chunk"]), "")
+    return parts.groupBy(*keys).agg(F.when(F.count("chunk") > 0, whole).alias("text"))
+
+
+def chunk_stream(requests: DataFrame) -> DataFrame:
+    """What requests (request_id, channel, at, text, error) send: chunks, then done, error or cancelled.
+
+    A later request of a channel cancels the earlier ones, which send no chunk; a failed one sends its error only.
+    """
+    last = F.row_number().over(Window.partitionBy("channel").orderBy(F.desc("at"), F.desc("request_id"))) == 1
+    end = F.when(~F.col("_last"), "cancelled").when(F.col("error").isNotNull(), "error").otherwise("done")
+    parts = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"(?U)\S+\s*|\s+"), F.lit(0))
+    sent = F.when(end == "done", F.transform(parts, lambda c, i: F.struct(i.alias("seq"), F.lit("chunk").alias("kind"), c.alias("text")))).otherwise(F.array().cast("array<struct<seq:int,kind:string,text:string>>"))
+    close = F.array(F.struct(F.size(sent).alias("seq"), end.alias("kind"), F.when(end == "error", F.col("error")).alias("text")))
+    return requests.withColumn("_last", last).select("request_id", F.inline(F.concat(sent, close)))
+
+
+def generate(prompts: DataFrame, provider) -> DataFrame:
+    """Texts of a provider: a function from a batch of prompts (pandas) to as many texts, given by the caller."""
+    answer = F.pandas_udf(provider, "string")
+    return prompts.withColumn("text", answer(F.col("prompt")))
