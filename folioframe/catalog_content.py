@@ -151,12 +151,9 @@ def cmap_expand(spark, sf):
     return fonts.cmap_codes(views.fonts(spark, sf)).select("font_key", "code", "unicode")
 
 
-_NONE = F.array().cast("array<struct<code:int,glyph:string>>")
-
-
 def _with_font(lines, base_font, subtype, encoding, to_unicode=None):
     numbered = (F.col("doc_id") * 1_000_000 + F.col("line_idx")).alias("id")
-    return lines.select(numbered, F.col("line").alias("text"), base_font.alias("base_font"), subtype.alias("subtype"), encoding.alias("encoding"), _NONE.alias("entries"), F.lit(to_unicode).cast("string").alias("to_unicode"))
+    return lines.select(numbered, F.col("line").alias("text"), base_font.alias("base_font"), subtype.alias("subtype"), encoding.alias("encoding"), F.array().cast("array<struct<code:int,glyph:string>>").alias("entries"), F.lit(to_unicode).cast("string").alias("to_unicode"))
 
 
 _CHARS = """CH AS (SELECT doc_id * 1000000 + line_idx AS id, CASE doc_id % 2 WHEN 0 THEN 'WinAnsiEncoding' ELSE 'StandardEncoding' END AS encoding, unnest(string_split(line, '')) AS c, unnest(range(0, length(line))) AS i FROM L WHERE line <> ''),
