@@ -104,26 +104,63 @@ def fold(doc_id) -> "F.Column":
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str) -> DataFrame:
-    """``text``, ``label`` and ``fold`` of the documents that may be learnt from."""
+    """``doc_id``, ``text``, ``label`` and ``fold`` of the documents that may be learnt from.
+
+    A doc_id with several labels has the greatest of them; every row of it is learnt from.
+    """
     known = labels.select("doc_id", F.col(label).cast("int").alias("label")).filter(F.col("label").isNotNull() & (fold(F.col("doc_id")) != 0))
     known = known.groupBy("doc_id").agg(F.max("label").alias("label"))
     if labels.count() <= BROADCAST_ROWS:
         known = F.broadcast(known)
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(known, "doc_id").select("text", "label", fold(F.col("doc_id")).cast("int").alias("fold"))
+    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(known, "doc_id").select("doc_id", "text", "label", fold(F.col("doc_id")).cast("int").alias("fold"))
+
 
+def sampled(rows: DataFrame, key: str, total: int, most: int) -> DataFrame:
+    """About ``most`` of the ``total`` rows by a hash of their key, the same ones on every run; all if there are no more."""
+    if total <= most:
+        return rows
+    return rows.filter(F.pmod(F.xxhash64(F.lit("sample"), key), F.lit(1_000_000)) < int(1_000_000 * most / total))
 
-def logistic(x, y, weight=None, rounds: int = 50, ridge: float = 1e-3):
-    """Newton fit of a logistic regression; the last coefficient is the intercept."""
+
+def logistic(x, y, rounds: int = 60, ridge: float = 0.1):
+    """Newton fit of a logistic regression on standardised columns, steps halved until they help.
+
+    Coefficients are those of the columns as they came; the last is the intercept.
+    """
     import numpy as np
 
-    x = np.column_stack([x, np.ones(len(x))])
-    w = np.ones(len(x)) if weight is None else weight
-    beta = np.zeros(x.shape[1])
+    mean, spread = x.mean(axis=0), x.std(axis=0) + 1e-9
+    z = np.column_stack([(x - mean) / spread, np.ones(len(x))])
+    penalty = np.r_[np.full(x.shape[1], ridge), 1e-6]
+    loss = lambda b: float(np.logaddexp(0, z @ b).sum() - y @ (z @ b) + penalty @ b**2 / 2)
+    beta, at = np.zeros(z.shape[1]), loss(np.zeros(z.shape[1]))
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
-        grad = x.T @ (w * (y - p)) - ridge * beta
-        step = np.linalg.solve((x * (w * p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(beta)), grad)
-        beta += np.clip(step, -5, 5)
-        if np.abs(step).max() < 1e-6:
+        p = 1 / (1 + np.exp(-np.clip(z @ beta, -30, 30)))
+        step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + np.diag(penalty), z.T @ (y - p) - penalty * beta)
+        for _ in range(30):
+            if (new := loss(beta + step)) <= at:
+                break
+            step /= 2
+        else:
             break
-    return beta
+        beta, done, at = beta + step, at - new < 1e-9, new
+        if done:
+            break
+    scale = beta[:-1] / spread
+    return np.r_[scale, beta[-1] - scale @ mean]
+
+
+def hash_of_longs(values):
+    """What Spark's ``xxhash64`` gives for longs, over an array of 64-bit integers (as unsigned)."""
+    import numpy as np
+
+    u = np.uint64
+    # The five primes of the hash function.
+    p1, p2, p3, p4, p5 = u(0x9E3779B185EBCA87), u(0xC2B2AE3D27D4EB4F), u(0x165667B19E3779F9), u(0x85EBCA77C2B2AE63), u(0x27D4EB2F165667C5)
+    turn = lambda x, k: (x << u(k)) | (x >> u(64 - k))
+    with np.errstate(over="ignore"):
+        h = (u(42) + p5 + u(8)) ^ (turn(values.view(np.uint64) * p2, 31) * p1)
+        h = turn(h, 27) * p1 + p4
+        h = (h ^ (h >> u(33))) * p2
+        h = (h ^ (h >> u(29))) * p3
+    return h ^ (h >> u(32))
