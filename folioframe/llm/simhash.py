@@ -1,19 +1,24 @@
 """Operator 6: near-duplicates by SimHash with bit-sliced comparison.
 
-A fingerprint takes, bit by bit, the majority over the hashes of a text's word shingles. Two
-fingerprints within the radius agree wholly on one of radius + 1 bit fields, so they meet in a
-bucket of that field. A bucket is compared in blocks: bit planes are stored vertically (one bit
-of 64 fingerprints a word), differing bits are added up by carry-save counters, and a block is
-abandoned once every counter has passed the radius.
-
-Scale: equal fingerprints are one record. Buckets are cut into blocks of bounded size and every
-pair of a bucket's blocks is a task record of its own, so a hot bucket spreads over tasks and
-none is capped. A pair of blocks yields links that span its components, at most one a
-fingerprint, not every pair. Components come from contracting the links by random priorities,
-each round written to the shared folder.
+A fingerprint takes, bit by bit, the majority over the hashes of a text's word shingles. The 64
+bits are cut into two fields more than the radius; fingerprints within the radius agree wholly on
+two of them, so they meet in the bucket of a pair of fields. Buckets of a task lie side by side,
+sorted, in one vertical block: bit planes hold one bit of 64 fingerprints a word. Every
+fingerprint is compared with that some lanes further on by shifting the planes, differing bits
+are added up by carry-save counters, lanes of other buckets are masked out, and words all of
+whose lanes have passed the radius are abandoned. So buckets of any size, small ones too, go
+through the same counters.
+
+Scale: equal fingerprints are one record. With radius 3 a bucket's key has 25 bits or more, so at
+ten thousand million fingerprints a bucket holds a few hundred by chance. Buckets are cut into blocks of
+bounded size and every pair of a bucket's blocks is a task record of its own, so a hot bucket
+spreads over tasks and none is capped. A pair of blocks yields links that span its components, at
+most one a fingerprint, not every pair. Components come from contracting the links by random
+priorities, each round written to the shared folder.
 
 Edge cases: null and word-less texts have fingerprint zero and link like any other; repeated
-rows and equal texts share a component; empty tables give no rows; extra columns are ignored.
+rows and equal texts share a component; rows without a doc_id link what they are near to, and a
+component of such rows alone has none; empty tables give no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -133,27 +138,80 @@ def planes(values: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(np.packbits(bits.T, axis=1, bitorder="little")).view("<u8")
 
 
-def within(query: int, vertical: np.ndarray, n: int, radius: int = RADIUS) -> np.ndarray:
-    """Positions of the values (given as planes) that differ from ``query`` in at most ``radius`` bits."""
-    depth = (radius + 1).bit_length()
-    counter = np.zeros((depth, vertical.shape[1]), dtype=np.uint64)
-    over = np.zeros(vertical.shape[1], dtype=np.uint64)
+def _beyond(counter: np.ndarray, radius: int) -> np.ndarray:
+    """Bits of the lanes whose counters exceed the radius."""
+    above, equal = np.zeros_like(counter[0]), np.full_like(counter[0], np.uint64(0xFFFFFFFFFFFFFFFF))
+    for d in reversed(range(len(counter))):
+        if radius >> d & 1:
+            equal &= counter[d]
+        else:
+            above |= equal & counter[d]
+            equal &= ~counter[d]
+    return above
+
+
+def lanes_apart(vertical: np.ndarray, by: int, valid: np.ndarray, radius: int) -> np.ndarray:
+    """Lanes (as positions) that differ in at most ``radius`` bits from the lane ``by`` further on.
+
+    ``valid`` has a bit for every lane to be compared. Words all of whose lanes have passed the
+    radius are abandoned, every eight planes.
+    """
+    word, bit = divmod(by, 64)
+    at = np.flatnonzero(valid)
+    last = vertical.shape[1] - 1
+    low, high = np.minimum(at + word, last), np.minimum(at + word + 1, last)
     full = np.uint64(0xFFFFFFFFFFFFFFFF)
+    depth = (radius + 1).bit_length()
+    counter = np.zeros((depth, len(at)), dtype=np.uint64)
+    over = ~valid[at]  # lanes that are out, as they passed 2 ** depth or were not asked for
     for b in range(64):
-        carry = vertical[b] ^ full if query >> b & 1 else vertical[b].copy()
+        plane = vertical[b]
+        carry = (plane[low] >> np.uint64(bit)) | (plane[high] << np.uint64(64 - bit)) if bit else plane[low]
+        carry = carry ^ plane[at]
         for d in range(depth):
             counter[d], carry = counter[d] ^ carry, counter[d] & carry
         over |= carry
         if b % 8 == 7:
-            past = over.copy()
-            if radius + 1 == 1 << (depth - 1):
-                past |= counter[depth - 1]
-            if (past == full).all():
-                return np.zeros(0, dtype=np.int64)
-    # counters now hold the distance; keep those <= radius that never overflowed
-    alive = np.unpackbits((~over).view(np.uint8), bitorder="little")[:n].astype(bool)
-    distance = sum(np.unpackbits(counter[d].view(np.uint8), bitorder="little")[:n].astype(np.int64) << d for d in range(depth))
-    return np.flatnonzero(alive & (distance <= radius))
+            alive = (over | _beyond(counter, radius)) != full
+            if not alive.all():
+                at, low, high, over, counter = at[alive], low[alive], high[alive], over[alive], counter[:, alive]
+                if not len(at):
+                    return np.zeros(0, dtype=np.int64)
+    near = ~(over | _beyond(counter, radius))
+    lanes = np.flatnonzero(np.unpackbits(near.view(np.uint8), bitorder="little"))
+    return at[lanes >> 6] * 64 + (lanes & 63)
+
+
+def near_pairs(values: np.ndarray, cell: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions (a, b), a before b, of values of one cell within the radius, in portions.
+
+    Cells are consecutive. Lanes of cells that have no further partner are taken out as the
+    distance between lanes grows, so the work is that of the pairs.
+    """
+    n = len(values)
+    first = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]]) if n else np.zeros(0, dtype=np.int64)
+    size = np.diff(np.r_[first, n])
+    left = np.repeat(first + size, size) - np.arange(n)  # lanes of the cell from here on, itself included
+    kept, by = np.arange(n), 1
+    whole = np.repeat(size, size)
+    vertical = planes(values)
+    while True:
+        if by & (by - 1) == 0 and len(kept):  # smaller cells have no partners any more
+            stay = whole[kept] > by
+            if not stay.all():
+                kept = kept[stay]
+                vertical = planes(values[kept])
+        if not len(kept):
+            return
+        valid = left[kept] > by
+        if not valid.any():
+            return
+        bits = np.zeros(vertical.shape[1] * 64, dtype=np.uint8)
+        bits[: len(kept)] = valid
+        lanes = lanes_apart(vertical, by, np.packbits(bits, bitorder="little").view("<u8"), radius)
+        if len(lanes):
+            yield kept[lanes], kept[lanes + by]
+        by += 1
 
 
 class _Groups:
@@ -169,43 +227,54 @@ class _Groups:
             self.name[np.isin(self.name, names)] = names[0]
         return len(names) > 1
 
+    def join_all(self, a: np.ndarray, b: np.ndarray) -> None:
+        """Put each a and its b into one group."""
+        while True:
+            x, y = self.name[a], self.name[b]
+            apart = x != y
+            if not apart.any():
+                return
+            a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+            np.minimum.at(self.name, np.maximum(x, y), np.minimum(x, y))
+            while (self.name != (up := self.name[self.name])).any():
+                self.name = up
+
 
 def by_fields(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """fp, field, value: the radius + 1 bit fields of distinct fingerprints; this misses no pair."""
-    fields = radius + 1
-    width = 64 // fields
-    field = F.explode(F.array(*[F.struct(F.lit(k).alias("field"), F.expr(f"shiftrightunsigned(fp, {k * width}) & {(1 << (width if k < fields - 1 else 64 - k * width)) - 1}L").alias("value")) for k in range(fields)]))
+    """fp, field, value: distinct fingerprints by pairs of their radius + 2 bit fields; this misses no pair within the radius."""
+    fields = radius + 2
+    ends = [round(64 * k / fields) for k in range(fields + 1)]
+    part = lambda k: f"(shiftrightunsigned(fp, {ends[k]}) & {(1 << (ends[k + 1] - ends[k])) - 1}L)"
+    pairs = [(i, j) for i in range(fields) for j in range(i)]
+    field = F.explode(F.array(*[F.struct(F.lit(k).alias("field"), F.expr(f"shiftleft({part(i)}, {ends[j + 1] - ends[j]}) | {part(j)}").alias("value")) for k, (i, j) in enumerate(pairs)]))
     return prints.select("fp").distinct().select("fp", field.alias("x")).select("fp", "x.field", "x.value")
 
 
-def _near(values: np.ndarray, radius: int) -> Iterator[np.ndarray]:
-    """For each value, the positions of those within the radius."""
-    if len(values) < 24:
-        near = np.bitwise_count(values[:, None] ^ values[None, :]) <= radius
-        yield from (np.flatnonzero(row) for row in near)
-        return
-    vertical = planes(values)
-    for v in values:
-        yield within(int(v), vertical, len(values), radius)
+CHUNK = 1 << 15  # records compared side by side
 
 
-def _by_cell(frames: Iterator[pd.DataFrame], names: list[str]) -> Iterator[pd.DataFrame]:
-    """The frames, which come sorted by the names, cut into one frame for each value of the names."""
+def _whole_cells(frames: Iterator[pd.DataFrame], names: list[str]) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
+    """The frames, which come sorted by the names, as frames of whole cells, and the cell of each row."""
+
+    def numbered(frame: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray]:
+        cell = frame[names].to_numpy()
+        return frame, np.cumsum(np.r_[False, (cell[1:] != cell[:-1]).any(axis=1)])
+
     kept: list[pd.DataFrame] = []
+    rows = 0
     for frame in frames:
         if not len(frame):
             continue
-        cell = frame[names].to_numpy()
-        starts = np.flatnonzero(np.r_[True, (cell[1:] != cell[:-1]).any(axis=1)])
-        if kept and (kept[-1][names].to_numpy()[-1] != cell[0]).any():
-            yield pd.concat(kept, ignore_index=True)
-            kept = []
-        for s, e in zip(starts[:-1], starts[1:]):
-            yield pd.concat([*kept, frame.iloc[s:e]], ignore_index=True)
-            kept = []
-        kept.append(frame.iloc[starts[-1] :])
-    if kept:
-        yield pd.concat(kept, ignore_index=True)
+        kept.append(frame)
+        rows += len(frame)
+        if rows >= CHUNK:
+            whole, cell = numbered(pd.concat(kept, ignore_index=True))
+            cut = int(np.searchsorted(cell, cell[-1]))
+            if cut:
+                yield whole.iloc[:cut].reset_index(drop=True), cell[:cut]
+            kept, rows = [whole.iloc[cut:]], len(whole) - cut
+    if kept and rows:
+        yield numbered(pd.concat(kept, ignore_index=True))
 
 
 CELL = ["field", "value", "i", "j"]
@@ -224,12 +293,11 @@ def links(keyed: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFra
     """Spanning links a, b (longs) between fingerprints ``fp`` of a bucket (field, value) within ``radius`` bits."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for cell in _by_cell(frames, CELL):
-            values = cell["fp"].to_numpy().view(np.uint64)
+        for frame, cell in _whole_cells(frames, CELL):
+            values = frame["fp"].to_numpy().view(np.uint64)
             groups = _Groups(len(values))
-            for i, hits in enumerate(_near(values, radius)):
-                if len(hits := hits[hits < i]):
-                    groups.join(i, hits)
+            for a, b in near_pairs(values, cell, radius):
+                groups.join_all(a, b)
             child = np.flatnonzero(groups.name != np.arange(len(values)))
             if len(child):
                 yield pd.DataFrame({"a": values[child].view(np.int64), "b": values[groups.name[child]].view(np.int64)})
@@ -238,53 +306,63 @@ def links(keyed: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFra
     return cells.repartition(*CELL).sortWithinPartitions(*CELL, "fp").mapInPandas(run, "a long, b long").distinct()
 
 
-def _met(cell: pd.DataFrame, radius: int) -> Iterator[tuple[int, np.ndarray]]:
-    """Each record and the earlier ones within the radius, except those that meet in another cell too.
+def _met(frame: pd.DataFrame, cell: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs within the radius, except those that meet in another cell too.
 
     A pair counts in the first field whose keys agree, and there in the cell of its two blocks.
     """
-    values, keys, own = cell["fp"].to_numpy().view(np.uint64), np.array(cell["keys"].tolist(), dtype=np.int64), cell["own"].to_numpy()
-    field, two_blocks = int(cell["field"].iloc[0]), cell["i"].iloc[0] != cell["j"].iloc[0]
-    for i, hits in enumerate(_near(values, radius)):
-        hits = hits[hits < i]
-        if len(hits):
-            hits = hits[(keys[hits, :field] != keys[i, :field]).all(axis=1)]
-            if two_blocks:
-                hits = hits[own[hits] != own[i]]
-        if len(hits):
-            yield i, hits
-
-
-def _candidates(cell: pd.DataFrame, radius: int, similarity: float) -> np.ndarray:
-    """Positions of the records that have a pair in the cell which could reach the similarity."""
-    held, n = np.frombuffer(b"".join(cell["counts"]), dtype=np.uint8).reshape(len(cell), -1), cell["n"].to_numpy()
-    asked = np.zeros(len(cell), dtype=bool)
-    for i, hits in _met(cell, radius):
-        hits = hits[may_reach(held[i], held[hits], n[i], n[hits], similarity)]
-        asked[hits] = True
-        asked[i] |= len(hits) > 0
+    values, keys, own = frame["fp"].to_numpy().view(np.uint64), np.array(frame["keys"].tolist(), dtype=np.int64), frame["own"].to_numpy()
+    field, two_blocks = frame["field"].to_numpy(), (frame["i"] != frame["j"]).to_numpy()
+    for a, b in near_pairs(values, cell, radius):
+        for at in range(0, len(a), 1 << 16):
+            x, y = a[at : at + (1 << 16)], b[at : at + (1 << 16)]
+            first = (keys[x] == keys[y]).argmax(axis=1) == field[x]
+            good = first & ~(two_blocks[x] & (own[x] == own[y]))
+            if good.any():
+                yield x[good], y[good]
+
+
+def _candidates(frame: pd.DataFrame, cell: np.ndarray, radius: int, similarity: float) -> np.ndarray:
+    """Positions of the records that have a pair which could reach the similarity."""
+    held, n = np.frombuffer(b"".join(frame["counts"]), dtype=np.uint8).reshape(len(frame), -1), frame["n"].to_numpy()
+    asked = np.zeros(len(frame), dtype=bool)
+    for a, b in _met(frame, cell, radius):
+        for at in range(0, len(a), 1 << 14):
+            x, y = a[at : at + (1 << 14)], b[at : at + (1 << 14)]
+            good = may_reach(held[x], held[y], n[x], n[y], similarity)
+            asked[x[good]] = asked[y[good]] = True
     return np.flatnonzero(asked)
 
 
-def _verified(cell: pd.DataFrame, radius: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """Positions (a, b) of links of the similarity that span the groups which all such pairs of the cell make.
+def _verified(frame: pd.DataFrame, cell: np.ndarray, radius: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Positions (a, b) of links of the similarity that span the groups which all such pairs make.
 
     Only pairs of one group are spared the comparison of their sets: one pair of every two groups
     is tried first, then all pairs of the groups that are still apart.
     """
-    groups, sets = _Groups(len(cell)), cell["h"].tolist()
+    groups, sets = _Groups(len(frame)), frame["h"].tolist()
     size = np.array([len(x) for x in sets], dtype=np.int64)
     start = np.cumsum(size) - size
     flat = np.unique(np.concatenate(sets).astype(np.int64), return_inverse=True)[1]
     mark = np.zeros(len(flat) + 1, dtype=bool)
-    found = []
-    for i, hits in _met(cell, radius):
-        hits = hits[np.minimum(size[hits], size[i]) >= similarity * np.maximum(size[hits], size[i])]
-        mark[flat[start[i] : start[i] + size[i]]] = True
+    found, pairs = [], list(_met(frame, cell, radius))
+    if not pairs:
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    early, late = (np.concatenate(x) for x in zip(*pairs))
+    near = np.minimum(size[early], size[late]) >= similarity * np.maximum(size[early], size[late])
+    early, late = early[near], late[near]
+    order = np.lexsort((early, late))
+    early, late = early[order], late[order]
+    cuts = np.flatnonzero(np.r_[True, late[1:] != late[:-1]]) if len(late) else np.zeros(0, dtype=np.int64)
+    for s, e in zip(cuts, np.r_[cuts[1:], len(late)]):
+        i, hits = late[s], early[s:e]
+        marked = False
         for first in (True, False):
             hits = hits[groups.name[hits] != groups.name[i]]
             if not len(hits):
                 break
+            if not marked:
+                mark[flat[start[i] : start[i] + size[i]]] = marked = True
             some = np.unique(groups.name[hits], return_index=True)[1] if first else np.arange(len(hits))
             tried, hits = hits[some], np.delete(hits, some)
             ends = np.cumsum(size[tried])
@@ -293,7 +371,8 @@ def _verified(cell: pd.DataFrame, radius: int, similarity: float) -> tuple[np.nd
             for j in tried[shared >= similarity * (size[tried] + size[i] - shared)]:
                 if groups.join(i, np.array([j])):
                     found.append((i, j))
-        mark[flat[start[i] : start[i] + size[i]]] = False
+        if marked:
+            mark[flat[start[i] : start[i] + size[i]]] = False
     a, b = np.array(found, dtype=np.int64).reshape(-1, 2).T
     return a, b
 
@@ -309,10 +388,10 @@ def links_by_text(prints: DataFrame, docs: DataFrame, size: int, radius: int, si
     no_id = lambda c: F.coalesce(c, F.lit(-(2**63)))
 
     def first(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for cell in _by_cell(frames, CELL):
-            asked = _candidates(cell, radius, similarity)
+        for frame, cell in _whole_cells(frames, CELL):
+            asked = _candidates(frame, cell, radius, similarity)
             if len(asked):
-                yield cell.iloc[asked][["node", "fp", "keys", "own", *CELL]]
+                yield frame.iloc[asked][["node", "fp", "keys", "own", *CELL]]
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -326,11 +405,16 @@ def links_by_text(prints: DataFrame, docs: DataFrame, size: int, radius: int, si
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["node", "h"])
 
     def second(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for cell in _by_cell(frames, CELL):
-            a, b = _verified(cell, radius, similarity)
-            nodes = cell["node"].to_numpy()
-            if len(a):
-                yield pd.DataFrame({"a": nodes[a], "b": nodes[b]})
+        for whole, cells in _whole_cells(frames, CELL):
+            # sets are large: so many cells at once as hold about CELL_BYTES of them
+            held = np.cumsum(whole["h"].map(len).to_numpy() * 8) // CELL_BYTES
+            part = held[np.searchsorted(cells, cells)]
+            for p in np.unique(part):
+                frame, cell = whole[part == p].reset_index(drop=True), cells[part == p]
+                a, b = _verified(frame, cell, radius, similarity)
+                nodes = frame["node"].to_numpy()
+                if len(a):
+                    yield pd.DataFrame({"a": nodes[a], "b": nodes[b]})
 
     records = prints.select("node", "fp", "keys", "n", "counts").dropDuplicates(["node"])
     cells = _cells(records.select("*", F.posexplode("keys").alias("field", "value")), F.ceil(F.greatest(F.count(F.lit(1)) / block, F.sum("n") * 8 / CELL_BYTES)))

@@ -195,14 +195,17 @@ def test_equal_fingerprints_of_unlike_texts_do_not_link(spark):
     assert got == {**{i: i for i in range(6)}, 6: 0, 7: 1}
 
 
-def test_bit_sliced_distances():
+@pytest.mark.parametrize("radius", [0, 3, 7, 20])
+def test_bit_sliced_distances(radius):
     rng = np.random.default_rng(2)
     base = rng.integers(0, 2**63, 5, dtype=np.uint64)
-    values = np.array([int(b) ^ sum(1 << int(k) for k in rng.choice(64, rng.integers(0, 8), replace=False)) for b in base for _ in range(60)], dtype=np.uint64)
-    vertical = simhash.planes(values)
-    for q in values[::17]:
-        want = np.flatnonzero(np.bitwise_count(values ^ q) <= 3)
-        assert (simhash.within(int(q), vertical, len(values)) == want).all()
+    values = np.array([int(b) ^ sum(1 << int(k) for k in rng.choice(64, rng.integers(0, radius + 5), replace=False)) for b in base for _ in range(60)], dtype=np.uint64)
+    for sizes in ([300], [1] * 300, [1, 2, 3, 64, 65, 130, 35], [150, 1, 149]):
+        cell = np.repeat(np.arange(len(sizes)), sizes)
+        want = {(i, j) for j in range(300) for i in range(j) if cell[i] == cell[j] and (int(values[i]) ^ int(values[j])).bit_count() <= radius}
+        got = [(int(x), int(y)) for a, b in simhash.near_pairs(values, cell, radius) for x, y in zip(a, b)]
+        assert len(got) == len(set(got)) and set(got) == want
+    assert list(simhash.near_pairs(values[:0], np.zeros(0, dtype=np.int64), radius)) == []
 
 
 def test_components_of_a_path(spark):
