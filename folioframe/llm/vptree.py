@@ -1,84 +1,172 @@
 """Operator 5: nearest neighbours by vantage-point trees, one per shard.
 
-Largest inner product becomes least distance by one more coordinate, sqrt(M^2 - |x|^2). A tree
-node holds a vantage point and the median distance of its rows to it; a query skips the far side
-where its distance to the shell, times ``factor``, exceeds its current k-th distance. Factor one
-is exact; larger factors prune more.
+Largest inner product becomes least distance by one more coordinate, sqrt(M^2 - |x|^2), with one M
+for all rows. A tree node holds a vantage point and the median distance of its rows to it; a
+query skips the side where its distance to the shell, times ``factor``, exceeds its k-th distance
+so far. Factor one is exact; larger factors prune more.
 
-Scale: rows are hashed into shards of bounded size and queries into blocks; each (shard, block)
-is one task record group, so neither side is ever gathered whole. Equal vectors in a shard share
-one tree entry that keeps all their ids; only their smallest k + 1 can be among the k nearest.
+The top levels of a tree over a bounded sample deal rows to shards, so a shard's rows lie
+together. Each shard's tree is built once and written. A query first searches its home shard,
+takes its k-th distance along, and visits only the shards that the triangle inequality, with the
+factor, admits.
+
+Scale: the router's size is bounded by the sample; a shard that is too large is cut into parts by
+a hash of the id; queries are cut into blocks, so a part that many queries visit spreads over
+tasks. Of equal vectors only the smallest k + 1 ids can be among the k nearest, and no others go
+on, cut per task before the shuffle. The work is that of the distances that are not pruned: where
+vectors lie in clusters it is a small share of rows x queries, where they are spread evenly over
+a sphere (as in random data) hardly anything can be pruned at a high recall.
 
 Edge cases: vectors that are null, zero, or hold a null or non-finite component take no part;
-vectors of different lengths are never compared; repeated ids are separate candidates; fewer
-candidates than k give all of them; empty tables give no rows.
+vectors of different lengths are never compared; repeated ids are separate candidates; equal
+products go to the smaller id; fewer candidates than k give all of them; extra columns are
+ignored; empty tables give no rows.
 """
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import bucket_of, groups_for, table
+from ._common import bounded_batches, sampled, scratch, table
 
 K = 20
-SHARD_ROWS, BLOCK_ROWS, LEAF = 8192, 4096, 128
-#: Pruning factor of the production query; recall 0.9 and more was measured against brute force.
+SHARD_ROWS, BLOCK_ROWS, LEAF = 8192, 4096, 64
+SAMPLE = 4096  # bound on the rows from which the router is built
+SAMPLE_LEAF = 8  # sampled rows that a shard has at least
+TRIED = 6  # rows of which a vantage point is chosen
+SLACK = 4  # candidates beyond k that are compared by the exact product
+#: Pruning factor of the production query; recall of 0.9 and more was measured against brute force.
 FACTOR = 6.0
+NEAR = 1e-9
+
+
+def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum((a**2).sum(axis=1)[:, None] + (b**2).sum(axis=1)[None, :] - 2 * a @ b.T, 0))
+
+
+def raised(x: np.ndarray, norm: float) -> np.ndarray:
+    """Rows with the coordinate that gives all of them one norm."""
+    return np.column_stack([x, np.sqrt(np.maximum(norm**2 - (x**2).sum(axis=1), 0))])
 
 
 class Tree:
-    """Vantage-point tree over the rows of ``points`` (augmented so that all norms are equal)."""
+    """Vantage-point tree over ``points``. Leaves are arrays of rows.
+
+    An inner node is (vantage, least, shell, most, inner, outer): the vantage row, the least,
+    median and greatest distance of its rows to it, and the two sides.
+    """
 
-    def __init__(self, points: np.ndarray, seed: int = 0) -> None:
-        self.norm = float(np.sqrt((points**2).sum(axis=1).max()))
-        rest = np.sqrt(np.maximum(self.norm**2 - (points**2).sum(axis=1), 0))
-        self.points = np.column_stack([points, rest])
-        self.rng = np.random.default_rng(seed)
+    def __init__(self, points: np.ndarray, leaf: int = LEAF, seed: int = 0) -> None:
+        self.points, self.leaf, self.rng = points, leaf, np.random.default_rng(seed)
         self.root = self._build(np.arange(len(points)))
+        self.computed = 0
+
+    def _vantage(self, rows: np.ndarray) -> int:
+        """Of a few rows the one whose distances to some others vary most."""
+        few = self.rng.choice(rows, min(TRIED, len(rows)), replace=False)
+        some = self.rng.choice(rows, min(16 * TRIED, len(rows)), replace=False)
+        return int(few[_distance(self.points[few], self.points[some]).var(axis=1).argmax()])
 
     def _build(self, rows: np.ndarray):
-        if len(rows) <= LEAF:
+        if len(rows) <= self.leaf:
             return rows
-        vantage = int(rows[self.rng.integers(len(rows))])
-        d = self._distance(self.points[[vantage]], rows)[0]
+        vantage = self._vantage(rows)
+        d = _distance(self.points[[vantage]], self.points[rows])[0]
         shell = float(np.median(d))
         inner = d <= shell
         if inner.all() or not inner.any():
             return rows
-        return vantage, shell, self._build(rows[inner]), self._build(rows[~inner])
+        return vantage, float(d.min()), shell, float(d.max()), self._build(rows[inner]), self._build(rows[~inner])
 
-    def _distance(self, q: np.ndarray, rows: np.ndarray) -> np.ndarray:
-        x = self.points[rows]
-        return np.sqrt(np.maximum((q**2).sum(axis=1)[:, None] + (x**2).sum(axis=1)[None, :] - 2 * q @ x.T, 0))
+    def search(self, queries: np.ndarray, k: int, factor: float = 1.0, reach: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(rows, distances) of the k nearest of each query, -1 and inf where there are fewer.
 
-    def search(self, queries: np.ndarray, k: int, factor: float = 1.0) -> np.ndarray:
-        """Rows of the k nearest of each query, queries x k, -1 where there are fewer."""
-        q = np.column_stack([queries, np.zeros(len(queries))])
-        near = np.full((len(q), k), np.inf)
-        who = np.full((len(q), k), -1, dtype=np.int64)
+        ``reach`` is a distance beyond which a query wants nothing.
+        """
+        near, who = np.full((len(queries), k), np.inf), np.full((len(queries), k), -1, dtype=np.int64)
+        reach = np.full(len(queries), np.inf) if reach is None else reach
 
         def visit(node, active: np.ndarray) -> None:
             if not len(active):
                 return
             if isinstance(node, np.ndarray):
-                d = np.concatenate([near[active], self._distance(q[active], node)], axis=1)
-                names = np.concatenate([who[active], np.broadcast_to(node, (len(active), len(node)))], axis=1)
-                best = np.argpartition(d, k - 1, axis=1)[:, :k]
-                near[active] = np.take_along_axis(d, best, axis=1)
-                who[active] = np.take_along_axis(names, best, axis=1)
+                d = _distance(queries[active], self.points[node])
+                self.computed += d.size
+                # equal distances stay for the exact comparison: all of a leaf that is no further than the k-th
+                better = (d <= np.minimum(near[active, -1], reach[active])[:, None] + NEAR).any(axis=1)
+                active, d = active[better], d[better]
+                if len(active):
+                    both = np.concatenate([near[active], d], axis=1)
+                    names = np.concatenate([who[active], np.broadcast_to(node, (len(active), len(node)))], axis=1)
+                    best = np.lexsort((names, both), axis=1)[:, :k]
+                    near[active] = np.take_along_axis(both, best, axis=1)
+                    who[active] = np.take_along_axis(names, best, axis=1)
                 return
-            vantage, shell, inner, outer = node
-            gap = self._distance(q[active], np.array([vantage]))[:, 0] - shell
-            for first, then, side in ((inner, outer, gap <= 0), (outer, inner, gap > 0)):
-                visit(first, active[side])
-                left = active[side]
-                visit(then, left[np.abs(gap[side]) * factor <= near[left].max(axis=1) + 1e-9])
+            vantage, least, shell, most, inner, outer = node
+            d = _distance(queries[active], self.points[[vantage]])[:, 0]
+            self.computed += len(active)
+            # by the triangle inequality no row of a side is nearer than this
+            bounds = {id(inner): np.maximum(d - shell, least - d) * factor, id(outer): np.maximum(shell - d, d - most) * factor}
+            for first, then, side in ((inner, outer, d <= shell), (outer, inner, d > shell)):
+                mine = active[side]
+                for child in (first, then):
+                    limit = np.minimum(near[mine, -1], reach[mine])
+                    visit(child, mine[bounds[id(child)][side] <= limit + NEAR])
+
+        visit(self.root, np.arange(len(queries)))
+        return who, near
+
+
+class Router:
+    """Top levels of a vantage-point tree over sampled rows; its leaves are the shards."""
+
+    def __init__(self, points: np.ndarray, shards: int) -> None:
+        self.tree = Tree(points, leaf=max(SAMPLE_LEAF, -(-len(points) // max(shards, 1))))
+        self.shards = 0
+        self.root = self._numbered(self.tree.root)
+
+    def _numbered(self, node):
+        if isinstance(node, np.ndarray):
+            self.shards += 1
+            return self.shards - 1
+        vantage, _, shell, _, inner, outer = node
+        return vantage, shell, self._numbered(inner), self._numbered(outer)
+
+    def home(self, x: np.ndarray) -> np.ndarray:
+        """Shard of each row."""
+        out = np.zeros(len(x), dtype=np.int64)
+
+        def visit(node, rows: np.ndarray) -> None:
+            if isinstance(node, int):
+                out[rows] = node
+            elif len(rows):
+                vantage, shell, inner, outer = node
+                within = _distance(x[rows], self.tree.points[[vantage]])[:, 0] <= shell
+                visit(inner, rows[within])
+                visit(outer, rows[~within])
+
+        visit(self.root, np.arange(len(x)))
+        return out
+
+    def admitted(self, x: np.ndarray, reach: np.ndarray, factor: float) -> Iterator[tuple[int, np.ndarray]]:
+        """(shard, positions of the queries that it could serve)."""
+
+        def visit(node, rows: np.ndarray):
+            if isinstance(node, int):
+                yield node, rows
+            elif len(rows):
+                vantage, shell, inner, outer = node
+                gap = (_distance(x[rows], self.tree.points[[vantage]])[:, 0] - shell) * factor
+                yield from visit(inner, rows[gap <= reach[rows] + NEAR])
+                yield from visit(outer, rows[-gap <= reach[rows] + NEAR])
 
-        visit(self.root, np.arange(len(q)))
-        return who
+        yield from visit(self.root, np.arange(len(x)))
 
 
 def _usable(df: DataFrame, key: str, vector: str) -> DataFrame:
@@ -87,36 +175,145 @@ def _usable(df: DataFrame, key: str, vector: str) -> DataFrame:
     return df.select(F.col(key).cast("long").alias("id"), x.alias("x")).filter(F.col("id").isNotNull() & F.col("x").isNotNull()).filter(sound)
 
 
-def nearest(rows: DataFrame, queries: DataFrame, key: str, vector: str, k: int = K, factor: float = FACTOR, shard_rows: int = SHARD_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """query_id, rank, id, score: the k rows of largest inner product other than the query's own id."""
-    rows, queries = _usable(rows, key, vector), _usable(queries, key, vector)
-    shards, blocks = groups_for(rows.count(), shard_rows), groups_for(queries.count(), block_rows)
-    left = rows.select(bucket_of("id", n=shards).alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "id", "x")
-    right = queries.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), bucket_of("id", n=blocks).alias("block"), "id", "x")
-
-    def run(shard: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        lengths, asked = shard["x"].map(len).to_numpy(), block["x"].map(len).to_numpy()
-        for size in np.intersect1d(lengths, asked):
-            ids, points = shard["id"].to_numpy()[lengths == size], np.stack(shard["x"][lengths == size].tolist()).astype(float)
-            q_ids, q = block["id"].to_numpy()[asked == size], np.stack(block["x"][asked == size].tolist()).astype(float)
-            order = np.argsort(ids, kind="stable")
-            ids, points = ids[order], points[order]
-            _, rep, name = np.unique(points.view(f"V{points.itemsize * size}").ravel(), return_index=True, return_inverse=True)
-            by = np.argsort(name, kind="stable")
-            begins = np.searchsorted(name[by], np.arange(len(rep) + 1))
-            distinct = points[rep]
-            found = Tree(distinct).search(q, min(k + 1, len(rep)), factor)
-            for qi, hit in enumerate(found):
-                hit = hit[hit >= 0]
-                scores = (distinct[hit] * q[qi]).sum(axis=1)
-                near = [(-s, int(i)) for s, h in zip(scores, hit) for i in ids[by[begins[h] : begins[h + 1]][: k + 1]] if i != q_ids[qi]]
-                out += [(int(q_ids[qi]), i, -s) for s, i in sorted(near)[:k]]
-        return pd.DataFrame(out, columns=["query_id", "id", "score"]).astype({"query_id": "int64", "id": "int64", "score": "float64"})
-
-    found = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInPandas(run, "query_id long, id long, score double")
+def _by_length(frame: pd.DataFrame) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(length, positions, matrix) of the vectors of a frame."""
+    lengths = frame["x"].map(len).to_numpy(dtype=np.int64)
+    for size in np.unique(lengths):
+        at = np.flatnonzero(lengths == size)
+        yield int(size), at, np.stack(frame["x"].iloc[at].tolist()).astype(float)
+
+
+def _parts(column, sizes: dict[tuple, int]):
+    """Number of parts of a shard, as a column."""
+    many = {f"{s[0]}:{s[1]}": n for s, n in sizes.items() if n > 1}
+    if not many:
+        return F.lit(1)
+    spec = F.create_map(*[F.lit(x) for kv in many.items() for x in kv])
+    return F.coalesce(F.try_element_at(spec, column), F.lit(1))
+
+
+def dot(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Inner products of the rows of two matrices, each added up from the first component to the last."""
+    return np.add.accumulate(a * b, axis=1)[:, -1]
+
+
+HIT = "query_id long, id long, score double"
+
+
+def nearest(rows: DataFrame, queries: DataFrame, key: str, vector: str, k: int = K, factor: float = FACTOR, shard_rows: int = SHARD_ROWS, block_rows: int = BLOCK_ROWS, count_work: bool = False) -> DataFrame:
+    """query_id, rank, id, score: the k rows of largest inner product other than the query's own id.
+
+    With ``count_work`` the hits also have ``work``: the distances that their query's task computed, on its first row.
+    """
+    spark = rows.sparkSession
+    bounded_batches(spark)
+    same = F.row_number().over(Window.partitionBy("x").orderBy("id"))
+    rows = scratch(_usable(rows, key, vector).withColumn("r", same).filter(F.col("r") <= k + 1).drop("r"), "vectors")
+    queries = _usable(queries, key, vector)
+    stats = rows.select(F.size("x").alias("n"), F.aggregate("x", F.lit(0.0), lambda a, v: a + v * v).alias("s")).groupBy("n").agg(F.count(F.lit(1)).alias("count"), F.max("s").alias("s")).collect()
+    if not stats:
+        return spark.createDataFrame([], "query_id long, rank int, id long, score double")
+    total = sum(r["count"] for r in stats)
+    norm = float(np.sqrt(max(r["s"] for r in stats))) * (1 + 1e-12)
+    taken: dict[int, list] = {}
+    for r in sampled(rows, "id", total, SAMPLE).limit(2 * SAMPLE).collect():
+        taken.setdefault(len(r["x"]), []).append(r["x"])
+    shards = {r["n"]: -(-r["count"] // shard_rows) for r in stats}
+    routers = spark.sparkContext.broadcast((norm, {n: Router(raised(np.array(x), norm), shards[n]) for n, x in taken.items() if n in shards}))
+
+    def routed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        norm, known = routers.value
+        for frame in frames:
+            home = np.empty(len(frame), dtype=object)
+            for size, at, x in _by_length(frame):
+                own = known[size].home(raised(x, norm)) if size in known else np.zeros(len(at), dtype=np.int64)
+                home[at] = [f"{size}:{s}" for s in own]
+            yield frame.assign(home=home)
+
+    dealt = scratch(rows.mapInPandas(routed, "id long, x array<double>, home string"), "routed")
+    held = dealt.groupBy("home").agg(F.count(F.lit(1)).alias("n")).collect()
+    parts = {tuple(map(int, r["home"].split(":"))): -(-r["n"] // shard_rows) for r in held}
+
+    def built(frame: pd.DataFrame) -> pd.DataFrame:
+        norm, _ = routers.value
+        x, ids = np.stack(frame["x"].tolist()).astype(float), frame["id"].to_numpy()
+        order = np.argsort(ids, kind="stable")
+        x, ids = x[order], ids[order]
+        _, rep, name = np.unique(x.view(f"V{x.itemsize * x.shape[1]}").ravel(), return_index=True, return_inverse=True)
+        by_id = np.argsort(rep)  # distinct vectors in order of their least id, so that ties by row are ties by id
+        place = np.empty(len(rep), dtype=np.int64)
+        place[by_id] = np.arange(len(rep))
+        name = place[name]
+        members = np.argsort(name, kind="stable")
+        tree = Tree(raised(x[rep[by_id]], norm))
+        state = pickle.dumps((x[rep[by_id]], ids[members], np.searchsorted(name[members], np.arange(len(rep) + 1)), tree.root))
+        return pd.DataFrame({"home": [frame["home"].iloc[0]], "part": [frame["part"].iloc[0]], "tree": [state]})
+
+    part = lambda c: F.pmod(F.xxhash64(F.col(c)), _parts(F.col("home"), parts)).cast("int")
+    trees = scratch(dealt.withColumn("part", part("id")).groupBy("home", "part").applyInPandas(built, "home string, part int, tree binary"), "trees")
+
+    def found(trees: DataFrame, asked: DataFrame) -> DataFrame:
+        """Hits of queries (id, x, home, part, reach) in the trees of their shards."""
+        asked = scratch(asked, "asked")
+        blocks = asked.groupBy("home", "part").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("blocks"))
+        left = trees.join(F.broadcast(blocks) if len(held) < 10_000 else blocks, ["home", "part"])
+        left = left.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+        right = asked.join(F.broadcast(blocks) if len(held) < 10_000 else blocks, ["home", "part"]).withColumn("block", F.pmod(F.xxhash64("id", F.lit(1)), F.col("blocks")).cast("int")).drop("blocks")
+        return left.groupBy("home", "part", "block").cogroup(right.groupBy("home", "part", "block")).applyInPandas(searched, HIT + ", work long")
+
+    def searched(tree: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
+        columns = ["query_id", "id", "score", "work"]
+        if not len(tree) or not len(block):
+            return pd.DataFrame(columns=columns).astype({"query_id": "int64", "id": "int64", "score": "float64", "work": "int64"})
+        norm, _ = routers.value
+        points, ids, begins, root = pickle.loads(tree["tree"].iloc[0])
+        t = Tree.__new__(Tree)
+        t.points, t.root, t.computed = raised(points, norm), root, 0
+        q, q_ids = np.stack(block["x"].tolist()).astype(float), block["id"].to_numpy()
+        reach = block["reach"].to_numpy(dtype=float)
+        who, _ = t.search(np.column_stack([q, np.zeros(len(q))]), min(k + 1 + SLACK, len(points)), factor, reach)
+        at, column = np.nonzero(who >= 0)
+        hit = who[at, column]
+        score = dot(points[hit], q[at])
+        n = begins[hit + 1] - begins[hit]
+        at, score = np.repeat(at, n), np.repeat(score, n)
+        own = ids[np.repeat(begins[hit], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+        other = own != q_ids[at]
+        at, score, own = at[other], score[other], own[other]
+        order = np.lexsort((own, -score, at))
+        at, score, own = at[order], score[order], own[order]
+        first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]]) if len(at) else np.zeros(0, dtype=np.int64)
+        top = np.arange(len(at)) - np.repeat(first, np.diff(np.r_[first, len(at)])) < k
+        out = pd.DataFrame({"query_id": q_ids[at[top]], "id": own[top], "score": score[top], "work": 0})
+        if len(out):
+            out.iloc[0, 3] = t.computed
+        return out.astype({"query_id": "int64", "id": "int64", "score": "float64", "work": "int64"})
+
+    asked = queries.mapInPandas(routed, "id long, x array<double>, home string").withColumn("part", part("id")).withColumn("reach", F.lit(float("inf")))
+    asked = scratch(asked, "queries")
+    first = scratch(found(trees, asked), "home-hits")
+    # a query's k-th product so far gives the distance beyond which nothing helps it
+    last = first.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("kth"))
+    squared = F.aggregate("x", F.lit(0.0), lambda a, v: a + v * v)
+    reach = F.when(F.col("n") >= k, F.sqrt(F.greatest(squared + norm**2 - 2 * F.col("kth"), F.lit(0.0)))).otherwise(float("inf"))
+    onward = asked.drop("reach").join(last.withColumnRenamed("query_id", "id"), "id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    onward = onward.select("id", "x", F.col("home").alias("own_home"), F.col("part").alias("own_part"), reach.alias("reach"))
+
+    def elsewhere(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        norm, known = routers.value
+        for frame in frames:
+            for size, at, x in _by_length(frame):
+                lifted, far = np.column_stack([x, np.zeros(len(x))]), frame["reach"].to_numpy(dtype=float)[at]
+                for shard, some in known[size].admitted(lifted, far, factor) if size in known else [(0, np.arange(len(at)))]:
+                    if len(some) and (size, shard) in parts:
+                        yield frame.iloc[at[some]].assign(home=f"{size}:{shard}", parts=parts[size, shard])
+
+    visits = onward.mapInPandas(elsewhere, "id long, x array<double>, own_home string, own_part int, reach double, home string, parts int")
+    visits = visits.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).filter("home <> own_home or part <> own_part")
+    hits = first.unionByName(found(trees, visits.select("id", "x", "home", "part", "reach")))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
-    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "id", "score")
+    ranked = hits if count_work else hits.drop("work")
+    return ranked.withColumn("rank", rank).filter((F.col("rank") <= k) if not count_work else F.lit(True)).select("query_id", "rank", "id", "score", *(["work"] if count_work else []))
 
 
 def op5_vp_tree_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
