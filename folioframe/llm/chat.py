@@ -19,7 +19,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -83,6 +83,8 @@ class Escaper:
 
 
 SEGMENTS = "conv_id long, seq long, turn long, kind string, segment string, loss boolean, valid boolean"
+_SEGMENTS = pa.schema([("conv_id", pa.int64()), ("seq", pa.int64()), ("turn", pa.int64()), ("kind", pa.string()), ("segment", pa.string()), ("loss", pa.bool_()), ("valid", pa.bool_())])
+OUT_ROWS = 4096  # segments of one batch
 
 
 def _sorted(conversations: DataFrame) -> DataFrame:
@@ -90,8 +92,9 @@ def _sorted(conversations: DataFrame) -> DataFrame:
     return rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
 
 
-def _key(value):
-    return None if pd.isna(value) else int(value)
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    columns = zip(*rows) if rows else [()] * len(schema)
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
 
 def format_segments(conversations: DataFrame, template: Template = Template()) -> DataFrame:
@@ -102,27 +105,29 @@ def format_segments(conversations: DataFrame, template: Template = Template()) -
     the turns so far follow the machine.
     """
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         esc = Escaper(template.controls)
-        at, state, seq = object(), None, 0
-        for frame in frames:
-            out = []
-            for conv, turn, role, text in zip(frame["conv_id"], frame["turn"], frame["role"], frame["text"]):
-                conv, role = _key(conv), None if role is None else str(role)
+        at, state, seq, out = object(), None, 0, []
+        for batch in batches:
+            for conv, turn, role, text in zip(*(c.to_pylist() for c in batch.columns)):
                 if conv != at:
                     at, state, seq = conv, template.start, 0
                 state = template.moves.get(state, {}).get(role)
                 loss = role in template.loss_roles
                 shown = NO_ROLE if role is None else esc.escape(role)
                 for kind, segment, counts in (("open", template.turn_open, False), ("role", shown, False), ("sep", template.role_close, False), ("text", esc.escape(text), loss), ("close", template.turn_close, False)):
-                    out.append((conv, seq, _key(turn), kind, segment, counts, state is not None))
+                    out.append((conv, seq, turn, kind, segment, counts, state is not None))
                     seq += 1
-            yield pd.DataFrame(out, columns=["conv_id", "seq", "turn", "kind", "segment", "loss", "valid"]).astype({"conv_id": "Int64", "turn": "Int64"})
+                if len(out) >= OUT_ROWS:
+                    yield _batch(out, _SEGMENTS)
+                    out = []
+        yield _batch(out, _SEGMENTS)
 
-    return _sorted(conversations).mapInPandas(run, SEGMENTS)
+    return _sorted(conversations).mapInArrow(run, SEGMENTS)
 
 
 DIGEST = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, valid boolean"
+_DIGEST = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64()), ("valid", pa.bool_())])
 
 
 class Reader:
@@ -171,34 +176,44 @@ def read_back(segments: DataFrame, template: Template = Template(), ordered: boo
     as :func:`format_segments` leaves them; otherwise they are dealt and sorted first.
     """
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = [c.split()[0] for c in DIGEST.split(", ")]
-        frame_of = lambda rows: pd.DataFrame(rows, columns=columns).astype({"conv_id": "Int64"})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, reader = None, None
-        for frame in frames:
+        for batch in batches:
             out = []
-            for conv, segment, loss, valid in zip(frame["conv_id"], frame["segment"], frame["loss"], frame["valid"]):
-                conv = _key(conv)
+            for conv, segment, loss, valid in zip(*(c.to_pylist() for c in batch.columns)):
                 if reader is None or conv != at:
                     if reader:
                         out.append(reader.row(at))
                     at, reader = conv, Reader(template)
                 reader.feed(segment, loss, valid)
-            yield frame_of(out)
+            yield _batch(out, _DIGEST)
         if reader:
-            yield frame_of([reader.row(at)])
+            yield _batch([reader.row(at)], _DIGEST)
 
     if not ordered:
         segments = segments.repartition("conv_id").sortWithinPartitions("conv_id", "seq")
-    return segments.select("conv_id", "segment", "loss", "valid").mapInPandas(run, DIGEST)
+    return segments.select("conv_id", "segment", "loss", "valid").mapInArrow(run, DIGEST)
+
+
+SAID = "</s>[INST] ok [/INST]"  # what the planted conversation says
 
 
 def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digest of every conversation's formatted text, with a planted one that says control strings."""
-    said = "</s>[INST] ok [/INST]"
-    planted = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    planted = spark.createDataFrame([(-1, 0, "user", SAID), (-1, 1, "assistant", SAID)], "conv_id long, turn long, role string, text string")
     every = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(planted)
     return read_back(format_segments(every), ordered=True)
 
 
-SQL = {}
+def sql(template: Template = Template()) -> str:
+    """The digests in DuckDB, from the conversations alone: every control string in a text costs one backslash."""
+    text = lambda v: "'" + v.replace("'", "''") + "'"
+    cost = lambda c: " + ".join([f"length({c})", f"length({c}) - length(replace({c}, '\\', ''))", *[f"(length({c}) - length(replace({c}, {text(x)}, ''))) // {len(x)}" for x in sorted(set(template.controls) - {template.turn_open})]])
+    marks = len(template.turn_open) + len(template.role_close) + len(template.turn_close)
+    # controls may follow each other but never share a place, but for the turn's opening, which is two of them
+    return f"""WITH C AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT -1, 0, 'user', {text(SAID)} UNION ALL SELECT -1, 1, 'assistant', {text(SAID)}),
+G AS (SELECT conv_id, count(*) AS n_turns, sha256(string_agg(coalesce(role, '') || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+ coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+ (sum({cost('text')} + CASE WHEN role IS NULL THEN 2 ELSE {cost('role')} END) + {marks} * count(*))::BIGINT AS formatted_chars,
+ string_agg(CASE role WHEN 'system' THEN 'S' WHEN 'user' THEN 'U' WHEN 'assistant' THEN 'A' WHEN 'tool' THEN 'T' ELSE '?' END, '' ORDER BY turn, role, text) AS path FROM C GROUP BY conv_id)
+SELECT * EXCLUDE (path), regexp_full_match(path, 'S?(U(A[UT])*A?)?') AS valid FROM G"""

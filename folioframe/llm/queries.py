@@ -17,8 +17,15 @@ def queries() -> dict:
         "op8_license_scan": licenses.op8_license_scan,
         "op9_toxicity": toxicity.op9_toxicity,
         "op10_quality": quality.op10_quality,
+        "vp_tree_exact_search": vptree.exact_neighbours,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_license_scan": licenses.sql()}
+    return {
+        "op2_suffix_dedup": suffixes.sql(),
+        "op4_rendezvous_sharding": sharding.sql(),
+        "op7_chat_formatting": chat.sql(),
+        "op8_license_scan": licenses.sql(),
+        "vp_tree_exact_search": vptree.sql(),
+    }

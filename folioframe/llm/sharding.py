@@ -4,7 +4,7 @@ Every record scores each shard by ``-weight / ln(u)``, where ``u`` in (0, 1) com
 (key, shard number), and goes to the best. A score depends on the key and one shard only, so a
 new shard can only take records, never move them between old ones.
 
-Scale: the assignment is a map. Slots within a shard are gapless without sorting a shard in one
+Scale: the assignment is a map, and its narrow rows are written once. Slots within a shard are gapless without sorting a shard in one
 task: records are ranked within (shard, sub-bucket) groups of bounded size and shifted by the
 running counts of the sub-buckets, a table of shards x sub-buckets rows.
 
@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import groups_for, table
+from ._common import groups_for, scratch, table
 
 SHARDS = 40
 ROWS_PER_SLOT_GROUP = 200_000
@@ -51,10 +51,10 @@ def rendezvous(df: DataFrame, key: str, weights: list[float], grown: list[float]
 
 
 def with_slots(df: DataFrame, order: list[str], sub_buckets: int) -> DataFrame:
-    """Add ``slot``: positions 0.. within ``shard``, without gaps.
+    """Add ``slot``: positions 0.. within ``shard``, without gaps. ``df`` should be a table: it is read twice.
 
     Every order column goes into the sub-bucket hash, so only wholly equal rows (whose slots are
-    interchangeable) meet in one sub-bucket.
+    interchangeable) meet in one sub-bucket whatever their number.
     """
     keyed = df.withColumn("_sub", F.pmod(F.xxhash64(*order), F.lit(sub_buckets)).cast("int"))
     counts = keyed.groupBy("shard", "_sub").agg(F.count(F.lit(1)).alias("_n"))
@@ -73,9 +73,26 @@ def op4_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"),
         F.lit("key").alias("law"),
     )
-    placed = rendezvous(rows, "doc_id", [1.0] * SHARDS, [1.0] * (SHARDS + 1))
-    subs = groups_for(docs.count(), SHARDS * ROWS_PER_SLOT_GROUP)
+    placed = scratch(rendezvous(rows, "doc_id", [1.0] * SHARDS, [1.0] * (SHARDS + 1)), "placed")
+    subs = groups_for(placed.count(), SHARDS * ROWS_PER_SLOT_GROUP)
     return with_slots(placed, ["doc_id", "size", "text_crc32"], subs).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
-SQL = {}
+def _crc_table() -> list[int]:
+    """What each byte adds to a CRC-32, by the polynomial's rule."""
+    out = []
+    for c in range(256):
+        for _ in range(8):
+            c = c >> 1 ^ (0xEDB88320 if c & 1 else 0)
+        out.append(c)
+    return out
+
+
+def sql() -> str:
+    """The same in DuckDB, for tables of one sub-bucket: slots by rank of the key, check sums folded byte by byte."""
+    return f"""WITH D AS (SELECT doc_id, coalesce(text, '') AS text, text IS NULL AS none, hex(encode(coalesce(text, ''))) AS h FROM documents),
+C AS (SELECT doc_id, (CASE WHEN none THEN 0 ELSE strlen(text) END + 16)::BIGINT AS size,
+ CASE WHEN h = '' THEN 0 ELSE xor(list_reduce(list_transform(range(0, length(h) // 2), lambda i: ('0x' || substr(h, (2 * i + 1)::INT, 2))::BIGINT), lambda a, b: xor(a >> 8, ([{", ".join(map(str, _crc_table()))}])[(xor(a, b) & 255) + 1]), 4294967295::BIGINT), 4294967295) END AS text_crc32 FROM D),
+S AS (SELECT doc_id, s, -1 / ln((('0x' || substr(md5(doc_id || ':' || s), 1, 13))::BIGINT + 0.5) / {2**52}::DOUBLE) AS score FROM C, range(0, {SHARDS + 1}) t(s)),
+P AS (SELECT doc_id, arg_max(s, (score, -s)) FILTER (s < {SHARDS})::INT AS shard, arg_max(s, (score, -s))::INT AS grown_shard FROM S GROUP BY doc_id)
+SELECT doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id) - 1 AS slot, grown_shard FROM C JOIN P USING (doc_id)"""

@@ -320,3 +320,16 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return with_spans(docs).mapInPandas(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+
+
+def sql(length: int = LENGTH) -> str:
+    """The same in DuckDB: every string of the length by its first place, then runs of covered bytes."""
+    return f"""WITH D AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id NULLS FIRST) AS o, hex(encode(coalesce(text, ''))) AS h FROM documents),
+W AS (SELECT o, unnest(range(0, greatest(length(h) // 2 - {length - 1}, 0))) AS s, h FROM D),
+H AS (SELECT o, s, md5_number(substr(h, (2 * s + 1)::INT, {2 * length})) AS k FROM W),
+F AS (SELECT o, s, row_number() OVER (PARTITION BY k ORDER BY o, s) > 1 AS later FROM H),
+L AS (SELECT o, s, CASE WHEN s <= lag(s) OVER (PARTITION BY o ORDER BY s) + {length} THEN 0 ELSE 1 END AS new FROM F WHERE later),
+R AS (SELECT o, run, min(s) AS first, max(s) + {length} AS last FROM (SELECT o, s, sum(new) OVER (PARTITION BY o ORDER BY s ROWS UNBOUNDED PRECEDING) AS run FROM L) GROUP BY ALL),
+E AS (SELECT o, first, last, coalesce(lag(last) OVER (PARTITION BY o ORDER BY first), 0) AS before FROM R),
+K AS (SELECT D.o, string_agg(substr(h, (2 * before + 1)::INT, (2 * (first - before))::INT), '' ORDER BY first) AS head, max(last) AS last, sum(last - first)::BIGINT AS n, count(*) AS runs FROM E JOIN D USING (o) GROUP BY D.o)
+SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n, 0) AS n_removed, coalesce(runs, 0) AS n_spans, sha256(unhex(coalesce(head, '') || substr(h, (2 * coalesce(last, 0) + 1)::INT))) AS kept_sha256 FROM D LEFT JOIN K ON K.o = D.o"""

@@ -321,3 +321,18 @@ def op5_vp_tree_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
     found = nearest(rows, rows.filter(F.col("vec_id") % 20 == 0), "vec_id", "embedding")
     return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
+def exact_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same at factor one, which searches exactly."""
+    rows = table(spark, sf_dir, "embeddings")
+    found = nearest(rows, rows.filter(F.col("vec_id") % 20 == 0), "vec_id", "embedding", factor=1.0)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
+def sql() -> str:
+    """All products of queries and rows in DuckDB, added up from the first component to the last."""
+    return f"""WITH X AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda v: v IS NULL OR NOT isfinite(v))) = 0 AND len(list_filter(embedding, lambda v: v <> 0)) > 0),
+S AS (SELECT q.vec_id AS query_id, r.vec_id, list_reduce(list_transform(range(1, len(q.x) + 1), lambda i: q.x[i] * r.x[i]), lambda a, b: a + b) AS score FROM X q JOIN X r ON q.vec_id <> r.vec_id AND len(q.x) = len(r.x) WHERE q.vec_id % 20 = 0),
+K AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM S)
+SELECT query_id, rank, vec_id, score FROM K WHERE rank <= {K}"""
