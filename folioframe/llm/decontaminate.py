@@ -1,19 +1,21 @@
 """Operator 3: benchmark decontamination by q-gram lemma filtering.
 
-A document is contaminated by a benchmark text of which it holds any ``REGION`` bytes, or the
-whole if that has at most ``WHOLE`` bytes, with edits of up to ``RATE`` of their number. Such a
-window of n bytes with at most e edits shares at least n - q + 1 - q * e q-grams with its place,
-on diagonals no further apart than e. Shared q-grams are counted in overlapping bands of
-diagonals, for every window of a text: the count slides over the hits of a band. Windows that
-reach the bound are verified by banded alignment.
+A document is contaminated by a benchmark text of which it holds any ``REGION`` characters, or the
+whole if that has at most ``WHOLE``, with edits of up to ``RATE`` of their number. Such a
+window of n characters with at most e edits shares at least n - q + 1 - q * e q-grams with its
+place, on diagonals no further apart than e. Shared character q-grams are counted in overlapping
+bands of diagonals, for every window of a text: the count slides over the hits of a band. Windows
+that reach the bound are verified by banded alignment.
 
 Scale: documents are only mapped. The benchmark is taken in chunks of a bounded number of bytes,
-each of which is collected and broadcast; a benchmark of many chunks scans the documents once a
-chunk, so what is broadcast never grows.
+each of which is collected and broadcast as an index of about 20 bytes a character. If there are several, a
+bit filter of all their q-grams (of a fixed size) goes first, by the same lemma; documents that it
+lets through are written once, and only they are read again for each chunk.
 
-Edge cases: null and empty texts hold nothing; a benchmark text of under ``LEAST``
-bytes is ignored, since so short a phrase stands in clean texts too; case and runs of white space
-do not count; repeated rows are reported each; null ids are kept; empty tables give no rows; extra columns are ignored.
+Edge cases: null and empty texts hold nothing; a benchmark text of under ``LEAST`` characters is
+ignored, since so short a phrase stands in clean texts too; case and runs of white space do not
+count; each row is searched by itself, whatever rows share its doc_id, and null ids are kept;
+places are those in the text so normalised; empty tables give no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,26 +23,28 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import groups_for, table
+from ._common import groups_for, scratch, table
 
 LEAST, REGION, WHOLE, RATE = 20, 48, 96, 0.07
 Q, SHORT_Q = 10, 5  # texts shorter than REGION are found by shorter q-grams, for which the lemma leaves a bound
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
+SIEVE_BITS = 27  # bits of a filter of the q-grams of one class, as a power of two
 BLOCK = 1 << 20
 BITS = 22
 COLUMNS = "doc_id long, item_id long, start long, end long, distance int, windows int"
 
 
-def normal(text: str | None) -> bytes:
-    return " ".join((text or "").lower().split()).encode("utf-8", "replace")
+def normal(text: str | None) -> np.ndarray:
+    """Code points of a text in lower case with single spaces."""
+    return np.frombuffer(" ".join((text or "").lower().split()).encode("utf-32-le", "surrogatepass"), dtype="<u4")
 
 
 def _hashes(raw: np.ndarray, q: int) -> np.ndarray:
-    """A 64-bit hash of the q bytes from each position."""
+    """A 64-bit hash of the q characters from each position."""
     n = len(raw) - q + 1
     if n <= 0:
         return np.zeros(0, dtype=np.uint64)
@@ -52,20 +56,67 @@ def _hashes(raw: np.ndarray, q: int) -> np.ndarray:
     return h * np.uint64(0xBF58476D1CE4E5B9)
 
 
+def dense(hit: np.ndarray, reach: int, bound: int) -> np.ndarray:
+    """The lemma without windows: known q-grams that have enough others within one window's reach."""
+    if not hit.any():
+        return np.zeros(0, dtype=np.int64)
+    run = np.concatenate([[0], np.cumsum(hit)])
+    spots = np.flatnonzero(hit)
+    ahead = run[np.minimum(spots + reach, len(hit))] - run[np.maximum(spots - reach, 0)]
+    return spots[ahead >= bound]
+
+
+def classes(texts: list[tuple[int, np.ndarray]]) -> list[tuple[list[tuple[int, np.ndarray]], int, int]]:
+    """(texts, q, window): short texts, middling ones as wholes, and all regions of the longer."""
+    return [
+        ([(i, t) for i, t in texts if LEAST <= len(t) < REGION], SHORT_Q, REGION),
+        ([(i, t) for i, t in texts if REGION <= len(t) <= WHOLE], Q, WHOLE),
+        ([(i, t) for i, t in texts if len(t) > REGION], Q, REGION),
+    ]
+
+
+class Sieve:
+    """A bit filter of the q-grams of any number of texts, with the weakest bound of each class."""
+
+    def __init__(self) -> None:
+        self.bits = [np.zeros(1 << SIEVE_BITS - 3, dtype=np.uint8) for _ in range(3)]
+        self.rule: list[tuple[int, int, int] | None] = [None, None, None]
+
+    def add(self, texts: list[tuple[int, np.ndarray]]) -> None:
+        for k, (own, q, window) in enumerate(classes(texts)):
+            for _, raw in own:
+                at = (_hashes(raw, q) >> np.uint64(64 - SIEVE_BITS)).astype(np.int64)
+                np.bitwise_or.at(self.bits[k], at >> 3, (1 << (at & 7)).astype(np.uint8))
+                size = min(len(raw), window)
+                edits = int(size * RATE)
+                bound, reach = size - q + 1 - q * edits, size + edits
+                old = self.rule[k]
+                self.rule[k] = (q, min(bound, old[1]), max(reach, old[2])) if old else (q, bound, reach)
+
+    def passes(self, raw: np.ndarray) -> bool:
+        for bits, rule in zip(self.bits, self.rule):
+            if rule:
+                q, bound, reach = rule
+                at = (_hashes(raw, q) >> np.uint64(64 - SIEVE_BITS)).astype(np.int64)
+                if len(dense(bits[at >> 3] >> (at & 7).astype(np.uint8) & 1 > 0, reach, bound)):
+                    return True
+        return False
+
+
 class Index:
-    """The q-grams of some texts, of which every window of at most ``window`` bytes is looked for."""
+    """The q-grams of some texts, of which every window of at most ``window`` characters is looked for."""
 
-    def __init__(self, texts: list[tuple[int, bytes]], q: int, window: int) -> None:
+    def __init__(self, texts: list[tuple[int, np.ndarray]], q: int, window: int) -> None:
         self.q = q
         self.item = [item for item, _ in texts]
-        parts = [np.frombuffer(raw, dtype=np.uint8) for _, raw in texts]
+        parts = [raw for _, raw in texts]
         self.length = np.array([len(x) for x in parts], dtype=np.int64)
         self.begin = np.cumsum(self.length) - self.length
-        self.flat = np.concatenate(parts) if parts else np.zeros(0, dtype=np.uint8)
+        self.flat = np.concatenate(parts) if parts else np.zeros(0, dtype="<u4")
         hashes = [_hashes(x, q) for x in parts]
         gram = np.concatenate(hashes) if parts else np.zeros(0, dtype=np.uint64)
-        text = np.repeat(np.arange(len(parts)), [len(h) for h in hashes])
-        at = np.concatenate([np.arange(len(h)) for h in hashes]) if parts else np.zeros(0, dtype=np.int64)
+        text = np.repeat(np.arange(len(parts), dtype=np.int32), [len(h) for h in hashes])
+        at = np.concatenate([np.arange(len(h), dtype=np.int32) for h in hashes]) if parts else np.zeros(0, dtype=np.int32)
         order = np.argsort(gram, kind="stable")
         self.gram, self.text, self.at = gram[order], text[order], at[order]
         self.size = np.minimum(self.length, window)
@@ -80,22 +131,16 @@ class Index:
         if not len(self.gram):
             return []
         h = _hashes(raw, self.q)
-        hit = self.seen[(h >> np.uint64(64 - BITS)).astype(np.int64)]
-        if not hit.any():
+        spots = dense(self.seen[(h >> np.uint64(64 - BITS)).astype(np.int64)], int(self.size.max() + self.edits.max()), int(self.bound.min()))
+        if not len(spots):
             return []
-        # the lemma without windows first: enough known q-grams within one window's reach
-        reach = int(self.size.max() + self.edits.max())
-        run = np.concatenate([[0], np.cumsum(hit)])
-        spots = np.flatnonzero(hit)
-        ahead = run[np.minimum(spots + reach, len(h))] - run[np.maximum(spots - reach, 0)]
-        spots = spots[ahead >= int(self.bound.min())]
         low = np.searchsorted(self.gram, h[spots], "left")
         n = np.searchsorted(self.gram, h[spots], "right") - low
         spots, low, n = spots[n > 0], low[n > 0], n[n > 0]
         if not len(spots):
             return []
         entry = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
-        text, at = self.text[entry], self.at[entry]
+        text, at = self.text[entry].astype(np.int64), self.at[entry].astype(np.int64)
         width, longest = int(self.edits.max()) + 1, int(self.length.max())
         band = (np.repeat(spots, n) - at + longest) // width + 1
         # overlapping bands: a hit counts in its own band and in the one below
@@ -139,8 +184,8 @@ class Index:
                 seen = np.where(real, raw[np.clip(place, 0, len(raw) - 1)], -2)
                 mine = self.flat[np.minimum(first + i, len(self.flat) - 1)]
                 step = cost + ((seen != mine[:, None]) << 8)
-                step[:, :-1] = np.minimum(step[:, :-1], cost[:, 1:] + 256)  # a byte of the window is missing
-                step = np.minimum.accumulate(step - (column << 8), axis=1) + (column << 8)  # bytes inserted
+                step[:, :-1] = np.minimum(step[:, :-1], cost[:, 1:] + 256)  # a character of the window is missing
+                step = np.minimum.accumulate(step - (column << 8), axis=1) + (column << 8)  # characters inserted
                 cost = step
                 done = size == i + 1
                 if done.any():
@@ -152,15 +197,10 @@ class Index:
 
 
 class Benchmark:
-    """Indexes of the benchmark texts: short ones, middling ones as wholes, and all regions of the longer."""
+    """Indexes of the classes of benchmark texts."""
 
     def __init__(self, items: list[tuple[int, str]]) -> None:
-        texts = [(item, normal(text)) for item, text in items]
-        self.indexes = [
-            Index([(i, t) for i, t in texts if LEAST <= len(t) < REGION], SHORT_Q, REGION),
-            Index([(i, t) for i, t in texts if REGION <= len(t) <= WHOLE], Q, WHOLE),
-            Index([(i, t) for i, t in texts if len(t) > REGION], Q, REGION),
-        ]
+        self.indexes = [Index(*c) for c in classes([(item, normal(text)) for item, text in items])]
 
     def find(self, raw: np.ndarray) -> Iterator[tuple[int, tuple[int, int], int, int, int]]:
         """(item, window, start, end, distance) of every verified occurrence in one buffer."""
@@ -169,18 +209,22 @@ class Benchmark:
                 yield index.item[text], (int(index.size[text]), offset), s, e, d
 
 
+_SCHEMA = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("distance", pa.int32()), ("windows", pa.int32())])
+
+
 def _matches(docs: DataFrame, items: DataFrame) -> DataFrame:
     bench = docs.sparkSession.sparkContext.broadcast(Benchmark([(r[0], r[1]) for r in items.collect()]))
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         b = bench.value
-        for frame in frames:
-            out: dict[tuple, list] = {}
-            for ids, starts, sizes, raw in _buffers(frame):
+        for batch in batches:
+            ids = batch.column(0).to_pylist()
+            out: dict[tuple, list] = {}  # by the row, as rows may share a doc_id or have none
+            for rows, starts, sizes, raw in _buffers(batch.column(1)):
                 for item, window, s, e, d in b.find(raw):
                     # an end lies in its document or in the gap after it, a start may lie in the gap before
                     k = int(np.searchsorted(starts, e - 1, "right") - 1)
-                    key = (ids[k], item)
+                    key = (rows[k], item)
                     s, e = max(s - int(starts[k]), 0), min(e - int(starts[k]), int(sizes[k]))
                     seen = out.get(key)
                     if seen is None:
@@ -188,18 +232,19 @@ def _matches(docs: DataFrame, items: DataFrame) -> DataFrame:
                     else:
                         seen[0], seen[1], seen[2] = min(seen[0], s), max(seen[1], e), min(seen[2], d)
                         seen[3].add(window)
-            rows = [(None if pd.isna(i) else int(i), item, s, e, d, len(w)) for (i, item), (s, e, d, w) in out.items()]
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in COLUMNS.split(", ")]).astype({"doc_id": "Int64", "item_id": "Int64"})
+            found = [(ids[i], item, s, e, d, len(w)) for (i, item), (s, e, d, w) in out.items()]
+            columns = zip(*found) if found else [()] * len(_SCHEMA)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _SCHEMA)], schema=_SCHEMA)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, COLUMNS)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, COLUMNS)
 
 
-def _buffers(frame: pd.DataFrame):
-    """Documents joined to about BLOCK bytes, far enough apart that no window spans two."""
-    gap = b"\0" * (WHOLE + 16)
+def _buffers(texts):
+    """Rows' texts joined to about BLOCK characters, far enough apart that no window spans two: (rows, starts, sizes, characters)."""
+    gap = np.zeros(WHOLE + 16, dtype="<u4")
     ids, parts, starts, sizes, size = [], [], [], [], 0
-    for i, text in zip(frame["doc_id"], frame["text"]):
-        raw = normal(text)
+    for i, text in enumerate(texts):
+        raw = normal(text.as_py())
         if len(raw) < LEAST - int(LEAST * RATE):
             continue
         ids.append(i)
@@ -208,20 +253,37 @@ def _buffers(frame: pd.DataFrame):
         parts += [raw, gap]
         size += len(raw) + len(gap)
         if size >= BLOCK:
-            yield ids, np.array(starts), np.array(sizes), np.frombuffer(b"".join(parts), dtype=np.uint8)
+            yield ids, np.array(starts), np.array(sizes), np.concatenate(parts)
             ids, parts, starts, sizes, size = [], [], [], [], 0
     if parts:
-        yield ids, np.array(starts), np.array(sizes), np.frombuffer(b"".join(parts), dtype=np.uint8)
+        yield ids, np.array(starts), np.array(sizes), np.concatenate(parts)
+
+
+def suspects(docs: DataFrame, parts: list[DataFrame]) -> DataFrame:
+    """The documents that the bit filter of all parts of the benchmark lets through, written once."""
+    sieve = Sieve()
+    for part in parts:
+        sieve.add([(r[0], normal(r[1])) for r in part.collect()])
+    shared = docs.sparkSession.sparkContext.broadcast(sieve)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([shared.value.passes(normal(t.as_py())) for t in batch.column(1)], pa.bool_()))
+
+    return scratch(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, text string"), "suspects")
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """One row per document and benchmark text found in it: extent, least distance, windows found."""
     items = benchmark.select(F.col("item_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).filter("item_id is not null")
-    chunks = groups_for(int(items.agg(F.coalesce(F.sum(F.octet_length("text") + 16), F.lit(0))).first()[0]), CHUNK_BYTES)
-    found = None
-    for k in range(chunks):
-        part = _matches(docs, items.filter(F.pmod(F.xxhash64("item_id"), F.lit(chunks)) == k) if chunks > 1 else items)
-        found = part if found is None else found.unionByName(part)
+    chunks = groups_for(int(items.agg(F.coalesce(F.sum(F.octet_length("text") + 16), F.lit(0))).first()[0]), chunk_bytes)
+    if chunks == 1:
+        return _matches(docs, items)
+    parts = [items.filter(F.pmod(F.xxhash64("item_id"), F.lit(chunks)) == k) for k in range(chunks)]
+    left, found = suspects(docs, parts), None
+    for part in parts:
+        one = _matches(left, part)
+        found = one if found is None else found.unionByName(one)
     return found
 
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import bucket_of, groups_for, scratch, table
+from ._common import groups_for, scratch, table
 
 MAX_TOKENS = 2048
 TOKENIZER = "word_bpe_49k.json"
@@ -154,7 +154,7 @@ def pack(
     max_tokens: int = MAX_TOKENS,
     max_documents: int | None = None,
     max_attention: float | None = None,
-    weights: tuple[float, float, float] = (1.0, 0.0, 0.0),
+    weights: tuple[float, float, float] = (1.0, 1.0, 1.0),
     rule: str = "residual",
     per_group: int = PIECES_PER_GROUP,
     slack: float = 0.004,
@@ -163,8 +163,13 @@ def pack(
     """Add ``sequence_id`` and ``offset`` to pieces (see :func:`pieces`).
 
     ``items`` should be a table, not a recomputed plan: it is counted and read. Each round packs
-    within hash groups of about ``per_group`` pieces; between rounds, bins with more than
-    ``slack`` of their tokens free are dissolved and only their pieces go on.
+    within groups of about ``per_group`` pieces, dealt by their place in the table so that no key
+    or text makes a group large; between rounds, bins with more than ``slack`` of their tokens
+    free are dissolved and only their pieces go on.
+
+    A bin's residual counts by all three capacities. The default capacities of documents and
+    attention are what a sequence of ``max_tokens`` can hold at most, so they choose bins but never
+    cost a sequence; smaller ones bind.
     """
     capacity = np.array([max_tokens, max_documents or max_tokens, max_attention or float(max_tokens) ** 2], dtype=float)
     weight = np.array(weights, dtype=float)
@@ -194,7 +199,7 @@ def pack(
     for k in range(rounds):
         n = groups_for(rest.count(), per_group)
         last = k == rounds - 1 or (n == 1 and k == 0)
-        keyed = rest.select("doc_id", "piece", "start", "length", "ids_crc32", bucket_of("doc_id", "piece", n=n).alias("group"))
+        keyed = rest.select("doc_id", "piece", "start", "length", "ids_crc32", F.pmod(F.xxhash64("ids_crc32", F.monotonically_increasing_id()), F.lit(n)).cast("int").alias("group"))
         placed = keyed.groupBy("group").applyInPandas(place(k, last), schema)
         if last:
             full = placed
