@@ -1,26 +1,30 @@
 """Operator 2: removal of repeated byte strings by merging shard Burrows-Wheeler transforms.
 
-:func:`repeats` is the operator's core: strings are split into shards, each shard gets its
-suffix order, BWT and LF mapping, and the shards' rows are interleaved by refinement: every step
-deals the rows stably by the byte before them, so after ``h`` steps rows stand in the order of
-their first ``h`` bytes over all shards, and a block of rows is an interval of common prefix
-``h``. Blocks of one row need no further steps. No suffix of the union is ever sorted again.
+:func:`merged` is the operator's core: strings are split into shards, each shard gets its suffix
+order, BWT and LF mapping, and the shards' rows are interleaved by refinement: every step deals
+the rows stably by the byte before them, so after ``h`` steps rows stand in the order of their
+first ``h`` bytes over all shards. Where two rows part at step ``h + 1`` their common prefix is
+``h``. No suffix of the union is ever sorted again. The result is the merged order, its BWT and
+common prefixes; :func:`intervals` are its repeated strings. :func:`repeats` is the same for one
+length only, and lets go of rows that no other row has followed so far.
 
 Over a corpus, a string of ``length`` bytes is first dealt by its minimiser (the least hash of
 its q-grams), which equal strings share. A run of neighbouring strings with one minimiser is kept
-as one segment. Segments alone with their minimiser hold no repeat; equal segments collapse onto
-the earliest, which covers the others wholly; the rest, which share a minimiser but differ, go
-through the merge, minimisers dealt over cells of bounded size.
+as one segment. Segments alone with their minimiser hold no repeat; equal segments (by 108 bits
+of two hashes) collapse onto the earliest, which covers the others wholly; the rest, which share
+a minimiser but differ, go through the merge, minimisers dealt over cells of bounded size. The
+strings of a minimiser that is too large for a cell are dealt by the 93 bytes that those with it
+in about the same place share.
 
 Scale: fingerprints travel as packed arrays (about 30 bytes for 39 of text), with equal segments
-of a batch collapsed before the shuffle, so a hot passage sends one entry a batch and bucket.
-Only texts that take part are read again. A cell grows with the number of different surroundings
-of its passages, not with their copies.
+of a batch collapsed before the shuffle, so a hot passage sends one entry a batch to its bucket;
+its other copies are known to be repeats and are dealt evenly. Only texts that take part are read
+again.
 
 Edge cases: null text is empty and null doc_id comes first; rows with the same doc_id and text
 count as one document and both lose the same bytes, those of one doc_id (or none) and different
-texts are documents of their own, in the order of a hash; texts shorter than
-``length`` lose nothing; empty tables give no rows; extra columns are ignored.
+texts are documents of their own, in the order of a hash; texts shorter than ``length`` lose
+nothing; empty tables give no rows; a column named ``spans`` is replaced, other columns are kept.
 """
 
 from __future__ import annotations
@@ -30,6 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -80,17 +85,70 @@ class Shard:
         self.lf = rank[before]
 
 
-def repeats(strings: list[bytes], length: int, shard_bytes: int = SHARD_BYTES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(block, string, position) of every ``length``-byte string that occurs more than once."""
-    shards, held, size, first = [], [], 0, [0]
+def _shards(strings: list[bytes], shard_bytes: int) -> list[Shard]:
+    out, held, size = [], [], 0
     for s in strings:
         if held and size + len(s) > shard_bytes:
-            shards.append(Shard(held))
-            first.append(first[-1] + len(held))
+            out.append(Shard(held))
             held, size = [], 0
         held.append(s)
         size += len(s) + 1
-    shards.append(Shard(held))
+    return [*out, Shard(held)] if held else out
+
+
+def _places(shards: list[Shard], base: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(string, position) of rows."""
+    place = np.concatenate([s.order + b for s, b in zip(shards, base)])[rows]
+    ends = np.concatenate([np.flatnonzero(s.is_end) + b for s, b in zip(shards, base)])
+    string = np.searchsorted(ends, place)
+    return string, place - np.r_[0, ends[:-1] + 1][string]
+
+
+def merged(strings: list[bytes], depth: int, shard_bytes: int = SHARD_BYTES) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(string, position, byte before, common prefix with the row above) of all suffixes, in order of their first ``depth`` bytes.
+
+    A string's end comes before any byte, the ends in order of the strings; nothing stands before
+    a string's opening, which has -1 there. Common prefixes are at most ``depth``; the first row has 0.
+    """
+    shards = _shards(strings, shard_bytes)
+    if not shards:
+        return (np.zeros(0, dtype=np.int64),) * 4
+    base = np.cumsum([0] + [len(s.text) for s in shards])
+    lf = np.concatenate([s.lf + b for s, b in zip(shards, base)])
+    before = np.where(np.concatenate([s.begins for s in shards]), -1, np.concatenate([s.bwt for s in shards]).astype(np.int64))
+    # ends are in their places from the start: they come first, in order of the strings
+    ends = np.concatenate([b + np.arange(int(s.is_end.sum())) for s, b in zip(shards, base)])
+    rows = np.concatenate([ends, np.setdiff1d(np.arange(base[-1]), ends)])
+    common = np.full(len(rows), -1, dtype=np.int64)
+    common[: len(ends) + 1] = 0
+    common = common[: len(rows)]
+    for h in range(depth):
+        inner = before[rows] >= 0
+        order = np.argsort(before[rows][inner], kind="stable")
+        block = np.cumsum(common >= 0)[inner][order]
+        byte = before[rows][inner][order]
+        rows = np.concatenate([ends, lf[rows][inner][order]])
+        parted = np.r_[np.ones(len(ends) + 1, dtype=bool), (block[1:] != block[:-1]) | (byte[1:] != byte[:-1])][: len(rows)]
+        common[parted & (common < 0)] = h
+        if (common >= 0).all():
+            break
+    common[common < 0] = depth
+    string, at = _places(shards, base, rows)
+    return string, at, before[rows], common
+
+
+def intervals(common: np.ndarray, length: int) -> list[tuple[int, int]]:
+    """Maximal ranges of at least two rows whose first ``length`` bytes are the same."""
+    deep = np.r_[False, common[1:] >= length, False] if len(common) else np.zeros(1, dtype=bool)
+    change = np.flatnonzero(deep[1:] != deep[:-1])
+    return [(int(s), int(e) + 1) for s, e in zip(change[::2], change[1::2])]
+
+
+def repeats(strings: list[bytes], length: int, shard_bytes: int = SHARD_BYTES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(block, string, position) of every ``length``-byte string that occurs more than once."""
+    shards = _shards(strings, shard_bytes)
+    if not shards:
+        return (np.zeros(0, dtype=np.int64),) * 3
     base = np.cumsum([0] + [len(s.text) for s in shards])
     bwt = np.concatenate([s.bwt for s in shards])
     stop = np.concatenate([s.begins for s in shards])
@@ -115,18 +173,13 @@ def repeats(strings: list[bytes], length: int, shard_bytes: int = SHARD_BYTES) -
         shared = ~(new[:-1] & new[1:])
         rows = back[rows[order[shared]]]
         block = np.cumsum(new[:-1], dtype=np.int32)[shared]
-    place = np.concatenate([s.order + b for s, b in zip(shards, base)])[rows]
-    ends = np.concatenate([np.flatnonzero(s.is_end) + b for s, b in zip(shards, base)])
-    string = np.searchsorted(ends, place)
-    return block, string, place - np.r_[0, ends[:-1] + 1][string]
+    return block, *_places(shards, base, rows)
 
 
 # ---- the corpus --------------------------------------------------------------------------------
 
 
-def _segments(raw: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(minimiser, hash, start, size) of the segments of one buffer."""
-    n = len(raw) - length + 1
+def _gram_hashes(raw: np.ndarray) -> np.ndarray:
     u = np.uint64
     h = np.zeros(len(raw) - Q + 1, dtype=u)
     for k in range(Q):
@@ -134,7 +187,14 @@ def _segments(raw: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.
         h += raw[k : k + len(h)]
     h ^= h >> u(31)
     h *= u(0xBF58476D1CE4E5B9)
-    least = (h & ~u((1 << 20) - 1)) | np.arange(len(h), dtype=u)  # leftmost of equals
+    return (h & ~u((1 << 20) - 1)) | np.arange(len(h), dtype=u)  # leftmost of equals
+
+
+def _segments(raw: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(minimiser, hash, start, size) of the segments of one buffer."""
+    n = len(raw) - length + 1
+    u = np.uint64
+    least = _gram_hashes(raw)
     width, have = length - Q + 1, 1
     while have < width:
         step = min(have, width - have)
@@ -179,7 +239,8 @@ def _fingerprints(docs: DataFrame, length: int, buckets: int) -> DataFrame:
         first, later = collapsed(part)
         rows: dict[int, list] = {}
         for which, x in enumerate((first, later)):
-            bucket = (x["m"] % np.uint64(buckets)).astype(np.int64)
+            # repeats that are known already go to buckets of their own, whatever their minimiser
+            bucket = (x["m"] % np.uint64(buckets)).astype(np.int64) if not which else buckets + np.arange(len(x)) * buckets // max(len(x), 1)
             order = np.argsort(bucket, kind="stable")
             x, bucket = x[order], bucket[order]
             cut = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(x) else np.zeros(0, dtype=int)
@@ -224,27 +285,58 @@ def _sorted_out(prints: DataFrame) -> DataFrame:
     return prints.groupBy("bucket").applyInPandas(run, SPANS)
 
 
-def _merged(docs: DataFrame, need: DataFrame, length: int) -> DataFrame:
+STEP = 8  # how far apart strings of one part may have a minimiser that was split
+
+
+def divided(raw: bytes, length: int) -> Iterator[tuple[int, int, bytes]]:
+    """Parts (start, end) of a segment, by the place of the minimiser in its strings, with the bytes that all strings of a part share.
+
+    Equal strings have the minimiser in one place, so they lie in parts with the same shared bytes.
+    """
+    n = len(raw) - length + 1
+    p = int(_gram_hashes(np.frombuffer(raw[:length], dtype=np.uint8)).argmin())
+    for before in range(0, length - Q + 1, STEP):
+        first, last = max(p - before - STEP + 1, 0), min(p - before, n - 1)
+        if first <= last:
+            yield first, last + length, raw[p - before : p - before + length - STEP + 1]
+
+
+def _merged(docs: DataFrame, need: DataFrame, length: int, cell_bytes: int = CELL_BYTES) -> DataFrame:
     """Repeats among segments that share a minimiser but differ."""
-    total = need.agg(F.coalesce(F.sum(F.col("end") - F.col("start")), F.lit(0))).first()[0]
-    cells = groups_for(int(total), CELL_BYTES)
-    wanted = need.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end", "m")).alias("parts"))
+    sizes = scratch(need.groupBy("m").agg(F.sum(F.col("end") - F.col("start")).alias("n")), "sizes")
+    cells = groups_for(int(sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]), cell_bytes)
+    large = sizes.filter(F.col("n") > cell_bytes).select("m", F.lit(True).alias("large"))
+    if not large.isEmpty():
+        need = need.join(large, "m", "left")
+    else:
+        need = need.withColumn("large", F.lit(False))
+    wanted = need.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end", "m", "large")).alias("parts"))
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows = []
             for doc, text, parts in zip(frame["doc_id"], frame["text"], frame["parts"]):
                 raw = text.encode("utf-8", "replace")
-                rows += [(p["m"] % cells, doc, p["start"], raw[p["start"] : p["end"]]) for p in parts]
+                for p in parts:
+                    own = raw[p["start"] : p["end"]]
+                    if p["large"]:
+                        for s, e, shared in divided(own, length):
+                            key = int.from_bytes(hashlib.blake2b(shared, digest_size=7).digest(), "little")
+                            rows.append((key % cells, doc, p["start"] + s, own[s:e]))
+                    else:
+                        rows.append((p["m"] % cells, doc, p["start"], own))
             yield pd.DataFrame(rows, columns=["cell", "doc_id", "start", "bytes"])
 
     def merge(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.drop_duplicates(["doc_id", "start"])
+        frame = frame.drop_duplicates(["doc_id", "start", "bytes"])
         block, string, at = repeats(frame["bytes"].tolist(), length)
         doc = frame["doc_id"].to_numpy()[string]
         start = frame["start"].to_numpy()[string] + at
         order = np.lexsort((start, doc, block))
         block, doc, start = block[order], doc[order], start[order]
+        # strings of two minimisers of one cell may overlap, so a place may be there twice
+        again = np.r_[False, (block[1:] == block[:-1]) & (doc[1:] == doc[:-1]) & (start[1:] == start[:-1])] if len(block) else np.zeros(0, dtype=bool)
+        block, doc, start = block[~again], doc[~again], start[~again]
         later = np.r_[False, block[1:] == block[:-1]] if len(block) else np.zeros(0, dtype=bool)
         doc, start = doc[later], start[later]
         order = np.lexsort((start, doc))
@@ -257,14 +349,14 @@ def _merged(docs: DataFrame, need: DataFrame, length: int) -> DataFrame:
     return texts.groupBy("cell").applyInPandas(merge, "doc_id long, start long, end long")
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int = LENGTH, cell_bytes: int = CELL_BYTES) -> DataFrame:
     """doc_id and ``spans``, the array of (start, end) byte ranges that repeat earlier bytes (they may overlap)."""
     bounded_batches(docs.sparkSession)
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     total = int(docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0])
     prints = _fingerprints(docs, length, groups_for(total, 8 << 20))
     spans = scratch(_sorted_out(prints), "spans")
-    more = _merged(docs, spans.filter("m is not null"), length)
+    more = _merged(docs, spans.filter("m is not null"), length, cell_bytes)
     both = spans.filter("m is null").select("doc_id", "start", "end").unionByName(more)
     return both.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
 
@@ -299,27 +391,31 @@ def identified(docs: DataFrame) -> DataFrame:
     return docs.select("*", *key).join(ranked, ["_doc", "_h", "_g"]).drop("_doc", "_h", "_g")
 
 
-def with_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """The documents, every column kept, with their repeated ``spans`` (null where there are none)."""
-    keyed = identified(docs)
-    spans = repeated_spans(keyed.select(F.col("_id").alias("doc_id"), "text"), length)
+def with_spans(docs: DataFrame, length: int = LENGTH, cell_bytes: int = CELL_BYTES) -> DataFrame:
+    """The documents with their repeated ``spans`` (null where there are none), in place of a column of that name."""
+    keyed = identified(docs.drop("spans", "_id", "_doc", "_h", "_g"))
+    spans = repeated_spans(keyed.select(F.col("_id").alias("doc_id"), "text"), length, cell_bytes)
     return keyed.join(spans.withColumnRenamed("doc_id", "_id"), "_id", "left").drop("_id")
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of every document without the 100-byte strings that start earlier."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = []
-            for doc, text, spans in zip(frame["doc_id"], frame["text"], frame["spans"]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, removed, runs, digests = [], [], [], []
+            for text, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 raw = (text or "").encode("utf-8", "replace")
-                kept, removed, runs = kept_parts(raw, spans)
-                out.append((None if pd.isna(doc) else int(doc), len(raw), removed, runs, hashlib.sha256(b"".join(raw[s:e] for s, e in kept)).hexdigest()))
-            yield pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]).astype({"doc_id": "Int64"})
+                kept, n, k = kept_parts(raw, spans)
+                sizes.append(len(raw))
+                removed.append(n)
+                runs.append(k)
+                digests.append(hashlib.sha256(b"".join(raw[s:e] for s, e in kept)).hexdigest())
+            columns = [batch.column(0), *(pa.array(c, pa.int64()) for c in (sizes, removed, runs)), pa.array(digests, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return with_spans(docs).mapInPandas(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return with_spans(docs).select("doc_id", "text", "spans").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def sql(length: int = LENGTH) -> str:
