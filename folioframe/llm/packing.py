@@ -173,7 +173,7 @@ def pack(
     """
     capacity = np.array([max_tokens, max_documents or max_tokens, max_attention or float(max_tokens) ** 2], dtype=float)
     weight = np.array(weights, dtype=float)
-    schema = f"{PIECES}, sequence_id long, offset long, done boolean"
+    schema = f"{PIECES.replace('piece int', 'none boolean, piece int')}, sequence_id long, offset long, done boolean"
 
     def place(round_no: int, last: bool):
         def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
@@ -199,8 +199,10 @@ def pack(
     for k in range(rounds):
         n = groups_for(rest.count(), per_group)
         last = k == rounds - 1 or (n == 1 and k == 0)
-        keyed = rest.select("doc_id", "piece", "start", "length", "ids_crc32", F.pmod(F.xxhash64("ids_crc32", F.monotonically_increasing_id()), F.lit(n)).cast("int").alias("group"))
+        # in pandas a null would turn the ids beside it into doubles, so it travels as a mark of its own
+        keyed = rest.select(F.coalesce("doc_id", F.lit(0).cast("long")).alias("doc_id"), F.col("doc_id").isNull().alias("none"), "piece", "start", "length", "ids_crc32", F.pmod(F.xxhash64("ids_crc32", F.monotonically_increasing_id()), F.lit(n)).cast("int").alias("group"))
         placed = keyed.groupBy("group").applyInPandas(place(k, last), schema)
+        placed = placed.withColumn("doc_id", F.when(~F.col("none"), F.col("doc_id"))).drop("none")
         if last:
             full = placed
         else:

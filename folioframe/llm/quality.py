@@ -10,7 +10,8 @@ a fixed size, so the broadcast does. Scoring is map-only.
 
 Edge cases: null and empty texts are scored on their statistics alone; without labels of both
 classes every score is the share of good labels (0 without labels); repeated rows are scored
-alike; a null doc_id is not held out and not learnt from; empty tables give no rows.
+alike; a null doc_id is not held out and not learnt from; columns named ``score`` or ``predicted``
+are replaced; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import held_out, labelled, table
+from ._common import held_out, labelled, sampled, table
 
 WORD_SLOTS, STEPS, RANK = 1 << 15, 12, 8
 STATISTICS = 12
@@ -95,11 +96,11 @@ class Machine:
         squares = np.add.reduceat((v**2).sum(axis=1), starts)
         return self.bias + np.add.reduceat(self.linear[slots] * values, starts) + 0.5 * ((total**2).sum(axis=1) - squares), total
 
-    def fit(self, rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, epochs: int = 6, batch: int = 64, rate: float = 0.05, decay: float = 1e-4) -> None:
+    def fit(self, rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, epochs: int = 6, batch: int = 64, steps: int = 600, rate: float = 0.05, decay: float = 1e-4) -> None:
         rng = np.random.default_rng(11)
         seen_linear, seen_factor, seen_bias = np.full(SLOTS, 1e-6), np.full((SLOTS, RANK), 1e-6), 1e-6
         self.bias = float(np.log((y.mean() + 1e-3) / (1 - y.mean() + 1e-3)))
-        for _ in range(epochs):
+        for _ in range(max(epochs, -(-steps * batch // max(len(rows), 1)))):  # few rows are gone through more often
             order = rng.permutation(len(rows))
             for at in range(0, len(order), batch):
                 pick = order[at : at + batch]
@@ -136,8 +137,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine | f
     """A machine, or the share of good labels where there are not both classes to learn from."""
     known = labels.filter(F.col("quality").isNotNull())
     total = known.count()
-    if total > sample:  # by a hash of the key, so the same rows come again on a retry
-        known = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * sample / total))
+    known = sampled(known, "doc_id", total, sample)
     encode = Encoder()
 
     def features(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -147,6 +147,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine | f
 
     # in one executor's task: the sample is bounded and its model leaves as fixed-size rows
     def train(frame: pd.DataFrame) -> pd.DataFrame:
+        # in an order of their own, so that the same rows give the same machine whatever task brought them
+        frame = frame.assign(order=[zlib.crc32(np.asarray(s, dtype=np.int32).tobytes()) for s in frame["slots"]]).sort_values(["order", "label"], kind="stable", ignore_index=True)
         y = frame["label"].to_numpy(dtype=float)
         machine = Machine()
         if 0 < y.mean() < 1:
@@ -154,7 +156,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine | f
         state = np.concatenate([[y.mean(), machine.bias], machine.linear, machine.factor.ravel()])
         return pd.DataFrame({"state": [state.tobytes()]})
 
-    rows = labelled(docs, known, "quality").mapInPandas(features, "slots array<int>, x array<float>, label int")
+    rows = labelled(docs, known, "quality").select("text", "label").mapInPandas(features, "slots array<int>, x array<float>, label int")
     found = rows.withColumn("one", F.lit(0)).groupBy("one").applyInPandas(train, "state binary").collect()
     if not found:
         return 0.0
@@ -167,7 +169,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine | f
 
 
 def score(docs: DataFrame, machine: Machine | float, threshold: float = 0.3) -> DataFrame:
-    """Add ``score`` and ``predicted`` to the documents; every other column is kept."""
+    """Add ``score`` and ``predicted`` to the documents, in place of columns of these names; every other column is kept."""
+    docs = docs.drop("score", "predicted")
     shared = docs.sparkSession.sparkContext.broadcast(machine)
 
     @F.pandas_udf("double")

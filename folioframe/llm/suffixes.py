@@ -125,7 +125,7 @@ def merged(strings: list[bytes], depth: int, shard_bytes: int = SHARD_BYTES) ->
     for h in range(depth):
         inner = before[rows] >= 0
         order = np.argsort(before[rows][inner], kind="stable")
-        block = np.cumsum(common >= 0)[inner][order]
+        block = (np.cumsum(common >= 0) if h else np.zeros(len(rows), dtype=np.int64))[inner][order]  # rows of one prefix of h bytes
         byte = before[rows][inner][order]
         rows = np.concatenate([ends, lf[rows][inner][order]])
         parted = np.r_[np.ones(len(ends) + 1, dtype=bool), (block[1:] != block[:-1]) | (byte[1:] != byte[:-1])][: len(rows)]

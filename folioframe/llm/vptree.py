@@ -3,7 +3,9 @@
 Largest inner product becomes least distance by one more coordinate, sqrt(M^2 - |x|^2), with one M
 for all rows. A tree node holds a vantage point and the median distance of its rows to it; a
 query skips the side where its distance to the shell, times ``factor``, exceeds its k-th distance
-so far. Factor one is exact; larger factors prune more.
+so far. Factor one is exact; larger factors prune more. Unless it is given, the factor is the
+boldest of a few that keeps a recall of 0.95 on a bounded sample of the queries, which are
+compared with all rows.
 
 The top levels of a tree over a bounded sample deal rows to shards, so a shard's rows lie
 together. Each shard's tree is built once and written. A query first searches its home shard,
@@ -41,8 +43,8 @@ SAMPLE = 4096  # bound on the rows from which the router is built
 SAMPLE_LEAF = 8  # sampled rows that a shard has at least
 TRIED = 6  # rows of which a vantage point is chosen
 SLACK = 4  # candidates beyond k that are compared by the exact product
-#: Pruning factor of the production query; recall of 0.9 and more was measured against brute force.
-FACTOR = 6.0
+#: Pruning factors that are tried, from the boldest; the first that keeps ``RECALL`` on ``TUNE_QUERIES`` queries is taken.
+FACTORS, RECALL, TUNE_QUERIES = (8.0, 7.0, 6.0, 5.0, 4.0, 3.0, 2.0, 1.5, 1.0), 0.95, 128
 NEAR = 1e-9
 
 
@@ -84,13 +86,14 @@ class Tree:
             return rows
         return vantage, float(d.min()), shell, float(d.max()), self._build(rows[inner]), self._build(rows[~inner])
 
-    def search(self, queries: np.ndarray, k: int, factor: float = 1.0, reach: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    def search(self, queries: np.ndarray, k: int, factor: float | np.ndarray = 1.0, reach: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(rows, distances) of the k nearest of each query, -1 and inf where there are fewer.
 
         ``reach`` is a distance beyond which a query wants nothing.
         """
         near, who = np.full((len(queries), k), np.inf), np.full((len(queries), k), -1, dtype=np.int64)
         reach = np.full(len(queries), np.inf) if reach is None else reach
+        bold = np.broadcast_to(factor, len(queries))
 
         def visit(node, active: np.ndarray) -> None:
             if not len(active):
@@ -112,7 +115,7 @@ class Tree:
             d = _distance(queries[active], self.points[[vantage]])[:, 0]
             self.computed += len(active)
             # by the triangle inequality no row of a side is nearer than this
-            bounds = {id(inner): np.maximum(d - shell, least - d) * factor, id(outer): np.maximum(shell - d, d - most) * factor}
+            bounds = {id(inner): np.maximum(d - shell, least - d) * bold[active], id(outer): np.maximum(shell - d, d - most) * bold[active]}
             for first, then, side in ((inner, outer, d <= shell), (outer, inner, d > shell)):
                 mine = active[side]
                 for child in (first, then):
@@ -154,7 +157,7 @@ class Router:
         visit(self.root, np.arange(len(x)))
         return out
 
-    def admitted(self, x: np.ndarray, reach: np.ndarray, factor: float) -> Iterator[tuple[int, np.ndarray]]:
+    def admitted(self, x: np.ndarray, reach: np.ndarray, factor: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         """(shard, positions of the queries that it could serve)."""
 
         def visit(node, rows: np.ndarray):
@@ -162,7 +165,7 @@ class Router:
                 yield node, rows
             elif len(rows):
                 vantage, shell, inner, outer = node
-                gap = (_distance(x[rows], self.tree.points[[vantage]])[:, 0] - shell) * factor
+                gap = (_distance(x[rows], self.tree.points[[vantage]])[:, 0] - shell) * factor[rows]
                 yield from visit(inner, rows[gap <= reach[rows] + NEAR])
                 yield from visit(outer, rows[-gap <= reach[rows] + NEAR])
 
@@ -197,12 +200,14 @@ def dot(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.add.accumulate(a * b, axis=1)[:, -1]
 
 
-HIT = "query_id long, id long, score double"
+HIT = "query_id long, factor double, id long, score double"
 
 
-def nearest(rows: DataFrame, queries: DataFrame, key: str, vector: str, k: int = K, factor: float = FACTOR, shard_rows: int = SHARD_ROWS, block_rows: int = BLOCK_ROWS, count_work: bool = False) -> DataFrame:
+def nearest(rows: DataFrame, queries: DataFrame, key: str, vector: str, k: int = K, factor: float | None = None, shard_rows: int = SHARD_ROWS, block_rows: int = BLOCK_ROWS, count_work: bool = False) -> DataFrame:
     """query_id, rank, id, score: the k rows of largest inner product other than the query's own id.
 
+    Without a ``factor`` one is chosen, see above.
+
     With ``count_work`` the hits also have ``work``: the distances that their query's task computed, on its first row.
     """
     spark = rows.sparkSession
@@ -252,26 +257,26 @@ def nearest(rows: DataFrame, queries: DataFrame, key: str, vector: str, k: int =
     part = lambda c: F.pmod(F.xxhash64(F.col(c)), _parts(F.col("home"), parts)).cast("int")
     trees = scratch(dealt.withColumn("part", part("id")).groupBy("home", "part").applyInPandas(built, "home string, part int, tree binary"), "trees")
 
-    def found(trees: DataFrame, asked: DataFrame) -> DataFrame:
-        """Hits of queries (id, x, home, part, reach) in the trees of their shards."""
-        asked = scratch(asked, "asked")
+    def found(asked: DataFrame) -> DataFrame:
+        """Hits of queries (id, x, factor, home, part, reach) in the trees of their shards."""
+        asked = scratch(asked.select("id", "x", "factor", "home", "part", "reach"), "asked")
         blocks = asked.groupBy("home", "part").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("blocks"))
-        left = trees.join(F.broadcast(blocks) if len(held) < 10_000 else blocks, ["home", "part"])
-        left = left.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
-        right = asked.join(F.broadcast(blocks) if len(held) < 10_000 else blocks, ["home", "part"]).withColumn("block", F.pmod(F.xxhash64("id", F.lit(1)), F.col("blocks")).cast("int")).drop("blocks")
+        blocks = F.broadcast(blocks) if sum(parts.values()) < 100_000 else blocks
+        left = trees.join(blocks, ["home", "part"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+        right = asked.join(blocks, ["home", "part"]).withColumn("block", F.pmod(F.xxhash64("id", F.lit(1)), F.col("blocks")).cast("int")).drop("blocks")
         return left.groupBy("home", "part", "block").cogroup(right.groupBy("home", "part", "block")).applyInPandas(searched, HIT + ", work long")
 
     def searched(tree: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
-        columns = ["query_id", "id", "score", "work"]
+        kinds = {"query_id": "int64", "factor": "float64", "id": "int64", "score": "float64", "work": "int64"}
         if not len(tree) or not len(block):
-            return pd.DataFrame(columns=columns).astype({"query_id": "int64", "id": "int64", "score": "float64", "work": "int64"})
+            return pd.DataFrame(columns=list(kinds)).astype(kinds)
         norm, _ = routers.value
         points, ids, begins, root = pickle.loads(tree["tree"].iloc[0])
         t = Tree.__new__(Tree)
         t.points, t.root, t.computed = raised(points, norm), root, 0
         q, q_ids = np.stack(block["x"].tolist()).astype(float), block["id"].to_numpy()
-        reach = block["reach"].to_numpy(dtype=float)
-        who, _ = t.search(np.column_stack([q, np.zeros(len(q))]), min(k + 1 + SLACK, len(points)), factor, reach)
+        reach, bold = block["reach"].to_numpy(dtype=float), block["factor"].to_numpy(dtype=float)
+        who, _ = t.search(np.column_stack([q, np.zeros(len(q))]), min(k + 1 + SLACK, len(points)), bold, reach)
         at, column = np.nonzero(who >= 0)
         hit = who[at, column]
         score = dot(points[hit], q[at])
@@ -284,36 +289,75 @@ def nearest(rows: DataFrame, queries: DataFrame, key: str, vector: str, k: int =
         at, score, own = at[order], score[order], own[order]
         first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]]) if len(at) else np.zeros(0, dtype=np.int64)
         top = np.arange(len(at)) - np.repeat(first, np.diff(np.r_[first, len(at)])) < k
-        out = pd.DataFrame({"query_id": q_ids[at[top]], "id": own[top], "score": score[top], "work": 0})
+        out = pd.DataFrame({"query_id": q_ids[at[top]], "factor": bold[at[top]], "id": own[top], "score": score[top], "work": 0}).astype(kinds)
         if len(out):
-            out.iloc[0, 3] = t.computed
-        return out.astype({"query_id": "int64", "id": "int64", "score": "float64", "work": "int64"})
-
-    asked = queries.mapInPandas(routed, "id long, x array<double>, home string").withColumn("part", part("id")).withColumn("reach", F.lit(float("inf")))
-    asked = scratch(asked, "queries")
-    first = scratch(found(trees, asked), "home-hits")
-    # a query's k-th product so far gives the distance beyond which nothing helps it
-    last = first.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("kth"))
-    squared = F.aggregate("x", F.lit(0.0), lambda a, v: a + v * v)
-    reach = F.when(F.col("n") >= k, F.sqrt(F.greatest(squared + norm**2 - 2 * F.col("kth"), F.lit(0.0)))).otherwise(float("inf"))
-    onward = asked.drop("reach").join(last.withColumnRenamed("query_id", "id"), "id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    onward = onward.select("id", "x", F.col("home").alias("own_home"), F.col("part").alias("own_part"), reach.alias("reach"))
+            out.iloc[0, 4] = t.computed
+        return out
 
     def elsewhere(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         norm, known = routers.value
         for frame in frames:
             for size, at, x in _by_length(frame):
-                lifted, far = np.column_stack([x, np.zeros(len(x))]), frame["reach"].to_numpy(dtype=float)[at]
-                for shard, some in known[size].admitted(lifted, far, factor) if size in known else [(0, np.arange(len(at)))]:
+                lifted, far, bold = np.column_stack([x, np.zeros(len(x))]), frame["reach"].to_numpy(dtype=float)[at], frame["factor"].to_numpy(dtype=float)[at]
+                for shard, some in known[size].admitted(lifted, far, bold) if size in known else [(0, np.arange(len(at)))]:
                     if len(some) and (size, shard) in parts:
                         yield frame.iloc[at[some]].assign(home=f"{size}:{shard}", parts=parts[size, shard])
 
-    visits = onward.mapInPandas(elsewhere, "id long, x array<double>, own_home string, own_part int, reach double, home string, parts int")
-    visits = visits.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).filter("home <> own_home or part <> own_part")
-    hits = first.unionByName(found(trees, visits.select("id", "x", "home", "part", "reach")))
+    def both_rounds(asked: DataFrame) -> DataFrame:
+        """Hits of queries (id, x, factor): in their home shards, then wherever something nearer may be."""
+        asked = asked.mapInPandas(routed, "id long, x array<double>, factor double, home string").withColumn("part", part("id")).withColumn("reach", F.lit(float("inf")))
+        asked = scratch(asked, "queries")
+        first = scratch(found(asked), "home-hits")
+        # a query's k-th product so far gives the distance beyond which nothing helps it
+        last = first.groupBy(F.col("query_id").alias("id"), "factor").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("kth"))
+        squared = F.aggregate("x", F.lit(0.0), lambda a, v: a + v * v)
+        reach = F.when(F.col("n") >= k, F.sqrt(F.greatest(squared + norm**2 - 2 * F.col("kth"), F.lit(0.0)))).otherwise(float("inf"))
+        onward = asked.drop("reach").join(last, ["id", "factor"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+        onward = onward.select("id", "x", "factor", F.col("home").alias("own_home"), F.col("part").alias("own_part"), reach.alias("reach"))
+        visits = onward.mapInPandas(elsewhere, "id long, x array<double>, factor double, own_home string, own_part int, reach double, home string, parts int")
+        visits = visits.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).filter("home <> own_home or part <> own_part")
+        hits = first.unionByName(found(visits))
+        rank = F.row_number().over(Window.partitionBy("query_id", "factor").orderBy(F.desc("score"), "id"))
+        return hits.withColumn("rank", rank)
+
+    if factor is None:
+        factor = _tuned(rows, sampled(queries, "id", queries.count(), TUNE_QUERIES), k, both_rounds)
+    hits = both_rounds(queries.select("id", "x", F.lit(float(factor)).alias("factor")))
+    columns = ["query_id", "rank", "id", "score"]
+    return hits.select(*columns, "work", "factor") if count_work else hits.filter(F.col("rank") <= k).select(*columns)
+
+
+def _tuned(rows: DataFrame, some: DataFrame, k: int, search) -> float:
+    """The boldest factor whose search keeps the recall on some queries, which are compared with all rows."""
+    some = scratch(some.select("id", "x"), "tuning")
+    asked = some.limit(4 * TUNE_QUERIES).collect()
+    if not asked:
+        return 1.0
+    shared = rows.sparkSession.sparkContext.broadcast([(r["id"], np.array(r["x"])) for r in asked])
+
+    def best(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        top: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for frame in frames:
+            for size, at, x in _by_length(frame):
+                ids = frame["id"].to_numpy()[at]
+                for n, (q_id, q) in enumerate(shared.value):
+                    if len(q) == size:
+                        own = ids != q_id
+                        score, who = (x @ q)[own], ids[own]
+                        if n in top:
+                            score, who = np.r_[top[n][0], score], np.r_[top[n][1], who]
+                        order = np.lexsort((who, -score))[:k]
+                        top[n] = score[order], who[order]
+        for n, (score, who) in top.items():
+            yield pd.DataFrame({"query_id": shared.value[n][0], "id": who, "score": score})
+
+    truth = rows.mapInPandas(best, "query_id long, id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
-    ranked = hits if count_work else hits.drop("work")
-    return ranked.withColumn("rank", rank).filter((F.col("rank") <= k) if not count_work else F.lit(True)).select("query_id", "rank", "id", "score", *(["work"] if count_work else []))
+    truth = scratch(truth.withColumn("r", rank).filter(F.col("r") <= k).select("query_id", "id"), "truth")
+    total = truth.count()
+    tried = search(some.select("id", "x", F.explode(F.array(*map(F.lit, FACTORS))).alias("factor"))).filter(F.col("rank") <= k)
+    caught = {r["factor"]: r["n"] for r in tried.join(truth, ["query_id", "id"]).groupBy("factor").agg(F.count(F.lit(1)).alias("n")).collect()}
+    return next((f for f in FACTORS if caught.get(f, 0) >= RECALL * total), 1.0)
 
 
 def op5_vp_tree_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
