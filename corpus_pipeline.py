@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,9 +25,14 @@ def numbered(docs: DataFrame) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity models do not reject."""
+    """Documents that the toxicity models do not reject.
+
+    Scale: see the operator; rejecting is map-only, against tables of a fixed size. Null and empty
+    texts score as texts without words, and stay unless most labelled texts are toxic; rows that
+    are alike share a fate; a null doc_id is kept; other columns go along untouched.
+    """
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model).filter("predicted = 0").select(docs.columns)
+    return docs.filter(toxicity.probability(model, F.col("text")) < 0.5)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,14 +58,16 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the 100-byte strings that an earlier text has.
 
-    A character is dropped only if all its bytes are; a text that repeats wholly stays as an empty one.
+    A character is dropped only if all its bytes are; a text that repeats wholly stays as an empty
+    one, a null one as null. Earlier means of lesser doc_id (null is least), then by a hash of the
+    text; rows with the same doc_id and text count as one and lose the same. Scale: see the operator.
     """
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
             out = []
-            for text, spans in zip(frame["text"], frame["spans"]):
-                if spans is None or not len(spans):
+            for text, spans in zip(batch.column(1).to_pylist(), batch.column(5).to_pylist()):
+                if not spans:
                     out.append(text)
                     continue
                 raw = text.encode("utf-8", "replace")
@@ -73,16 +80,19 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
                         e += 1
                     parts.append(raw[s:e])
                 out.append(b"".join(parts).decode("utf-8", "replace"))
-            frame["n_chars"] = [len(t) if t is not None else n for t, n in zip(out, frame["n_chars"])]
-            frame["text"] = out
-            yield frame.drop(columns="spans")[["doc_id", "text", "lang", "source", "n_chars"]].astype({"doc_id": "Int64", "n_chars": "Int64"})
+            sizes = [len(t) if t is not None else n for t, n in zip(out, batch.column(4).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string()), batch.column(2), batch.column(3), pa.array(sizes, pa.int64())], ["doc_id", "text", "lang", "source", "n_chars"])
 
-    left = suffixes.with_spans(docs.select("doc_id", "text", "lang", "source", "n_chars"))
-    return left.mapInPandas(run, DOCUMENTS)
+    left = suffixes.with_spans(docs.select(F.col("doc_id").cast("long"), "text", "lang", "source", F.col("n_chars").cast("long")))
+    return left.select("doc_id", "text", "lang", "source", "n_chars", "spans").mapInArrow(run, DOCUMENTS)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no benchmark text was found; rows are told apart by their number, not by doc_id."""
+    """Documents in which no benchmark text was found.
+
+    Rows are told apart by their number, not by doc_id, which may be null or shared; null and
+    empty texts stay. Scale: a map over the texts, then an anti join by row number.
+    """
     rows = numbered(docs)
     hits = decontaminate.contaminated(rows.select(F.col("_row").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
     found = scratch(hits.select(F.col("doc_id").alias("_row")).distinct(), "contaminated")
@@ -90,7 +100,11 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Training sequences of what is left."""
+    """Training sequences of what is left: a row a piece, every document's pieces in full.
+
+    Null and empty texts give a piece of the separator alone; rows that are alike are packed each.
+    Scale: tokenising is a map, placing runs in groups of bounded size.
+    """
     import public_tokenizers
 
     return packing.pack(scratch(packing.pieces(docs, public_tokenizers.path(packing.TOKENIZER)), "pieces"))
