@@ -3,8 +3,9 @@ r"""Operator 8 [native]: licence scan by TF-IDF cosine, then inheritance from an
 A text's units are its lines, its blocks (runs of lines between blank ones, and runs of comment
 lines) and the text as a whole. Each is compared with whole licence texts and with notices as
 sparse TF-IDF vectors: a term weighs (1 + ln count) times its inverse frequency over the
-templates, and a term that no template has counts as the rarest. A text takes its best unit's
-licence at ``THRESHOLD`` or more. A text that is a licence as a whole is a licence file and
+templates, a term that no template has counts as the rarest, and function words count for nothing.
+A text takes its best unit's licence at ``THRESHOLD`` or more, if they share two terms at least
+(one word alone, such as a licence's name, is none). A text that is a licence as a whole is a licence file and
 speaks for its directory; texts without a licence inherit from the nearest directory above them
 that has one.
 
@@ -37,13 +38,19 @@ from ._common import scratch, table
 from .licence_texts import TEMPLATES
 
 THRESHOLD = 0.6
+SHARED = 2  # terms that a unit and a template have in common at least
+# English function words.
+STOP = (
+    "a about all also an and any are as at be been but by can for from had has have he her his i if in into is it its may more no nor not of on one only or other our out she should so "
+    "some such than that the their them then there these they this those to under up upon was we were what when where which who whom whose will with would you your"
+).split()
 TERM = r"[\p{L}\p{N}]+(?:[.-][\p{L}\p{N}]+)*"
 COMMENT_LINES = r"(?m)(?:^[ \t]*(?:#|//|/\*|\*|--|;|%)[^\n]*\n?){2,}"
 BLANK = r"\n[ \t\r]*\n\s*"
 
 
 def _terms(text: str) -> list[str]:
-    return re.findall(r"[^\W_]+(?:[.-][^\W_]+)*", text.lower())
+    return [t for t in re.findall(r"[^\W_]+(?:[.-][^\W_]+)*", text.lower()) if t not in STOP]
 
 
 @functools.cache
@@ -83,7 +90,7 @@ def needed(vector: dict[str, float], idf: dict[str, float], threshold: float) ->
             break
         left -= w
         many += 1
-    return rare, max(many, 1)
+    return (rare, many) if many >= SHARED else (list(vector), SHARED)
 
 
 def _array(values: list[str]) -> Column:
@@ -118,14 +125,14 @@ def scan(files: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     spark = files.sparkSession
     idf, rare, vectors = _vectors()
     held = units(files, threshold)
-    each = held.filter(F.size("units") > 0).select("row", F.posexplode("units").alias("unit", "u")).select("row", "unit", "u.kind", F.explode("u.words").alias("term"))
+    each = held.filter(F.size("units") > 0).select("row", F.posexplode("units").alias("unit", "u")).select("row", "unit", "u.kind", F.explode("u.words").alias("term")).filter(~F.col("term").isin(STOP))
     counts = each.groupBy("row", "unit", "kind", "term").agg(F.count(F.lit(1)).alias("n"))
     terms = spark.createDataFrame(list(idf.items()), "term string, idf double")
     weighed = counts.join(F.broadcast(terms), "term", "left").select("row", "unit", "kind", "term", ((1 + F.ln("n")) * F.coalesce("idf", F.lit(rare))).alias("w"))
     weighed = scratch(weighed, "weights")
     norms = weighed.groupBy("row", "unit", "kind").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     entries = spark.createDataFrame([(t, k, name, x) for k, (name, v) in enumerate(vectors) for t, x in v.items()], "term string, template int, license string, x double")
-    products = weighed.join(F.broadcast(entries), "term").groupBy("row", "unit", "template", "license").agg(F.sum(F.col("w") * F.col("x")).alias("product"))
+    products = weighed.join(F.broadcast(entries), "term").groupBy("row", "unit", "template", "license").agg(F.sum(F.col("w") * F.col("x")).alias("product"), F.count(F.lit(1)).alias("shared")).filter(F.col("shared") >= SHARED)
     scored = products.join(norms, ["row", "unit"]).select("row", "kind", "template", "license", F.round(F.col("product") / F.col("norm"), 9).alias("score")).filter(F.col("score") >= threshold)
     best = scored.groupBy("row").agg(F.max(F.struct("score", (-F.col("template")).alias("order"), "license")).alias("best"), F.bool_or(F.col("kind") == "whole").alias("whole"))
     return held.select("id", "path", "row").join(best, "row", "left").select("id", "path", F.col("best.license").alias("license"), F.round("best.score", 6).alias("score"), F.coalesce("whole", F.lit(False)).alias("is_license_file"))
@@ -177,9 +184,9 @@ U AS (SELECT doc_id, 'whole' AS kind, 0 AS unit, text FROM D
  UNION ALL SELECT doc_id, 'block', unnest(range(0, len(parts))), unnest(parts) FROM PR WHERE len(parts) > 1
  UNION ALL SELECT doc_id, 'comment', unnest(range(0, len(comments))), unnest(comments) FROM PR),
 W AS (SELECT doc_id, kind, unit, unnest(regexp_extract_all(lower(text), {text(TERM)})) AS term FROM U WHERE kind IN ('whole', 'line') OR contains(text, chr(10))),
-N AS (SELECT doc_id, kind, unit, term, (1 + ln(count(*))) * coalesce(any_value(idf), {rare!r}::DOUBLE) AS w FROM W LEFT JOIN I USING (term) GROUP BY ALL),
+N AS (SELECT doc_id, kind, unit, term, (1 + ln(count(*))) * coalesce(any_value(idf), {rare!r}::DOUBLE) AS w FROM W LEFT JOIN I USING (term) WHERE term NOT IN ({", ".join(map(text, STOP))}) GROUP BY ALL),
 M AS (SELECT doc_id, kind, unit, sqrt(sum(w * w)) AS norm FROM N GROUP BY ALL),
-S AS (SELECT doc_id, kind, unit, template, license, sum(w * x) AS product FROM N JOIN V USING (term) GROUP BY ALL),
+S AS (SELECT doc_id, kind, unit, template, license, sum(w * x) AS product FROM N JOIN V USING (term) GROUP BY ALL HAVING count(*) >= {SHARED}),
 B AS (SELECT doc_id, kind, template, license, round(product / norm, 9) AS score FROM S JOIN M USING (doc_id, kind, unit) WHERE round(product / norm, 9) >= {THRESHOLD}),
 O AS (SELECT doc_id, arg_max(license, (score, -template)) AS license, round(max(score), 6) AS score, bool_or(kind = 'whole') AS whole FROM B GROUP BY doc_id),
 R AS (SELECT D.doc_id, path, top, folder, license, score, coalesce(whole, false) AS whole FROM D LEFT JOIN O ON O.doc_id = D.doc_id),

@@ -322,13 +322,13 @@ def test_op8(spark, folder, docs):
     idf, rare, vectors = licenses._vectors()
 
     def terms(text):
-        return re.findall(r"[^\W_]+(?:[.-][^\W_]+)*", text.lower())
+        return [t for t in re.findall(r"[^\W_]+(?:[.-][^\W_]+)*", text.lower()) if t not in licenses.STOP]
 
     def score(text):
         n = Counter(terms(text))
         w = {t: (1 + math.log(k)) * idf.get(t, rare) for t, k in n.items()}
         norm = math.sqrt(sum(v * v for v in w.values()))
-        return max(((round(sum(w[t] * v.get(t, 0.0) for t in w) / norm, 9), -k, name) for k, (name, v) in enumerate(vectors)), default=(0, 0, None)) if norm else (0, 0, None)
+        return max(((round(sum(w[t] * v.get(t, 0.0) for t in w) / norm, 9), -k, name) for k, (name, v) in enumerate(vectors) if len(set(w) & set(v)) >= 2), default=(0, 0, None)) if norm else (0, 0, None)
 
     want, whole = [], {}
     for doc, text, source in docs:
