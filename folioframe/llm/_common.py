@@ -46,7 +46,21 @@ def scratch(df: DataFrame, tag: str, partition_by: str | None = None) -> DataFra
         writer = writer.partitionBy(partition_by)
     writer.parquet(path)
     _clean_at_exit(spark, root)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _paths[id(out)] = (out, path)
+    return out
+
+
+_paths: dict[int, tuple[DataFrame, str]] = {}
+
+
+def release(*frames: DataFrame | None) -> None:
+    """Delete what :func:`scratch` wrote for these frames, once nothing reads them any more; other frames are left alone."""
+    for df in frames:
+        held = _paths.pop(id(df), None) if df is not None else None
+        if held:
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(held[1])
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 _roots: set[str] = set()
@@ -73,7 +87,10 @@ BATCH_BYTES = 4 << 20
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Bound Arrow batches of this session by bytes, since 10,000 long texts could be any size."""
+    """Bound Arrow batches of this session by bytes, since 10,000 long texts could be any size.
+
+    The setting stays: plans are run later than they are made. A smaller one is left as it is.
+    """
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
     now = (spark.conf.get(name, None) or "").removesuffix("b")
     if not now.isdigit() or int(now) > BATCH_BYTES:

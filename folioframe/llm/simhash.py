@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import bounded_batches, scratch, table
+from ._common import bounded_batches, release, scratch, table
 
 RADIUS = 3
 BLOCK = 2048
@@ -441,12 +441,14 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         best = both.groupBy("a").agg(F.min(rank("b")).alias("m")).select(F.col("a").alias("node"), F.least(F.col("m"), rank("a")).getField("n").alias("to"))
         best = scratch(best, "moves")
         step = edges.join(best.select(F.col("node").alias("a"), F.col("to").alias("x")), "a").join(best.select(F.col("node").alias("b"), F.col("to").alias("y")), "b")
-        edges = scratch(step.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).filter("a <> b").distinct(), "links")
+        before, edges = edges, scratch(step.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).filter("a <> b").distinct(), "links")
+        release(before)
         if labels is None:
             labels = best.select("node", F.col("to").alias("label"))
         else:
             moved = best.select(F.col("node").alias("label"), "to")
-            labels = scratch(labels.join(moved, "label", "left").select("node", F.coalesce("to", "label").alias("label")), "labels")
+            before, labels = labels, scratch(labels.join(moved, "label", "left").select("node", F.coalesce("to", "label").alias("label")), "labels")
+            release(before, best)
     else:
         raise RuntimeError("links did not contract")
     return edges.select(F.col("a").alias("node"), F.col("b").alias("label")) if labels is None else labels
