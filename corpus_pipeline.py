@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioframe.llm import decontaminate, packing, simhash, suffixes, toxicity
-from folioframe.llm._common import scratch, table
+from folioframe.llm._common import release, scratch, table
 
 DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -126,5 +126,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = scratch(stage(spark, docs, sf_dir), name)
+        before, docs = docs, scratch(stage(spark, docs, sf_dir), name)
+        release(before)  # what the next stage reads is written
     return STAGES[-1][1](spark, docs, sf_dir)

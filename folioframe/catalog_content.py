@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .content import surgery
-from .operators import edits, fonts, locate, stores, streams
+from .operators import draw, edits, fonts, locate, stores, streams
 from .plans import views
 from .registry import query
 from .sources import files
@@ -350,3 +350,21 @@ def legacy_redraw(spark, sf):
     color = F.concat(F.lit("#"), F.lower(F.lpad(F.hex(F.col("line_idx") % 256), 2, "0")), F.lit("0000"))
     drawn = edits.redraw(views.edits(spark, sf).withColumns({"color": color, "font": F.lit("Helvetica")}))
     return drawn.select("doc_id", "page_number", "id", "op", "x", F.round("y", 6).alias("y"), "text", F.round("r", 6).alias("r"))
+
+
+@query("page_font_table", """SELECT doc_id, page_number, CASE doc_id % 3 WHEN 0 THEN 'F1' ELSE 'P1' END AS name FROM P""")
+def page_font_table(spark, sf):
+    """Fonts of pages: their own where they have some, else those of the document."""
+    own = views.page_fonts(spark, sf).filter("doc_id % 3 = 0").withColumn("name", F.lit("F1"))
+    pages = views.pages(spark, sf)
+    parents = pages.select("doc_id").distinct().select("doc_id", F.lit("P1").alias("name"), *[F.lit(None).cast(own.schema[c].dataType).alias(c) for c in fonts.FONT])
+    return fonts.with_inherited(pages, own, parents).select("doc_id", "page_number", "name")
+
+
+@query("modified_streams", """SELECT doc_id, page_number, n_lines + least(n_lines, 2) AS n FROM P""")
+def modified_streams(spark, sf):
+    """Pages with two texts added: the runs that they show then."""
+    lines = views.lines(spark, sf)
+    added = draw.text_ops(lines.filter("row < 2").select("doc_id", "page_number", F.col("row").alias("id"), "x", "y", "line", F.lit(None).cast("double").alias("size"), F.lit(None).cast("string").alias("color")).withColumnRenamed("line", "text"))
+    done = files.with_drawings(streams.page_streams(lines), added.withColumn("position", F.col("id")))
+    return streams.runs(done).groupBy("doc_id", "page_number").agg(F.count(F.lit(1)).alias("n"))

@@ -254,9 +254,12 @@ def layout_pages(spark, sf):
     return layout.placed(lines).select("doc_id", "ord", "page_number", F.round("y", 6).alias("y"))
 
 
-@query("wrap_lines", """WITH RECURSIVE W AS (SELECT doc_id, line_idx, unnest(string_split(line, ' ')) AS w, unnest(range(0, len(string_split(line, ' ')))) AS i FROM L WHERE doc_id % 3 = 0),
+_WRAP = """WITH RECURSIVE W AS (SELECT doc_id, line_idx, unnest(string_split(line, ' ')) AS w, unnest(range(0, len(string_split(line, ' ')))) AS i FROM L WHERE doc_id % 3 = 0),
  ZS AS (SELECT doc_id, line_idx, 0::BIGINT AS i, length(w)::BIGINT AS wide, 0::BIGINT AS nr FROM W WHERE i = 0
-  UNION ALL SELECT W.doc_id, W.line_idx, W.i, CASE WHEN ZS.wide = 0 OR ZS.wide + 1 + length(w) > 80 THEN length(w) ELSE ZS.wide + 1 + length(w) END, ZS.nr + CASE WHEN ZS.wide > 0 AND ZS.wide + 1 + length(w) > 80 THEN 1 ELSE 0 END FROM ZS JOIN W ON W.doc_id = ZS.doc_id AND W.line_idx = ZS.line_idx AND W.i = ZS.i + 1)
+  UNION ALL SELECT W.doc_id, W.line_idx, W.i, CASE WHEN ZS.wide = 0 OR ZS.wide + 1 + length(w) > 80 THEN length(w) ELSE ZS.wide + 1 + length(w) END, ZS.nr + CASE WHEN ZS.wide > 0 AND ZS.wide + 1 + length(w) > 80 THEN 1 ELSE 0 END FROM ZS JOIN W ON W.doc_id = ZS.doc_id AND W.line_idx = ZS.line_idx AND W.i = ZS.i + 1)"""
+
+
+@query("wrap_lines", _WRAP + """
  SELECT doc_id, sum(n)::BIGINT AS n, max(widest)::INT AS widest FROM (SELECT doc_id, line_idx, max(nr) + 1 AS n, max(wide) AS widest FROM ZS GROUP BY ALL) GROUP BY doc_id""")
 def wrap_lines(spark, sf):
     """Scanned documents' texts wrapped to eighty characters of one width."""
@@ -265,6 +268,15 @@ def wrap_lines(spark, sf):
     return lines.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.max(F.length("line")).alias("widest"))
 
 
+@query("text_files", _WRAP + """
+ SELECT doc_id || '.pdf' AS path, ceil(sum(n) / 49)::INT AS page_count FROM (SELECT doc_id, line_idx, max(nr) + 1 AS n FROM ZS GROUP BY ALL) GROUP BY doc_id""")
+def text_files(spark, sf):
+    """Scanned documents' texts as files, eighty characters a line, and the pages that they have when read again."""
+    read = views.ocr_lines(spark, sf).groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_idx", "line"))), lambda r: r["line"]), "\n").alias("text"))
+    made = files.text_files(read, fixed=562.5)
+    return files.document_info(made).select("path", "page_count")
+
+
 # ---- stores and time ---------------------------------------------------------------------------
 
 

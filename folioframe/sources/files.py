@@ -8,7 +8,7 @@ source with one file a row for many; the latter writes to a file system that all
 from __future__ import annotations
 
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
@@ -18,7 +18,7 @@ from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMes
 
 from ..content import container
 from ..functions.scalar import sidecar_path
-from ..operators import ocr, stores
+from ..operators import layout, ocr, stores
 from ..operators._arrow import map_rows
 
 ANNOTATIONS, RECOGNISED = ".annotations.json", ".ocr.json"
@@ -66,12 +66,15 @@ _INFO = "path string, page_count int, title string, author string, subject strin
 _PAGES = "path string, page_number long, width double, height double, rotation int, parts array<binary>, fonts array<struct<name:string,base_font:string,subtype:string,encoding:string,entries:array<struct<code:int,glyph:string>>,to_unicode:string>>"
 
 
-def document_info(files: DataFrame) -> DataFrame:
-    """Page count, title, author and subject of document files (path, content); what cannot be read says why."""
+def document_info(files: DataFrame, reader: Callable = container.Document) -> DataFrame:
+    """Page count, title, author and subject of document files (path, content); what cannot be read says why.
+
+    ``reader`` opens a file's bytes; another one may be given.
+    """
 
     def each(path, content):
         try:
-            i = container.Document(content).info()
+            i = reader(content).info()
             yield path, i["page_count"], i["title"], i["author"], i["subject"], None
         except Exception as e:  # any damage of one file must not stop the others
             yield path, None, None, None, None, f"{type(e).__name__}: {e}"
@@ -79,12 +82,12 @@ def document_info(files: DataFrame) -> DataFrame:
     return map_rows(files.select("path", "content"), each, _INFO)
 
 
-def document_pages(files: DataFrame) -> DataFrame:
+def document_pages(files: DataFrame, reader: Callable = container.Document) -> DataFrame:
     """Pages of document files: size, rotation, decoded content parts (see ``streams.join_parts``) and fonts."""
 
     def each(path, content):
         try:
-            doc = container.Document(content)
+            doc = reader(content)
             for k, page in enumerate(doc.pages()):
                 yield path, k + 1, *doc.size(page), doc.contents(page), doc.fonts(page)
         except Exception:  # reported by document_info
@@ -114,6 +117,36 @@ def drawn_pages(ops: DataFrame, page_height: float = 792.0, page_width: float =
     return map_rows(rows, each, "path string, page_number long, contents binary, width double, height double")
 
 
+def with_drawings(streams: DataFrame, ops: DataFrame, page_height: float = 792.0) -> DataFrame:
+    """Pages (doc_id, page_number, contents) with drawing operations (and ``position``) after what they show.
+
+    What a page leaves set does not reach the drawings.
+    """
+    columns = [c for c in ops.columns if c not in ("doc_id", "page_number", "position")]
+    rows = ops.groupBy("doc_id", "page_number").agg(F.sort_array(F.collect_list(F.struct("position", F.struct(*columns).alias("o")))).alias("rows"))
+
+    def each(doc, page, contents, rows):
+        if not rows:
+            yield doc, page, contents
+        else:
+            yield doc, page, b"q\n" + (contents or b"") + b"\nQ\n" + container.draw([r["o"] for r in rows], page_height)
+
+    both = streams.select("doc_id", "page_number", "contents").join(rows, ["doc_id", "page_number"], "left")
+    return map_rows(both, each, "doc_id long, page_number long, contents binary")
+
+
+def text_files(texts: DataFrame, fixed: float | None = None) -> DataFrame:
+    """Document files (path, content) of plain texts (doc_id, text): wrapped, broken into pages, in Helvetica."""
+    at = layout.placed(layout.wrapped(texts, fixed=fixed))
+    ops = at.select(F.concat(F.col("doc_id").cast("string"), F.lit(".pdf")).alias("path"), "page_number", F.col("ord").alias("position"), F.lit("text").alias("op"), "x", "y", F.col("line").alias("text"), F.lit(layout.SIZE).alias("size"))
+    return to_files(drawn_pages(ops, layout.HEIGHT, layout.WIDTH))
+
+
+def cached(spark: SparkSession, path: str) -> DataFrame:
+    """A folder's files, kept after the first reading until ``unpersist`` is called, such as after a save."""
+    return read_bytes(spark, path).cache()
+
+
 # ---- companions --------------------------------------------------------------------------------
 
 
