@@ -192,12 +192,9 @@ def subset_report(spark, sf):
 @query("font_decode_join", _TABLES + """, X AS (SELECT doc_id, line_idx, unnest(string_split(line, '')) AS c, unnest(range(0, length(line))) AS i FROM L WHERE line <> ''),
  SD AS (SELECT code, unicode FROM BASE WHERE encoding = 'StandardEncoding') SELECT doc_id, line_idx, string_agg(coalesce(unicode, '�'), '' ORDER BY i) AS text FROM X LEFT JOIN SD ON SD.code = unicode(c) GROUP BY ALL""")
 def font_decode_join(spark, sf):
-    """Bytes read by another font's table, code by code in a join; what it does not map is lost."""
-    table = fonts.base_tables(spark).filter("encoding = 'StandardEncoding'").select("code", "unicode")
-    raw = views.lines(spark, sf).filter("line <> ''").select("doc_id", "line_idx", F.posexplode(F.split("line", "")).alias("i", "c"))
-    codes = raw.select("doc_id", "line_idx", "i", F.expr("conv(hex(encode(c, 'ISO-8859-1')), 16, 10)").cast("int").alias("code"))
-    read = codes.join(F.broadcast(table), "code", "left").select("doc_id", "line_idx", F.struct("i", F.coalesce("unicode", F.lit("�")).alias("u")).alias("p"))
-    return read.groupBy("doc_id", "line_idx").agg(F.array_join(F.transform(F.array_sort(F.collect_list("p")), lambda p: p["u"]), "").alias("text"))
+    """Bytes read by another font's table, code by code; what it does not map is lost."""
+    raw = views.lines(spark, sf).filter("line <> ''")
+    return raw.select("doc_id", "line_idx", fonts.decoded(F.col("line"), "StandardEncoding").alias("text"))
 
 
 # ---- locating ----------------------------------------------------------------------------------

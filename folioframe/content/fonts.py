@@ -131,6 +131,14 @@ class Font:
         known = sorted(self.to_text.items()) if self.bytes_per_code == 1 else list(self.to_text.items())
         return {text: code for code, text in reversed(known) if len(text) == 1}
 
+    @functools.cached_property
+    def _texts(self) -> dict[int, str]:
+        return {c: self.to_text.get(c, LOST) for c in range(256)}
+
+    @functools.cached_property
+    def _codes(self) -> dict[int, int]:
+        return {ord(c): code for c, code in self.to_code.items()}
+
     @property
     def encodable(self) -> bool:
         return bool(self.to_text)
@@ -148,7 +156,7 @@ class Font:
         if not self.to_text:
             return raw.decode("latin-1")
         if self.bytes_per_code == 1:
-            return "".join(self.to_text.get(c, LOST) for c in raw)
+            return raw.decode("latin-1").translate(self._texts)
         return "".join(self.to_text.get(raw[k] << 8 | raw[k + 1], LOST) for k in range(0, len(raw) - 1, 2))
 
     def missing(self, text: str) -> list[str]:
@@ -162,7 +170,9 @@ class Font:
             return None, f"encoding {self.kind} is not encodable"
         if lost := self.missing(text):
             return None, f"cannot encode {len(lost)} character(s) for {self.base_font}: {' '.join(lost)}"
-        return b"".join(self.to_code[c].to_bytes(self.bytes_per_code, "big") for c in text), None
+        if self.bytes_per_code == 1:
+            return text.translate(self._codes).encode("latin-1"), None
+        return b"".join(self.to_code[c].to_bytes(2, "big") for c in text), None
 
 
 def resolve(base_font: str = "", subtype: str = "", named: str | None = None, entries: list | None = None, to_unicode: str | bytes | None = None, parity: bool = False) -> Font:

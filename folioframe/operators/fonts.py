@@ -76,6 +76,15 @@ def reverse_table(codes: DataFrame) -> DataFrame:
     return codes.filter(F.length("unicode") == 1).groupBy("font_key", "unicode").agg(F.min("code").alias("code"))
 
 
+def decoded(raw: Column, encoding: str, parity: bool = False) -> Column:
+    """Text of bytes (as Latin-1 text) in a named encoding: each code looked up, those without a character lost.
+
+    A lookup in the map that an expression carries, where a join would need a row a byte.
+    """
+    table = fonts.encoding(encoding, parity)
+    return F.translate(raw, "".join(map(chr, range(1, 256))), "".join(table.get(c, fonts.LOST) for c in range(1, 256)))
+
+
 def cmap_codes(table: DataFrame) -> DataFrame:
     """(font_key, code, unicode) of character maps, each distinct map parsed once."""
     maps = table.filter("to_unicode is not null")
