@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, licenses, packing, quality, sharding, simhash, suffixes, toxicity, vptree
+from . import chat, decontaminate, licenses, packing, quality, sharding, simhash, suffixes, toxicity, tput, vptree, whitening
 
 
 def queries() -> dict:
@@ -17,6 +17,8 @@ def queries() -> dict:
         "op8_license_scan": licenses.op8_license_scan,
         "op9_toxicity": toxicity.op9_toxicity,
         "op10_quality": quality.op10_quality,
+        "op11_embedding_whitening": whitening.op11_embedding_whitening,
+        "op13_tput_search": tput.op13_tput_search,
         "vp_tree_exact_search": vptree.exact_neighbours,
     }
 
@@ -27,5 +29,6 @@ def oracle_sql() -> dict[str, str]:
         "op4_rendezvous_sharding": sharding.sql(),
         "op7_chat_formatting": chat.sql(),
         "op8_license_scan": licenses.sql(),
+        "op13_tput_search": tput.sql(),
         "vp_tree_exact_search": vptree.sql(),
     }
