@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, licenses, packing, quality, sharding, simhash, suffixes, toxicity, tput, vptree, whitening
+from . import chat, decontaminate, licenses, main_text, packing, quality, sharding, simhash, suffixes, toxicity, tput, vptree, whitening
 
 
 def queries() -> dict:
@@ -18,6 +18,7 @@ def queries() -> dict:
         "op9_toxicity": toxicity.op9_toxicity,
         "op10_quality": quality.op10_quality,
         "op11_embedding_whitening": whitening.op11_embedding_whitening,
+        "op12_main_text": main_text.op12_main_text,
         "op13_tput_search": tput.op13_tput_search,
         "vp_tree_exact_search": vptree.exact_neighbours,
     }
@@ -29,6 +30,7 @@ def oracle_sql() -> dict[str, str]:
         "op4_rendezvous_sharding": sharding.sql(),
         "op7_chat_formatting": chat.sql(),
         "op8_license_scan": licenses.sql(),
+        "op12_main_text": main_text.sql(),
         "op13_tput_search": tput.sql(),
         "vp_tree_exact_search": vptree.sql(),
     }
