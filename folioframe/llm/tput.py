@@ -3,7 +3,7 @@
 Each list holds a term's documents by falling impact. Three rounds find an item's k best documents:
 the heads of its lists give every document seen a lower bound, the k-th of which is divided by
 the number of lists; every list then gives all postings of that contribution or more, and what a list
-has not shown is below it; the documents whose upper bound reaches the k-th lower bound are looked
+has not shown is below it (and below its head); the documents whose upper bound reaches the k-th lower bound are looked
 up in all lists and scored exactly. A document that no list shows has less than the k-th score, so
 the result is exact, ties included.
 
@@ -15,8 +15,10 @@ w * ((10^9 tf) div (1000 tf + 12 m)) over the item's terms, repeats included, in
 Scale: one pass over the texts writes the postings of the terms asked for (the set is broadcast up to
 ``VOCABULARY`` terms; more are joined) with the totals of each batch; one shuffle deals them to lists.
 A list of more than ``PART`` documents is dealt to parts by a hash of the row, and each part gives a
-head, so no list is gathered in one task. Items are taken in blocks of up to ``BLOCK`` terms, which
-are broadcast. Candidates are broadcast to the lists up to ``CANDIDATES``; more are joined.
+head, so no list is gathered in one task. In round two a posting goes once to the sums of its span of
+documents, where all items that ask for it add it up, whatever their number; a span hands on only the
+documents whose upper bound reaches its own k-th lower bound. Items are taken in blocks of up to
+``BLOCK`` terms, which are broadcast. Candidates are broadcast up to ``CANDIDATES``; more are joined.
 
 Edge cases: null texts and texts without terms are no documents; an item without a known term gives no
 rows; rows that are alike are documents of their own, as are rows with a null or shared doc_id; equal
@@ -42,7 +44,8 @@ K = 20
 VOCABULARY = 1_000_000  # terms of a broadcast set, some 64 MB
 BLOCK = 500_000  # pairs of item and term of a block, some 32 MB
 CANDIDATES = 1_000_000  # pairs of item and document of a broadcast, some 24 MB
-PART = 1 << 17  # documents of a list's part
+PART = 1 << 15  # documents of a list's part
+SPAN_BITS = 12  # a span of documents, for which sums are kept at once, has up to 2 ** 12
 OUT_ROWS = 1 << 16
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 PATTERN = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -113,7 +116,7 @@ def lists(docs: DataFrame, key: str, text: str, wanted: DataFrame) -> tuple[Data
     if few is None:
         held = held.join(wanted, "term", "left_semi")
     weight = F.floor(1000 * F.log(F.lit(2.0 * total["docs"] + 2) / (2.0 * F.col("df") + 1)))
-    held = scratch(held.select("term", "df", weight.alias("weight"), F.ceil(F.col("df") / PART).cast("int").alias("parts")), "terms")
+    held = scratch(held.select("term", "df", weight.alias("weight"), F.monotonically_increasing_id().alias("number"), F.ceil(F.col("df") / PART).cast("int").alias("parts")), "terms")
     m = F.expr(f"75 + (25 * n * {total['docs']}L) div {max(total['terms'], 1)}L")
     impact = F.expr("(1000000000L * tf) div (1000 * tf + 12 * m)").cast("int")
     by_term = raw.filter(F.col("term").isNotNull()).join(F.broadcast(held) if few is not None else held, "term")
@@ -130,27 +133,61 @@ def _kth(rows: DataFrame, score: str, k: int) -> DataFrame:
     return rows.select("item", score).withColumn("at", place).filter(F.col("at") == k).select("item", F.col(score).alias("kth"))
 
 
+def _sums(asked: dict[str, np.ndarray], k: int):
+    """What scores a span of documents: each item's documents whose upper bound reaches its k-th lower bound, as far as the span tells."""
+    order = np.lexsort((asked["number"], asked["item"]))
+    asked = {name: values[order] for name, values in asked.items()}
+    starts = np.r_[np.flatnonzero(np.r_[True, asked["item"][1:] != asked["item"][:-1]]), len(order)] if len(order) else np.zeros(1, dtype=int)
+
+    def scored(span: pa.Table) -> pa.Table:
+        number, place, impact = (span.column(name).to_numpy() for name in ("number", "place", "impact"))
+        by_term = np.argsort(number, kind="stable")
+        number, place, impact = number[by_term], place[by_term], impact[by_term].astype(np.int64)
+        first, last = np.searchsorted(number, asked["number"]), np.searchsorted(number, asked["number"], side="right")
+        size, found = int(place.max()) + 1, []
+        for a, b in zip(starts[:-1], starts[1:]):
+            low, unseen = np.zeros(size, dtype=np.int64), np.full(size, asked["cap"][a:b].sum())
+            least, bar = asked["least"][a], asked["kth"][a]
+            for r in range(a, b):
+                at, part = place[first[r] : last[r]], impact[first[r] : last[r]] * asked["factor"][r]
+                enough = part >= least
+                if not enough.all():
+                    at, part = at[enough], part[enough]
+                low[at] += part
+                unseen[at] -= asked["cap"][r]
+            if np.count_nonzero(low) >= k:
+                bar = max(bar, np.partition(low, size - k)[size - k])
+            some = np.flatnonzero((low > 0) & (low + unseen >= bar))
+            found.append((np.full(len(some), asked["item"][a]), some, low[some], low[some] + unseen[some]))
+        item, some, low, high = (np.concatenate(c) if c else np.zeros(0, dtype=np.int64) for c in (zip(*found) if found else [()] * 4))
+        row = (span.column("span")[0].as_py() << SPAN_BITS) + some
+        return pa.table({"item": pa.array(item, pa.int64()), "row": pa.array(row, pa.int64()), "low": pa.array(low, pa.int64()), "high": pa.array(high, pa.int64())})
+
+    return scored
+
+
 def _ranked(dealt: DataFrame, block: DataFrame, k: int) -> DataFrame:
-    """The k best of a block of items (item, term, times, weight): item, doc_id, score, rank."""
+    """The k best of a block of items (item, term, number, times, weight): item, doc_id, score, rank."""
     many = Window.partitionBy("item")
-    block = scratch(block.select("item", "term", (F.col("times") * F.col("weight")).alias("factor")).filter("factor > 0"), "block")
+    block = scratch(block.select("item", "term", "number", (F.col("times") * F.col("weight")).alias("factor")).filter("factor > 0"), "block")
     part = F.col("factor") * F.col("impact")
-    heads = dealt.filter(F.col("place") <= k)
-    tops = heads.groupBy("term").agg(F.max("impact").alias("top"))
-    first = scratch(heads.join(F.broadcast(block), "term").groupBy("item", "row").agg(F.sum(part).alias("low")), "heads")
-    # round two: an item's lists give what is not below the k-th lower bound over the number of lists
+    # round one: the head of every list, from the heads of its parts
+    head = F.row_number().over(Window.partitionBy("term").orderBy(F.desc("impact"), "row"))
+    heads = scratch(dealt.filter(F.col("place") <= k).withColumn("head", head).filter(F.col("head") <= k), "heads")
+    first = heads.join(F.broadcast(block), "term").groupBy("item", "row").agg(F.sum(part).alias("low"))
+    tops = heads.filter("head = 1").select("term", F.col("impact").alias("top"))
+    # round two: every list gives what is not below the k-th lower bound over the number of lists
     limits = block.join(F.broadcast(tops), "term").join(_kth(first, "low", k), "item", "left").withColumn("kth", F.coalesce("kth", F.lit(0)))
     limits = limits.withColumn("least", F.greatest(F.ceil(F.col("kth") / F.count(F.lit(1)).over(many)), F.lit(1)))
-    limits = limits.withColumn("cap", F.least(F.col("least") - 1, F.col("factor") * F.col("top")))
-    limits = scratch(limits.withColumn("caps", F.sum("cap").over(many)), "limits")
-    needed = limits.groupBy("term").agg(F.min(F.ceil(F.col("least") / F.col("factor"))).alias("needed"))
-    shown = dealt.join(F.broadcast(needed), "term").filter(F.col("impact") >= F.col("needed"))
-    shown = shown.join(F.broadcast(limits.select("item", "term", "factor", "least", "cap", "caps", "kth")), "term").filter(part >= F.col("least"))
-    seen = shown.groupBy("item", "row").agg(F.sum(part).alias("low"), (F.max("caps") - F.sum("cap")).alias("unseen"), F.max("kth").alias("before"))
-    seen = scratch(seen, "shown")
+    limits = scratch(limits.withColumn("cap", F.least(F.col("least") - 1, F.col("factor") * F.col("top"))), "limits")
+    needed = limits.groupBy("term", "number").agg(F.min(F.ceil(F.col("least") / F.col("factor"))).alias("needed"))
+    shown = dealt.drop("place").join(F.broadcast(needed), "term").filter(F.col("impact") >= F.col("needed"))
+    shown = shown.select(F.shiftright("row", SPAN_BITS).alias("span"), "number", F.col("row").bitwiseAND((1 << SPAN_BITS) - 1).cast("int").alias("place"), "impact")
+    asked = limits.select("item", "number", "factor", "cap", "least", "kth").toArrow()  # at most BLOCK rows
+    sums = _sums({name: asked.column(name).to_numpy() for name in asked.column_names}, k)
+    seen = scratch(shown.groupBy("span").applyInArrow(sums, "item long, row long, low long, high long"), "seen")
     bound = _kth(seen, "low", k).withColumnRenamed("kth", "now")
-    found = seen.join(F.broadcast(bound), "item", "left").filter(F.col("low") + F.col("unseen") >= F.greatest("before", F.coalesce("now", F.lit(0))))
-    found = scratch(found.select("item", "row"), "candidates")
+    found = scratch(seen.join(F.broadcast(bound), "item", "left").filter(F.col("high") >= F.coalesce("now", F.lit(0))).select("item", "row"), "candidates")
     # round three: every candidate in every list of its item
     near = found.count() <= CANDIDATES
     rows = found.select("row").distinct()
@@ -158,7 +195,7 @@ def _ranked(dealt: DataFrame, block: DataFrame, k: int) -> DataFrame:
     exact = there.join(F.broadcast(found) if near else found, ["item", "row"]).groupBy("item", "row", "doc_id").agg(F.sum(part).alias("score"))
     rank = F.row_number().over(Window.partitionBy("item").orderBy(F.desc("score"), F.col("doc_id").asc_nulls_last(), "row"))
     best = scratch(exact.withColumn("rank", rank).filter((F.col("rank") <= k) & (F.col("score") > 0)).select("item", "doc_id", "score", "rank"), "best")
-    release(block, first, limits, seen, found)
+    release(block, heads, limits, seen, found)
     return best
 
 
