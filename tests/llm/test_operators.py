@@ -2,6 +2,8 @@
 
 import hashlib
 import random
+import time
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -270,12 +272,69 @@ def test_windows_against_plain_alignment():
             p = rng.randrange(len(text))
             text[p : p + rng.choice([0, 1])] = rng.choice([[], [0x1F600], [97]])
         text = [122] * 70 + text + [122] * 70
-        got = {w[1] for _, w, *_ in bench.find(np.array(text, dtype="<u4"))}
+        got = {o for *_, offsets in bench.find(np.array(text, dtype="<u4"), np.array([0]), np.array([len(text)])) for o in offsets}
         assert got == {o for o in range(len(raw) - 47) if distance(raw[o : o + 48], text) <= 3}
         found += len(got) > 0
     assert 5 < found < 30
 
 
+def of_buffer(bench, texts):
+    """What a benchmark finds in texts that come in one buffer."""
+    gap = np.zeros(decontaminate.WHOLE + 16, dtype="<u4")
+    parts = [decontaminate.normal(t) for t in texts]
+    sizes = np.array([len(x) for x in parts])
+    starts = np.cumsum(sizes + len(gap)) - sizes - len(gap)
+    out = {}
+    for row, item, size, s, e, d, offsets in bench.find(np.concatenate([x for p in parts for x in (p, gap)]), starts, sizes):
+        seen = out.setdefault((row, item), [s, e, d, set()])
+        seen[:] = min(seen[0], s), max(seen[1], e), min(seen[2], d), seen[3] | {(size, o) for o in offsets}
+    return out
+
+
+def test_repeated_grams_lose_nothing(monkeypatch):
+    """Few hits held at a time, and places told apart by what surrounds them, give what all hits at once give."""
+    rng = random.Random(31)
+    unit = lambda: "".join(rng.choice("ab=. ") for _ in range(rng.randrange(1, 40)))
+    for turn in range(12):
+        units = [unit() for _ in range(3)]
+        texts = ["".join(rng.choice(units) * rng.randrange(1, 30) + "".join(rng.choice("xyz") for _ in range(rng.randrange(0, 30))) for _ in range(4)) for _ in range(3)]
+        items = [(1, units[0] * 30), (2, units[1] * 9), (3, texts[0][20:90]), (4, "x" + units[2] * 20 + "y"), (5, units[0][:12] * 2)]
+        bench = decontaminate.Benchmark([(i, t[:260]) for i, t in items])
+        whole = of_buffer(bench, texts)
+        for hits in (64, 1000):
+            monkeypatch.setattr(decontaminate, "HITS", hits)
+            monkeypatch.setattr(decontaminate, "SAME", 4)
+            assert of_buffer(bench, texts) == whole
+            monkeypatch.undo()
+        assert turn or whole
+
+
+@pytest.mark.parametrize("unit", ["=", "ha ", "one phrase that is said again and again, "])
+def test_long_runs_take_little(unit):
+    """A million characters of one unit against 300 of it: seconds, bounded memory, and all windows."""
+    item, text = (unit * 300)[:300].strip(), (unit * 1_000_000)[:1_000_000].strip()
+    bench = decontaminate.Benchmark([(1, item), (2, "something else " * 9)])
+    tracemalloc.start()
+    began = time.time()
+    found = of_buffer(bench, [text])
+    took, peak = time.time() - began, tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert list(found) == [(0, 1)] and found[0, 1][:3] == [0, len(text), 0]
+    assert found[0, 1][3] == {(48, o) for o in range(len(item) - 47)}
+    assert took < 40 and peak < 500e6
+
+
+def test_short_benchmark_texts_are_found_as_they_are(spark):
+    texts = {1: "so A  Tiny one", 2: "tinyness", 3: "untiny", 4: "(tiny)", 5: "漢字tiny", 6: "a tin y", 7: None, 8: "漢字の話", 9: "tiny tiny"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "Tiny"), (2, "漢字"), (3, "x"), (4, ""), (5, None), (6, "tiny")], "item_id long, text string")
+    got = {(r.doc_id, r.item_id, r.start, r.end) for r in decontaminate.contaminated(docs, bench, exact_from=2).collect()}
+    want = {(1, 5, 9), (4, 1, 5), (5, 2, 6), (9, 0, 9)}
+    assert got == {(d, i, s, e) for d, s, e in want for i in (1, 6)} | {(5, 2, 0, 2), (8, 2, 0, 2)}
+    assert decontaminate.contaminated(docs, bench).collect() == []
+    assert {(r.doc_id, r.item_id, r.start, r.end) for r in decontaminate.contaminated(docs, bench, 8, exact_from=2).collect()} == got
+
+
 def test_rendezvous(spark):
     rows = spark.range(2000).withColumnRenamed("id", "doc_id")
     got = sharding.with_slots(sharding.rendezvous(rows, "doc_id", [1.0] * 9 + [3.0], [1.0] * 9 + [3.0, 1.0]), ["doc_id"], 3).toPandas()

@@ -211,7 +211,8 @@ def test_op3(spark, folder, docs, chunk):
         if doc is not None and 1000 <= doc < HUGE or len(text or "") > 4000:
             continue  # fillers, checked by the operator alone
         for item, raw in items:
-            if any(least_edits(w, plain(text)) <= e for w, e in regions(raw)):
+            short = chunk is None and 0 < len(raw) < 20 and re.search(rf"(?<![a-z0-9]){re.escape(raw)}(?![a-z0-9])", plain(text))
+            if short or any(least_edits(w, plain(text)) <= e for w, e in regions(raw)):
                 want[doc, item] += 1
     if chunk is None:
         found = decontaminate.op3_qgram_decontamination(spark, folder)
