@@ -63,6 +63,22 @@ def release(*frames: DataFrame | None) -> None:
             path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def written(make, tag: str) -> DataFrame:
+    """What ``make()`` returns, written and read back; all that was written on the way there is deleted."""
+    before = set(_paths)
+    out = scratch(make(), tag)
+    release(*[df for k, (df, _) in list(_paths.items()) if k not in before and df is not out])
+    return out
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """The name, with as many underscores after it as no column of the frame has (case does not tell names apart)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 _roots: set[str] = set()
 
 

@@ -12,9 +12,9 @@ Over a corpus, a string of ``length`` bytes is first dealt by its minimiser (the
 its q-grams), which equal strings share. A run of neighbouring strings with one minimiser is kept
 as one segment. Segments alone with their minimiser hold no repeat; equal segments (by 108 bits
 of two hashes) collapse onto the earliest, which covers the others wholly; the rest, which share
-a minimiser but differ, go through the merge, minimisers dealt over cells of bounded size. The
-strings of a minimiser that is too large for a cell are dealt by the 93 bytes that those with it
-in about the same place share.
+a minimiser but differ, go through the merge, minimisers dealt over cells of bounded size. A
+minimiser too large for a cell is that of a passage in many contexts: its strings are dealt one by one, by
+128-bit digests, so that those inside the passage meet in one entry a task and all others spread evenly.
 
 Scale: fingerprints travel as packed arrays (about 30 bytes for 39 of text), with equal segments
 of a batch collapsed before the shuffle, so a hot passage sends one entry a batch to its bucket;
@@ -24,7 +24,7 @@ again.
 Edge cases: null text is empty and null doc_id comes first; rows with the same doc_id and text
 count as one document and both lose the same bytes, those of one doc_id (or none) and different
 texts are documents of their own, in the order of a hash; texts shorter than ``length`` lose
-nothing; empty tables give no rows; a column named ``spans`` is replaced, other columns are kept.
+nothing; empty tables give no rows; other columns are kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import bounded_batches, groups_for, scratch, table
+from ._common import bounded_batches, groups_for, scratch, table, unused
 
 LENGTH, Q = 100, 24
 SHARD_BYTES, CELL_BYTES = 1 << 18, 1 << 20
@@ -285,68 +285,98 @@ def _sorted_out(prints: DataFrame) -> DataFrame:
     return prints.groupBy("bucket").applyInPandas(run, SPANS)
 
 
-STEP = 8  # how far apart strings of one part may have a minimiser that was split
+WINDOWS = 1 << 18  # windows of split minimisers that a task tells apart at once
+PARTS = "cell long, doc_id long, start long, end long, kind int, bytes binary"
+SEGMENT_PART, WINDOW_PART, KNOWN_PART = range(3)
 
 
-def divided(raw: bytes, length: int) -> Iterator[tuple[int, int, bytes]]:
-    """Parts (start, end) of a segment, by the place of the minimiser in its strings, with the bytes that all strings of a part share.
+def digests(raw: bytes, length: int) -> list[bytes]:
+    """A 128-bit cryptographic digest of every string of the length."""
+    return [hashlib.blake2b(raw[k : k + length], digest_size=16).digest() for k in range(len(raw) - length + 1)]
 
-    Equal strings have the minimiser in one place, so they lie in parts with the same shared bytes.
-    """
-    n = len(raw) - length + 1
-    p = int(_gram_hashes(np.frombuffer(raw[:length], dtype=np.uint8)).argmin())
-    for before in range(0, length - Q + 1, STEP):
-        first, last = max(p - before - STEP + 1, 0), min(p - before, n - 1)
-        if first <= last:
-            yield first, last + length, raw[p - before : p - before + length - STEP + 1]
 
+def _runs(doc: np.ndarray, start: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places joined to (doc, start, end) where they touch or overlap."""
+    order = np.lexsort((start, doc))
+    doc, start = doc[order], start[order]
+    new = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (start[1:] > start[:-1] + length)]) if len(doc) else np.zeros(0, dtype=int)
+    last = np.r_[new[1:], len(doc)] - 1 if len(doc) else new
+    return doc[new], start[new], start[last] + length
 
-def _merged(docs: DataFrame, need: DataFrame, length: int, cell_bytes: int = CELL_BYTES) -> DataFrame:
-    """Repeats among segments that share a minimiser but differ."""
-    sizes = scratch(need.groupBy("m").agg(F.sum(F.col("end") - F.col("start")).alias("n")), "sizes")
-    cells = groups_for(int(sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]), cell_bytes)
-    large = sizes.filter(F.col("n") > cell_bytes).select("m", F.lit(True).alias("large"))
-    if not large.isEmpty():
-        need = need.join(large, "m", "left")
-    else:
-        need = need.withColumn("large", F.lit(False))
+
+def first_and_later(digest: np.ndarray, doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of the earliest place of each digest (two columns of 64 bits), and of its other places; a place that is there twice counts once."""
+    order = np.lexsort((start, doc, digest[:, 1], digest[:, 0]))
+    same = np.r_[False, (digest[order[1:]] == digest[order[:-1]]).all(axis=1)] if len(order) else np.zeros(0, dtype=bool)
+    again = same & np.r_[False, (doc[order[1:]] == doc[order[:-1]]) & (start[order[1:]] == start[order[:-1]])] if len(order) else same
+    return order[~same], order[same & ~again]
+
+
+def _dealt(docs: DataFrame, need: DataFrame, length: int, cell_bytes: int) -> DataFrame:
+    """What each cell gets: segments of the minimisers that it merges; digests of single strings of minimisers too large for a cell; repeats known by then."""
+    sizes = scratch(need.groupBy("m").agg(F.sum(F.col("end") - F.col("start")).alias("n"), F.sum(F.col("end") - F.col("start") - length + 1).alias("strings")), "sizes")
+    large = F.col("n") > cell_bytes
+    cells = groups_for(int(sizes.agg(F.coalesce(F.sum(F.when(large, 48 * F.col("strings")).otherwise(F.col("n"))), F.lit(0))).first()[0]), cell_bytes)
+    split = sizes.filter(large).select("m", F.lit(True).alias("large"))
+    need = need.withColumn("large", F.lit(False)) if split.isEmpty() else need.join(split, "m", "left")
     wanted = need.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end", "m", "large")).alias("parts"))
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rows = []
+            rows, found, docs_of, starts, held = [], [], [], [], 0
             for doc, text, parts in zip(frame["doc_id"], frame["text"], frame["parts"]):
                 raw = text.encode("utf-8", "replace")
                 for p in parts:
                     own = raw[p["start"] : p["end"]]
-                    if p["large"]:
-                        for s, e, shared in divided(own, length):
-                            key = int.from_bytes(hashlib.blake2b(shared, digest_size=7).digest(), "little")
-                            rows.append((key % cells, doc, p["start"] + s, own[s:e]))
-                    else:
-                        rows.append((p["m"] % cells, doc, p["start"], own))
-            yield pd.DataFrame(rows, columns=["cell", "doc_id", "start", "bytes"])
+                    if not p["large"]:
+                        rows.append((p["m"] % cells, doc, p["start"], p["end"], SEGMENT_PART, own))
+                        continue
+                    found += digests(own, length)
+                    n = len(own) - length + 1
+                    docs_of.append(np.full(n, doc))
+                    starts.append(np.arange(n) + p["start"])
+                    held += n
+                    if held >= WINDOWS:
+                        yield windows(found, docs_of, starts)
+                        found, docs_of, starts, held = [], [], [], 0
+            if held:
+                yield windows(found, docs_of, starts)
+            yield pd.DataFrame(rows, columns=["cell", "doc_id", "start", "end", "kind", "bytes"])
+
+    def windows(found: list[bytes], docs_of: list[np.ndarray], starts: list[np.ndarray]) -> pd.DataFrame:
+        digest, doc, start = np.frombuffer(b"".join(found), dtype="<u8").reshape(-1, 2), np.concatenate(docs_of), np.concatenate(starts)
+        first, later = first_and_later(digest, doc, start)
+        cell = (digest[first, 0] % np.uint64(cells)).astype(np.int64)
+        one = pd.DataFrame({"cell": cell, "doc_id": doc[first], "start": start[first], "end": start[first] + length, "kind": WINDOW_PART, "bytes": [found[k] for k in first]})
+        # repeats that are known already go to any cell
+        d, s, e = _runs(doc[later], start[later], length)
+        return pd.concat([one, pd.DataFrame({"cell": np.arange(len(d)) % cells, "doc_id": d, "start": s, "end": e, "kind": KNOWN_PART, "bytes": b""})], ignore_index=True)
+
+    return docs.join(wanted, "doc_id").mapInPandas(cut, PARTS)
+
+
+def _merged(docs: DataFrame, need: DataFrame, length: int, cell_bytes: int = CELL_BYTES) -> DataFrame:
+    """Repeats among segments that share a minimiser but differ."""
 
     def merge(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.drop_duplicates(["doc_id", "start", "bytes"])
+        kind = frame["kind"].to_numpy()
+        known = frame[kind == KNOWN_PART]
+        single = frame[kind == WINDOW_PART]
+        digest = np.frombuffer(b"".join(single["bytes"]), dtype="<u8").reshape(-1, 2)
+        _, again = first_and_later(digest, single["doc_id"].to_numpy(), single["start"].to_numpy())
+        frame = frame[kind == SEGMENT_PART].drop_duplicates(["doc_id", "start", "bytes"])
         block, string, at = repeats(frame["bytes"].tolist(), length)
         doc = frame["doc_id"].to_numpy()[string]
         start = frame["start"].to_numpy()[string] + at
         order = np.lexsort((start, doc, block))
         block, doc, start = block[order], doc[order], start[order]
-        # strings of two minimisers of one cell may overlap, so a place may be there twice
-        again = np.r_[False, (block[1:] == block[:-1]) & (doc[1:] == doc[:-1]) & (start[1:] == start[:-1])] if len(block) else np.zeros(0, dtype=bool)
-        block, doc, start = block[~again], doc[~again], start[~again]
         later = np.r_[False, block[1:] == block[:-1]] if len(block) else np.zeros(0, dtype=bool)
-        doc, start = doc[later], start[later]
-        order = np.lexsort((start, doc))
-        doc, start = doc[order], start[order]
-        new = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (start[1:] > start[:-1] + length)]) if len(doc) else np.zeros(0, dtype=int)
-        last = np.r_[new[1:], len(doc)] - 1 if len(doc) else new
-        return pd.DataFrame({"doc_id": doc[new], "start": start[new], "end": start[last] + length})
+        # strings of two minimisers of one cell may overlap, so a place may be there twice
+        later[1:] &= ~((doc[1:] == doc[:-1]) & (start[1:] == start[:-1]))
+        d, s, e = _runs(np.r_[doc[later], single["doc_id"].to_numpy()[again]], np.r_[start[later], single["start"].to_numpy()[again]], length)
+        return pd.DataFrame({"doc_id": np.r_[d, known["doc_id"]], "start": np.r_[s, known["start"]], "end": np.r_[e, known["end"]]}).astype("int64")
 
-    texts = docs.join(wanted, "doc_id").mapInPandas(cut, "cell long, doc_id long, start long, bytes binary")
-    return texts.groupBy("cell").applyInPandas(merge, "doc_id long, start long, end long")
+    return _dealt(docs, need, length, cell_bytes).groupBy("cell").applyInPandas(merge, "doc_id long, start long, end long")
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, cell_bytes: int = CELL_BYTES) -> DataFrame:
@@ -377,25 +407,29 @@ def kept_parts(raw: bytes, spans) -> tuple[list[tuple[int, int]], int, int]:
     return kept, removed, runs
 
 
-def identified(docs: DataFrame) -> DataFrame:
-    """The documents with ``_id``, which no two different texts share, in the order of doc_id (null first).
+def identified(docs: DataFrame, name: str = "_id") -> DataFrame:
+    """The documents with an id under that name, which no two different texts share, in the order of doc_id (null first).
 
     It is doc_id itself unless rows of one doc_id differ in their texts; then (doc_id, text) are
     ranked by doc_id and hashes of the text.
     """
-    key = [F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_doc"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_h"), F.hash(F.coalesce("text", F.lit(""))).alias("_g")]
+    doc, h, g = names = [unused(docs, n) for n in ("_doc", "_h", "_g")]
+    key = [F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias(doc), F.xxhash64(F.coalesce("text", F.lit(""))).alias(h), F.hash(F.coalesce("text", F.lit(""))).alias(g)]
     texts = docs.select(*key).distinct()
-    if texts.groupBy("_doc").count().filter("count > 1").isEmpty():
-        return docs.withColumn("_id", key[0])
-    ranked = scratch(texts.orderBy("_doc", "_h", "_g").withColumn("_id", F.monotonically_increasing_id()), "ranks")
-    return docs.select("*", *key).join(ranked, ["_doc", "_h", "_g"]).drop("_doc", "_h", "_g")
-
-
-def with_spans(docs: DataFrame, length: int = LENGTH, cell_bytes: int = CELL_BYTES) -> DataFrame:
-    """The documents with their repeated ``spans`` (null where there are none), in place of a column of that name."""
-    keyed = identified(docs.drop("spans", "_id", "_doc", "_h", "_g"))
-    spans = repeated_spans(keyed.select(F.col("_id").alias("doc_id"), "text"), length, cell_bytes)
-    return keyed.join(spans.withColumnRenamed("doc_id", "_id"), "_id", "left").drop("_id")
+    if texts.groupBy(doc).count().filter("count > 1").isEmpty():
+        return docs.withColumn(name, key[0])
+    ranked = scratch(texts.orderBy(*names).withColumn(name, F.monotonically_increasing_id()), "ranks")
+    return docs.select("*", *key).join(ranked, names).drop(*names)
+
+
+def with_spans(docs: DataFrame, length: int = LENGTH, cell_bytes: int = CELL_BYTES, into: str = "spans") -> DataFrame:
+    """The documents with their repeated spans (null where there are none), in a new column of the given name."""
+    if into in docs.columns:
+        raise ValueError(f"there is a column {into!r} already")
+    name = unused(docs, "_id")
+    keyed = identified(docs, name)
+    spans = repeated_spans(keyed.select(F.col(name).alias("doc_id"), "text"), length, cell_bytes)
+    return keyed.join(spans.select(F.col("doc_id").alias(name), F.col("spans").alias(into)), name, "left").drop(name)
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

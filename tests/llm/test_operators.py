@@ -92,7 +92,7 @@ def test_rows_are_told_apart_by_content_not_by_key(spark, tmp_path):
     passage, item = text(30), text(20)
     rows = [(None, text()), (None, text()), (1, text()), (1, text()), (1, text() + passage), (2, passage + text()), (3, text())]
     rows += [(None, rows[2][1]), (4, rows[0][1]), (5, None)]
-    docs = spark.createDataFrame([(i, t, "en", "web", 0) for i, t in rows], corpus_pipeline.DOCUMENTS)
+    docs = spark.createDataFrame([(i, t, "en", "web", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     content = lambda df: sorted(((r.doc_id, r.text) for r in df.collect()), key=repr)
     # copies of one text: the row with a doc_id stays
     assert content(corpus_pipeline.drop_near_duplicates(spark, docs, "")) == sorted(rows[1:7] + rows[8:], key=repr)
@@ -216,6 +216,40 @@ def test_components_of_a_path(spark):
     assert len({labels[i] for i in range(61)}) == 1 and labels[100] == labels[101] != labels[0]
 
 
+def test_stages_keep_columns_whose_names_clash(spark, tmp_path):
+    """Every stage passes on columns of its own names untouched, and leaves no other scratch behind than its result."""
+    import corpus_pipeline
+    from folioframe.llm import _common
+
+    rng = random.Random(15)
+    text = lambda n=60: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    passage, item = text(30), text(20)
+    texts = [text(), text(), passage + " " + text(), passage + text(), text() + " " + item, None, ""] + [text() + " rude" for _ in range(40)]
+    extra = ["_row", "Spans", "_id", "_doc", "_h", "_g", "component_id", "row", "item_id", "label", "score", "first"]
+    rows = [(k, t, "en", *[f"{name} {k}" for name in extra]) for k, t in enumerate([*texts, texts[0]])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, " + ", ".join(f"{name} string" for name in extra))
+    spark.createDataFrame([(9, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(k, 1, int(k >= 7)) for k in range(47)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    whole = {r[0]: r for r in rows}
+    gone = {"simhash_near_dedup": {6, 47}, "benchmark_decontamination": {4}}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before = set(_common._paths)
+        left = _common.written(lambda: stage(spark, docs, str(tmp_path)), name)
+        assert len(set(_common._paths) - before) == 1
+        assert left.columns == docs.columns
+        got = {r.doc_id: tuple(r) for r in left.collect()}
+        assert all(v[2:] == whole[k][2:] for k, v in got.items())
+        if name == "toxicity":
+            assert {0, 1, 2, 3, 4, 5, 6} <= set(got)
+        else:
+            assert set(whole) - set(got) == gone.get(name, set())
+        if name == "suffix_array_dedup":
+            assert got[3][1] == texts[3].removeprefix(passage) and got[2][1] == texts[2] and got[5][1] is None
+            assert got[47][1] == ""
+        else:
+            assert all(v[1] == whole[k][1] for k, v in got.items())
+
+
 def test_contamination(spark):
     rng = random.Random(9)
     item = " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(30))

@@ -148,12 +148,22 @@ def test_op2_minimisers_larger_than_a_cell(spark, cell):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: suffixes.kept_parts(r.text.encode(), r.spans)[1] for r in suffixes.with_spans(df, 100, cell).collect()}
     assert got == {k: sum(m) for k, m in enumerate(covered([t.encode() for t in texts], 100))}
-    part = texts[0].encode()
-    _, _, starts, sizes = suffixes._segments(np.frombuffer(part, dtype=np.uint8), 100)
-    for s, z in zip(starts, sizes):
-        places = [x for a, b, _ in suffixes.divided(part[s : s + z], 100) for x in range(a, b - 99)]
-        assert sorted(places) == list(range(z - 99))
-        assert all(shared in part[s + x : s + x + 100] for a, b, shared in suffixes.divided(part[s : s + z], 100) for x in range(a, b - 99))
+
+
+def test_op2_a_hot_passage_spreads_over_cells(spark):
+    """One passage of 150 bytes in 20,000 distinct texts: no cell holds much more than another, and the result is exact."""
+    from pyspark import StorageLevel
+
+    rng = random.Random(6)
+    passage = words(rng, 40)[:150]
+    text = lambda: "".join(rng.choices("abcdefghijklmnop ", k=90))
+    texts = [text() + passage + text() for _ in range(20_000)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8, "doc_id").persist(StorageLevel.DISK_ONLY)
+    need = suffixes._sorted_out(suffixes._fingerprints(df, 100, 4)).filter("m is not null")
+    held = suffixes._dealt(df, need, 100, 1 << 18).groupBy("cell").agg(F.sum(F.octet_length("bytes") + 32).alias("n")).toPandas()
+    assert len(held) > 100 and held.n.max() < 1 << 20 and held.n.max() < 4 * held.n.median()
+    got = {r.doc_id: suffixes.kept_parts(r.text.encode(), r.spans)[1] for r in suffixes.with_spans(df, 100, 1 << 18).collect()}
+    assert got == {k: sum(m) for k, m in enumerate(covered([t.encode() for t in texts], 100))}
 
 
 def test_op2_merged_order_and_prefixes():
@@ -531,7 +541,7 @@ def plain_docs(spark, folder):
     import corpus_pipeline
 
     rows = [(d, t, "en", s, 0) for d, t, s in [(r.doc_id, r.text, r.source) for r in spark.read.parquet(f"{folder}/documents.parquet").collect()]]
-    return spark.createDataFrame(rows, corpus_pipeline.DOCUMENTS)
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
 
 
 def contents(df):
