@@ -242,4 +242,4 @@ def file_size_label(spark, sf):
     return docs.select("doc_id", scalar.file_size(F.octet_length("text").cast("long")).alias("label"))
 
 
-from . import catalog_content, catalog_more  # noqa: E402, F401  they register their queries
+from . import catalog_content, catalog_more, catalog_joins  # noqa: E402, F401  they register their queries

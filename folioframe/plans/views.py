@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 LINES_PER_PAGE = 40
@@ -21,6 +21,27 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).withColumns({"x": F.lit(72.0), "y": (752 - 18 * F.col("row")).cast("double")})
 
 
+def placed_words(lines: DataFrame) -> DataFrame:
+    """Words of lines as text runs: 6 points a character from x = 72, by turns raised and lowered by 3, red from the second on in every third line."""
+    tokens = lines.select("doc_id", "page_number", "line_idx", "y", F.posexplode(F.regexp_extract_all("line", F.lit(r"[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+"), F.lit(0))).alias("pos", "text"))
+    before = Window.partitionBy("doc_id", "line_idx").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    offset = F.coalesce(F.sum(F.length("text")).over(before), F.lit(0))
+    placed = tokens.withColumn("x", (72 + 6 * offset).cast("double")).filter(~F.col("text").rlike(r"^[\x20\x09-\x0D]"))
+    rise = F.when(F.col("pos") % 6 == 4, 3.0).when(F.col("pos") % 6 == 2, -3.0).otherwise(0.0)
+    red = F.when((F.col("line_idx") % 3 == 0) & (F.col("pos") > 1), 1.0).otherwise(0.0)
+    return placed.withColumn("y", F.col("y") + rise).withColumn("fill", F.struct(red.alias("r"), F.lit(0.0).alias("g"), F.lit(0.0).alias("b")))
+
+
+def word_streams(lines: DataFrame) -> DataFrame:
+    """A stream a page that shows every word by itself, the last of the page first."""
+    shown = F.concat(
+        F.lit("q "), F.col("fill.r").cast("int"), F.lit(" 0 0 rg BT /F2 12 Tf "), F.col("x").cast("long"), F.lit(" "), F.col("y").cast("long"), F.lit(" Td <"), F.hex(F.encode("text", "UTF-16BE")), F.lit("> Tj ET Q"),
+    )
+    rows = placed_words(lines).select("doc_id", "page_number", F.struct((-F.col("line_idx")).alias("line"), (-F.col("pos")).alias("pos"), shown.alias("shown")).alias("r"))
+    ordered = F.transform(F.array_sort(F.collect_list("r")), lambda r: r["shown"])
+    return rows.groupBy("doc_id", "page_number").agg(F.encode(F.array_join(ordered, "\n"), "UTF-8").alias("contents"))
+
+
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, page_number, n_lines, rotation of every page."""
     return lines(spark, sf_dir).groupBy("doc_id", "page_number").agg(F.count(F.lit(1)).alias("n_lines")).withColumn("rotation", F.lit(0))

@@ -179,22 +179,82 @@ def test_lockout_of_null_keys(spark):
     assert got == locked(rows, 60, 5, 30) and any(x for _, x in got.values())
 
 
+def streamed(spark, folder, batches, schema):
+    """A stream of one file a batch, in order, whose column s gives the moment ts."""
+    for k, part in enumerate(batches):
+        spark.createDataFrame(part, schema).withColumn("ts", F.timestamp_seconds("s")).coalesce(1).write.parquet(f"{folder}/{k}")
+        os.utime(next(p for p in (folder / str(k)).glob("*.parquet")), (1000 + k, 1000 + k))
+    return spark.readStream.schema(f"{schema}, ts timestamp").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(folder))
+
+
+def ran(df, folder, name="out"):
+    query = df.writeStream.format("parquet").option("checkpointLocation", f"{folder}/{name}-state").trigger(availableNow=True).start(f"{folder}/{name}")
+    query.awaitTermination(180)
+    return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/{name}").collect()
+
+
+KEYED = "key long, id long, s double"
+
+
 def test_lockout_as_a_stream(spark, tmp_path):
     import random
 
     rng = random.Random(4)
-    rows = sorted([(rng.randrange(3), i, rng.randrange(3000)) for i in range(200)], key=lambda r: (r[2], r[1]))
-    parts = [rows[:70], rows[70:71], rows[71:]]
-    for k, part in enumerate(parts):
-        df = spark.createDataFrame([(a, b, float(t)) for a, b, t in part], "key long, id long, s double").withColumn("ts", F.timestamp_seconds("s"))
-        df.coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
-    for k in range(3):
-        os.utime(next(p for p in (tmp_path / "in" / str(k)).glob("*.parquet")), (1000 + k, 1000 + k))
-    source = spark.readStream.schema("key long, id long, s double, ts timestamp").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
-    query = events.lockout_stream(source, "key", "ts", 60, 5, 30).writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start(f"{tmp_path}/out")
-    query.awaitTermination(120)
-    got = {r.id: (r.recorded, r.locked) for r in spark.read.parquet(f"{tmp_path}/out").collect()}
-    assert got == locked(rows, 60, 5, 30)
+    rows = sorted([(rng.choice([None, 0, 1, 2]), i, float(rng.randrange(3000))) for i in range(200)], key=lambda r: (r[2], r[1]))
+    rows.append((7, 900, 90_000.0))  # long after: the locks and windows of all others have ended
+    source = streamed(spark, tmp_path / "in", [rows[:70], rows[70:71], rows[71:200], rows[200:]], KEYED)
+    got = {r.id: (r.recorded, r.locked) for r in ran(events.lockout_stream(source, "key", "ts", 60, 5, 30), tmp_path)}
+    assert got == locked(rows, 60, 5, 30) and any(x for _, x in got.values())
+    held = spark.read.format("statestore").option("stateVarName", "held").load(f"{tmp_path}/out-state").collect()
+    assert [r["key"]["key"] for r in held] == [7]
+
+
+def test_late_failures_are_dropped_by_the_watermark(spark, tmp_path):
+    source = streamed(spark, tmp_path / "in", [[(1, 1, 1000.0)], [(1, 2, 5000.0)], [(1, 3, 6000.0)], [(1, 4, 1001.0), (1, 5, 4990.0)]], KEYED)
+    assert {r.id for r in ran(events.lockout_stream(source, "key", "ts", 60, 5, 30, "30 seconds"), tmp_path)} == {1, 2, 3, 5}
+
+
+def test_latest_as_a_stream(spark, tmp_path):
+    rows = [(1, 1, 10.0), (1, 2, 20.0), (2, 3, 15.0), (1, 4, 18.0), (None, 5, 20.0), (None, 6, 20.0), (1, 7, 30.0), (0, 8, 30.0), (2, 9, 31.0)]
+    source = streamed(spark, tmp_path / "in", [rows[:3], rows[3:4], rows[4:7], rows[7:]], KEYED)
+    got = [tuple(r) for r in ran(events.latest_stream(source, "key", "ts", "id"), tmp_path)]
+    batch = spark.createDataFrame(rows, KEYED).withColumn("ts", F.timestamp_seconds("s"))
+    want = {(r.key, r.id): r.state for r in events.latest(batch, "key", "ts", "id").collect()}
+    cancelled = {(k, i) for k, i, state, _ in got if state == "cancelled"}
+    assert {(k, i) for k, i, state, _ in got if state == "current"} == set(want)
+    assert cancelled == {k for k, state in want.items() if state == "cancelled"}
+    assert {(i, by) for _, i, state, by in got if state == "cancelled"} == {(1, 2), (4, 2), (2, 7), (5, 6), (3, 9)}
+
+
+def test_requests_and_answers(spark, tmp_path):
+    requests = [(1, 0.0), (2, 10.0), (3, 20.0), (4, 30.0), (5, 40.0), (None, 50.0)]
+    answers = [(1, 5.0, "result"), (1, 6.0, "error"), (2, 75.0, "result"), (3, 21.0, "error"), (9, 22.0, "result"), (5, 39.0, "result"), (None, 51.0, "result")]
+    ask = lambda df: df.select("id", F.col("ts").alias("at"))
+    say = lambda df: df.select("id", F.col("ts").alias("answered_at"), "kind", F.lit("text").alias("payload"), F.lit(None).cast("string").alias("error"))
+    moment = F.timestamp_seconds("s")
+    requests, answers = [(i, s + 1000) for i, s in requests], [(i, s + 1000, k) for i, s, k in answers]
+    a, b = spark.createDataFrame(requests, "id long, s double").withColumn("ts", moment), spark.createDataFrame(answers, "id long, s double, kind string").withColumn("ts", moment)
+    want = {(1, "resolved", "text", None), (2, "rejected", None, "no answer in time"), (3, "rejected", None, "failed"), (4, "rejected", None, "no answer in time"), (5, "rejected", None, "no answer in time"), (None, "rejected", None, "no answer in time")}
+    pick = lambda rows: {(r.id, r.state, r.payload, r.error) for r in rows}
+    assert pick(events.answered(ask(a), say(b), "60 seconds").collect()) == want
+    # over streams the same, once time has passed; a request behind the watermark is dropped
+    left = streamed(spark, tmp_path / "q", [[requests[0], requests[2]], [requests[1], *requests[3:]], [(90, 5000.0)], [(91, 100.0), (92, 9000.0)], [(93, 20000.0)]], "id long, s double")
+    right = streamed(spark, tmp_path / "a", [answers[:3], answers[3:], [(90, 5001.0, "result")], [(92, 9001.0, "error")], [(93, 20001.0, "result")]], "id long, s double, kind string")
+    df = events.answered(ask(left.withWatermark("ts", "60 seconds")), say(right.withWatermark("ts", "60 seconds")), "60 seconds")
+    got = pick(ran(df, tmp_path))
+    assert got - {(93, "resolved", "text", None)} == want | {(90, "resolved", "text", None), (92, "rejected", None, "failed")}
+
+
+def test_running_totals_survive_a_replay(spark, tmp_path):
+    bakes = [[(1, "tj-surgery"), (1, "legacy"), (2, "refused")], [(1, "tj-surgery"), (1, "tj-surgery")]]
+    at = str(tmp_path / "totals")
+    for k, rows in enumerate(bakes):
+        events.add_totals(spark.createDataFrame(rows, "doc_id long, path string"), k, at)
+    want = {(1, 3, 1, 0), (2, 0, 0, 1)}
+    assert {tuple(r) for r in events.running_totals(spark, at).collect()} == want
+    events.add_totals(spark.createDataFrame(bakes[1], "doc_id long, path string"), 1, at)
+    assert {tuple(r) for r in events.running_totals(spark, at).collect()} == want
+    assert tuple(events.running_totals(spark, at, ()).first()) == (3, 1, 1)
 
 
 def test_debounce_as_a_stream(spark, tmp_path):
