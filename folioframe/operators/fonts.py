@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..content import fonts
+from ..plans.shared import written
 from ._arrow import map_rows
 
 FONT = "base_font", "subtype", "encoding", "entries", "to_unicode"
@@ -102,31 +103,127 @@ def of_row(row: dict) -> fonts.Font:
     return fonts.resolve(row["base_font"] or "", row["subtype"] or "", row["encoding"], entries, row["to_unicode"])
 
 
-CHECKED = "id long, bytes binary, missing array<string>, reason string, is_subset boolean, real_name string, back string"
+PACKED = "chars string, codes string, code_chars string, texts string, multi array<struct<mark:string,text:string>>, width int, kind string"
+#: Codes stand in strings as characters of plane 15, each code one character, whatever it is; texts of several characters as marks of plane 16.
+CODE, MARK = 0xF0000, 0x100000
 
 
-def encoded(texts: DataFrame) -> DataFrame:
-    """Texts (id, text, and a font's columns) as bytes of their font, or what is missing, and read back.
+def packed(table: DataFrame) -> DataFrame:
+    """One row a font (font_key and its columns) with its tables as strings, for the expressions below.
 
-    Fonts are resolved once a worker.
+    ``chars`` and ``codes`` pair each encodable character with its code, ``code_chars`` and ``texts`` each
+    code with its text, ``multi`` the marks that stand for texts of several characters. Each distinct font is resolved once.
     """
-    held: dict = {}
-
-    def each(i, text, font):
-        key = repr(font)
-        f = held.get(key)
-        if f is None:
-            if len(held) > 512:
-                held.clear()
-            f = held[key] = of_row(font)
-        raw, why = f.encode(text or "")
-        yield i, raw, f.missing(text or "") if f.to_code else [], why, f.is_subset, f.real_name, None if raw is None else f.decode(raw)
+    spec = F.struct(*FONT)
+    distinct = table.select(spec.alias("font")).distinct()
+
+    def each(font):
+        f = of_row(font)
+        top = 0xFF if f.bytes_per_code == 1 else 0xFFFF
+        pairs = [(c, code) for c, code in f.to_code.items() if 0 <= code <= top]
+        texts = [(code, t) for code, t in f.to_text.items() if 0 <= code <= top]
+        if f.to_text and f.bytes_per_code == 1:
+            texts += [(code, fonts.LOST) for code in range(256) if code not in f.to_text]
+        long = {t: chr(MARK + k) for k, t in enumerate(sorted({t for _, t in texts if len(t) != 1}))}
+        yield (
+            font, "".join(c for c, _ in pairs), "".join(chr(CODE + code) for _, code in pairs), "".join(chr(CODE + code) for code, _ in texts), "".join(long.get(t, t) for _, t in texts),
+            [{"mark": m, "text": t} for t, m in long.items()], f.bytes_per_code, f.kind,
+        )
+
+    found = map_rows(distinct, each, f"font {distinct.schema['font'].dataType.simpleString()}, {PACKED}")
+    return table.withColumn("_font", spec).join(found, F.col("_font").eqNullSafe(F.col("font"))).drop("_font", "font")
+
+
+def _bytes_of(coded: Column, width: Column) -> Column:
+    """Bytes of a string of code characters: the last one or two of each in UTF-32."""
+    digits = F.hex(F.encode(coded, "UTF-32"))
+    return F.unhex(F.when(width == 1, F.regexp_replace(digits, ".{6}(..)", "$1")).otherwise(F.regexp_replace(digits, ".{4}(.{4})", "$1")))
+
+
+def _coded(raw: Column, width: Column) -> Column:
+    """Bytes as a string of code characters; an odd last byte of two-byte codes is left out."""
+    digits = F.hex(raw)
+    wide = F.when(width == 1, F.regexp_replace(digits, "(..)", "000F00$1")).otherwise(F.regexp_replace(F.regexp_replace(digits, "^((?:.{4})*)..$", "$1"), "(.{4})", "000F$1"))
+    return F.decode(F.unhex(wide), "UTF-32")
+
+
+def text_of(raw: Column) -> Column:
+    """Text of bytes in the row's packed font; what it does not map is U+FFFD, and without any table (or font) each byte is its character."""
+    plain = F.decode(raw, "ISO-8859-1")
+    read = F.call_function("translate", _coded(raw, F.col("width")), F.col("code_chars"), F.col("texts"))
+    read = F.regexp_replace(read, "[\\x{F0000}-\\x{FFFFF}]", fonts.LOST)
+    whole = F.when(F.size("multi") > 0, F.aggregate("multi", read, lambda t, m: F.replace(t, m["mark"], m["text"]))).otherwise(read)
+    return F.when(F.coalesce(F.length("texts"), F.lit(0)) == 0, plain).otherwise(whole)
+
+
+def decoded_by_font(rows: DataFrame, page_fonts: DataFrame, table: DataFrame, raw: str = "raw") -> DataFrame:
+    """Rows (doc_id, page_number, font, raw) with the ``text`` of their bytes, each by its own page's font.
+
+    ``page_fonts`` (doc_id, page_number, name, font_key) says which font a name is on a page; names it does not know
+    are read byte for byte. Joins only, and a character lookup inside the row: no row a byte, no Python on the rows.
+    Fonts are joined without a hint, so that they are broadcast only where their size, measured at run time, is small.
+    """
+    named = page_fonts.select("doc_id", "page_number", F.col("name").alias("font"), "font_key").dropDuplicates(["doc_id", "page_number", "font"])
+    keyed = rows.join(named, ["doc_id", "page_number", "font"], "left").join(packed(table).drop(*FONT), "font_key", "left")
+    return keyed.withColumn("text", text_of(F.col(raw))).select(*rows.columns, "text")
 
-    return map_rows(texts.select("id", "text", F.struct(*FONT).alias("font")), each, CHECKED)
 
+def encoded(texts: DataFrame) -> DataFrame:
+    """Texts (id, text, and a font's columns) as bytes of their font, or what is missing and why, and read back.
 
-def with_inherited(pages: DataFrame, own: DataFrame, parents: DataFrame) -> DataFrame:
-    """Font table of each page: its own resources, or its document's where it has none."""
+    Each distinct font is resolved once and packed; the texts themselves are encoded by expressions.
+    """
+    spec = texts.select(*FONT).distinct().withColumn("font_key", F.monotonically_increasing_id())
+    font = F.struct(*FONT)
+    rows = texts.select("id", F.coalesce("text", F.lit("")).alias("text"), font.alias("_own"))
+    p = packed(spec).select(font.alias("_font"), "base_font", *[c.split()[0] for c in PACKED.split(", ")])
+    rows = rows.join(p, F.col("_own").eqNullSafe(F.col("_font")))
+    left = F.call_function("translate", F.col("text"), F.col("chars"), F.lit(""))
+    known = F.length("chars") > 0
+    missing = F.when(known & (left != ""), F.array_distinct(F.split(left, ""))).otherwise(F.array().cast("array<string>"))
+    rows = rows.withColumn("missing", F.filter(missing, lambda c: c != ""))
+    why = F.when(~known, F.concat(F.lit("encoding "), "kind", F.lit(" is not encodable")))
+    why = why.when(F.size("missing") > 0, F.concat(F.lit("cannot encode "), F.size("missing").cast("string"), F.lit(" character(s) for "), F.coalesce("base_font", F.lit("")), F.lit(": "), F.array_join("missing", " ")))
+    raw = F.when(known & (F.size("missing") == 0), _bytes_of(F.call_function("translate", F.col("text"), F.col("chars"), F.col("codes")), F.col("width")))
+    name = F.coalesce("base_font", F.lit(""))
+    return rows.withColumn("bytes", raw).select("id", "bytes", "missing", why.alias("reason"), is_subset(name).alias("is_subset"), real_name(name).alias("real_name"), text_of(F.col("bytes")).alias("back"))
+
+
+def nearest_with(nodes: DataFrame, holders: DataFrame, depth: int = 64) -> DataFrame:
+    """(doc_id, node, holder, refused): the nearest of a node and its ancestors that is among ``holders`` (doc_id, node), or null.
+
+    ``nodes`` (doc_id, node, parent) is the tree; parents may be null or unknown. Pointers are doubled:
+    after k rounds a node knows of 2^k - 1 ancestors, so ``depth`` of them take about log2(depth) joins. A chain that has not ended
+    by then is a cycle or too deep, and ``refused``.
+
+    Scale: a shuffle join by (doc_id, node) a round, each round written to the shared folder, so that
+    plans do not double along with the pointers; nodes whose search has ended are not joined again.
+    """
+    own = holders.select("doc_id", "node").distinct().withColumn("_holds", F.lit(True))
+    at = nodes.select("doc_id", "node", "parent").dropDuplicates(["doc_id", "node"]).join(own, ["doc_id", "node"], "left")
+    at = at.select("doc_id", "node", F.when(F.col("_holds"), F.col("node")).alias("holder"), F.when(F.col("_holds").isNull(), F.col("parent")).alias("jump"))
+    at = written(at, "ancestors")
+    for _ in range(depth.bit_length()):
+        further = at.select("doc_id", F.col("node").alias("jump"), F.col("holder").alias("_holder"), F.col("jump").alias("_jump"))
+        going = at.filter("jump is not null").drop("holder").join(further, ["doc_id", "jump"], "left")
+        going = going.select("doc_id", "node", F.col("_holder").alias("holder"), F.col("_jump").alias("jump"))
+        more = written(at.filter("jump is null").select("doc_id", "node", "holder", "jump").unionByName(going), "ancestors")
+        at, done = more, more.filter("jump is not null").isEmpty()
+        if done:
+            break
+    return at.select("doc_id", "node", "holder", F.col("jump").isNotNull().alias("refused"))
+
+
+def with_inherited(pages: DataFrame, own: DataFrame, parents: DataFrame, tree: DataFrame | None = None) -> DataFrame:
+    """Font table of each page: its own resources, or those of the nearest ancestor that has some.
+
+    Without a ``tree`` (doc_id, node, parent, and for pages page_number) the document is each page's parent,
+    and ``parents`` its resources by doc_id; with one they are by (doc_id, node). Pages whose ancestors go round in a circle have none.
+    """
     has = own.select("doc_id", "page_number").distinct()
-    from_parent = pages.join(has, ["doc_id", "page_number"], "left_anti").join(parents, "doc_id")
-    return own.unionByName(from_parent.select(*own.columns))
+    bare = pages.join(has, ["doc_id", "page_number"], "left_anti")
+    if tree is None:
+        return own.unionByName(bare.join(parents, "doc_id").select(*own.columns))
+    found = nearest_with(tree, parents).filter("holder is not null").join(tree.filter("page_number is not null").select("doc_id", "node", "page_number"), ["doc_id", "node"])
+    given = bare.select("doc_id", "page_number").join(found.select("doc_id", "page_number", "holder"), ["doc_id", "page_number"])
+    return own.unionByName(given.join(parents.withColumnRenamed("node", "holder"), ["doc_id", "holder"]).select(*own.columns))
