@@ -1,12 +1,13 @@
 """Joins by font, by ancestor, by place, by parts of a text and by an index, against plain loops."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from folioframe.content import fonts as tables
-from folioframe.operators import fonts
+from folioframe.operators import fonts, search, search_index
 
 FONT = "font_key long, base_font string, subtype string, encoding string, entries array<struct<code:int,glyph:string>>, to_unicode string"
 CMAP = "2 beginbfchar <0000> <0041> <D801> <0042> endbfchar 2 beginbfrange <0020> <007E> <0020> <0100> <0101> [<00660069> <0043>] endbfrange"
@@ -78,3 +79,43 @@ def test_nearest_ancestor_against_a_walk(spark, depth):
     for key, (holder, refused) in got.items():
         assert (holder, refused) == walk(*key)
     assert any(r for _, r in got.values())
+
+
+@pytest.mark.parametrize(
+    "pattern,want",
+    [
+        ("tion", {"tio", "ion"}), ("TioN", {"tio", "ion"}), ("a.bcd", {"bcd"}), ("abc?de", set()), ("abcx?def", {"abc", "def"}), ("abcd+ef", {"abc", "bcd"}), ("abcd*efg", {"abc", "efg"}), ("ab{2}cde", {"cde"}),
+        ("(abc)def", {"def"}), ("abc|def", set()), ("[abc]def", {"def"}), ("[abc|]def", {"def"}), (r"a\.bc", {"a.b", ".bc"}), (r"\bword\b", {"wor", "ord"}), (r"\x41xyz", {"xyz"}), (r"\p{L}bcd", {"bcd"}),
+        (r"\Qa|b\E", set()), ("(?x)a b c", set()), ("éabc", {"abc"}), ("ab", set()), ("[a[b]c]def", set()), (r"abc\|def", {"abc", "bc|", "c|d", "|de", "def"}), ("abc{0,2}def", {"def"}), (r"\101xyz", {"xyz"}),
+    ],
+)
+def test_trigrams_that_a_pattern_requires(pattern, want):
+    assert search_index.required(pattern) == want
+
+
+def test_indexed_search_finds_what_a_scan_finds(spark, tmp_path):
+    rng = random.Random(3)
+    letters = "abcdeſK\u212aıİ É"
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randrange(0, 30))) for _ in range(300)] + ["", None, "needle in a haystack", "NEEDLE needle", "Ta\u212ae it", "\x00abc", "ba(se)"]
+    rows = [(None if k % 50 == 0 else k // 9, k // 40 + 1, k, t) for k, t in enumerate(texts)]
+    lines = spark.createDataFrame(rows, "doc_id long, page_number long, line_idx long, line string")
+    at = str(tmp_path / "index")
+    search_index.build(lines, at)
+    for pattern in ("needle", "abc", "a.?bcd", "take", "needle|take", "ss", "[a-c]{3}", r"a\(s", "(a)(b)\\2", "ebc?d", "absent words"):
+        key = lambda df: sorted((tuple(r) for r in df.collect()), key=repr)
+        assert key(search_index.find(spark, at, pattern)) == key(search.find(lines, pattern)), pattern
+    with pytest.raises(ValueError):
+        search_index.find(spark, at, "")
+
+
+def test_indexed_search_reads_few_files(spark, tmp_path):
+    """A rare pattern reads the buckets of its trigrams, and one part of the lines."""
+    lines = spark.range(4000).selectExpr("id as doc_id", "1L as page_number", "0L as line_idx", "concat('line number ', id, if(id = 77, ' needle', '')) as line")
+    at = str(tmp_path / "index")
+    search_index.build(lines, at)
+    found = search_index.find(spark, at, "needle")
+    assert [r.doc_id for r in found.collect()] == [77]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    buckets = [len(b.split(",")) for b in re.findall(r"bucket#\d+ IN \(([\d,]+)\)", plan)]
+    assert re.search(r"PartitionFilters: \[[^\]]*\(part#\d+ = \d+\)", plan) and (not buckets or max(buckets) <= 4)
+    assert "PartitionFilters: [" in plan and "bucket#" in plan
