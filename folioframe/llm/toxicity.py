@@ -14,8 +14,9 @@ Order, shorter contexts and pooling were chosen inside the folds that may be lea
 
 Scale: counting is a map with a combine per task (distinct grams only) and one shuffle on the
 gram; the smoothing is a chain of joins on shrinking tables. Scoring is map-only against two
-tables of a fixed number of slots, so what is broadcast does not grow with the corpus; of grams
-that meet in a slot the most seen one keeps it, the others are scored by their context.
+broadcast hash tables, which hold every gram and context, up to ``MOST`` of each. If there are more, the most seen
+are broadcast and the rest stays a table: a bit filter of fixed size tells which texts hold one of it,
+and what they hold is looked up by a shuffle join and goes into the scoring with them. No gram is lost at any size.
 
 Edge cases: null and empty texts have ratios of zero; a word of over ``BLOCK`` bytes counts as
 several; a null doc_id counts as not held out and learns nothing; without usable labels of both
@@ -25,6 +26,7 @@ alike; columns named ``score`` or ``predicted`` are replaced; empty tables give
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,11 +34,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import fold, hash_of_longs, held_out, labelled, logistic, sampled, scratch, table
+from ._common import fold, hash_of_longs, held_out, labelled, logistic, sampled, scratch, table, unused
 
 LEVELS = (8, 6, 3, 1)  # bytes of a gram, and of the shorter ones it falls back on
 ORDER = LEVELS[0]
-GRAM_BITS, CONTEXT_BITS = 21, 20  # slots of the broadcast tables, as powers of two
+MOST = 1 << 22  # grams (or contexts) of a broadcast table, which takes 16 to 32 bytes for each
+FILTER_BITS = 26  # bits of the filter of the others, as a power of two
 BLOCK = 1 << 19  # bytes handled at once
 CALIBRATION_FOLD = 1
 CALIBRATION_ROWS = 40_000  # bound on the rows the logistic curve is fitted on
@@ -182,28 +185,84 @@ def smoothed(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 class Slots:
-    """A table of a fixed number of slots: in each the tag and ratio of the gram that was seen most."""
-
-    def __init__(self, df: DataFrame, bits: int) -> None:
-        h = F.xxhash64("g")
-        tag = F.shiftright(h, 32).cast("int")
-        kept = df.groupBy(h.bitwiseAND(F.lit((1 << bits) - 1)).cast("int").alias("slot")).agg(F.max(F.struct("w", tag.alias("tag"), F.col("ratio").cast("float").alias("ratio"))).alias("m"))
-        self.mask = np.uint64((1 << bits) - 1)
-        self.tag, self.ratio = np.zeros(1 << bits, dtype=np.int32), np.full(1 << bits, np.nan, dtype=np.float32)
-        for part in kept.select("slot", "m.tag", "m.ratio").toArrow().to_batches():
-            at = part.column(0).to_numpy()
-            self.tag[at], self.ratio[at] = part.column(1).to_numpy(), part.column(2).to_numpy()
+    """Ratios of grams by their hashes, in an open table at most half full; a tag of 32 further bits tells grams of a slot apart."""
+
+    def __init__(self, hashes: np.ndarray, ratios: np.ndarray) -> None:
+        size = 1 << max(8, (2 * len(hashes)).bit_length())
+        self.mask = np.uint64(size - 1)
+        self.tag, self.ratio = np.zeros(size, dtype=np.uint32), np.full(size, np.nan, dtype=np.float32)
+        left, at = np.arange(len(hashes)), (hashes & self.mask).astype(np.int64)
+        while len(left):  # each round one of those that want a free slot gets it, all others go one on
+            _, first = np.unique(at, return_index=True)
+            placed = first[np.isnan(self.ratio[at[first]])]
+            self.tag[at[placed]] = hashes[left[placed]] >> np.uint64(32)
+            self.ratio[at[placed]] = ratios[left[placed]]
+            rest = np.setdiff1d(np.arange(len(left)), placed, assume_unique=True)
+            left, at = left[rest], (at[rest] + 1) & int(self.mask)
 
     def get(self, g: np.ndarray) -> np.ndarray:
         """Ratios of grams, NaN of those that the table does not hold."""
         h = hash_of_longs(g)
-        at = (h & self.mask).astype(np.int64)
+        at, tag = (h & self.mask).astype(np.int64), (h >> np.uint64(32)).astype(np.uint32)
         out = self.ratio[at].astype(np.float64)
-        out[self.tag[at] != (h >> np.uint64(32)).astype(np.uint32).view(np.int32)] = np.nan
+        left = np.flatnonzero((self.tag[at] != tag) & ~np.isnan(out))
+        out[left] = np.nan
+        while len(left):
+            at[left] = (at[left] + 1) & int(self.mask)
+            ratio, same = self.ratio[at[left]], self.tag[at[left]] == tag[left]
+            out[left[same]] = ratio[same]
+            left = left[~same & ~np.isnan(ratio)]
         return out
 
 
-def text_features(texts: list[str | None], grams: Slots, contexts: Slots) -> np.ndarray:
+class Filter:
+    """Bits of the hashes of grams that are not in the broadcast table."""
+
+    def __init__(self, rest: DataFrame) -> None:
+        """Words of 64 bits are put together on the cluster, of which there are so many at most as the filter has."""
+        at = F.shiftrightunsigned("h", 64 - FILTER_BITS)
+        words = rest.select(F.shiftright(at, 6).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(63).cast("int")).alias("bit"))
+        found = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+        self.words = np.zeros(1 << FILTER_BITS - 6, dtype=np.uint64)
+        self.words[found.column(0).to_numpy()] = found.column(1).to_numpy().view(np.uint64)
+
+    def may_hold(self, g: np.ndarray) -> np.ndarray:
+        at = hash_of_longs(g) >> np.uint64(64 - FILTER_BITS)
+        return self.words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1) > 0
+
+
+def tabled(found: DataFrame, most: int) -> tuple[Slots, DataFrame | None, Filter | None]:
+    """A broadcast table of (g, w, ratio); if there are more than ``most``, of the most seen, with the others and their filter."""
+    found = scratch(found.select(F.xxhash64("g").alias("h"), "g", "w", F.col("ratio").cast("float").alias("ratio")), "ratios")
+    total, kept, rest = found.count(), found, None
+    if total > most:
+        # how many were seen how often: the counts of counts are few
+        cut, have = 0, 0
+        for r in found.groupBy("w").count().orderBy(F.desc("w")).toLocalIterator():
+            if have + r["count"] > most:
+                cut = r["w"]
+                break
+            have += r["count"]
+        kept, rest = found.filter(F.col("w") > cut), found.filter(F.col("w") <= cut)
+    table = kept.select("h", "ratio").toArrow()
+    slots = Slots(table.column(0).to_numpy().view(np.uint64), table.column(1).to_numpy())
+    if rest is None:
+        return slots, None, None
+    return slots, rest.select("g", "ratio"), Filter(rest)
+
+
+def looked_up(g: np.ndarray, slots: Slots, more: tuple[np.ndarray, np.ndarray] | None) -> np.ndarray:
+    """Ratios of grams by the table, or else by the few (in order, with their ratios) that were looked up for these texts."""
+    out = slots.get(g)
+    if more is not None and len(more[0]):
+        miss = np.flatnonzero(np.isnan(out))
+        at = np.minimum(np.searchsorted(more[0], g[miss]), len(more[0]) - 1)
+        same = more[0][at] == g[miss]
+        out[miss[same]] = more[1][at[same]]
+    return out
+
+
+def text_features(texts: list[str | None], grams: Slots, contexts: Slots, more: tuple = (None, None)) -> np.ndarray:
     """Per text: ratio a byte, and its words' ratios pooled: largest, mean of the three largest, log of the mean likelihood ratio, largest for their number."""
     total, size, odds, words = (np.zeros(len(texts)) for _ in range(4))
     top_doc, top_ratio = [], []
@@ -211,9 +270,9 @@ def text_features(texts: list[str | None], grams: Slots, contexts: Slots) -> np.
         place, g = _grams(raw)
         if not len(place):
             continue
-        ratio = grams.get(g)
+        ratio = looked_up(g, grams, more[0])
         miss = np.isnan(ratio)
-        ratio[miss] = np.nan_to_num(contexts.get(g[miss] >> np.uint64(8)))
+        ratio[miss] = np.nan_to_num(looked_up(g[miss] >> np.uint64(8), contexts, more[1]))
         begins = np.flatnonzero(raw[place - 1] == 32)
         word = np.add.reduceat(ratio, begins)
         doc = docs[np.searchsorted(ends, place[begins], "right")]
@@ -243,59 +302,123 @@ def text_features(texts: list[str | None], grams: Slots, contexts: Slots) -> np.
 
 
 class ToxicityModel:
-    """Fitted tables (fixed size) and logistic coefficients."""
-
-    def __init__(self, grams: Slots, contexts: Slots, beta: np.ndarray, share: float) -> None:
-        self.grams, self.contexts, self.beta, self.share = grams, contexts, beta, share
-
-    def score(self, texts: list[str | None]) -> np.ndarray:
+    """Fitted tables, what they leave to tables of the cluster (with its filters), and logistic coefficients."""
+
+    def __init__(self, grams: Slots, contexts: Slots, beta: np.ndarray, share: float, filters: tuple = (None, None)) -> None:
+        self.grams, self.contexts, self.beta, self.share, self.filters = grams, contexts, beta, share, filters
+
+    def pending(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Grams and contexts of texts that are not in the tables, though the filters say that they may be elsewhere."""
+        found: tuple[list, list] = ([], [])
+        for raw, _, _ in _blocks(texts):
+            _, g = _grams(raw)
+            for which, (slots, keys) in enumerate(((self.grams, g), (self.contexts, g >> np.uint64(8)))):
+                if self.filters[which] is not None:
+                    keys = np.unique(keys)
+                    keys = keys[np.isnan(slots.get(keys))]
+                    found[which].append(keys[self.filters[which].may_hold(keys)])
+        return tuple(np.unique(np.concatenate(x)) if x else np.zeros(0, dtype=np.uint64) for x in found)
+
+    def score(self, texts: list[str | None], more: tuple = (None, None)) -> np.ndarray:
         if not len(self.beta):
             return np.full(len(texts), self.share)
-        z = np.column_stack([text_features(texts, self.grams, self.contexts), np.ones(len(texts))]) @ self.beta
+        z = np.column_stack([text_features(texts, self.grams, self.contexts, more), np.ones(len(texts))]) @ self.beta
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
-    """Counts over every labelled text outside the held-out and calibration folds, then the curve."""
+class Fitted:
+    """A model with the tables of what is too much to broadcast, or None."""
+
+    def __init__(self, model: ToxicityModel, rest: tuple[DataFrame | None, DataFrame | None]) -> None:
+        self.model, self.rest, self.whole = model, rest, rest == (None, None)
+        self.grams, self.contexts, self.beta, self.score = model.grams, model.contexts, model.beta, model.score
+
+
+KEYS = "array<struct<which:int,g:long,ratio:float>>"
+
+
+def with_rest(rows: DataFrame, fitted: Fitted, into: str) -> DataFrame:
+    """Rows (with ``text``) and the ratios of their grams that only the cluster's tables hold: joined by a digest of the text.
+
+    Null for most texts; where nothing is left to the tables, for all, and nothing is read.
+    """
+    if fitted.whole:
+        return rows.withColumn(into, F.lit(None).cast(KEYS))
+    shared = rows.sparkSession.sparkContext.broadcast(fitted.model)
+    digest = unused(rows, "_digest")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for key, text in zip(frame["digest"], frame["text"]):
+                for which, keys in enumerate(shared.value.pending([text])):
+                    if len(keys):
+                        yield pd.DataFrame({"digest": key, "which": np.int32(which), "g": keys.view(np.int64)})
+
+    keyed = rows.withColumn(digest, F.sha2(F.coalesce("text", F.lit("")), 256))
+    pending = keyed.select(F.col(digest).alias("digest"), "text").mapInPandas(run, "digest string, which int, g long").distinct()
+    found = functools.reduce(DataFrame.unionByName, [pending.filter(F.col("which") == k).join(rest, "g") for k, rest in enumerate(fitted.rest) if rest is not None])
+    more = found.groupBy("digest").agg(F.collect_list(F.struct("which", "g", "ratio")).alias(into)).withColumnRenamed("digest", digest)
+    return keyed.join(scratch(more, "rest"), digest, "left").drop(digest)
+
+
+def _more(values) -> tuple:
+    """Ratios looked up for some texts, as :func:`text_features` takes them."""
+    rows = sorted({(r["which"], r["g"] % 2**64, r["ratio"]) for v in values if v is not None for r in v})
+    if not rows:
+        return None, None
+    return tuple((np.array([g for w, g, _ in rows if w == k], dtype=np.uint64), np.array([r for w, _, r in rows if w == k])) for k in (0, 1))
+
+
+def fit(docs: DataFrame, labels: DataFrame, most: int | None = None) -> Fitted:
+    """Counts over every labelled text outside the held-out and calibration folds, then the curve; ``most`` grams are broadcast (by default ``MOST``)."""
     spark = docs.sparkSession
     rows = labelled(docs, labels, "toxic")
     counts = scratch(count_grams(rows.filter(F.col("fold") != CALIBRATION_FOLD)), "grams")
-    grams, contexts = (Slots(df, bits) for df, bits in zip(smoothed(counts), (GRAM_BITS, CONTEXT_BITS)))
-    model = ToxicityModel(grams, contexts, np.zeros(0), 0.0)
+    (grams, more_grams, of_grams), (contexts, more_contexts, of_contexts) = (tabled(df, most or MOST) for df in smoothed(counts))
+    model = ToxicityModel(grams, contexts, np.zeros(0), 0.0, (of_grams, of_contexts))
+    fitted = Fitted(model, (more_grams, more_contexts))
     shared = spark.sparkContext.broadcast(model)
     names = [f"f{k}" for k in range(FEATURES)]
 
     def features(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            out = pd.DataFrame(text_features(frame["text"].tolist(), shared.value.grams, shared.value.contexts), columns=names)
+            out = pd.DataFrame(text_features(frame["text"].tolist(), shared.value.grams, shared.value.contexts, _more(frame["more"])), columns=names)
             yield out.assign(label=frame["label"].to_numpy())
 
     held = labels.filter(F.col("toxic").isNotNull() & (fold(F.col("doc_id")) == CALIBRATION_FOLD)).count()
     kept = sampled(rows.filter(F.col("fold") == CALIBRATION_FOLD), "doc_id", held, CALIBRATION_ROWS)
-    fitted = kept.select("text", "label").mapInPandas(features, ", ".join(f"{n} double" for n in names) + ", label int").toPandas()
-    if len(fitted):
-        model.share = float(fitted["label"].mean())
+    kept = with_rest(kept.select("text", "label"), fitted, "more")
+    seen = kept.mapInPandas(features, ", ".join(f"{n} double" for n in names) + ", label int").toPandas()
+    if len(seen):
+        model.share = float(seen["label"].mean())
         if 0 < model.share < 1:
-            fitted = fitted.sort_values([*names, "label"], ignore_index=True)  # sums then do not hang on the order in which rows came
-            model.beta = logistic(fitted[names].to_numpy(), fitted["label"].to_numpy())
-    return model
+            seen = seen.sort_values([*names, "label"], ignore_index=True)  # sums then do not hang on the order in which rows came
+            fitted.beta = model.beta = logistic(seen[names].to_numpy(), seen["label"].to_numpy())
+    return fitted
+
+
+def rated(docs: DataFrame, fitted: Fitted, into: str) -> DataFrame:
+    """The documents with the probability that each is toxic, in a new column."""
+    shared = docs.sparkSession.sparkContext.broadcast(fitted.model)
+    if fitted.whole:
 
+        @F.pandas_udf("double")
+        def scored(texts: pd.Series) -> pd.Series:
+            return pd.Series(shared.value.score(texts.tolist()))
 
-def probability(model: ToxicityModel, text: Column) -> Column:
-    """Probability that a text is toxic."""
-    shared = SparkSession.getActiveSession().sparkContext.broadcast(model)
+        return docs.withColumn(into, scored("text"))
 
     @F.pandas_udf("double")
-    def scored(texts: pd.Series) -> pd.Series:
-        return pd.Series(shared.value.score(texts.tolist()))
+    def scored_with(texts: pd.Series, more: pd.Series) -> pd.Series:
+        return pd.Series(shared.value.score(texts.tolist(), _more(more)))
 
-    return scored(text)
+    more = unused(docs, "_more")
+    return with_rest(docs, fitted, more).withColumn(into, scored_with("text", more)).drop(more)
 
 
-def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
+def score(docs: DataFrame, model: Fitted) -> DataFrame:
     """Add ``score`` and ``predicted`` to the documents, in place of columns of these names; every other column is kept."""
-    out = docs.drop("score", "predicted").withColumn("score", probability(model, F.col("text")))
-    return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    return rated(docs.drop("score", "predicted"), model, "score").withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
