@@ -30,12 +30,13 @@ def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity models do not reject.
 
-    Scale: see the operator; rejecting is map-only, against tables of a fixed size. Null and empty
+    Scale: see the operator; rejecting is map-only, against tables of a bounded size. Null and empty
     texts score as texts without words, and stay unless most labelled texts are toxic; rows that
     are alike share a fate; a null doc_id is kept; other columns go along untouched.
     """
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return docs.filter(toxicity.probability(model, F.col("text")) < 0.5)
+    rated = unused(docs, "rated")
+    return toxicity.rated(docs, model, rated).filter(F.col(rated) < 0.5).drop(rated)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
