@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
@@ -14,6 +14,9 @@ from .streams import by_font
 
 
 LONG = 200  # characters
+BY_PARTS = 64  # characters of a target
+CELL = 96.0, 24.0  # points across and along a page
+MOST_CELLS, WHOLE_PAGE = 64, -(2**62)
 
 
 @F.pandas_udf(IntegerType())
@@ -21,19 +24,42 @@ def _distances(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else surgery.distance(x, y) for x, y in zip(a, b)], dtype="Int32")
 
 
+def in_reach(targets: DataFrame, runs: DataFrame) -> DataFrame:
+    """Pairs of targets (with low_x, high_x, low_y, high_y) and runs (x, y) of a page that lie inside them, edges included, each once.
+
+    Pages are cut into cells: a run is in one, a target in all that it touches, and only those of a
+    cell are compared, so a page of any number of runs is many small groups. A target of more than
+    ``MOST_CELLS`` cells is compared with its whole page, which runs stand for a second time.
+    """
+    across, along = CELL
+    cell = lambda c, size: F.floor(c / size).cast("long")
+    count = (cell(F.col("high_x"), across) - cell(F.col("low_x"), across) + 1) * (cell(F.col("high_y"), along) - cell(F.col("low_y"), along) + 1)
+    some = F.sequence(cell(F.col("low_x"), across), cell(F.col("high_x"), across))
+    whole = F.array(F.lit(None).cast("long"))
+    t = targets.filter("high_x >= low_x and high_y >= low_y").withColumn("_wide", count > MOST_CELLS)
+    t = t.withColumn("_cx", F.explode(F.when(F.col("_wide"), whole).otherwise(some)))
+    t = t.withColumn("_cy", F.explode(F.when(F.col("_wide"), whole).otherwise(F.sequence(cell(F.col("low_y"), along), cell(F.col("high_y"), along)))))
+    r = runs.filter("x is not null and y is not null").withColumn("_cell", F.explode(F.array(F.struct(cell(F.col("x"), across).alias("cx"), cell(F.col("y"), along).alias("cy")), F.struct(F.lit(None).cast("long").alias("cx"), F.lit(None).cast("long").alias("cy")))))
+    key = lambda c: F.coalesce(c, F.lit(WHOLE_PAGE))
+    t = t.select("*", key(F.col("_cx")).alias("cx"), key(F.col("_cy")).alias("cy")).drop("_cx", "_cy", "_wide")
+    r = r.select("*", key(F.col("_cell.cx")).alias("cx"), key(F.col("_cell.cy")).alias("cy")).drop("_cell")
+    return t.join(r, ["doc_id", "page_number", "cx", "cy"]).filter("x between low_x and high_x and y between low_y and high_y").drop("cx", "cy", "low_x", "high_x", "low_y", "high_y")
+
+
 def locate(targets: DataFrame, runs: DataFrame, font_size: float = 12.0) -> DataFrame:
     """Targets (doc_id, page_number, id, text, bx, by, bw, bh) -> best single run near the box, and confidence (0 and null if none).
 
-    A relational form for lines of one run: the join is by page, the box with its tolerances is
-    the residual condition; edit distances are taken only of targets without an exact match and
-    of runs whose length alone does not rule them out. Runs inside forms are left out.
+    A relational form for lines of one run: the join is by cells of a page (:func:`in_reach`); edit
+    distances are taken only of targets without an exact match and of runs whose length alone
+    does not rule them out. Runs inside forms are left out.
     """
     wide, tall = surgery.tolerances(font_size)
     top, bottom = F.lit(792.0) - F.col("by"), F.lit(792.0) - F.col("by") - F.col("bh")
-    t = targets.select("doc_id", "page_number", "id", normalize(F.col("text")).alias("t"), "bx", "by", "bw", "bh")
-    near = F.col("y").between(bottom - tall, top + tall) & F.col("x").between(F.col("bx") - wide, F.col("bx") + F.col("bw") + wide)
+    t = targets.select(
+        "doc_id", "page_number", "id", normalize(F.col("text")).alias("t"), (F.col("bx") - wide).alias("low_x"), (F.col("bx") + F.col("bw") + wide).alias("high_x"), (bottom - tall).alias("low_y"), (top + tall).alias("high_y"),
+    )
     own = runs.filter("not in_xobject").select("doc_id", "page_number", "ord", "start", normalize(F.col("text")).alias("r"), "x", "y")
-    pairs = t.join(own, ["doc_id", "page_number"]).filter(near & (F.col("t") != ""))
+    pairs = in_reach(t.filter("t <> ''"), own)
     n = F.length("t")
     allowed = F.greatest(F.lit(surgery.LEAST_EDITS), F.floor(surgery.SHARE * n).cast("int"))
     pairs = pairs.withColumn("allowed", allowed)
@@ -50,6 +76,62 @@ def locate(targets: DataFrame, runs: DataFrame, font_size: float = 12.0) -> Data
     return targets.select("doc_id", "page_number", "id").join(found, ["doc_id", "page_number", "id"], "left").withColumn("confidence", F.coalesce("confidence", F.lit(0.0)))
 
 
+def _stretches(text: Column, size: int) -> Column:
+    """Every stretch of ``size`` characters, with its size and place, in one pass."""
+    found = F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1))
+    return F.transform(found, lambda s, at: F.struct(F.lit(size).alias("size"), at.alias("at"), s.alias("part")))
+
+
+def alike(targets: DataFrame, runs: DataFrame) -> DataFrame:
+    """Pairs of targets (t, n, allowed) and runs (r) of a page that may be within ``allowed`` edits of each other, each once.
+
+    Of ``allowed`` + 1 parts of a target at least one stands unchanged in such a run, no further
+    from its place than the edits can move it: an equi-join on part, then the place. The parts have
+    1 to 7 characters; a target too short to be cut has an empty part, as have all runs that are as short.
+
+    Parts tell little of long texts, where so many edits are allowed that parts meet by chance: targets of more than
+    ``BY_PARTS`` characters are joined by length, in steps of a tenth, of which a run is in one.
+    """
+    step = lambda c: F.floor(F.log(c.cast("double")) / F.log(F.lit(1.1))).cast("long")
+    most = BY_PARTS + max(surgery.LEAST_EDITS, int(surgery.SHARE * BY_PARTS))
+    far = targets.filter(F.col("n") > BY_PARTS).withColumn("step", F.explode(F.sequence(step(F.col("n") - F.col("allowed")), step(F.col("n") + F.col("allowed")))))
+    sized = runs.select("doc_id", "page_number", "ord", "r", step(F.greatest(F.length("r"), F.lit(1))).alias("step"))
+    by_length = far.join(sized, ["doc_id", "page_number", "step"]).filter(F.abs(F.length("r") - F.col("n")) <= F.col("allowed"))
+    targets, runs = targets.filter(F.col("n") <= BY_PARTS), runs.filter(F.length("r") <= most)
+    count = F.col("allowed") + 1
+    begin, end = F.floor(F.col("k") * F.col("n") / count).cast("int"), F.floor((F.col("k") + 1) * F.col("n") / count).cast("int")
+    cut = targets.filter("t <> ''").withColumn("k", F.explode(F.when(F.col("n") > F.col("allowed"), F.sequence(F.lit(0), F.col("allowed"))).otherwise(F.array(F.lit(0)))))
+    short = F.col("n") <= F.col("allowed")
+    cut = cut.select("doc_id", "page_number", "id", "t", "n", "allowed", F.when(short, 0).otherwise(begin).alias("at"), F.when(short, 0).otherwise(end - begin).alias("size"), F.when(short, "").otherwise(F.substring("t", begin + 1, end - begin)).alias("part"))
+    sizes = sorted(r[0] for r in cut.select("size").distinct().collect())  # 0 to 7 at most
+    none = F.array().cast("array<struct<size:int,at:int,part:string>>")
+    empty = F.when(F.length("r") <= 2 * surgery.LEAST_EDITS, F.array(F.struct(F.lit(0).alias("size"), F.lit(0).alias("at"), F.lit("").alias("part")))).otherwise(none)
+    held = runs.select("doc_id", "page_number", "ord", "r", F.explode(F.concat(none, *[_stretches(F.col("r"), s) if s else empty for s in sizes])).alias("s"))
+    held = held.select("doc_id", "page_number", "ord", "r", F.col("s.size").alias("size"), F.col("s.part").alias("part"), F.col("s.at").alias("place"))
+    met = cut.join(held, ["doc_id", "page_number", "size", "part"]).filter((F.abs(F.col("place") - F.col("at")) <= F.col("allowed")) & (F.abs(F.length("r") - F.col("n")) <= F.col("allowed")))
+    columns = ["doc_id", "page_number", "id", "ord", "t", "n", "allowed", "r"]
+    return met.select(columns).distinct().unionByName(by_length.select(columns))
+
+
+def locate_anywhere(targets: DataFrame, runs: DataFrame) -> DataFrame:
+    """Targets (doc_id, page_number, id, text) without a place -> best single run of their page, and confidence (0 and null if none).
+
+    Edit distances are taken only of the pairs of :func:`alike`, and no further than the edits allowed.
+    """
+    single, _, ceiling = surgery.CONFIDENCE[False]
+    t = targets.select("doc_id", "page_number", "id", normalize(F.col("text")).alias("t"))
+    t = t.withColumn("n", F.length("t")).withColumn("allowed", F.greatest(F.lit(surgery.LEAST_EDITS), F.floor(surgery.SHARE * F.col("n")).cast("int")))
+    own = runs.filter("not in_xobject").select("doc_id", "page_number", "ord", "start", normalize(F.col("text")).alias("r"), "x", "y")
+    near = alike(t, own.join(t.select("doc_id", "page_number").distinct(), ["doc_id", "page_number"], "left_semi"))
+    near = near.withColumn("d", F.explode(F.array(F.call_function("levenshtein", F.col("t"), F.col("r"), F.col("allowed"))))).filter("d >= 0")
+    placed = near.drop("r").join(own.drop("r"), ["doc_id", "page_number", "ord"])
+    order = ["d", -F.round(F.col("y") * 2), F.round(F.col("x") * 2), "start"]
+    best = placed.withColumn("k", F.row_number().over(Window.partitionBy("doc_id", "page_number", "id").orderBy(*order))).filter("k = 1")
+    confidence = F.when(F.col("d") == 0, single).otherwise(F.greatest(F.lit(surgery.FLOOR), ceiling - F.col("d") / F.col("n")))
+    found = best.select("doc_id", "page_number", "id", "ord", confidence.alias("confidence"))
+    return targets.select("doc_id", "page_number", "id").join(found, ["doc_id", "page_number", "id"], "left").withColumn("confidence", F.coalesce("confidence", F.lit(0.0)))
+
+
 FOUND = "doc_id long, page_number long, id string, runs array<long>, confidence double, reason string, stream_size long"
 
 

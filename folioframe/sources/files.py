@@ -147,6 +147,58 @@ def cached(spark: SparkSession, path: str) -> DataFrame:
     return read_bytes(spark, path).cache()
 
 
+BY_LIST = 10_000  # changed files that are read by their names
+
+_HELD = "path string, length long, modified long, held long"
+
+
+def _manifest(spark: SparkSession, at: str) -> tuple[DataFrame, int]:
+    """What a cache held after its last refresh, and the number of that refresh (0 if there was none)."""
+    if not exists(spark, f"{at}/manifest"):
+        return spark.createDataFrame([], _HELD), 0
+    every = spark.read.schema(f"{_HELD}, version long").parquet(f"{at}/manifest")
+    last = every.agg(F.max("version")).first()[0] or 0
+    return every.filter(F.col("version") == last).drop("version"), last
+
+
+def refresh_cache(spark: SparkSession, folder: str, at: str) -> int:
+    """Bring a cache of a folder's files up to date, and return how many files were read for it.
+
+    Only files are read whose path, length and time of change are not those of the last refresh, found by an
+    anti join with its manifest; what is gone from the folder is gone from the next manifest. Contents are written
+    before the manifest that names them, so a refresh that fails leaves the cache as it was, and readers see one state or the next.
+    Up to ``BY_LIST`` changed files are read by name; of more, the folder is read once.
+    """
+    key = ["path", "length", "modified"]
+    listing = binary(spark, folder).select("path", "length", F.unix_micros("modificationTime").alias("modified"))
+    before, last = _manifest(spark, at)
+    fresh = listing.join(before, key, "left_anti").select(*key)
+    changed = [r["path"] for r in fresh.select("path").limit(BY_LIST + 1).collect()]
+    kept = before.join(listing, key, "left_semi")
+    if last and not changed and kept.count() == before.count():
+        return 0
+    new = last + 1
+    if changed:
+        some = spark.read.format("binaryFile").load(changed) if len(changed) <= BY_LIST else binary(spark, folder)
+        read = some.withColumn("modified", F.unix_micros("modificationTime")).join(before, key, "left_anti")
+        read.select(*key, "content").write.mode("overwrite").parquet(f"{at}/data/version={new}")
+        held = spark.read.parquet(f"{at}/data/version={new}").select(*key, F.lit(new).cast("long").alias("held"))
+        kept = kept.select(*key, "held").unionByName(held)
+    else:
+        held = None
+    kept.select(*key, "held").write.mode("overwrite").parquet(f"{at}/manifest/version={new}")
+    return held.count() if held is not None else 0
+
+
+def cached_files(spark: SparkSession, at: str) -> DataFrame:
+    """path, length, content of the files of a cache as of its last refresh."""
+    now, last = _manifest(spark, at)
+    if not last or not exists(spark, f"{at}/data"):
+        return spark.createDataFrame([], "path string, length long, content binary")
+    data = spark.read.schema("path string, length long, modified long, content binary, version long").parquet(f"{at}/data")
+    return data.join(now.select("path", F.col("held").alias("version")), ["path", "version"]).select("path", "length", "content")
+
+
 # ---- companions --------------------------------------------------------------------------------
 
 

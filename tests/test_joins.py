@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from folioframe.content import fonts as tables
-from folioframe.operators import fonts, search, search_index
+from folioframe.content import surgery
+from folioframe.operators import fonts, locate, search, search_index
 
 FONT = "font_key long, base_font string, subtype string, encoding string, entries array<struct<code:int,glyph:string>>, to_unicode string"
 CMAP = "2 beginbfchar <0000> <0041> <D801> <0042> endbfchar 2 beginbfrange <0020> <007E> <0020> <0100> <0101> [<00660069> <0043>] endbfrange"
@@ -119,3 +120,44 @@ def test_indexed_search_reads_few_files(spark, tmp_path):
     buckets = [len(b.split(",")) for b in re.findall(r"bucket#\d+ IN \(([\d,]+)\)", plan)]
     assert re.search(r"PartitionFilters: \[[^\]]*\(part#\d+ = \d+\)", plan) and (not buckets or max(buckets) <= 4)
     assert "PartitionFilters: [" in plan and "bucket#" in plan
+
+
+def test_pairs_in_reach_against_all_pairs(spark):
+    """A page of 10,000 runs, boxes of every size, edges included; each pair once."""
+    rng = random.Random(5)
+    spot = lambda: (float(rng.randrange(-50, 3000)) / 2, float(rng.randrange(-50, 3000)) / 2)
+    runs = [(1, 1, k, *spot()) for k in range(10_000)] + [(1, 2, k, 96.0 * k, 24.0 * k) for k in range(5)] + [(1, 1, 10_000, None, 5.0), (None, 1, 1, 5.0, 5.0)]
+    boxes = [(1, 1, f"t{k}", x, x + rng.choice([0, 7, 100, 400]), y, y + rng.choice([0, 3, 30, 800])) for k, (x, y) in enumerate(spot() for _ in range(150))]
+    boxes += [(1, 2, "edge", 96.0, 192.0, 24.0, 48.0), (1, 1, "all", -1e6, 1e6, -1e6, 1e6), (1, 1, "none", 5.0, 4.0, 0.0, 9.0), (1, 1, "null", None, 4.0, 0.0, 9.0)]
+    want = sorted((i, o) for d, p, i, a, b, c, e in boxes for d2, p2, o, x, y in runs if (d, p) == (d2, p2) and a is not None and x is not None and a <= x <= b and c <= y <= e)
+    df = locate.in_reach(spark.createDataFrame(boxes, "doc_id long, page_number long, id string, low_x double, high_x double, low_y double, high_y double"), spark.createDataFrame(runs, "doc_id long, page_number long, ord long, x double, y double"))
+    assert sorted((r.id, r.ord) for r in df.select("id", "ord").collect()) == want and len(want) > 10_000
+
+
+def test_alike_texts_against_all_pairs(spark):
+    """Every pair within the edits is there once, and of many words of a page few others are."""
+    rng = random.Random(8)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnopé漢") for _ in range(n))
+    said = ["", "a", "ab", "abc", "abcd", "abcde"] + [word(rng.randrange(1, 40)) for _ in range(250)] + [word(rng.randrange(60, 120)) for _ in range(30)]
+    for t in rng.sample(said, 120):
+        t = list(t)
+        for _ in range(rng.randrange(0, 6)):
+            p = rng.randrange(len(t) + 1)
+            t[p : p + rng.choice([0, 1])] = rng.choice([[], ["x"], ["é"]])
+        said.append("".join(t))
+    allowed = lambda t: max(surgery.LEAST_EDITS, int(surgery.SHARE * len(t)))
+    targets = spark.createDataFrame([(1, 1, f"{k}", t, len(t), allowed(t)) for k, t in enumerate(said)], "doc_id long, page_number long, id string, t string, n int, allowed int")
+    runs = spark.createDataFrame([(1, 1, k, t) for k, t in enumerate(said)], "doc_id long, page_number long, ord long, r string")
+    got = [(int(r.id), r.ord) for r in locate.alike(targets, runs).collect()]
+    want = {(i, j) for i, t in enumerate(said) for j, r in enumerate(said) if t and abs(len(t) - len(r)) <= allowed(t) and surgery.distance(r, t) <= allowed(t)}
+    assert len(got) == len(set(got)) and want <= set(got) and len(want) > len(said)
+    by_length = sum(1 for t in said for r in said if t and abs(len(t) - len(r)) <= allowed(t))
+    assert len(got) < by_length / 3
+
+
+def test_unplaced_targets_take_the_nearest_run(spark):
+    run = lambda k, text, y, form=False: (1, 1, k, text, 72.0, y, k, form)
+    runs = spark.createDataFrame([run(0, "one two  three", 700.0), run(1, "one two thrxe", 650.0), run(2, "one two three", 600.0, True), run(3, "other words", 500.0)], "doc_id long, page_number long, ord long, text string, x double, y double, start long, in_xobject boolean")
+    targets = spark.createDataFrame([(1, 1, "exact", "one two three"), (1, 1, "near", "ne two thrxe"), (1, 1, "far", "nothing like it"), (1, 1, "empty", ""), (1, 1, "null", None), (2, 1, "no page", "one two three")], "doc_id long, page_number long, id string, text string")
+    got = {r.id: (r.ord, round(r.confidence, 6)) for r in locate.locate_anywhere(targets, runs).collect()}
+    assert got == {"exact": (0, 0.85), "near": (1, round(0.85 - 1 / 12, 6)), "far": (None, 0.0), "empty": (None, 0.0), "null": (None, 0.0), "no page": (None, 0.0)}
