@@ -123,7 +123,10 @@ def locate_anywhere(targets: DataFrame, runs: DataFrame) -> DataFrame:
     t = t.withColumn("n", F.length("t")).withColumn("allowed", F.greatest(F.lit(surgery.LEAST_EDITS), F.floor(surgery.SHARE * F.col("n")).cast("int")))
     own = runs.filter("not in_xobject").select("doc_id", "page_number", "ord", "start", normalize(F.col("text")).alias("r"), "x", "y")
     near = alike(t, own.join(t.select("doc_id", "page_number").distinct(), ["doc_id", "page_number"], "left_semi"))
-    near = near.withColumn("d", F.explode(F.array(F.call_function("levenshtein", F.col("t"), F.col("r"), F.col("allowed"))))).filter("d >= 0")
+    long_ = (F.col("t") != F.col("r")) & (F.col("n") > LONG)
+    far = _distances(F.when(long_, F.col("t")), F.when(long_, F.col("r")))
+    distance = F.when(F.col("t") == F.col("r"), 0).when(long_, far).otherwise(F.call_function("levenshtein", F.col("t"), F.col("r"), F.col("allowed")))
+    near = near.withColumn("d", F.explode(F.array(distance))).filter("d between 0 and allowed")
     placed = near.drop("r").join(own.drop("r"), ["doc_id", "page_number", "ord"])
     order = ["d", -F.round(F.col("y") * 2), F.round(F.col("x") * 2), "start"]
     best = placed.withColumn("k", F.row_number().over(Window.partitionBy("doc_id", "page_number", "id").orderBy(*order))).filter("k = 1")
