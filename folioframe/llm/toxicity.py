@@ -231,11 +231,12 @@ class Filter:
         return self.words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1) > 0
 
 
-def tabled(found: DataFrame, most: int) -> tuple[Slots, DataFrame | None, Filter | None]:
-    """A broadcast table of (g, w, ratio); if there are more than ``most``, of the most seen, with the others and their filter."""
-    found = scratch(found.select(F.xxhash64("g").alias("h"), "g", "w", F.col("ratio").cast("float").alias("ratio")), "ratios")
-    total, kept, rest = found.count(), found, None
+def tabled(found: DataFrame, total: int, most: int) -> tuple[Slots, DataFrame | None, Filter | None]:
+    """A broadcast table of ``total`` rows (g, w, ratio); if they are more than ``most``, of the most seen, with the others and their filter."""
+    found = found.select(F.xxhash64("g").alias("h"), "g", "w", F.col("ratio").cast("float").alias("ratio"))
+    kept, rest = found, None
     if total > most:
+        found = scratch(found, "ratios")
         # how many were seen how often: the counts of counts are few
         cut, have = 0, 0
         for r in found.groupBy("w").count().orderBy(F.desc("w")).toLocalIterator():
@@ -374,7 +375,9 @@ def fit(docs: DataFrame, labels: DataFrame, most: int | None = None) -> Fitted:
     spark = docs.sparkSession
     rows = labelled(docs, labels, "toxic")
     counts = scratch(count_grams(rows.filter(F.col("fold") != CALIBRATION_FOLD)), "grams")
-    (grams, more_grams, of_grams), (contexts, more_contexts, of_contexts) = (tabled(df, most or MOST) for df in smoothed(counts))
+    of_all, after_all = smoothed(counts)
+    grams, more_grams, of_grams = tabled(of_all, counts.count(), most or MOST)
+    contexts, more_contexts, of_contexts = tabled(after_all, after_all.count(), most or MOST)
     model = ToxicityModel(grams, contexts, np.zeros(0), 0.0, (of_grams, of_contexts))
     fitted = Fitted(model, (more_grams, more_contexts))
     shared = spark.sparkContext.broadcast(model)
