@@ -31,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,7 +39,7 @@ from ._common import fold, hash_of_longs, held_out, labelled, logistic, sampled,
 
 LEVELS = (8, 6, 3, 1)  # bytes of a gram, and of the shorter ones it falls back on
 ORDER = LEVELS[0]
-MOST = 1 << 22  # grams (or contexts) of a broadcast table, which takes 16 to 32 bytes for each
+MOST = 1 << 22  # grams (or contexts) of a broadcast table, which takes 12 bytes for each
 FILTER_BITS = 26  # bits of the filter of the others, as a power of two
 BLOCK = 1 << 19  # bytes handled at once
 CALIBRATION_FOLD = 1
@@ -185,30 +186,29 @@ def smoothed(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 class Slots:
-    """Ratios of grams by their hashes, in an open table at most half full; a tag of 32 further bits tells grams of a slot apart."""
+    """Ratios of grams by their hashes, in an open table two thirds full; a tag of 32 of their bits tells grams of a slot apart."""
 
     def __init__(self, hashes: np.ndarray, ratios: np.ndarray) -> None:
-        size = 1 << max(8, (2 * len(hashes)).bit_length())
-        self.mask = np.uint64(size - 1)
+        self.size = size = len(hashes) * 3 // 2 + 251
         self.tag, self.ratio = np.zeros(size, dtype=np.uint32), np.full(size, np.nan, dtype=np.float32)
-        left, at = np.arange(len(hashes)), (hashes & self.mask).astype(np.int64)
+        left, at = np.arange(len(hashes)), (hashes % np.uint64(size)).astype(np.int64)
         while len(left):  # each round one of those that want a free slot gets it, all others go one on
             _, first = np.unique(at, return_index=True)
             placed = first[np.isnan(self.ratio[at[first]])]
             self.tag[at[placed]] = hashes[left[placed]] >> np.uint64(32)
             self.ratio[at[placed]] = ratios[left[placed]]
             rest = np.setdiff1d(np.arange(len(left)), placed, assume_unique=True)
-            left, at = left[rest], (at[rest] + 1) & int(self.mask)
+            left, at = left[rest], (at[rest] + 1) % size
 
     def get(self, g: np.ndarray) -> np.ndarray:
         """Ratios of grams, NaN of those that the table does not hold."""
         h = hash_of_longs(g)
-        at, tag = (h & self.mask).astype(np.int64), (h >> np.uint64(32)).astype(np.uint32)
+        at, tag = (h % np.uint64(self.size)).astype(np.int64), (h >> np.uint64(32)).astype(np.uint32)
         out = self.ratio[at].astype(np.float64)
         left = np.flatnonzero((self.tag[at] != tag) & ~np.isnan(out))
         out[left] = np.nan
         while len(left):
-            at[left] = (at[left] + 1) & int(self.mask)
+            at[left] = (at[left] + 1) % self.size
             ratio, same = self.ratio[at[left]], self.tag[at[left]] == tag[left]
             out[left[same]] = ratio[same]
             left = left[~same & ~np.isnan(ratio)]
@@ -302,11 +302,11 @@ def text_features(texts: list[str | None], grams: Slots, contexts: Slots, more:
     return np.column_stack([total / np.maximum(size, 1), most, three, mean, most / np.log(8 + words)])
 
 
-class ToxicityModel:
-    """Fitted tables, what they leave to tables of the cluster (with its filters), and logistic coefficients."""
+class Tables:
+    """Broadcast tables of grams and contexts, and filters of what they leave to tables of the cluster."""
 
-    def __init__(self, grams: Slots, contexts: Slots, beta: np.ndarray, share: float, filters: tuple = (None, None)) -> None:
-        self.grams, self.contexts, self.beta, self.share, self.filters = grams, contexts, beta, share, filters
+    def __init__(self, grams: Slots, contexts: Slots, filters: tuple = (None, None)) -> None:
+        self.grams, self.contexts, self.filters = grams, contexts, filters
 
     def pending(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Grams and contexts of texts that are not in the tables, though the filters say that they may be elsewhere."""
@@ -320,33 +320,39 @@ class ToxicityModel:
                     found[which].append(keys[self.filters[which].may_hold(keys)])
         return tuple(np.unique(np.concatenate(x)) if x else np.zeros(0, dtype=np.uint64) for x in found)
 
-    def score(self, texts: list[str | None], more: tuple = (None, None)) -> np.ndarray:
-        if not len(self.beta):
-            return np.full(len(texts), self.share)
-        z = np.column_stack([text_features(texts, self.grams, self.contexts, more), np.ones(len(texts))]) @ self.beta
-        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+    def features(self, texts: list[str | None], more: tuple = (None, None)) -> np.ndarray:
+        return text_features(texts, self.grams, self.contexts, more)
 
 
-class Fitted:
-    """A model with the tables of what is too much to broadcast, or None."""
+class ToxicityModel:
+    """Tables, broadcast once, with the tables of the cluster that hold the rest (or None), and logistic coefficients."""
+
+    def __init__(self, tables: Tables, shared: Broadcast, rest: tuple[DataFrame | None, DataFrame | None]) -> None:
+        self.tables, self.shared, self.rest, self.whole = tables, shared, rest, rest == (None, None)
+        self.grams, self.contexts, self.beta, self.share = tables.grams, tables.contexts, np.zeros(0), 0.0
+
+    def score(self, texts: list[str | None], more: tuple = (None, None)) -> np.ndarray:
+        return _scored(self.tables, self.beta, self.share, texts, more)
+
 
-    def __init__(self, model: ToxicityModel, rest: tuple[DataFrame | None, DataFrame | None]) -> None:
-        self.model, self.rest, self.whole = model, rest, rest == (None, None)
-        self.grams, self.contexts, self.beta, self.score = model.grams, model.contexts, model.beta, model.score
+def _scored(tables: Tables, beta: np.ndarray, share: float, texts: list[str | None], more: tuple = (None, None)) -> np.ndarray:
+    if not len(beta):
+        return np.full(len(texts), share)
+    z = np.column_stack([tables.features(texts, more), np.ones(len(texts))]) @ beta
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
 KEYS = "array<struct<which:int,g:long,ratio:float>>"
 
 
-def with_rest(rows: DataFrame, fitted: Fitted, into: str) -> DataFrame:
+def with_rest(rows: DataFrame, fitted: ToxicityModel, into: str) -> DataFrame:
     """Rows (with ``text``) and the ratios of their grams that only the cluster's tables hold: joined by a digest of the text.
 
     Null for most texts; where nothing is left to the tables, for all, and nothing is read.
     """
     if fitted.whole:
         return rows.withColumn(into, F.lit(None).cast(KEYS))
-    shared = rows.sparkSession.sparkContext.broadcast(fitted.model)
-    digest = unused(rows, "_digest")
+    shared, digest = fitted.shared, unused(rows, "_digest")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -370,7 +376,7 @@ def _more(values) -> tuple:
     return tuple((np.array([g for w, g, _ in rows if w == k], dtype=np.uint64), np.array([r for w, _, r in rows if w == k])) for k in (0, 1))
 
 
-def fit(docs: DataFrame, labels: DataFrame, most: int | None = None) -> Fitted:
+def fit(docs: DataFrame, labels: DataFrame, most: int | None = None) -> ToxicityModel:
     """Counts over every labelled text outside the held-out and calibration folds, then the curve; ``most`` grams are broadcast (by default ``MOST``)."""
     spark = docs.sparkSession
     rows = labelled(docs, labels, "toxic")
@@ -378,14 +384,14 @@ def fit(docs: DataFrame, labels: DataFrame, most: int | None = None) -> Fitted:
     of_all, after_all = smoothed(counts)
     grams, more_grams, of_grams = tabled(of_all, counts.count(), most or MOST)
     contexts, more_contexts, of_contexts = tabled(after_all, after_all.count(), most or MOST)
-    model = ToxicityModel(grams, contexts, np.zeros(0), 0.0, (of_grams, of_contexts))
-    fitted = Fitted(model, (more_grams, more_contexts))
-    shared = spark.sparkContext.broadcast(model)
+    tables = Tables(grams, contexts, (of_grams, of_contexts))
+    shared = spark.sparkContext.broadcast(tables)
+    fitted = ToxicityModel(tables, shared, (more_grams, more_contexts))
     names = [f"f{k}" for k in range(FEATURES)]
 
     def features(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            out = pd.DataFrame(text_features(frame["text"].tolist(), shared.value.grams, shared.value.contexts, _more(frame["more"])), columns=names)
+            out = pd.DataFrame(shared.value.features(frame["text"].tolist(), _more(frame["more"])), columns=names)
             yield out.assign(label=frame["label"].to_numpy())
 
     held = labels.filter(F.col("toxic").isNotNull() & (fold(F.col("doc_id")) == CALIBRATION_FOLD)).count()
@@ -393,33 +399,33 @@ def fit(docs: DataFrame, labels: DataFrame, most: int | None = None) -> Fitted:
     kept = with_rest(kept.select("text", "label"), fitted, "more")
     seen = kept.mapInPandas(features, ", ".join(f"{n} double" for n in names) + ", label int").toPandas()
     if len(seen):
-        model.share = float(seen["label"].mean())
-        if 0 < model.share < 1:
+        fitted.share = float(seen["label"].mean())
+        if 0 < fitted.share < 1:
             seen = seen.sort_values([*names, "label"], ignore_index=True)  # sums then do not hang on the order in which rows came
-            fitted.beta = model.beta = logistic(seen[names].to_numpy(), seen["label"].to_numpy())
+            fitted.beta = logistic(seen[names].to_numpy(), seen["label"].to_numpy())
     return fitted
 
 
-def rated(docs: DataFrame, fitted: Fitted, into: str) -> DataFrame:
+def rated(docs: DataFrame, fitted: ToxicityModel, into: str) -> DataFrame:
     """The documents with the probability that each is toxic, in a new column."""
-    shared = docs.sparkSession.sparkContext.broadcast(fitted.model)
+    shared, beta, share = fitted.shared, fitted.beta, fitted.share
     if fitted.whole:
 
         @F.pandas_udf("double")
         def scored(texts: pd.Series) -> pd.Series:
-            return pd.Series(shared.value.score(texts.tolist()))
+            return pd.Series(_scored(shared.value, beta, share, texts.tolist()))
 
         return docs.withColumn(into, scored("text"))
 
     @F.pandas_udf("double")
     def scored_with(texts: pd.Series, more: pd.Series) -> pd.Series:
-        return pd.Series(shared.value.score(texts.tolist(), _more(more)))
+        return pd.Series(_scored(shared.value, beta, share, texts.tolist(), _more(more)))
 
     more = unused(docs, "_more")
     return with_rest(docs, fitted, more).withColumn(into, scored_with("text", more)).drop(more)
 
 
-def score(docs: DataFrame, model: Fitted) -> DataFrame:
+def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     """Add ``score`` and ``predicted`` to the documents, in place of columns of these names; every other column is kept."""
     return rated(docs.drop("score", "predicted"), model, "score").withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
