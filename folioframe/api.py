@@ -11,7 +11,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import draw, edits, layout, locate, ocr, pages, search, stores, streams
+from .operators import draw, edits, layout, locate, ocr, pages, search, search_index, stores, streams
+from .operators import lines as shown
 from .sources import files
 from .streaming import events
 
@@ -86,6 +87,16 @@ class Library:
             return search.find(lines, pattern)
         return search.find_with_ocr(lines, self._of(self.recognised, doc_id), pattern)
 
+    def build_index(self, path: str) -> None:
+        search_index.build(self.lines, path)
+
+    def search_index(self, path: str, pattern: str, doc_id: int | None = None) -> DataFrame:
+        return self._of(search_index.find(self.spark, path, pattern), doc_id)
+
+    def shown_lines(self) -> DataFrame:
+        """Lines put together from the runs that the pages' streams show, with their boxes, fonts and colours."""
+        return shown.grouped(streams.runs(self.streams))
+
     # edits
     def locate(self, targets: DataFrame) -> DataFrame:
         return locate.locate_on_pages(check_columns(targets, ["doc_id", "page_number", "id", "text"], "targets"), self.streams, decode=lambda font, raw: raw.decode("latin-1"))

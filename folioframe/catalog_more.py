@@ -91,6 +91,7 @@ def shape_drag(spark, sf):
     return draw.drawable(shapes).select("id", "x", "w", "h")
 
 
+# Fixed values, as in draw.TOOL_COLOURS: the colours of the tools.
 @query("tool_colours", f"""SELECT id, CASE ([{_KINDS}])[id % 12 + 1] WHEN 'highlight' THEN '#FFFF00' WHEN 'underline' THEN '#FF0000' WHEN 'strikethrough' THEN '#FF0000' WHEN 'rectangle' THEN '#3B82F6' WHEN 'circle' THEN '#10B981' WHEN 'arrow' THEN '#EF4444' WHEN 'line' THEN '#8B5CF6'
  WHEN 'freehand' THEN '#000000' WHEN 'note' THEN '#FCD34D' WHEN 'stamp' THEN '#DC2626' ELSE '#6B7280' END AS color FROM A""")
 def tool_colours(spark, sf):

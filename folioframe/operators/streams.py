@@ -85,6 +85,21 @@ def runs(streams: DataFrame, decode: Callable[[str, bytes], str] = by_font) -> D
     return map_rows(streams.select(*PAGE), each, RUNS)
 
 
+def with_forms(streams: DataFrame, forms: DataFrame, decode: Callable[[str, bytes], str] = by_font) -> DataFrame:
+    """Runs of pages, and of the forms (doc_id, page_number, name, contents) that a page shows, which are marked ``in_xobject``.
+
+    A form counts once, however often its page shows it; one that no page shows has no runs.
+    """
+    shown = events(streams).filter("kind = 'do-xobject'").select("doc_id", "page_number", F.col("value").alias("name")).distinct()
+
+    def each(doc, page, data):
+        for k, r in enumerate(engine.Interpreter(decode, in_xobject=True).run(data or b"").runs):
+            yield doc, page, k, r.text, r.operator, r.x, r.y, r.font, r.size, r.start, r.end, r.in_xobject, dict(zip("rgb", r.fill)), r.kerns, len(r.operands)
+
+    inner = forms.join(shown, ["doc_id", "page_number", "name"], "left_semi").select(*PAGE)
+    return runs(streams, decode).unionByName(map_rows(inner, each, RUNS))
+
+
 def eligible(found: DataFrame) -> DataFrame:
     """Runs that may be edited: those outside of forms."""
     return found.filter(~F.col("in_xobject"))

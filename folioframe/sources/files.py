@@ -2,12 +2,14 @@
 
 Reading goes through Spark's own readers, so any store that Spark opens works. Writing goes
 through Spark's Hadoop file systems on the driver for single small files, and through a data
-source with one file a row for many; the latter writes to a file system that all executors mount.
+source with one file a row for many; the latter writes to a mounted folder or to a store's URI (file, s3, gs, hdfs, abfs).
 """
 
 from __future__ import annotations
 
 import os
+import posixpath
+import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -226,43 +228,58 @@ class _Written(WriterCommitMessage):
     names: list
 
 
+def _store(folder: str):
+    """The file system of a folder, and the folder's path in it; a path without a scheme is that of a mounted folder."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(folder) if ":/" in folder else (fs.LocalFileSystem(), os.path.abspath(folder))
+
+
 class _OneFileARow(DataSourceWriter):
+    """Tasks write to a staging folder beside the files; the commit moves what they wrote into place, an abort deletes the folder."""
+
     def __init__(self, options: dict) -> None:
-        self.folder = options["path"].removeprefix("file://")
+        self.folder, self.staging = options["path"], f"_staging-{uuid.uuid4().hex}"
 
-    def _place(self, name: str) -> str:
-        at = os.path.normpath(os.path.join(self.folder, name))
-        if os.path.commonpath([at, os.path.normpath(self.folder)]) != os.path.normpath(self.folder):
+    def _place(self, root: str, name: str) -> str:
+        at = posixpath.normpath(posixpath.join(root, name))
+        if posixpath.commonpath([at, posixpath.normpath(root)]) != posixpath.normpath(root):
             raise ValueError(f"{name} lies outside the folder")
         return at
 
     def write(self, rows: Iterator) -> _Written:
-        import uuid
-
+        store, root = _store(self.folder)
+        at = posixpath.join(root, self.staging)
+        store.create_dir(at, recursive=True)
         names = []
         for row in rows:
-            at = self._place(row["name"])
-            os.makedirs(os.path.dirname(at), exist_ok=True)
-            part = f"{at}.{uuid.uuid4().hex}.part"
-            with open(part, "wb") as f:
+            place, part = self._place(root, row["name"]), posixpath.join(at, uuid.uuid4().hex)
+            with store.open_output_stream(part) as f:
                 f.write(row["content"] or b"")
-            names.append((part, at))
+            names.append((part, place))
         return _Written(names)
 
     def commit(self, messages: list) -> None:
+        store, root = _store(self.folder)
         for m in messages:
-            for part, at in m.names if m else ():
-                os.replace(part, at)
+            for part, place in m.names if m else ():
+                store.create_dir(posixpath.dirname(place), recursive=True)
+                store.move(part, place)
+        self._clear(store, root)
 
     def abort(self, messages: list) -> None:
-        for m in messages:
-            for part, _ in m.names if m else ():
-                if os.path.exists(part):
-                    os.remove(part)
+        self._clear(*_store(self.folder))
+
+    def _clear(self, store, root: str) -> None:
+        from pyarrow import fs
+
+        at = posixpath.join(root, self.staging)
+        if store.get_file_info(at).type != fs.FileType.NotFound:
+            store.delete_dir(at)
 
 
 class FilesSource(DataSource):
-    """``df.write.format("folio-files")``: rows (name, content) as files of a shared folder, all or none."""
+    """``df.write.format("folio-files")``: rows (name, content) as files of a folder in any store that Arrow opens by its URI, all or none."""
 
     @classmethod
     def name(cls) -> str:

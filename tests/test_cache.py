@@ -1,7 +1,10 @@
-"""The cache of a folder's files: what a refresh reads, what readers see."""
+"""The cache of a folder's files: what a refresh reads, what readers see; the sink of files: all or none."""
 
 import os
 
+import pytest
+from pyspark.sql import functions as F
+
 from folioframe.sources import files
 
 
@@ -43,8 +46,6 @@ def test_a_refresh_reads_only_what_changed(spark, tmp_path, monkeypatch):
 
 
 def test_a_refresh_that_fails_leaves_the_cache(spark, tmp_path, monkeypatch):
-    import pytest
-
     folder, at = tmp_path / "files", f"{tmp_path}/cache"
     folder.mkdir()
     put(folder, "a", b"a", 1000)
@@ -64,3 +65,22 @@ def test_a_refresh_that_fails_leaves_the_cache(spark, tmp_path, monkeypatch):
     monkeypatch.undo()
     assert len(calls) == 2 and names(files.cached_files(spark, at)) == {"a": b"a"}
     assert files.refresh_cache(spark, str(folder), at) == 1 and names(files.cached_files(spark, at)) == {"a": b"A"}
+
+
+def test_a_sink_writes_all_files_or_none(spark, tmp_path):
+    folder = tmp_path / "a folder"
+    rows = [(f"{k % 3}/{k}.bin", bytes([k, 0, 255])) for k in range(20)] + [("empty", None)]
+    frame = spark.createDataFrame(rows, "name string, content binary").repartition(4)
+    for place in (str(folder), f"file://{tmp_path}/by-uri"):
+        files.write_files(frame, place)
+        root = place.removeprefix("file://")
+        found = {os.path.relpath(os.path.join(d, n), root): open(os.path.join(d, n), "rb").read() for d, _, names in os.walk(root) for n in names}
+        assert {k: v for k, v in found.items() if not os.path.basename(k).startswith(".")} == {n: c or b"" for n, c in rows}
+        assert not [d for d in os.listdir(root) if d.startswith("_staging")]
+    bad = frame.withColumn("name", F.when(F.col("name") == "empty", F.raise_error(F.lit("lost")).cast("string")).otherwise(F.concat(F.lit("new/"), "name")))
+    with pytest.raises(Exception, match="lost"):
+        files.write_files(bad, str(folder))
+    assert not (folder / "new").exists() and not [d for d in os.listdir(folder) if d.startswith("_staging")]
+    with pytest.raises(Exception, match="outside"):
+        files.write_files(spark.createDataFrame([("../out", b"x"), ("in", b"y")], "name string, content binary"), str(folder))
+    assert not (tmp_path / "out").exists() and not (folder / "in").exists()
