@@ -47,7 +47,7 @@ def frames(spark, docs, items):
     )
 
 
-@pytest.mark.parametrize("limits", [{}, {"PART": 16, "BLOCK": 60}, {"VOCABULARY": 5, "CANDIDATES": 1}])
+@pytest.mark.parametrize("limits", [{}, {"PART": 16, "BLOCK": 150, "VOCABULARY": 5, "CANDIDATES": 1, "SPAN_BITS": 5}])
 def test_against_brute_force(spark, monkeypatch, limits):
     for name, value in limits.items():
         monkeypatch.setattr(tput, name, value)
