@@ -548,6 +548,7 @@ def test_op10_learns_as_gradients_say():
 def test_empty_tables(spark, folder, tmp_path):
     for name in ("documents", "labels", "benchmark", "embeddings", "conversations"):
         spark.read.parquet(f"{folder}/{name}.parquet").limit(0).coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+    spark.createDataFrame([], "page_id long, url string, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
     for name, query in queries.queries().items():
         assert query(spark, str(tmp_path)).count() == (1 if name.startswith("op7") else 0), name
 
