@@ -108,8 +108,12 @@ def file_size(n: Column) -> Column:
 
 
 def relative_time(at: Column, now: Column) -> Column:
-    """How long before or after ``now`` a moment is, in words: seconds below a minute, then minutes, hours, days."""
-    ms = (F.unix_micros(at.cast("timestamp")) - F.unix_micros(now.cast("timestamp"))) / 1000
+    """How long before or after ``now`` a moment is, in words."""
+    return relative_words((F.unix_micros(at.cast("timestamp")) - F.unix_micros(now.cast("timestamp"))) / 1000)
+
+
+def relative_words(ms: Column) -> Column:
+    """A distance in milliseconds (negative: before), parts of one included, in words: seconds below a minute, then minutes, hours, days."""
     away = F.floor(F.abs(ms) / 1000 + 0.5)
     minutes, hours = F.floor(away / 60 + 0.5), F.floor(F.floor(away / 60 + 0.5) / 60 + 0.5)
     # halves round up, towards later

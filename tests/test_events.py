@@ -30,3 +30,9 @@ def test_positions_of_a_listing_of_several_partitions(spark, events):
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_moments_within_a_microsecond_of_a_boundary(spark, events):
+    # event_id % 3 = 2: a forty-thousandth of the distance
+    con, at = events("SELECT 3 * k + 2 AS event_id, TIMESTAMP '2024-01-15 12:00:00' + to_microseconds(s * ((2 * k + 1) * 20000000000 + d)) AS ts FROM range(0, 70) t(k), (SELECT unnest([-1, 1]) AS s), (SELECT unnest([-19000, -1, 0, 1, 19000]) AS d)")
+    compare(spark, con, catalog.Q["relative_time"](spark, at), catalog.SQL["relative_time"])
