@@ -15,6 +15,7 @@ from .streams import by_font
 
 LONG = 200  # characters
 BY_PARTS = 64  # characters of a target
+RUN = ("ord", "text", "x", "y", "start", "in_xobject")  # of a run, what locating needs
 CELL = 96.0, 24.0  # points across and along a page
 MOST_CELLS, WHOLE_PAGE = 64, -(2**62)
 
@@ -146,7 +147,7 @@ def locate_on_pages(targets: DataFrame, streams: DataFrame, decode=by_font, page
     wanted = targets.groupBy("doc_id", "page_number").agg(F.collect_list(F.struct("id", "text", "bx", "by", "bw", "bh")).alias("targets"))
 
     def each(doc, page, targets, data):
-        runs = engine.Interpreter(decode).run(data or b"").runs
+        runs = surgery.Shown(engine.Interpreter(decode).run(data or b"").runs)
         for t in targets:
             box = None if t["bx"] is None else surgery.Box(t["bx"], t["by"], t["bw"], t["bh"], page_height)
             f = surgery.locate(runs, t["text"] or "", box)
