@@ -21,8 +21,10 @@ MOST_CELLS, WHOLE_PAGE = 64, -(2**62)
 
 
 @F.pandas_udf(IntegerType())
-def _distances(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([None if x is None or y is None else surgery.distance(x, y) for x, y in zip(a, b)], dtype="Int32")
+def _distances(a: pd.Series, b: pd.Series, most: pd.Series) -> pd.Series:
+    """Edit distances; null of a null, and of texts that their parts show to be further apart than ``most``."""
+    known = lambda x, y, k: x is not None and y is not None and surgery.may_be_within(x, y, k)
+    return pd.Series([surgery.distance(x, y) if known(x, y, k) else None for x, y, k in zip(a, b, most)], dtype="Int32")
 
 
 def in_reach(targets: DataFrame, runs: DataFrame) -> DataFrame:
@@ -67,7 +69,7 @@ def locate(targets: DataFrame, runs: DataFrame, font_size: float = 12.0) -> Data
     open_ = (F.col("t") != F.col("r")) & (F.abs(n - F.length("r")) <= F.col("allowed"))
     # the built-in function is quadratic in the length; long texts go to bit vectors in Arrow batches
     long_ = open_ & (n > LONG)
-    far = _distances(F.when(long_, F.col("t")), F.when(long_, F.col("r")))
+    far = _distances(F.when(long_, F.col("t")), F.when(long_, F.col("r")), F.col("allowed"))
     distance = F.when(F.col("t") == F.col("r"), 0).when(long_, far).when(open_, F.levenshtein("t", "r"))
     scored = pairs.withColumn("d", F.explode(F.array(distance))).filter("d <= allowed")  # explode: taken once, not again in the filter
     order = ["d", -F.round(F.col("y") * 2), F.round(F.col("x") * 2), "start"]
@@ -125,7 +127,7 @@ def locate_anywhere(targets: DataFrame, runs: DataFrame) -> DataFrame:
     own = runs.filter("not in_xobject").select("doc_id", "page_number", "ord", "start", normalize(F.col("text")).alias("r"), "x", "y")
     near = alike(t, own.join(t.select("doc_id", "page_number").distinct(), ["doc_id", "page_number"], "left_semi"))
     long_ = (F.col("t") != F.col("r")) & (F.col("n") > LONG)
-    far = _distances(F.when(long_, F.col("t")), F.when(long_, F.col("r")))
+    far = _distances(F.when(long_, F.col("t")), F.when(long_, F.col("r")), F.col("allowed"))
     distance = F.when(F.col("t") == F.col("r"), 0).when(long_, far).otherwise(F.call_function("levenshtein", F.col("t"), F.col("r"), F.col("allowed")))
     near = near.withColumn("d", F.explode(F.array(distance))).filter("d between 0 and allowed")
     placed = near.drop("r").join(own.drop("r"), ["doc_id", "page_number", "ord"])
