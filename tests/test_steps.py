@@ -73,6 +73,21 @@ def test_confidence_halfway_between_two_steps_is_rounded_up(spark, tmp_path):
     assert [(r["ord"], r["confidence"]) for r in row] == [(0, 0.849063)]  # 0.849062 before
 
 
+def test_pages_are_cut_before_the_shuffle_and_say_what_their_lines_say(spark, tmp_path):
+    long_ = "\n".join(f"line {k} Ж" if k % 7 == 0 else f"line {k} (a)" for k in range(95))
+    rows = [(1, long_), (2, ""), (3, None), (4, "a\n"), (5, "\n" * 80), (6, "later\nb"), (6, "early\n\nd"), (7, "\n".join("x" * 40))]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    lines = views.lines(spark, str(tmp_path))
+    for apart in (False, True):
+        whole = streams.text_streams(views.page_texts(spark, str(tmp_path)), apart)
+        assert sorted(whole.collect()) == sorted(streams.page_streams(lines, apart).collect())
+    counted = lines.groupBy("doc_id", "page_number").agg(F.count(F.lit(1)).alias("n_lines")).withColumn("rotation", F.lit(0))
+    assert sorted(views.pages(spark, str(tmp_path)).collect()) == sorted(counted.collect()) and counted.count() == 10
+    for name in ("stream_problems", "documents_modified"):  # lines of streams and fonts went through the shuffle one by one before
+        plan = catalog.Q[name](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("posexplode") == (name == "documents_modified")  # its edits are lines
+
+
 def test_a_batch_is_taken_apart_by_and_by(spark):
     class Rows:
         def mapInArrow(self, run, schema):
