@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -12,6 +13,19 @@ from pyspark.sql.types import StructType
 OUT_ROWS, IN_ROWS = 4096, 256
 
 
+class Made(NamedTuple):
+    """Rows whose bytes are made of ``columns`` only where they are read: after joins and in the reader's own pass, so they go through no shuffle and no second worker."""
+
+    rows: DataFrame
+    columns: tuple[str, ...]
+    make: Callable[..., bytes | None]
+
+
+def made(df: DataFrame | Made, column: str = "contents") -> Made:
+    """What is made later, or a frame's ``column`` as it is."""
+    return df if isinstance(df, Made) else Made(df, (column,), lambda held: held)
+
+
 def map_rows(df: DataFrame, each: Callable[..., Iterable[tuple]], schema: str) -> DataFrame:
     """``each`` gets a row's values and returns result rows, all in Python.
 

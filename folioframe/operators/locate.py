@@ -9,7 +9,7 @@ from pyspark.sql.types import IntegerType
 
 from ..content import engine, surgery
 from ..functions.scalar import normalize
-from ._arrow import map_rows
+from ._arrow import Made, made, map_rows
 from .streams import by_font
 
 
@@ -141,21 +141,24 @@ def locate_anywhere(targets: DataFrame, runs: DataFrame) -> DataFrame:
 FOUND = "doc_id long, page_number long, id string, runs array<long>, confidence double, reason string, stream_size long"
 
 
-def locate_on_pages(targets: DataFrame, streams: DataFrame, decode=by_font, page_height: float = 792.0) -> DataFrame:
+def locate_on_pages(targets: DataFrame, streams: DataFrame | Made, decode=by_font, page_height: float = 792.0) -> DataFrame:
     """The whole cascade, for lines of several runs and targets without a place: run numbers, confidence, reason.
 
     One pass a page; a page's targets come together, its stream is replayed once and never edited.
+    Streams that are not built yet (``streams.unbuilt``) are built in that pass, so none goes through the join.
     """
+    rows, columns, make = made(streams)
     wanted = targets.groupBy("doc_id", "page_number").agg(F.collect_list(F.struct("id", "text", "bx", "by", "bw", "bh")).alias("targets"))
 
-    def each(doc, page, targets, data):
+    def each(doc, page, targets, *held):
+        data = make(*held)
         runs = surgery.Shown(engine.Interpreter(decode).run(data or b"").runs)
         for t in targets:
             box = None if t["bx"] is None else surgery.Box(t["bx"], t["by"], t["bw"], t["bh"], page_height)
             f = surgery.locate(runs, t["text"] or "", box)
             yield doc, page, t["id"], f.runs, f.confidence, f.reason, len(data or b"")
 
-    return map_rows(wanted.join(streams.select("doc_id", "page_number", "contents"), ["doc_id", "page_number"], "left"), each, FOUND)
+    return map_rows(wanted.join(rows.select("doc_id", "page_number", *columns), ["doc_id", "page_number"], "left"), each, FOUND)
 
 
 def gated(found: DataFrame, gate: float = surgery.GATE) -> DataFrame:

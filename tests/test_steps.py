@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from folioframe import catalog
 from folioframe.content import engine, surgery
-from folioframe.operators import _arrow, streams
+from folioframe.operators import _arrow, locate, streams
 from folioframe.plans import views
 
 
@@ -117,3 +117,23 @@ def test_a_page_of_words_needs_one_shuffle_of_lines(spark):
     got = streams.runs(made).collect()
     want = views.placed_words(lines).orderBy(F.desc("line_idx"), F.desc("pos")).collect()
     assert [(r.text, r.x, r.y, r.fill.r, r.fill.g) for r in got] == [(w.text, w.x, w.y, w.fill.r, w.fill.g) for w in want]
+
+
+def test_strings_are_written_and_read_by_their_distinct_characters():
+    every = bytes(range(256)) + b"\\\\((\\)\n\\053"
+    assert engine.literal_bytes(engine.literal(every)[1:-1]) == every
+    assert engine.literal(b"a\\(b)\n\x00\xe4") == b"(a\\\\\\(b\\)\\n\\000\\344)"
+    assert not hasattr(engine, "_SPECIAL")  # a pattern that stopped at every character before
+
+
+def test_streams_are_built_in_the_pass_that_locates(spark, tmp_path):
+    rows = [(1, "\n".join(f"the line {k % 30}" for k in range(95))), (2, "the end"), (2, "on the way\nthe end"), (3, None), (4, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    texts = views.page_texts(spark, str(tmp_path))
+    e = views.edits(spark, str(tmp_path)).select("doc_id", "page_number", "id", F.col("original_text").alias("text"), *[F.lit(None).cast("double").alias(c) for c in ("bx", "by", "bw", "bh")])
+    wanted = e.unionByName(e.filter("doc_id = 2").withColumn("page_number", F.lit(9).cast("long")))
+    later, built = (sorted(locate.locate_on_pages(wanted, s).collect()) for s in (streams.unbuilt(texts), streams.text_streams(texts)))
+    assert later == built and len(later) == 95 + 2 * 3 and sum(r.stream_size == 0 for r in later) == 3
+    assert sorted(streams.runs(streams.unbuilt(texts)).collect()) == sorted(streams.runs(streams.text_streams(texts)).collect())
+    plan = catalog.Q["locate_anywhere"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1  # 2 before, with whole streams through a second shuffle
