@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterable, Iterator
 from typing import NamedTuple
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
@@ -26,6 +27,22 @@ def made(df: DataFrame | Made, column: str = "contents") -> Made:
     return df if isinstance(df, Made) else Made(df, (column,), lambda held: held)
 
 
+def values(column: pa.Array) -> list:
+    """What ``to_pylist`` gives, with structs and lists taken apart by columns, not by scalars."""
+    kind = column.type
+    if pa.types.is_list(kind):
+        inner, at, out = values(column.flatten()), 0, []
+        for n in pc.list_value_length(column).to_pylist():
+            out.append(None if n is None else inner[at : at + n])
+            at += n or 0
+        return out
+    if pa.types.is_struct(kind) and kind.num_fields:
+        names = [kind.field(i).name for i in range(kind.num_fields)]
+        rows = [dict(zip(names, row)) for row in zip(*map(values, column.flatten()))]
+        return [row if held else None for row, held in zip(rows, column.is_valid().to_pylist())] if column.null_count else rows
+    return column.to_pylist()
+
+
 def map_rows(df: DataFrame, each: Callable[..., Iterable[tuple]], schema: str) -> DataFrame:
     """``each`` gets a row's values and returns result rows, all in Python.
 
@@ -38,7 +55,7 @@ def map_rows(df: DataFrame, each: Callable[..., Iterable[tuple]], schema: str) -
         for batch in batches:
             for at in range(0, batch.num_rows, IN_ROWS):
                 out: list[tuple] = []
-                for row in zip(*(c.to_pylist() for c in batch.slice(at, IN_ROWS).columns)):
+                for row in zip(*map(values, batch.slice(at, IN_ROWS).columns)):
                     out.extend(each(*row))
                     if len(out) >= OUT_ROWS:
                         yield packed(out)

@@ -21,7 +21,7 @@ from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMes
 from ..content import container
 from ..functions.scalar import sidecar_path
 from ..operators import layout, ocr, stores
-from ..operators._arrow import map_rows
+from ..operators._arrow import Made, made, map_rows
 
 ANNOTATIONS, RECOGNISED = ".annotations.json", ".ocr.json"
 
@@ -68,20 +68,22 @@ _INFO = "path string, page_count int, title string, author string, subject strin
 _PAGES = "path string, page_number long, width double, height double, rotation int, parts array<binary>, fonts array<struct<name:string,base_font:string,subtype:string,encoding:string,entries:array<struct<code:int,glyph:string>>,to_unicode:string>>"
 
 
-def document_info(files: DataFrame, reader: Callable = container.Document) -> DataFrame:
+def document_info(files: DataFrame | Made, reader: Callable = container.Document) -> DataFrame:
     """Page count, title, author and subject of document files (path, content); what cannot be read says why.
 
-    ``reader`` opens a file's bytes; another one may be given.
+    ``reader`` opens a file's bytes; another one may be given. Files that are not written yet (:func:`unwritten`) are written in the same pass.
     """
+    rows, columns, make = made(files, "content")
 
-    def each(path, content):
+    def each(path, *held):
+        content = make(*held)
         try:
             i = reader(content).info()
             yield path, i["page_count"], i["title"], i["author"], i["subject"], None
         except Exception as e:  # any damage of one file must not stop the others
             yield path, None, None, None, None, f"{type(e).__name__}: {e}"
 
-    return map_rows(files.select("path", "content"), each, _INFO)
+    return map_rows(rows.select("path", *columns), each, _INFO)
 
 
 def document_pages(files: DataFrame, reader: Callable = container.Document) -> DataFrame:
@@ -98,14 +100,21 @@ def document_pages(files: DataFrame, reader: Callable = container.Document) -> D
     return map_rows(files.select("path", "content"), each, _PAGES)
 
 
-def to_files(pages: DataFrame) -> DataFrame:
+def to_files(pages: DataFrame | Made) -> DataFrame:
     """Document files (path, content) of pages (path, page_number, contents, width, height)."""
-    ordered = F.array_sort(F.collect_list(F.struct("page_number", "contents", "width", "height")))
+    rows, columns, make = unwritten(pages)
+    return map_rows(rows.select("path", *columns), lambda path, *held: [(path, make(*held))], "path string, content binary")
+
+
+def unwritten(pages: DataFrame | Made) -> Made:
+    """The files of :func:`to_files`, written in the pass that reads them."""
+    rows, columns, make = made(pages)
+    ordered = F.array_sort(F.collect_list(F.struct("page_number", *columns, "width", "height")))
 
-    def each(path, rows):
-        yield path, container.write([container.PageToWrite(r["contents"], r["width"], r["height"]) for r in rows])
+    def write(rows):
+        return container.write([container.PageToWrite(make(*[r[c] for c in columns]), r["width"], r["height"]) for r in rows])
 
-    return map_rows(pages.groupBy("path").agg(ordered.alias("rows")), each, "path string, content binary")
+    return Made(rows.groupBy("path").agg(ordered.alias("rows")), ("rows",), write)
 
 
 def drawn_pages(ops: DataFrame, page_height: float = 792.0, page_width: float = 612.0) -> DataFrame:

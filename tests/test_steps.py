@@ -1,14 +1,18 @@
 """Work and memory of the shared steps: what grows with a page, a batch or a table, and what must not."""
 
 import random
+import re
 
+import duckdb
 import pyarrow as pa
 from pyspark.sql import functions as F
 
 from folioframe import catalog
-from folioframe.content import engine, surgery
+from folioframe.content import container, engine, surgery
+from folioframe.functions import scalar
 from folioframe.operators import _arrow, locate, streams
 from folioframe.plans import views
+from folioframe.sources import files
 
 
 def page(lines, words):
@@ -137,3 +141,29 @@ def test_streams_are_built_in_the_pass_that_locates(spark, tmp_path):
     assert sorted(streams.runs(streams.unbuilt(texts)).collect()) == sorted(streams.runs(streams.text_streams(texts)).collect())
     plan = catalog.Q["locate_anywhere"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("MapInArrow") == 1  # 2 before, with whole streams through a second shuffle
+
+
+def test_files_are_written_in_the_pass_that_reads_them(spark, tmp_path):
+    rows = [(k, "\n".join(f"line {j} of {k} obj" for j in range(k * 7))) for k in range(12)] + [(3, "obj")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    pages = streams.text_streams(views.page_texts(spark, str(tmp_path))).select(F.concat(F.col("doc_id").cast("string"), F.lit(".pdf")).alias("path"), "page_number", "contents", F.lit(612.0).alias("width"), F.lit(792.0).alias("height"))
+    q = catalog.Q["document_files"](spark, str(tmp_path))
+    assert sorted(q.collect()) == sorted(files.document_info(files.to_files(pages)).select("path", "page_count", "title").collect())
+    assert q._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1  # 3 before
+
+
+def test_objects_are_found_by_their_marks():
+    data = b"1 0 obj a endobj x1 obj 2\n" + b" " * 90 + b"0  obj b 33 44 55 obj 6 7 objx 12345678901234567890123456789012345678 0 obj"
+    old = re.compile(rb"(\d+)\s+(\d+)\s+obj\b")
+    assert container._objects(data) == [(int(m[1]), m.start(), m.end()) for m in old.finditer(data)]
+    file = container.write([container.PageToWrite(b"q Q")])
+    container._kept.cache_clear()
+    assert [container.Document(file).info()["page_count"] for _ in range(3)] == [1, 1, 1]
+    assert container._kept.cache_info().misses <= 8  # every object of every file was read anew before
+
+
+def test_nested_values_of_a_batch_are_taken_by_columns():
+    kind = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.list_(pa.struct([("c", pa.binary())])))]))
+    given = [None, [], [None, {"a": None, "b": None}, {"a": 3, "b": [{"c": b"x"}, None, {"c": None}]}], [{"a": 4, "b": []}]] * 3
+    column = pa.array(given, kind)
+    assert [_arrow.values(column.slice(k)) for k in range(12)] == [given[k:] for k in range(12)]
