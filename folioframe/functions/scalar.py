@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 def normalize(s: Column) -> Column:
     """Runs of (any) white space as one space, trimmed; case and punctuation stay."""
-    return F.trim(F.regexp_replace(s, r"(?U)\s+", " "))
+    return F.trim(F.regexp_replace(s, r"(?U)\s{2,}|[^\S ]", " "))  # single spaces stay as they are, so most texts are only read
 
 
 def truncate(s: Column, n: int, keep_all: bool = False) -> Column:

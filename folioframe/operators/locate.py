@@ -16,36 +16,26 @@ from .streams import by_font
 LONG = 200  # characters
 BY_PARTS = 64  # characters of a target
 RUN = ("ord", "text", "x", "y", "start", "in_xobject")  # of a run, what locating needs
-CELL = 96.0, 24.0  # points across and along a page
-MOST_CELLS, WHOLE_PAGE = 64, -(2**62)
+CELL, LAST = (192.0, 72.0), (6.0, 22.0)  # points across and along a page; number of the last cell, which has no end
 
 
 @F.pandas_udf(IntegerType())
 def _distances(a: pd.Series, b: pd.Series, most: pd.Series) -> pd.Series:
     """Edit distances; null of a null, and of texts that their parts show to be further apart than ``most``."""
-    known = lambda x, y, k: x is not None and y is not None and surgery.may_be_within(x, y, k)
-    return pd.Series([surgery.distance(x, y) if known(x, y, k) else None for x, y, k in zip(a, b, most)], dtype="Int32")
+    return pd.Series([None if x is None or y is None else surgery.distance_within(x, y, k) for x, y, k in zip(a, b, most)], dtype="Int32")
 
 
 def in_reach(targets: DataFrame, runs: DataFrame) -> DataFrame:
     """Pairs of targets (with low_x, high_x, low_y, high_y) and runs (x, y) of a page that lie inside them, edges included, each once.
 
-    Pages are cut into cells: a run is in one, a target in all that it touches, and only those of a
-    cell are compared, so a page of any number of runs is many small groups. A target of more than
-    ``MOST_CELLS`` cells is compared with its whole page, which runs stand for a second time.
+    Pages are cut into cells: a run is in one, a target in all that it touches (mostly one or two), and only
+    those of a cell are compared, so a page of any number of runs is many small groups. The outermost cells
+    have no end, so a target of any width touches 192 at most, and no run need stand for its page a second time.
     """
-    across, along = CELL
-    cell = lambda c, size: F.floor(c / size).cast("long")
-    count = (cell(F.col("high_x"), across) - cell(F.col("low_x"), across) + 1) * (cell(F.col("high_y"), along) - cell(F.col("low_y"), along) + 1)
-    some = F.sequence(cell(F.col("low_x"), across), cell(F.col("high_x"), across))
-    whole = F.array(F.lit(None).cast("long"))
-    t = targets.filter("high_x >= low_x and high_y >= low_y").withColumn("_wide", count > MOST_CELLS)
-    t = t.withColumn("_cx", F.explode(F.when(F.col("_wide"), whole).otherwise(some)))
-    t = t.withColumn("_cy", F.explode(F.when(F.col("_wide"), whole).otherwise(F.sequence(cell(F.col("low_y"), along), cell(F.col("high_y"), along)))))
-    r = runs.filter("x is not null and y is not null").withColumn("_cell", F.explode(F.array(F.struct(cell(F.col("x"), across).alias("cx"), cell(F.col("y"), along).alias("cy")), F.struct(F.lit(None).cast("long").alias("cx"), F.lit(None).cast("long").alias("cy")))))
-    key = lambda c: F.coalesce(c, F.lit(WHOLE_PAGE))
-    t = t.select("*", key(F.col("_cx")).alias("cx"), key(F.col("_cy")).alias("cy")).drop("_cx", "_cy", "_wide")
-    r = r.select("*", key(F.col("_cell.cx")).alias("cx"), key(F.col("_cell.cy")).alias("cy")).drop("_cell")
+    cell = lambda c, k: F.floor(F.greatest(F.least(F.col(c) / CELL[k], F.lit(LAST[k])), F.lit(-1.0))).cast("int")
+    t = targets.filter("high_x >= low_x and high_y >= low_y")
+    t = t.withColumn("cx", F.explode(F.sequence(cell("low_x", 0), cell("high_x", 0)))).withColumn("cy", F.explode(F.sequence(cell("low_y", 1), cell("high_y", 1))))
+    r = runs.filter("x is not null and y is not null").withColumns({"cx": cell("x", 0), "cy": cell("y", 1)})
     return t.join(r, ["doc_id", "page_number", "cx", "cy"]).filter("x between low_x and high_x and y between low_y and high_y").drop("cx", "cy", "low_x", "high_x", "low_y", "high_y")
 
 
@@ -54,27 +44,28 @@ def locate(targets: DataFrame, runs: DataFrame, font_size: float = 12.0) -> Data
 
     A relational form for lines of one run: the join is by cells of a page (:func:`in_reach`); edit
     distances are taken only of targets without an exact match and of runs whose length alone
-    does not rule them out. Runs inside forms are left out.
+    does not rule them out. White space is evened out only of pairs that differ as they are, and
+    no text goes further than its distance. Runs inside forms are left out.
     """
     wide, tall = surgery.tolerances(font_size)
     top, bottom = F.lit(792.0) - F.col("by"), F.lit(792.0) - F.col("by") - F.col("bh")
     t = targets.select(
-        "doc_id", "page_number", "id", normalize(F.col("text")).alias("t"), (F.col("bx") - wide).alias("low_x"), (F.col("bx") + F.col("bw") + wide).alias("high_x"), (bottom - tall).alias("low_y"), (top + tall).alias("high_y"),
+        "doc_id", "page_number", "id", F.col("text").alias("t"), (F.col("bx") - wide).alias("low_x"), (F.col("bx") + F.col("bw") + wide).alias("high_x"), (bottom - tall).alias("low_y"), (top + tall).alias("high_y"),
     )
-    own = runs.filter("not in_xobject").select("doc_id", "page_number", "ord", "start", normalize(F.col("text")).alias("r"), "x", "y")
-    pairs = in_reach(t.filter("t <> ''"), own)
-    n = F.length("t")
-    allowed = F.greatest(F.lit(surgery.LEAST_EDITS), F.floor(surgery.SHARE * n).cast("int"))
-    pairs = pairs.withColumn("allowed", allowed)
-    open_ = (F.col("t") != F.col("r")) & (F.abs(n - F.length("r")) <= F.col("allowed"))
-    # the built-in function is quadratic in the length; long texts go to bit vectors in Arrow batches
-    long_ = open_ & (n > LONG)
-    far = _distances(F.when(long_, F.col("t")), F.when(long_, F.col("r")), F.col("allowed"))
-    distance = F.when(F.col("t") == F.col("r"), 0).when(long_, far).when(open_, F.levenshtein("t", "r"))
-    scored = pairs.withColumn("d", F.explode(F.array(distance))).filter("d <= allowed")  # explode: taken once, not again in the filter
-    order = ["d", -F.round(F.col("y") * 2), F.round(F.col("x") * 2), "start"]
-    best = scored.withColumn("k", F.row_number().over(Window.partitionBy("doc_id", "page_number", "id").orderBy(*order))).filter("k = 1")
-    confidence = F.when(F.col("d") == 0, 1.0).otherwise(F.greatest(F.lit(surgery.FLOOR), 1 - F.col("d") / n))
+    own = runs.filter("not in_xobject").select("doc_id", "page_number", "ord", "start", F.col("text").alias("r"), "x", "y")
+    pairs = in_reach(t.filter(F.col("t").rlike(r"(?U)\S")), own)
+    unlike = F.col("t") != F.col("r")
+    pairs = pairs.withColumns({"t": F.when(unlike, normalize(F.col("t"))), "r": F.when(unlike, normalize(F.col("r"))), "same": ~unlike})
+    pairs = pairs.withColumn("n", F.length("t")).withColumn("allowed", F.greatest(F.lit(surgery.LEAST_EDITS), F.floor(surgery.SHARE * F.col("n")).cast("int")))
+    same = F.col("same") | (F.col("t") == F.col("r"))
+    open_ = ~same & (F.abs(F.col("n") - F.length("r")) <= F.col("allowed"))
+    # the built-in function takes time by length and edits allowed; texts go to bit vectors in Arrow batches
+    far = _distances(F.when(open_, F.col("t")), F.when(open_, F.col("r")), F.col("allowed"))
+    distance = F.when(same, 0).when(open_, far)
+    scored = pairs.withColumn("d", F.explode(F.array(distance))).filter("d between 0 and allowed")  # explode: taken once, not again in the filter
+    order = F.struct("d", (-F.round(F.col("y") * 2)).alias("above"), F.round(F.col("x") * 2).alias("left"), "start", "ord", "n")
+    best = scored.select("doc_id", "page_number", "id", order.alias("o")).groupBy("doc_id", "page_number", "id").agg(F.min("o").alias("o")).select("doc_id", "page_number", "id", "o.*")
+    confidence = F.when(F.col("d") == 0, 1.0).otherwise(F.greatest(F.lit(surgery.FLOOR), 1 - F.col("d") / F.col("n")))
     found = best.select("doc_id", "page_number", "id", "ord", confidence.alias("confidence"))
     return targets.select("doc_id", "page_number", "id").join(found, ["doc_id", "page_number", "id"], "left").withColumn("confidence", F.coalesce("confidence", F.lit(0.0)))
 
