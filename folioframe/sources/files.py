@@ -119,13 +119,14 @@ def unwritten(pages: DataFrame | Made) -> Made:
 
 def drawn_pages(ops: DataFrame, page_height: float = 792.0, page_width: float = 612.0) -> DataFrame:
     """Pages (path, page_number, contents, width, height) of drawing operations with ``path`` and ``position``."""
-    columns = [c for c in ops.columns if c not in ("path", "page_number", "position")]
-    rows = ops.groupBy("path", "page_number").agg(F.sort_array(F.collect_list(F.struct("position", F.struct(*columns).alias("o")))).alias("rows"))
+    rows, columns, make = _undrawn(ops, page_height, page_width)
+    return map_rows(rows.select("path", "page_number", *columns), lambda path, page, *held: [(path, page, make(*held), page_width, page_height)], "path string, page_number long, contents binary, width double, height double")
 
-    def each(path, page, rows):
-        yield path, page, container.draw([r["o"] for r in rows], page_height), page_width, page_height
 
-    return map_rows(rows, each, "path string, page_number long, contents binary, width double, height double")
+def _undrawn(ops: DataFrame, page_height: float, page_width: float) -> Made:
+    columns = [c for c in ops.columns if c not in ("path", "page_number", "position")]
+    rows = ops.groupBy("path", "page_number").agg(F.sort_array(F.collect_list(F.struct("position", F.struct(*columns).alias("o")))).alias("drawn"))
+    return Made(rows.withColumns({"width": F.lit(page_width), "height": F.lit(page_height)}), ("drawn",), lambda drawn: container.draw([r["o"] for r in drawn], page_height))
 
 
 def with_drawings(streams: DataFrame, ops: DataFrame, page_height: float = 792.0) -> DataFrame:
@@ -148,9 +149,18 @@ def with_drawings(streams: DataFrame, ops: DataFrame, page_height: float = 792.0
 
 def text_files(texts: DataFrame, fixed: float | None = None) -> DataFrame:
     """Document files (path, content) of plain texts (doc_id, text): wrapped, broken into pages, in Helvetica."""
+    return to_files(_text_pages(texts, fixed))
+
+
+def unwritten_text_files(texts: DataFrame, fixed: float | None = None) -> Made:
+    """The files of :func:`text_files`, drawn and written in the pass that reads them."""
+    return unwritten(_text_pages(texts, fixed))
+
+
+def _text_pages(texts: DataFrame, fixed: float | None) -> Made:
     at = layout.placed(layout.wrapped(texts, fixed=fixed))
     ops = at.select(F.concat(F.col("doc_id").cast("string"), F.lit(".pdf")).alias("path"), "page_number", F.col("ord").alias("position"), F.lit("text").alias("op"), "x", "y", F.col("line").alias("text"), F.lit(layout.SIZE).alias("size"))
-    return to_files(drawn_pages(ops, layout.HEIGHT, layout.WIDTH))
+    return _undrawn(ops, layout.HEIGHT, layout.WIDTH)
 
 
 def cached(spark: SparkSession, path: str) -> DataFrame:

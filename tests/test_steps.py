@@ -211,3 +211,16 @@ def test_white_space_is_evened_out_as_before(spark):
     both = df.select(scalar.normalize(F.col("s")), F.trim(F.regexp_replace("s", r"(?U)\s+", " "))).collect()
     assert all(a == b for a, b in both)
     assert [surgery.distance_within("the end", t, 2) for t in ("e end", "the end")] == [2, 0] and surgery.distance_within("the end" * 9, "xyz" * 21, 2) is None
+
+
+def test_texts_become_files_in_one_last_pass(spark, tmp_path):
+    rows = [(3 * k, "\n".join(f"words {'and more ' * (j % 30)}of {k}" for j in range(k * 20))) for k in range(9)] + [(6, "later\nb"), (6, "early\n\nd"), (9, None), (4, "x")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    apart = views.ocr_lines(spark, str(tmp_path)).groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_idx", "line"))), lambda r: r["line"]), "\n").alias("text"))
+    texts = views.ocr_texts(spark, str(tmp_path))
+    assert sorted(texts.collect()) == sorted(apart.collect())
+    q = catalog.Q["text_files"](spark, str(tmp_path))
+    written = files.document_info(files.text_files(apart, fixed=562.5)).select("path", "page_count")
+    assert sorted(q.collect()) == sorted(written.collect()) and q.count() == 9
+    plan = q._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 2 and "posexplode" not in plan  # 4 before, of which two in one task
