@@ -15,6 +15,7 @@ from .streams import by_font
 
 LONG = 200  # characters
 BY_PARTS = 64  # characters of a target
+MANY = 1000  # runs of a page that are held against each target
 RUN = ("ord", "text", "x", "y", "start", "in_xobject")  # of a run, what locating needs
 CELL, LAST = (192.0, 72.0), (6.0, 22.0)  # points across and along a page; number of the last cell, which has no end
 
@@ -72,7 +73,7 @@ def locate(targets: DataFrame, runs: DataFrame, font_size: float = 12.0) -> Data
 
 def _stretches(text: Column, size: int) -> Column:
     """Every stretch of ``size`` characters, with its size and place, in one pass."""
-    found = F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1))
+    found = F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{size}}}))."), F.lit(1))  # a whole character is passed each time, also one of two code units
     return F.transform(found, lambda s, at: F.struct(F.lit(size).alias("size"), at.alias("at"), s.alias("part")))
 
 
@@ -97,36 +98,69 @@ def alike(targets: DataFrame, runs: DataFrame) -> DataFrame:
     cut = targets.filter("t <> ''").withColumn("k", F.explode(F.when(F.col("n") > F.col("allowed"), F.sequence(F.lit(0), F.col("allowed"))).otherwise(F.array(F.lit(0)))))
     short = F.col("n") <= F.col("allowed")
     cut = cut.select("doc_id", "page_number", "id", "t", "n", "allowed", F.when(short, 0).otherwise(begin).alias("at"), F.when(short, 0).otherwise(end - begin).alias("size"), F.when(short, "").otherwise(F.substring("t", begin + 1, end - begin)).alias("part"))
-    sizes = sorted(r[0] for r in cut.select("size").distinct().collect())  # 0 to 7 at most
     none = F.array().cast("array<struct<size:int,at:int,part:string>>")
     empty = F.when(F.length("r") <= 2 * surgery.LEAST_EDITS, F.array(F.struct(F.lit(0).alias("size"), F.lit(0).alias("at"), F.lit("").alias("part")))).otherwise(none)
-    held = runs.select("doc_id", "page_number", "ord", "r", F.explode(F.concat(none, *[_stretches(F.col("r"), s) if s else empty for s in sizes])).alias("s"))
+    held = runs.select("doc_id", "page_number", "ord", "r", F.explode(F.concat(none, *[_stretches(F.col("r"), s) if s else empty for s in range(8)])).alias("s"))
     held = held.select("doc_id", "page_number", "ord", "r", F.col("s.size").alias("size"), F.col("s.part").alias("part"), F.col("s.at").alias("place"))
     met = cut.join(held, ["doc_id", "page_number", "size", "part"]).filter((F.abs(F.col("place") - F.col("at")) <= F.col("allowed")) & (F.abs(F.length("r") - F.col("n")) <= F.col("allowed")))
     columns = ["doc_id", "page_number", "id", "ord", "t", "n", "allowed", "r"]
     return met.select(columns).distinct().unionByName(by_length.select(columns))
 
 
+def _held(t: Column, runs: Column) -> Column:
+    """The first, by rank, of the runs of an array that hold a target or stand in it, whose distance is the difference of their lengths, if that is allowed; null if there is none."""
+    away = lambda r: F.abs(F.length(r["r"]) - t["n"])
+    near = F.filter(runs, lambda r: (away(r) <= t["allowed"]) & (r["r"].contains(t["t"]) | t["t"].contains(r["r"])))
+    return F.array_min(F.transform(near, lambda r: _ranked(t, r, away(r))))
+
+
+def _ranked(t: Column, r: Column, d: Column) -> Column:
+    """What runs are chosen by: those that say the whole line, where it is known, then the nearest, then reading order."""
+    other = F.coalesce(r["r"] != t["whole"], F.lit(False))
+    return F.struct(other.alias("other"), d.cast("int").alias("d"), (-F.round(r["y"] * 2)).alias("above"), F.round(r["x"] * 2).alias("left"), r["start"].alias("start"), r["ord"].alias("ord"))
+
+
 def locate_anywhere(targets: DataFrame, runs: DataFrame) -> DataFrame:
     """Targets (doc_id, page_number, id, text) without a place -> best single run of their page, and confidence (0 and null if none).
 
-    Edit distances are taken only of the pairs of :func:`alike`, and no further than the edits allowed.
+    Targets may have ``whole``, all that their line is known to say: of the runs within the edits allowed, one that says it goes
+    before nearer ones, and ``as_known`` tells whether the run does.
+
+    Scale: the targets and the runs of a page meet in one row, so texts go through one shuffle each and no pair does. Runs
+    that hold the target are looked for first, without any distance; where they do not settle it, it is held against those
+    of its page whose length allows it, as they stream by. Pages of more than ``MANY`` runs are joined by :func:`alike` instead.
     """
     single, _, ceiling = surgery.CONFIDENCE[False]
-    t = targets.select("doc_id", "page_number", "id", normalize(F.col("text")).alias("t"))
+    known = "whole" in targets.columns
+    t = targets.select("doc_id", "page_number", "id", normalize(F.col("text")).alias("t"), (normalize(F.col("whole")) if known else F.lit(None).cast("string")).alias("whole"))
     t = t.withColumn("n", F.length("t")).withColumn("allowed", F.greatest(F.lit(surgery.LEAST_EDITS), F.floor(surgery.SHARE * F.col("n")).cast("int")))
     own = runs.filter("not in_xobject").select("doc_id", "page_number", "ord", "start", normalize(F.col("text")).alias("r"), "x", "y")
-    near = alike(t, own.join(t.select("doc_id", "page_number").distinct(), ["doc_id", "page_number"], "left_semi"))
-    long_ = (F.col("t") != F.col("r")) & (F.col("n") > LONG)
-    far = _distances(F.when(long_, F.col("t")), F.when(long_, F.col("r")), F.col("allowed"))
-    distance = F.when(F.col("t") == F.col("r"), 0).when(long_, far).otherwise(F.call_function("levenshtein", F.col("t"), F.col("r"), F.col("allowed")))
-    near = near.withColumn("d", F.explode(F.array(distance))).filter("d between 0 and allowed")
-    placed = near.drop("r").join(own.drop("r"), ["doc_id", "page_number", "ord"])
-    order = ["d", -F.round(F.col("y") * 2), F.round(F.col("x") * 2), "start"]
-    best = placed.withColumn("k", F.row_number().over(Window.partitionBy("doc_id", "page_number", "id").orderBy(*order))).filter("k = 1")
-    confidence = F.when(F.col("d") == 0, single).otherwise(F.greatest(F.lit(surgery.FLOOR), ceiling - F.col("d") / F.col("n")))
-    found = best.select("doc_id", "page_number", "id", "ord", confidence.alias("confidence"))
-    return targets.select("doc_id", "page_number", "id").join(found, ["doc_id", "page_number", "id"], "left").withColumn("confidence", F.coalesce("confidence", F.lit(0.0)))
+    wanted = t.groupBy("doc_id", "page_number").agg(F.collect_list(F.struct("id", "t", "whole", "n", "allowed")).alias("targets"))
+    said = own.groupBy("doc_id", "page_number").agg(F.collect_list(F.struct("ord", "start", "r", "x", "y")).alias("runs"))
+    pages = wanted.join(said, ["doc_id", "page_number"], "left").withColumn("runs", F.coalesce("runs", F.array().cast(said.schema["runs"].dataType)))
+
+    each = pages.select("doc_id", "page_number", "runs", F.posexplode("targets").alias("at", "target"))
+    few, many = each.filter(F.size("runs") <= MANY), each.filter(F.size("runs") > MANY)
+    w, r, c = F.col("target"), F.col("run"), F.col("close")
+    few = few.withColumn("close", F.explode(F.array(F.when(w["t"] != "", _held(w, F.col("runs"))))))  # explode: taken once
+    settled = F.coalesce(w["t"] == "", F.lit(True)) | F.when(w["whole"].isNull(), c["d"] == 0).otherwise(~c["other"]).eqNullSafe(True)
+    most = F.when(w["whole"].isNull(), F.least(w["allowed"], c["d"])).otherwise(w["allowed"])
+    left = F.filter("runs", lambda r: ~settled & (F.abs(F.length(r["r"]) - w["n"]) <= most))
+    pairs = few.select("doc_id", "page_number", "at", "target", "close", F.explode_outer(left).alias("run"))
+    large = many.select("doc_id", "page_number", "at", "target").filter("target.t <> ''")
+    held = pages.filter(F.size("runs") > MANY).select("doc_id", "page_number", F.explode("runs").alias("run"))
+    near = alike(large.select("doc_id", "page_number", F.col("at").alias("id"), "target.t", "target.n", "target.allowed"), held.select("doc_id", "page_number", "run.ord", "run.r"))
+    near = near.select("doc_id", "page_number", F.col("id").alias("at"), "ord").join(large, ["doc_id", "page_number", "at"]).join(held.withColumn("ord", F.col("run.ord")), ["doc_id", "page_number", "ord"]).drop("ord")
+    none = many.select("doc_id", "page_number", "at", "target", F.lit(None).cast(pairs.schema["run"].dataType).alias("run"))
+    pairs = pairs.unionByName(near.unionByName(none).withColumn("close", F.lit(None).cast(pairs.schema["close"].dataType)))
+
+    far = F.when((w["n"] > LONG) & (w["t"] != r["r"]), r["r"])
+    d = F.when(w["t"] == r["r"], 0).when(far.isNotNull(), _distances(F.when(far.isNotNull(), w["t"]), far, w["allowed"])).otherwise(F.call_function("levenshtein", w["t"], r["r"], w["allowed"]))
+    best = F.least(F.when(F.col("d").between(0, w["allowed"]), _ranked(w, r, F.col("d"))), c)
+    found = pairs.withColumn("d", d).select("doc_id", "page_number", "at", w["id"].alias("id"), w["n"].alias("n"), best.alias("best"))
+    found = found.groupBy("doc_id", "page_number", "at").agg(F.first("id").alias("id"), F.first("n").alias("n"), F.min("best").alias("b"))  # nulls do not count
+    confidence = F.when(F.col("b.d") == 0, single).when(F.col("b.d").isNotNull(), F.greatest(F.lit(surgery.FLOOR), ceiling - F.col("b.d") / F.col("n"))).otherwise(0.0)
+    return found.select("doc_id", "page_number", "id", F.col("b.ord").alias("ord"), confidence.alias("confidence"), *([(~F.col("b.other")).alias("as_known")] if known else []))
 
 
 FOUND = "doc_id long, page_number long, id string, runs array<long>, confidence double, reason string, stream_size long"

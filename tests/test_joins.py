@@ -3,9 +3,11 @@
 import random
 import re
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from folioframe import catalog
 from folioframe.content import fonts as tables
 from folioframe.content import surgery
 from folioframe.operators import fonts, locate, search, search_index
@@ -161,3 +163,35 @@ def test_unplaced_targets_take_the_nearest_run(spark):
     targets = spark.createDataFrame([(1, 1, "exact", "one two three"), (1, 1, "near", "ne two thrxe"), (1, 1, "far", "nothing like it"), (1, 1, "empty", ""), (1, 1, "null", None), (2, 1, "no page", "one two three")], "doc_id long, page_number long, id string, text string")
     got = {r.id: (r.ord, round(r.confidence, 6)) for r in locate.locate_anywhere(targets, runs).collect()}
     assert got == {"exact": (0, 0.85), "near": (1, round(0.85 - 1 / 12, 6)), "far": (None, 0.0), "empty": (None, 0.0), "null": (None, 0.0), "no page": (None, 0.0)}
+
+
+def test_unplaced_lines_are_those_of_sql_where_another_run_is_nearer(spark, tmp_path):
+    """``sthe.`` is nearer to the line ``Sthe.`` than to its own, ``the.`` to ``them`` than to its own, which is too far; two lines may be as near."""
+    text = "Sthe.\nThsthe.\nWh the.\nthem\nIn the old house of the dean\nOn the old house of the dean\n😀😀the bar\nxthe\n\nthe"
+    spark.createDataFrame([(1, text), (2, "the"), (3, None), (4, "")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    con.execute("CREATE VIEW events AS SELECT 1 AS event_id, 1 AS user_id, '' AS event_type, now() AS ts, '{}' AS props")
+    want = con.execute(catalog.SQL["locate_unplaced"]).fetchall()
+    got = catalog.Q["locate_unplaced"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr) and len(want) == 10
+
+
+@pytest.mark.parametrize("many", [1000, 0])
+def test_unplaced_targets_against_all_runs_of_their_page(spark, monkeypatch, many):
+    """On pages of few and of many runs; of few, no pair goes through a join."""
+    monkeypatch.setattr(locate, "MANY", many)
+    rng = random.Random(6)
+    said = ["".join(rng.choice("ab é😀") for _ in range(n)) for n in [*range(0, 30), 70, 71, 250, 251]]
+    cut = lambda t: t[: rng.randrange(len(t) + 1)] + rng.choice(["", "b", "😀"]) + t[rng.randrange(len(t) + 1) :] if rng.random() < 0.3 else t[rng.randrange(3) :]
+    want = [cut(t) for t in said] + ["zz" + said[-1][4:], "zz" + said[-3][5:]]
+    runs = spark.createDataFrame([(1, 1, k, t, 72.0, 752.0 - 18 * k, k, False) for k, t in enumerate(said)], "doc_id long, page_number long, ord long, text string, x double, y double, start long, in_xobject boolean")
+    targets = spark.createDataFrame([(1, 1, f"{k}", t) for k, t in enumerate(want)], "doc_id long, page_number long, id string, text string")
+    asked, alike = [], locate.alike
+    monkeypatch.setattr(locate, "alike", lambda t, r: asked.append((t, r)) or alike(t, r))
+    got = {r.id: (r.ord, round(r.confidence, 9)) for r in locate.locate_anywhere(targets, runs).collect()}
+    for k, t in enumerate(map(surgery.normalize, want)):
+        d, at = min((surgery.distance(surgery.normalize(s), t), n) for n, s in enumerate(said))
+        near = t and d <= max(2, int(0.15 * len(t)))
+        assert got[f"{k}"] == ((at, round(0.85 if d == 0 else max(0.5, 0.85 - d / len(t)), 9)) if near else (None, 0.0)), (k, t)
+    assert len(got) == len(want) and [bool(t.count()) for t, _ in asked] == [many == 0]
