@@ -195,3 +195,14 @@ def test_unplaced_targets_against_all_runs_of_their_page(spark, monkeypatch, man
         near = t and d <= max(2, int(0.15 * len(t)))
         assert got[f"{k}"] == ((at, round(0.85 if d == 0 else max(0.5, 0.85 - d / len(t)), 9)) if near else (None, 0.0)), (k, t)
     assert len(got) == len(want) and [bool(t.count()) for t, _ in asked] == [many == 0]
+
+
+def test_an_index_has_a_row_a_trigram_and_block_of_lines(spark, tmp_path):
+    texts = spark.range(0, 3000, 1, 2).selectExpr("id as doc_id", "1L as page_number", "0L as line_idx", "concat('the same words again, but ', id, if(id % 700 = 1, ' needle', '')) as line")
+    at = str(tmp_path / "index")
+    search_index.build(texts, at)
+    rows, lines = spark.read.parquet(f"{at}/grams"), spark.read.parquet(f"{at}/lines")
+    said = lines.select(F.explode(F.array_distinct(F.regexp_extract_all("line", F.lit("(?=(.{3}))"), F.lit(1)))).alias("gram")).groupBy("gram").count()
+    assert sorted(map(tuple, said.collect())) == sorted((r.gram, r.n) for r in spark.read.parquet(f"{at}/counts").collect())
+    assert rows.count() < said.agg(F.sum("count")).first()[0] / 4  # as many before
+    assert sorted(r.doc_id for r in search_index.find(spark, at, "needle").collect()) == [1, 701, 1401, 2101, 2801]
